@@ -26,7 +26,7 @@ def difference(df: DataFrame, keys: Sequence[str], pos: str, col: str, order: in
     if order == 0:
         return df.withColumn(out, F.col(col))
     lagged = with_lags(df, keys, pos, {f"__l{k}": (col, k) for k in range(1, order + 1)})
-    value = _difference_of([F.col(col), *[F.col(f"__l{k}") for k in range(1, order + 1)]], order)
+    value = difference_of([F.col(col), *[F.col(f"__l{k}") for k in range(1, order + 1)]], order)
     return (
         lagged.withColumn(out, value)
         .filter(F.col(f"__l{order}").isNotNull())
@@ -34,11 +34,11 @@ def difference(df: DataFrame, keys: Sequence[str], pos: str, col: str, order: in
     )
 
 
-def _difference_of(levels: Sequence[Column], order: int) -> Column:
+def difference_of(levels: Sequence[Column], order: int) -> Column:
     """Difference of the given order from the current level and its lags."""
     if order == 0:
         return levels[0]
-    return _difference_of(levels[:-1], order - 1) - _difference_of(levels[1:], order - 1)
+    return difference_of(levels[:-1], order - 1) - difference_of(levels[1:], order - 1)
 
 
 def all_differences(df: DataFrame, keys: Sequence[str], pos: str, col: str, max_order: int = 2) -> DataFrame:
@@ -49,7 +49,7 @@ def all_differences(df: DataFrame, keys: Sequence[str], pos: str, col: str, max_
     )
     levels = [F.col("__y"), *[F.col(f"__l{k}") for k in range(1, max_order + 1)]]
     options = F.array(
-        *[F.struct(F.lit(d).alias("d"), _difference_of(levels[: d + 1], d).alias("y")) for d in range(max_order + 1)]
+        *[F.struct(F.lit(d).alias("d"), difference_of(levels[: d + 1], d).alias("y")) for d in range(max_order + 1)]
     )
     return lagged.select(*keys, pos, F.inline(options)).filter(F.col("y").isNotNull()).select(*keys, "d", pos, "y")
 
