@@ -22,16 +22,29 @@ from tidebin.operators.regression import solve
 from tidebin.operators.signal import difference_of
 
 
+def series_spans(df: DataFrame, keys: Sequence[str], pos: str) -> DataFrame:
+    """First position and length of each series."""
+    return df.groupBy(*keys).agg(F.min(pos).alias("__p0"), F.count(F.lit(1)).alias("__n"))
+
+
 def rolling_origin_folds(
-    df: DataFrame, keys: Sequence[str], pos: str, *, train: int, horizon: int, step: int
+    df: DataFrame,
+    keys: Sequence[str],
+    pos: str,
+    *,
+    train: int,
+    horizon: int,
+    step: int,
+    spans: DataFrame | None = None,
 ) -> DataFrame:
     """Add `fold`, `role` ("train" or "test") and `step_ahead` (1.. in the test part).
 
     Fold f trains on positions `f*step .. f*step+train-1` counted from the series' first and
     tests on the next `horizon`. Only whole folds are made; a row appears once per fold it
-    belongs to.
+    belongs to. `spans` (see `series_spans`) may be given where the rows are costly to
+    compute twice.
     """
-    stats = df.groupBy(*keys).agg(F.min(pos).alias("__p0"), F.count(F.lit(1)).alias("__n"))
+    stats = series_spans(df, keys, pos) if spans is None else spans
     q = F.col(pos) - F.col("__p0")
     newest = F.least(F.floor((F.col("__n") - train - horizon) / F.lit(step)), F.floor(q / F.lit(step)))
     oldest = F.greatest(F.lit(0), F.floor((q - train - horizon) / F.lit(step)) + 1)
@@ -157,7 +170,8 @@ def backtest_folds(
     ds = sorted({d for _, d in orders})
     pmax = max(p for p, _ in orders)
     rows = _with_designs(df, keys, pos, y, ds, pmax, exog)
-    folded = rolling_origin_folds(rows, keys, pos, train=train, horizon=horizon, step=step)
+    spans = series_spans(df, keys, pos)
+    folded = rolling_origin_folds(rows, keys, pos, train=train, horizon=horizon, step=step, spans=spans)
     wide = folded.select(*keys, "fold", "role", "fold_row", "__y", "__levels", F.inline("__designs"))
     fits = (F.col("role") == "train") & (F.col("fold_row") >= pmax + F.col("d"))
     design_cols = ["w0", *[f"x{j}" for j in range(len(exog))], *[f"w{i}" for i in range(1, pmax + 1)]]

@@ -11,16 +11,21 @@ from pyspark.sql import functions as F
 from tidebin.operators.common import attach
 
 
-def kde(df: DataFrame, col: str, keys: Sequence[str] = (), *, gridsize: int = 200, cut: float = 3.0) -> DataFrame:
+def kde(
+    df: DataFrame, col: str, keys: Sequence[str] = (), *, gridsize: int = 200, cut: float = 3.0, count_equal: bool = False
+) -> DataFrame:
     """Density on an even grid over `[min - cut*h, max + cut*h]`, Scott bandwidth
     `h = s * n^(-1/5)`, per key.
 
-    Equal values are counted first. Each distinct value then contributes to the grid
-    points inside its task, and only `gridsize` partial sums per key are shuffled.
-    Keys with fewer than two values or no spread give no rows.
+    Every value contributes to the grid points inside its task; only `gridsize` partial
+    sums per key and task are shuffled. `count_equal` first counts equal values, which
+    costs a shuffle and pays off where values repeat a lot. Keys with fewer than two
+    values or no spread give no rows.
     """
     y = F.col(col).cast("double")
-    counted = df.filter(y.isNotNull()).groupBy(*keys, y.alias("__y")).agg(F.count(F.lit(1)).alias("__w"))
+    counted = df.filter(y.isNotNull()).select(*keys, y.alias("__y"), F.lit(1).alias("__w"))
+    if count_equal:
+        counted = counted.groupBy(*keys, "__y").agg(F.count(F.lit(1)).alias("__w"))
     stats = (
         df.filter(y.isNotNull())
         .groupBy(*keys)

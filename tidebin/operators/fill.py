@@ -16,20 +16,23 @@ def interpolate_linear(
     """Linear in position between neighbours; the edges copy the nearest value.
 
     Works block by block. The nearest known value outside a block comes from a
-    summary with one row per block, so no task ever holds a whole series.
+    summary with one row per block, so no task ever holds a whole series. The table is
+    read twice: pass a settled one.
     """
     known = F.when(F.col(col).isNotNull(), F.struct(F.col(pos).alias("p"), F.col(col).cast("double").alias("v")))
     rows = df.withColumn(BLOCK, block_of(pos, size)).withColumn("__known", known)
 
-    order = Window.partitionBy(*keys).orderBy(BLOCK)
+    # both directions scan forward: a frame that ends at "unbounded following" is quadratic
+    earlier = Window.partitionBy(*keys).orderBy(BLOCK).rowsBetween(Window.unboundedPreceding, -1)
+    later = Window.partitionBy(*keys).orderBy(F.desc(BLOCK)).rowsBetween(Window.unboundedPreceding, -1)
     edges = (
         rows.groupBy(*keys, BLOCK)
         .agg(F.max("__known").alias("__last"), F.min("__known").alias("__first"))
         .select(
             *[F.col(k).alias(f"__{k}") for k in keys],
             F.col(BLOCK).alias("__b"),
-            F.last("__last", True).over(order.rowsBetween(Window.unboundedPreceding, -1)).alias("__before"),
-            F.first("__first", True).over(order.rowsBetween(1, Window.unboundedFollowing)).alias("__after"),
+            F.last("__last", True).over(earlier).alias("__before"),
+            F.last("__first", True).over(later).alias("__after"),
         )
     )
     same = F.col(BLOCK) == F.col("__b")
@@ -37,9 +40,11 @@ def interpolate_linear(
         same &= F.col(k).eqNullSafe(F.col(f"__{k}"))
     rows = rows.join(edges, same, "left")
 
-    inside = Window.partitionBy(*keys, BLOCK).orderBy(pos)
-    lo = F.coalesce(F.last("__known", True).over(inside.rowsBetween(Window.unboundedPreceding, 0)), F.col("__before"))
-    hi = F.coalesce(F.first("__known", True).over(inside.rowsBetween(0, Window.unboundedFollowing)), F.col("__after"))
+    block = Window.partitionBy(*keys, BLOCK)
+    upward = block.orderBy(pos).rowsBetween(Window.unboundedPreceding, 0)
+    downward = block.orderBy(F.desc(pos)).rowsBetween(Window.unboundedPreceding, 0)
+    lo = F.coalesce(F.last("__known", True).over(upward), F.col("__before"))
+    hi = F.coalesce(F.last("__known", True).over(downward), F.col("__after"))
     filled = rows.withColumns({"__lo": lo, "__hi": hi})
     a, b = F.col("__lo"), F.col("__hi")
     slope = (b["v"] - a["v"]) / F.nullif(b["p"] - a["p"], F.lit(0))

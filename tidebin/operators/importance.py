@@ -10,6 +10,7 @@ from pyspark.ml.regression import RandomForestRegressionModel, RandomForestRegre
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tidebin.operators.common import attach
 from tidebin.operators.ordering import with_random_index
 
 
@@ -49,13 +50,14 @@ def permutation_importance(
     """
     y = F.col(target).cast("double").alias("__y")
     base = df.select(*ids, y, F.array(*[F.col(c).cast("double") for c in features]).alias("__x"))
-    copies = base.withColumn("repeat", F.explode(F.array(*[F.lit(i) for i in range(repeats)])))
-    numbered = with_random_index(copies, ids, F.lit(seed) + 1000 + 2 * F.col("repeat"), ["repeat"], "__i")
-    lenders = with_random_index(copies, ids, F.lit(seed) + 1001 + 2 * F.col("repeat"), ["repeat"], "__i").select(
-        "repeat", "__i", F.col("__x").alias("__other")
-    )
+    rounds = F.explode(F.array(*[F.lit(i) for i in range(repeats)])).alias("repeat")
+    numbered = with_random_index(base, ids, seed, out="__i").select("*", rounds)
+    lenders = with_random_index(
+        base.select("*", rounds), ids, F.lit(seed + 1) + F.col("repeat"), ["repeat"], "__i"
+    ).select("repeat", "__i", F.col("__x").alias("__other"))
     paired = numbered.join(lenders, ["repeat", "__i"])
-    swap = F.explode(F.sequence(F.lit(-1), F.lit(len(features) - 1)))  # -1: nothing swapped
+    # -1 swaps nothing and is scored once, as the reference
+    swap = F.explode(F.sequence(F.when(F.col("repeat") == 0, -1).otherwise(0), F.lit(len(features) - 1)))
     mixed = F.transform(
         F.col("__x"), lambda v, i: F.when(i == F.col("__swap"), F.col("__other")[i]).otherwise(v)
     )
@@ -63,12 +65,11 @@ def permutation_importance(
     scored = model.transform(variants.select("repeat", "__swap", "__y", "features"))
     e = F.col("__y") - F.col("prediction")
     r2 = scored.groupBy("repeat", "__swap").agg((1 - F.avg(e * e) / F.nullif(F.var_pop("__y"), F.lit(0.0))).alias("__r2"))
-    # repeats x (features + 1) rows from here on
-    reference = r2.filter(F.col("__swap") < 0).select("repeat", F.col("__r2").alias("__full"))
+    # at most repeats * features + 1 rows from here on
+    reference = r2.filter(F.col("__swap") < 0).select(F.col("__r2").alias("__full"))
     names = F.array(*[F.lit(c) for c in features])
     return (
-        r2.filter(F.col("__swap") >= 0)
-        .join(reference, "repeat")
+        attach(r2.filter(F.col("__swap") >= 0), reference, [])
         .groupBy(names[F.col("__swap")].alias("feature"))
         .agg(F.avg(F.col("__full") - F.col("__r2")).alias("importance"), F.count(F.lit(1)).alias("repeats"))
     )

@@ -46,3 +46,18 @@ def with_random_index(
         .withColumn(out, F.col("__before") + F.col("__r") - 1)
         .select(*df.columns, out)
     )
+
+
+def first_rows(df: DataFrame, n: int, by: str | Column) -> DataFrame:
+    """The n rows that come first by a column: a distributed top-k, not a full sort."""
+    return df.orderBy(by).limit(n)
+
+
+def last_rows(df: DataFrame, n: int, by: str) -> DataFrame:
+    return df.orderBy(F.desc(by)).limit(n)
+
+
+def ranked(df: DataFrame, by: str, n: int | None = None) -> DataFrame:
+    """Rows by descending value, optionally only the top n; nulls last."""
+    order = df.orderBy(F.col(by).desc_nulls_last())
+    return order if n is None else order.limit(n)

@@ -179,16 +179,17 @@ def fit_holdout(
     `fit_on="train"` scales by training rows only, which leaks nothing from the test rows.
     The table is read several times: pass a settled one.
     """
+    if split not in ("chronological", "random"):
+        raise ValueError(f"unknown split: {split}")
     cols = [target, *regressors]
-    rows = df.dropna("any", subset=cols)
-    if split == "chronological":
-        rows = split_chronological(rows, pos, keys, train=1.0 - test)
-    elif split == "random":
+    rows = df.dropna("any", subset=cols).withColumn("actual", F.col(target).cast("double"))
+    if split == "random":
         rows = split_random(rows, ids or [pos], keys, test=test, seed=seed)
     else:
-        raise ValueError(f"unknown split: {split}")
-    stats = scale_stats(rows.filter("is_train") if fit_on == "train" else rows, cols, keys)
-    scaled = minmax_scale(rows.withColumn("actual", F.col(target).cast("double")), cols, keys, stats=stats)
+        rows = split_chronological(rows, pos, keys, train=1.0 - test)
+    fitted = rows.filter("is_train") if fit_on == "train" else df.dropna("any", subset=cols)
+    stats = scale_stats(fitted, cols, keys)
+    scaled = minmax_scale(rows, cols, keys, stats=stats)
     fit = ols_fit(scaled, target, regressors, keys, where=F.col("is_train"))
     predictions = minmax_inverse(ols_predict(scaled, fit, regressors, keys), "predicted", target, stats, keys).select(
         *dict.fromkeys([*keys, *([pos] if pos in df.columns else []), *(ids or [])]), "is_train", "actual", "predicted"

@@ -17,6 +17,7 @@ from tidebin.operators.align import INTERVAL, align_left
 from tidebin.operators.bins import resample_backward, resample_forward
 from tidebin.operators.counts import daily_distinct_count, daily_rule_counts, distinct_rows, union_with_cutover
 from tidebin.operators.fill import interpolate_linear
+from tidebin.session import settle
 
 Day = str | dt.date
 
@@ -122,12 +123,15 @@ def interval_population(
 ) -> DataFrame:
     """Average daily population per interval, counted back from the last snapshot.
 
-    With `interpolate`, intervals averaging zero count as missing and are filled.
+    With `interpolate`, intervals averaging zero count as missing and are filled; the
+    interval table is settled for it, so the snapshots are still read once.
     """
     _require(df, date_col, value, *keys)
     daily = df.select(*keys, date_col, F.col(value).cast("double").alias(out))
     bins = resample_backward(daily, date_col, freq, means=[out], keys=keys, last_day=last_day)
-    return interpolate_linear(bins.withColumn(out, null_if_zero(out)), keys, "bin_idx", out) if interpolate else bins
+    if not interpolate:
+        return bins
+    return interpolate_linear(settle(bins.withColumn(out, null_if_zero(out))), keys, "bin_idx", out)
 
 
 def study_table(population: DataFrame, *series: DataFrame, log_cols: Sequence[str] = (), on: Sequence[str] = INTERVAL) -> DataFrame:

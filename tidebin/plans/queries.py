@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 from tidebin.functions import columns as C
 from tidebin.operators import align, association, backtest, bins, cluster, counts, density
-from tidebin.operators import fill, importance, regression, signal, stationarity
+from tidebin.operators import fill, importance, ordering, regression, signal, stationarity
 from tidebin.plans import pipelines
 from tidebin.session import settle, shared_folder
 from tidebin.sources import files
@@ -157,7 +157,7 @@ def gap_fill(spark, d):
 
 def interpolate_linear(spark, d):
     sparse = order_counts(spark, d, 30, ["o_custkey"], complete=False).withColumn("n_orders", C.null_if_zero("n_orders"))
-    full = fill.interpolate_linear(sparse, ["o_custkey"], "bin_idx", "n_orders")
+    full = fill.interpolate_linear(settle(sparse), ["o_custkey"], "bin_idx", "n_orders")
     return rounded(full.select("o_custkey", "bin_idx", "n_orders"), "n_orders")
 
 
@@ -310,8 +310,8 @@ def prefix_columns(spark, d):
 def first_and_last(spark, d):
     """First and last intervals by date: a top-k at either end."""
     out = order_counts(spark, d).select("start_date", "end_date", "n_orders")
-    head = out.orderBy("start_date").limit(5).withColumn("side", F.lit("first"))
-    tail = out.orderBy(F.desc("start_date")).limit(5).withColumn("side", F.lit("last"))
+    head = ordering.first_rows(out, 5, "start_date").withColumn("side", F.lit("first"))
+    tail = ordering.last_rows(out, 5, "start_date").withColumn("side", F.lit("last"))
     return head.unionByName(tail)
 
 
@@ -379,7 +379,7 @@ def pearson_matrix(spark, d):
 
 def corr_with_target(spark, d):
     logs = C.log1p_columns(aligned(spark, d), ["n_orders", *MEASURES])
-    return rounded(association.corr_with_target(logs, "n_orders", MEASURES), "r").orderBy(F.desc("r"))
+    return ordering.ranked(rounded(association.corr_with_target(logs, "n_orders", MEASURES), "r"), "r")
 
 
 def partial_corr(spark, d):
@@ -387,11 +387,11 @@ def partial_corr(spark, d):
 
 
 def kde(spark, d):
-    return rounded(density.kde(table(spark, d, "part"), "p_retailprice"), "x", "density", "bandwidth", digits=8)
+    return rounded(density.kde(table(spark, d, "part"), "p_retailprice", count_equal=True), "x", "density", "bandwidth", digits=8)
 
 
 def kde_by_group(spark, d):
-    return rounded(density.kde(table(spark, d, "part"), "p_retailprice", ["p_type"]), "x", "density", "bandwidth", digits=8)
+    return rounded(density.kde(table(spark, d, "part"), "p_retailprice", ["p_type"], count_equal=True), "x", "density", "bandwidth", digits=8)
 
 
 def kmeans2(spark, d):
