@@ -19,20 +19,27 @@ def interpolate_linear(
     summary with one row per block, so no task ever holds a whole series. The table is
     read twice: pass a settled one.
     """
-    known = F.when(F.col(col).isNotNull(), F.struct(F.col(pos).alias("p"), F.col(col).cast("double").alias("v")))
-    rows = df.withColumn(BLOCK, block_of(pos, size)).withColumn("__known", known)
+    known = F.col(col).isNotNull()
+    rows = df.withColumns(
+        {BLOCK: block_of(pos, size), "__v": F.col(col).cast("double"), "__p": F.when(known, F.col(pos))}
+    )
 
     # both directions scan forward: a frame that ends at "unbounded following" is quadratic
     earlier = Window.partitionBy(*keys).orderBy(BLOCK).rowsBetween(Window.unboundedPreceding, -1)
     later = Window.partitionBy(*keys).orderBy(F.desc(BLOCK)).rowsBetween(Window.unboundedPreceding, -1)
     edges = (
         rows.groupBy(*keys, BLOCK)
-        .agg(F.max("__known").alias("__last"), F.min("__known").alias("__first"))
+        .agg(
+            F.max("__p").alias("p1"), F.max_by("__v", "__p").alias("v1"),
+            F.min("__p").alias("p0"), F.min_by("__v", "__p").alias("v0"),
+        )
         .select(
             *[F.col(k).alias(f"__{k}") for k in keys],
             F.col(BLOCK).alias("__b"),
-            F.last("__last", True).over(earlier).alias("__before"),
-            F.last("__first", True).over(later).alias("__after"),
+            F.last("p1", True).over(earlier).alias("__before_p"),
+            F.last("v1", True).over(earlier).alias("__before_v"),
+            F.last("p0", True).over(later).alias("__after_p"),
+            F.last("v0", True).over(later).alias("__after_v"),
         )
     )
     same = F.col(BLOCK) == F.col("__b")
@@ -43,10 +50,12 @@ def interpolate_linear(
     block = Window.partitionBy(*keys, BLOCK)
     upward = block.orderBy(pos).rowsBetween(Window.unboundedPreceding, 0)
     downward = block.orderBy(F.desc(pos)).rowsBetween(Window.unboundedPreceding, 0)
-    lo = F.coalesce(F.last("__known", True).over(upward), F.col("__before"))
-    hi = F.coalesce(F.last("__known", True).over(downward), F.col("__after"))
-    filled = rows.withColumns({"__lo": lo, "__hi": hi})
-    a, b = F.col("__lo"), F.col("__hi")
-    slope = (b["v"] - a["v"]) / F.nullif(b["p"] - a["p"], F.lit(0))
-    value = F.coalesce(F.col("__known")["v"], a["v"] + slope * (F.col(pos) - a["p"]), a["v"], b["v"])
+    near = {}
+    for c in ("p", "v"):
+        near[f"__lo_{c}"] = F.coalesce(F.last(f"__{c}", True).over(upward), F.col(f"__before_{c}"))
+        near[f"__hi_{c}"] = F.coalesce(F.last(f"__{c}", True).over(downward), F.col(f"__after_{c}"))
+    filled = rows.withColumns(near)
+    p0, v0, p1, v1 = (F.col(f"__{c}") for c in ("lo_p", "lo_v", "hi_p", "hi_v"))
+    slope = (v1 - v0) / F.nullif(p1 - p0, F.lit(0))
+    value = F.coalesce(F.col("__v"), v0 + slope * (F.col(pos) - p0), v0, v1)
     return filled.withColumn(col, value).select(*df.columns)

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 import tempfile
 import uuid
 
@@ -26,16 +27,22 @@ def local_session(cores: str | int = "*", partitions: int = 8, **conf: str) -> S
     return builder.getOrCreate()
 
 
+@functools.cache
+def _test_folder() -> str:
+    return tempfile.mkdtemp(prefix="tidebin-")
+
+
 def shared_folder(spark: SparkSession) -> str:
     """The cluster's shared folder (`spark.checkpoint.dir`).
 
-    Only a session that names none, such as a local test, gets a temporary one.
+    Only a local session that names none, such as a test, gets a temporary one.
     """
     folder = spark.conf.get("spark.checkpoint.dir", None)
-    if not folder:
-        folder = tempfile.mkdtemp(prefix="tidebin-")
-        spark.conf.set("spark.checkpoint.dir", folder)
-    return folder.rstrip("/")
+    if folder:
+        return folder.rstrip("/")
+    if not spark.sparkContext.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+    return _test_folder()
 
 
 def settle(df: DataFrame) -> DataFrame:
