@@ -28,9 +28,9 @@ def attach(df: DataFrame, stats: DataFrame, keys: Sequence[str], how: str = "lef
     if not keys:
         packed = stats.select(F.struct(*names).alias("s")).scalar()
         return df.select("*", *[packed[n].alias(n) for n in names])
-    right = stats.select(*[F.col(k).alias(f"__{k}") for k in keys], *names)
-    same = reduce(and_, [F.col(k).eqNullSafe(F.col(f"__{k}")) for k in keys])
-    return df.join(right, same, how).drop(*[f"__{k}" for k in keys])
+    right = stats.select(*[F.col(k).alias(f"__key_{k}") for k in keys], *names)
+    same = reduce(and_, [F.col(k).eqNullSafe(F.col(f"__key_{k}")) for k in keys])
+    return df.join(right, same, how).drop(*[f"__key_{k}" for k in keys])
 
 
 def block_of(pos: Column | str, size: int = BLOCK_ROWS) -> Column:

@@ -34,7 +34,7 @@ def interpolate_linear(
             F.min("__p").alias("p0"), F.min_by("__v", "__p").alias("v0"),
         )
         .select(
-            *[F.col(k).alias(f"__{k}") for k in keys],
+            *[F.col(k).alias(f"__key_{k}") for k in keys],
             F.col(BLOCK).alias("__b"),
             F.last("p1", True).over(earlier).alias("__before_p"),
             F.last("v1", True).over(earlier).alias("__before_v"),
@@ -44,7 +44,7 @@ def interpolate_linear(
     )
     same = F.col(BLOCK) == F.col("__b")
     for k in keys:
-        same &= F.col(k).eqNullSafe(F.col(f"__{k}"))
+        same &= F.col(k).eqNullSafe(F.col(f"__key_{k}"))
     rows = rows.join(edges, same, "left")
 
     block = Window.partitionBy(*keys, BLOCK)

@@ -31,14 +31,14 @@ def with_random_index(
     offsets = (
         hashed.groupBy(*keys, "__b").agg(F.count(F.lit(1)).alias("__c"))
         .select(
-            *[F.col(k).alias(f"__{k}") for k in keys],
+            *[F.col(k).alias(f"__key_{k}") for k in keys],
             F.col("__b").alias("__b2"),
             F.coalesce(F.sum("__c").over(order), F.lit(0)).alias("__before"),
         )
     )
     same = F.col("__b") == F.col("__b2")
     for k in keys:
-        same &= F.col(k).eqNullSafe(F.col(f"__{k}"))
+        same &= F.col(k).eqNullSafe(F.col(f"__key_{k}"))
     inside = F.row_number().over(Window.partitionBy(*keys, "__b").orderBy("__h", *ids))
     return (
         hashed.withColumn("__r", inside)

@@ -103,20 +103,32 @@ def _sweep(gram: np.ndarray, cols: int) -> tuple[np.ndarray, np.ndarray, float]:
     return beta, inv, max(float(gram[0, 0] - b @ beta), 0.0)
 
 
+def _nested_ssr(gram: np.ndarray) -> np.ndarray:
+    """Residual sums of squares of the regressions on variables 1..1, 1..2, ... at once.
+
+    One Cholesky factor serves all of them; a singular system is solved size by size.
+    """
+    a, b = gram[1:, 1:], gram[1:, 0]
+    scale = np.sqrt(np.maximum(np.diag(a), 1e-300))
+    try:
+        lower = np.linalg.cholesky(a / np.outer(scale, scale))
+        explained = np.cumsum(np.linalg.solve(lower, b / scale) ** 2)
+        return np.maximum(gram[0, 0] - explained, 0.0)
+    except np.linalg.LinAlgError:
+        return np.array([_sweep(gram, cols)[2] for cols in range(1, len(gram))])
+
+
 def _adf_one(flat, head, n: int, maxlag: int) -> tuple:
     k = maxlag + 3
     gram = np.asarray(flat, dtype=float).reshape(k, k)
     nobs = n - 1 - maxlag
     if nobs <= 3 or gram[0, 0] <= 0:
         return (None,) * 7
-    best, used = np.inf, 0
-    for lag in range(maxlag + 1):
-        ssr = _sweep(gram, lag + 2)[2]
-        if ssr <= 0:
-            return (None,) * 7
-        aic = nobs * (np.log(2 * np.pi) + np.log(ssr / nobs) + 1) + 2 * (lag + 2)
-        if aic < best - 1e-12 * abs(aic):
-            best, used = aic, lag
+    ssr = _nested_ssr(gram)[1:]  # constant and level, then one more lag each
+    if not np.all(ssr > 0):
+        return (None,) * 7
+    aic = nobs * (np.log(2 * np.pi) + np.log(ssr / nobs) + 1) + 2 * (np.arange(maxlag + 1) + 2)
+    used = int(np.argmin(aic))
     # the chosen order is refitted with the early rows it no longer has to give up
     small = gram[: used + 3, : used + 3].copy()
     early = _regressors(np.asarray(head, dtype=float), 0, used + 1, used, n, False)[: maxlag - used]
