@@ -1,7 +1,7 @@
 """The catalogue's queries as DuckDB SQL over the same whole tables.
 
-Queries without an entry (lag selection by AIC, table p-values, forests) are tested
-against brute-force numpy in `tests/` instead.
+Queries without an entry (forests, grids of models) are tested against brute-force numpy
+in `tests/` instead.
 """
 
 from __future__ import annotations
@@ -109,6 +109,62 @@ SELECT o_orderstatus, round(b / sqrt((syy - b * sxy) / (nobs - 2) / sxx), 6) + 0
     round(-2.56677 - 1.5384 / nobs - 2.809 / nobs ** 2, 6) AS crit_10 FROM g"""
 
 
+# series as lists, differenced 0..2 times: dx(o_orderstatus, d, y, n, dy)
+DIFFERENCED = f"""{SERIES},
+lv AS (SELECT o_orderstatus, list(n_orders::DOUBLE ORDER BY bin_idx) AS y FROM s GROUP BY o_orderstatus),
+df(o_orderstatus, d, y) AS (SELECT o_orderstatus, CAST(0 AS INTEGER), y FROM lv UNION ALL
+    SELECT o_orderstatus, d + 1, list_transform(range(2, len(y) + 1), lambda i: y[i] - y[i - 1]) FROM df WHERE d < 2),
+dx AS (SELECT o_orderstatus, d, y, len(y) AS n, list_transform(range(2, len(y) + 1), lambda i: y[i] - y[i - 1]) AS dy FROM df)"""
+
+
+def project_out(name: str, src: str, left: int) -> str:
+    """CTE that removes the columns of `src(o_orderstatus, d, r, cols)` from r and from each
+    other, one after the other, until `left` remain. `step` counts the removed ones."""
+    return f"""{name}(o_orderstatus, d, step, r, cols) AS (SELECT o_orderstatus, d, 0, r, cols FROM {src} UNION ALL
+    SELECT o_orderstatus, d, step + 1, list_transform(range(1, len(r) + 1), lambda i: r[i] - q[i] * rf),
+        list_transform(range(1, len(rest) + 1), lambda j: list_transform(range(1, len(r) + 1), lambda i: rest[j][i] - q[i] * f[j]))
+    FROM (SELECT o_orderstatus, d, step, r, q, rest, list_inner_product(r, q) / list_inner_product(q, q) AS rf,
+            list_transform(rest, lambda c: list_inner_product(c, q) / list_inner_product(q, q)) AS f
+        FROM (SELECT *, cols[1] AS q, cols[2:] AS rest FROM {name} WHERE len(cols) > {left})))"""
+
+
+def lag_list(lags: str, first: str) -> str:
+    """The lagged differences 1..lags as columns, for rows first..n-1."""
+    return f"list_transform(range(1, {lags} + 1), lambda k: list_transform(range({first}, n), lambda i: dy[i - k]))"
+
+
+ADF = f"""WITH RECURSIVE {DIFFERENCED},
+dm AS (SELECT *, CAST(least(ceil(12 * (n / 100.0) ** 0.25), floor(n / 2) - 2) AS BIGINT) AS m FROM dx),
+a0 AS (SELECT o_orderstatus, d, dy[m + 1:n - 1] AS r, list_concat([list_transform(range(m + 1, n), lambda i: 1.0::DOUBLE),
+    y[m + 1:n - 1]], {lag_list('m', 'm + 1')}) AS cols FROM dm),
+{project_out('a1', 'a0', 0)},
+ic AS (SELECT o_orderstatus, d, step - 2 AS lag, len(r) * ln(list_inner_product(r, r) / len(r)) + 2 * step AS aic FROM a1 WHERE step >= 2),
+pick AS (SELECT o_orderstatus, d, CAST(arg_min(lag, aic) AS BIGINT) AS u FROM ic GROUP BY o_orderstatus, d),
+b0 AS (SELECT o_orderstatus, d, dy[u + 1:n - 1] AS r, list_concat([list_transform(range(u + 1, n), lambda i: 1.0::DOUBLE)],
+    list_append({lag_list('u', 'u + 1')}, y[u + 1:n - 1])) AS cols FROM dm JOIN pick USING (o_orderstatus, d)),
+{project_out('b1', 'b0', 1)},
+g AS (SELECT o_orderstatus, d, u, len(r) AS nobs, list_inner_product(r, cols[1]) AS sxy, list_inner_product(cols[1], cols[1]) AS sxx,
+    list_inner_product(r, r) AS syy FROM b1 JOIN pick USING (o_orderstatus, d) WHERE step = u + 1)
+SELECT o_orderstatus, d, round(sxy / sxx / sqrt((syy - sxy * sxy / sxx) / (nobs - u - 2) / sxx), 5) + 0 AS stat,
+    CAST(u AS INTEGER) AS usedlag, CAST(nobs AS BIGINT) AS nobs FROM g"""
+
+# Dickey-Fuller with trend; a series passes where the statistic is at or below the tabulated
+# percentile for its length (fixed values: 5 % and 2.5 % columns, n = 25, 50, 100, 250)
+NDIFFS = f"""{DIFFERENCED},
+dk AS (SELECT *, CAST(floor(cbrt(n - 1) + 1e-9) AS BIGINT) AS m FROM dx WHERE d < 2),
+a0 AS (SELECT o_orderstatus, d, dy[m + 1:n - 1] AS r, list_concat([list_transform(range(m + 1, n), lambda i: 1.0::DOUBLE),
+    list_transform(range(m + 1, n), lambda i: i::DOUBLE)], list_append({lag_list('m', 'm + 1')}, y[m + 1:n - 1])) AS cols FROM dk),
+{project_out('a1', 'a0', 1)},
+g AS (SELECT o_orderstatus, d, n - 1 AS size, len(r) - m - 3 AS dof, list_inner_product(r, cols[1]) AS sxy,
+    list_inner_product(cols[1], cols[1]) AS sxx, list_inner_product(r, r) AS syy FROM a1 JOIN dk USING (o_orderstatus, d) WHERE step = m + 2),
+ts AS (SELECT o_orderstatus, d, size, sxy / sxx / sqrt((syy - sxy * sxy / sxx) / dof / sxx) AS stat FROM g),
+crit AS (SELECT * FROM (VALUES (0.05::DOUBLE, [-3.60, -3.50, -3.45, -3.43]), (0.025::DOUBLE, [-3.95, -3.80, -3.73, -3.69])) AS v(alpha, c)),
+ok AS (SELECT o_orderstatus, d, alpha, stat <= CASE WHEN size <= 50 THEN c[1] + (c[2] - c[1]) * (size - 25) / 25
+    WHEN size <= 100 THEN c[2] + (c[3] - c[2]) * (size - 50) / 50 ELSE c[3] + (c[4] - c[3]) * (size - 100) / 150 END AS pass
+    FROM ts JOIN crit ON TRUE),
+nd AS (SELECT o_orderstatus, alpha, CAST(coalesce(min(CASE WHEN pass THEN d END), 2) AS INTEGER) AS d FROM ok GROUP BY o_orderstatus, alpha)"""
+
+
 def _corr_pairs() -> str:
     logs = ", ".join(f"ln(1 + {c}) AS {c}" for c in MEASURES)
     order = ["n_orders", "customers", "urgent", "items", "returned", "quantity"]
@@ -338,6 +394,14 @@ ORACLES: dict[str, str] = {
         SELECT o_orderstatus, round(acf1, 6) + 0 AS acf1, ar_cutoff, ma_cutoff, CASE WHEN acf1 >= 0 THEN 'AR' ELSE 'MA' END AS suggest,
         CASE WHEN acf1 >= 0 THEN ar_cutoff ELSE ma_cutoff END AS terms FROM h""",
     "adf_lag0": ADF0,
+    "adf_test": ADF,
+    "ndiffs": f"WITH RECURSIVE {NDIFFS} SELECT * FROM nd",
+    "stationary_signal": f"""WITH RECURSIVE {NDIFFS},
+        first AS (SELECT o_orderstatus, min(bin_idx) AS p0 FROM s GROUP BY o_orderstatus)
+        SELECT o_orderstatus, dx.d, p0 + dx.d + unnest(range(0, dx.n)) AS bin_idx, unnest(dx.y) AS y
+        FROM dx JOIN nd ON nd.o_orderstatus = dx.o_orderstatus AND nd.d = dx.d AND nd.alpha = 0.05 JOIN first ON first.o_orderstatus = dx.o_orderstatus""".replace(
+        "SELECT o_orderstatus, dx.d", "SELECT dx.o_orderstatus, dx.d"
+    ),
     "pearson_matrix": _corr_pairs(),
     "corr_with_target": _corr_target(),
     "partial_corr": _partial_three(),

@@ -362,7 +362,13 @@ def adf_lag0(spark, d):
 def adf_test(spark, d):
     """Levels and both differences of every series at once."""
     all_d = signal.all_differences(order_series(spark, d), STATUS, "bin_idx", "n_orders")
-    return stationarity.adf_test(settle(all_d), [*STATUS, "d"], "bin_idx", "y")
+    out = stationarity.adf_test(settle(all_d), [*STATUS, "d"], "bin_idx", "y")
+    return rounded(out.select(*STATUS, "d", "stat", "usedlag", "nobs"), "stat", digits=5)
+
+
+def adf_pvalues(spark, d):
+    """The same tests with p-value and critical values."""
+    return stationarity.adf_test(order_series(spark, d), STATUS, "bin_idx", "n_orders")
 
 
 def ndiffs(spark, d):
@@ -562,7 +568,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         era_split, mean_median, group_stats, row_counts, elapsed_days, date_columns, derived_columns,
         round_half_even, filter_since, prefix_columns, first_and_last, drop_and_rename,
         diff_1, diff_2, decompose_additive, acf24, pacf24, order_hint, stationary_signal,
-        adf_lag0, adf_test, ndiffs,
+        adf_lag0, adf_test, adf_pvalues, ndiffs,
         pearson_matrix, corr_with_target, partial_corr, kde, kde_by_group, kmeans2, cluster_spans,
         minmax_scale, ols_inference, ols_chrono, ols_random, ols_scaled_coefficients, ols_per_series,
         split_random, rf_importance, permutation_importance,
