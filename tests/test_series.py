@@ -3,6 +3,7 @@
 import numpy as np
 import pandas as pd
 import pytest
+from pyspark.errors import PySparkException
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
@@ -97,6 +98,19 @@ def test_constant_and_short_series(spark):
     assert {r.k: r.d for r in stationarity.ndiffs(df, ["k"], "pos", "y").collect()} == {"c": 0, "s": 0}
 
 
+def test_gaps_inside_a_series(spark):
+    y = walk(40, 8)
+    rows = [("g", i, None if i == 20 else float(v)) for i, v in enumerate(y)]
+    df = spark.createDataFrame(rows, "k string, pos long, y double")
+    got = per_key(signal.acf(df, ["k"], "pos", "y", 3))["g"]
+    z = np.where(np.arange(40) == 20, np.nan, y)
+    z = z - np.nanmean(z)
+    want = [np.nansum(z[k:] * z[: 40 - k]) / np.nansum(z * z) for k in range(4)]
+    np.testing.assert_allclose(got.acf, want, atol=1e-10)
+    with pytest.raises(PySparkException, match="gaps"):
+        stationarity.adf_test(df, ["k"], "pos", "y").collect()
+
+
 def ols(y, x):
     beta, *_ = np.linalg.lstsq(x, y, rcond=None)
     resid = y - x @ beta

@@ -119,9 +119,12 @@ def _pacf_curve(curves: pd.Series) -> pd.Series:
 
 
 def _lag_curves(df, keys, pos, col, nlags):
-    """One row per key: n and the autocorrelations 0..min(nlags, n-1) as an array."""
-    base = df.select(*keys, pos, F.col(col).cast("double").alias("__y")).filter(F.col("__y").isNotNull())
-    stats = base.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), F.avg("__y").alias("__mean"))
+    """One row per key: n and the autocorrelations 0..min(nlags, n-1) as an array.
+
+    Null values keep their position and take no part in the sums.
+    """
+    base = df.select(*keys, pos, F.col(col).cast("double").alias("__y"))
+    stats = base.groupBy(*keys).agg(F.count("__y").alias("n"), F.avg("__y").alias("__mean"))
     centred = attach(base, stats, keys).withColumn("__z", F.col("__y") - F.col("__mean"))
     lagged = with_lags(centred, keys, pos, {f"__l{k}": ("__z", k) for k in range(1, nlags + 1)})
     z = F.col("__z")

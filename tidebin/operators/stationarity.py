@@ -57,13 +57,15 @@ def lag_grams(
     """One row per key: n, lags, the summed cross-product matrix (flattened) and the
     first lags+2 values. `lags` is an expression over the series length `n`.
 
-    Values are centred by the series mean, which leaves the tests unchanged.
+    Values are centred by the series mean, which leaves the tests unchanged. Nulls may
+    only lead or trail; a series with gaps inside raises.
     """
     base = df.select(*keys, pos, F.col(col).cast("double").alias("__y")).filter(F.col("__y").isNotNull())
     stats = (
         base.groupBy(*keys)
-        .agg(F.count(F.lit(1)).alias("n"), F.avg("__y").alias("__mean"), F.min(pos).alias("__p0"))
-        .withColumn("lags", F.greatest(lags, F.lit(0)).cast("int"))
+        .agg(F.count(F.lit(1)).alias("n"), F.avg("__y").alias("__mean"), F.min(pos).alias("__p0"), F.max(pos).alias("__p1"))
+        .withColumn("lags", F.when(F.col("n") == F.col("__p1") - F.col("__p0") + 1, F.greatest(lags, F.lit(0)).cast("int"))
+                    .otherwise(F.raise_error(F.lit("series with gaps: fill missing values first")).cast("int")))
     )
     rows = attach(base, stats, keys).select(
         *keys, "n", "lags", (F.col(pos) - F.col("__p0")).alias("__t"), (F.col("__y") - F.col("__mean")).alias("__x")

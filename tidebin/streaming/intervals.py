@@ -7,8 +7,11 @@ from collections.abc import Sequence
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
 
+from tidebin.functions.columns import MICROS_PER_DAY
+
 EPOCH = dt.date(1970, 1, 1)
 
 
@@ -18,13 +21,18 @@ def stream_interval_counts(
     """Counts per interval `[origin + k*freq, origin + (k+1)*freq)` days.
 
     In append mode an interval is emitted once the watermark has passed its end, the
-    streaming counterpart of keeping complete intervals only. Session time zone: UTC.
+    streaming counterpart of keeping complete intervals only. Naive timestamps are taken
+    as they stand, whatever the session time zone; zoned ones are cut at UTC midnight.
     """
     offset = (origin - EPOCH).days % freq
-    timed = events.withColumn("__ts", F.col(ts).cast("timestamp")).withWatermark("__ts", delay)
+    instant = F.col(ts)
+    if isinstance(events.schema[ts].dataType, T.TimestampNTZType):
+        epoch = F.lit("1970-01-01 00:00:00").cast("timestamp_ntz")
+        instant = F.timestamp_micros(F.timestamp_diff("MICROSECOND", epoch, F.col(ts)))
+    timed = events.withColumn("__ts", instant).withWatermark("__ts", delay)
     interval = F.window("__ts", f"{freq} days", startTime=f"{offset} days")
     counts = timed.groupBy(interval, *keys).agg(F.count(F.lit(1)).alias("n_events"))
-    start = F.to_date(F.col("window.start"))
+    start = F.date_add(F.lit(EPOCH), F.floor(F.unix_micros("window.start") / MICROS_PER_DAY).cast("int"))
     return counts.select(*keys, start.alias("start_date"), F.date_add(start, freq - 1).alias("end_date"), "n_events")
 
 
