@@ -1,6 +1,6 @@
 """The catalogue's queries as DuckDB SQL over the same whole tables.
 
-Queries without an entry (forests, grids of models) are tested against brute-force numpy
+Queries without an entry (forests, p-values) are tested against brute-force numpy
 in `tests/` instead.
 """
 
@@ -165,6 +165,27 @@ ok AS (SELECT o_orderstatus, d, alpha, stat <= CASE WHEN size <= 50 THEN c[1] +
 nd AS (SELECT o_orderstatus, alpha, CAST(coalesce(min(CASE WHEN pass THEN d END), 2) AS INTEGER) AS d FROM ok GROUP BY o_orderstatus, alpha)"""
 
 
+def autoregressions(src: str, pmax: int, ps: int, ds: int, steps: int) -> str:
+    """CTEs that fit every order (p < ps, d < ds) to the lists of `src(o_orderstatus, fold, y)`
+    by the normal equations (Gauss-Jordan) and extend them: path(o_orderstatus, fold, p, d, y)."""
+    ident = "o_orderstatus, fold, p, d"
+    return f"""wd(o_orderstatus, fold, y, d, w) AS (SELECT o_orderstatus, fold, y, CAST(0 AS INTEGER), y FROM {src} UNION ALL
+    SELECT o_orderstatus, fold, y, d + 1, list_transform(range(2, len(w) + 1), lambda i: w[i] - w[i - 1]) FROM wd WHERE d < {ds - 1}),
+ds AS (SELECT wd.*, CAST(p AS INTEGER) AS p, w[{pmax + 1}:] AS t, list_concat([list_transform(range({pmax}, len(w)), lambda i: 1.0::DOUBLE)],
+    list_transform(range(1, p + 1), lambda k: list_transform(range({pmax + 1}, len(w) + 1), lambda i: w[i - k]))) AS cols
+    FROM wd CROSS JOIN range(0, {ps}) AS r(p)),
+gj(o_orderstatus, fold, p, d, step, m) AS (SELECT {ident}, 1, list_transform(cols, lambda a: list_append(
+        list_transform(cols, lambda b: list_inner_product(a, b)), list_inner_product(a, t))) FROM ds UNION ALL
+    SELECT {ident}, step + 1, list_transform(range(1, p + 2), lambda i: CASE WHEN i = step THEN lead_row
+        ELSE list_transform(range(1, p + 3), lambda j: m[i][j] - m[i][step] * lead_row[j]) END)
+    FROM (SELECT *, list_transform(m[step], lambda v: v / m[step][step]) AS lead_row FROM gj WHERE step <= p + 1)),
+cf AS (SELECT {ident}, list_transform(m, lambda row: row[p + 2]) AS c FROM gj WHERE step = p + 2),
+nx(o_orderstatus, fold, p, d, h, y, w, c) AS (SELECT {ident}, 0, y, w, c FROM ds JOIN cf USING ({ident}) UNION ALL
+    SELECT {ident}, h + 1, list_append(y, CASE d WHEN 0 THEN v WHEN 1 THEN y[-1] + v ELSE 2 * y[-1] - y[-2] + v END), list_append(w, v), c
+    FROM (SELECT *, c[1] + coalesce(list_sum(list_transform(range(1, p + 1), lambda i: c[1 + i] * w[-i])), 0) AS v FROM nx WHERE h < {steps})),
+path AS (SELECT {ident}, y[-{steps}:] AS f FROM nx WHERE h = {steps})"""
+
+
 def _corr_pairs() -> str:
     logs = ", ".join(f"ln(1 + {c}) AS {c}" for c in MEASURES)
     order = ["n_orders", "customers", "urgent", "items", "returned", "quantity"]
@@ -266,6 +287,25 @@ er AS (SELECT rec.o_orderstatus, rec.fold, avg(abs(y0 - n_orders)) AS e0, avg(ab
     FROM rec JOIN fo ON fo.o_orderstatus = rec.o_orderstatus AND fo.fold = rec.fold AND fo.r = 35 + rec.h WHERE h > 0
     GROUP BY rec.o_orderstatus, rec.fold)"""
 
+FOLD_LISTS = f"""{FOLDS},
+fl AS (SELECT o_orderstatus, fold, list(n_orders::DOUBLE ORDER BY r) FILTER (WHERE r < 36) AS y,
+    list(n_orders::DOUBLE ORDER BY r) FILTER (WHERE r >= 36) AS ya FROM fo GROUP BY o_orderstatus, fold)"""
+GRID = """fe AS (SELECT o_orderstatus, p, d, list_avg(list_transform(range(1, 7), lambda i: abs(f[i] - ya[i]))) AS e
+    FROM path JOIN fl USING (o_orderstatus, fold)),
+gr AS (SELECT o_orderstatus, 'none' AS exog_set, p, d, avg(e) AS mae, count(e) AS folds FROM fe GROUP BY o_orderstatus, p, d),
+rk AS (SELECT *, CAST(row_number() OVER (PARTITION BY o_orderstatus ORDER BY mae, d, p) AS INTEGER) AS rank FROM gr)"""
+
+
+def _forecast_best() -> str:
+    """Order chosen on the folds, then the whole series extended with it."""
+    chosen = f"WITH RECURSIVE {FOLD_LISTS}, {autoregressions('fl', 2, 3, 2, 6)}, {GRID} SELECT o_orderstatus, p, d FROM rk WHERE rank = 1"
+    return f"""WITH RECURSIVE {SERIES},
+    al AS (SELECT o_orderstatus, 0 AS fold, list(n_orders::DOUBLE ORDER BY bin_idx) AS y, max(bin_idx) AS e FROM s GROUP BY o_orderstatus),
+    {autoregressions('al', 2, 3, 2, 12)}
+    SELECT o_orderstatus, CAST(unnest(range(1, 13)) AS INTEGER) AS step_ahead, e + unnest(range(1, 13)) AS bin_idx,
+    unnest(list_transform(f, lambda v: round(v, 4))) AS forecast
+    FROM path JOIN ({chosen}) USING (o_orderstatus, p, d) JOIN al USING (o_orderstatus)"""
+
 TEXT_RULES = {
     "total_returned": "l_returnflag = 'R'",
     "grave_returned": "l_returnflag = 'R' AND (p_type = 'PROMO' OR p_type LIKE '%ECON%' OR p_type LIKE '%SMALL%')",
@@ -440,6 +480,9 @@ ORACLES: dict[str, str] = {
     "backtest_ar1": f"""WITH RECURSIVE {AR1}
         SELECT o_orderstatus, fold, 'none' AS exog_set, CAST(1 AS INTEGER) AS p, CAST(0 AS INTEGER) AS d, round(e0, 5) AS mae FROM er UNION ALL
         SELECT o_orderstatus, fold, 'none', CAST(1 AS INTEGER), CAST(1 AS INTEGER), round(e1, 5) FROM er""",
+    "backtest_grid": f"""WITH RECURSIVE {FOLD_LISTS}, {autoregressions('fl', 3, 4, 3, 6)}, {GRID}
+        SELECT * REPLACE (round(mae, 4) AS mae) FROM rk""",
+    "forecast_best": _forecast_best(),
     "forecast12": f"""WITH RECURSIVE {SERIES},
         x AS (SELECT *, lag(n_orders) OVER (PARTITION BY o_orderstatus ORDER BY bin_idx) AS l1 FROM s),
         f AS (SELECT o_orderstatus, regr_slope(n_orders, l1) AS b, regr_intercept(n_orders, l1) AS c, max(bin_idx) AS e,

@@ -486,7 +486,7 @@ def backtest_grid(spark, d):
     folds = backtest.backtest_folds(
         order_series(spark, d), STATUS, "bin_idx", "n_orders", orders=[(p, q) for p in range(4) for q in range(3)], **FOLDS
     )
-    return backtest.backtest_grid(folds, STATUS)
+    return rounded(backtest.backtest_grid(folds, STATUS), "mae", digits=4)
 
 
 def funnel_comparison(spark, d):
@@ -510,7 +510,8 @@ def forecast_best(spark, d):
         series, STATUS, "bin_idx", "n_orders", orders=[(p, q) for p in range(3) for q in range(2)], **FOLDS
     )
     best = settle(backtest.backtest_grid(folds, STATUS).filter("rank = 1").select(*STATUS, "p", "d"))
-    return backtest.forecast(series, STATUS, "bin_idx", "n_orders", chosen=best, max_order=(2, 1))
+    out = backtest.forecast(series, STATUS, "bin_idx", "n_orders", chosen=best, max_order=(2, 1))
+    return rounded(out, "forecast", digits=4)
 
 
 # ---------------------------------------------------------------- files and streams
