@@ -2,25 +2,40 @@
 
 from __future__ import annotations
 
-from pyspark.ml.clustering import KMeans
+from multiprocessing.pool import ThreadPool
+
+from pyspark import inheritable_thread_target
+from pyspark.ml.clustering import KMeans, KMeansModel
 from pyspark.ml.functions import array_to_vector
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
 def kmeans_1d(
-    df: DataFrame, col: str, k: int = 2, *, seed: int = 0, starts: int = 3, max_iter: int = 300, out: str = "cluster"
+    df: DataFrame,
+    col: str,
+    k: int = 2,
+    *,
+    seed: int = 0,
+    starts: int = 5,
+    parallelism: int = 5,
+    max_iter: int = 300,
+    out: str = "cluster",
 ) -> DataFrame:
     """Cluster id per row; ids are renumbered so that 0 has the highest centre.
 
-    Keeps the best of several starts. Rows with a null measure get a null cluster.
+    Keeps the best of several starts, a few of which run at a time over the one cached
+    column. Rows with a null measure get a null cluster.
     """
     features = df.withColumn("__v", array_to_vector(F.array(F.col(col).cast("double"))))
-    known = features.filter(F.col(col).isNotNull()).select("__v")
-    fits = [
-        KMeans(k=k, seed=seed + i, maxIter=max_iter, tol=0.0, featuresCol="__v", predictionCol=out).fit(known)
-        for i in range(starts)
-    ]
+    known = features.filter(F.col(col).isNotNull()).select("__v").persist()
+
+    def fit(i: int) -> KMeansModel:
+        return KMeans(k=k, seed=seed + i, maxIter=max_iter, tol=0.0, featuresCol="__v", predictionCol=out).fit(known)
+
+    with ThreadPool(min(parallelism, starts)) as pool:
+        fits = pool.map(inheritable_thread_target(df.sparkSession)(fit), range(starts))
+    known.unpersist()
     best = min(fits, key=lambda m: m.summary.trainingCost)
     centres = [float(c[0]) for c in best.clusterCenters()]
     # nearest centre written as a column expression: no Python and no model shipped

@@ -95,8 +95,8 @@ def interval_rule_counts(
 ) -> DataFrame:
     """Complaints or arrests: rule counts over the archive continued by the current feed.
 
-    The archive's last day decides where the current feed takes over; it is looked up on
-    the archive's daily counts' input, before any aggregation of the current feed.
+    The archive's last day decides where the current feed takes over. It is found from the
+    date column alone, and the current feed is filtered by it before any counting.
     """
     _require(historic, date_col, id_col, *keys)
     rows = filter_since(historic, date_col, since)
