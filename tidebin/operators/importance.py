@@ -56,7 +56,7 @@ def permutation_importance(
         base.select("*", rounds), ids, F.lit(seed + 1) + F.col("repeat"), ["repeat"], "__i"
     ).select("repeat", "__i", F.col("__x").alias("__other"))
     paired = numbered.join(lenders, ["repeat", "__i"])
-    # -1 swaps nothing and is scored once, as the reference
+    # -1 swaps nothing and is scored once, for comparison
     swap = F.explode(F.sequence(F.when(F.col("repeat") == 0, -1).otherwise(0), F.lit(len(features) - 1)))
     mixed = F.transform(
         F.col("__x"), lambda v, i: F.when(i == F.col("__swap"), F.col("__other")[i]).otherwise(v)
@@ -66,10 +66,10 @@ def permutation_importance(
     e = F.col("__y") - F.col("prediction")
     r2 = scored.groupBy("repeat", "__swap").agg((1 - F.avg(e * e) / F.nullif(F.var_pop("__y"), F.lit(0.0))).alias("__r2"))
     # at most repeats * features + 1 rows from here on
-    reference = r2.filter(F.col("__swap") < 0).select(F.col("__r2").alias("__full"))
+    unshuffled = r2.filter(F.col("__swap") < 0).select(F.col("__r2").alias("__full"))
     names = F.array(*[F.lit(c) for c in features])
     return (
-        attach(r2.filter(F.col("__swap") >= 0), reference, [])
+        attach(r2.filter(F.col("__swap") >= 0), unshuffled, [])
         .groupBy(names[F.col("__swap")].alias("feature"))
         .agg(F.avg(F.col("__full") - F.col("__r2")).alias("importance"), F.count(F.lit(1)).alias("repeats"))
     )
