@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidebin.llm import bpe
+from tidebin.llm import bpe, secrets
 from tidebin.llm.shared import table
 
 
@@ -22,5 +22,27 @@ def op4_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-QUERIES = {"op4_bpe": op4_bpe}
+def op9_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Spans of likely secrets in every document."""
+    docs = table(spark, sf_dir, "documents")
+    found = secrets.scan(docs, "text", public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN, ["doc_id"])
+
+    def count(kind: str) -> F.Column:
+        return F.size(F.filter("spans", lambda s: s["kind"] == kind)).cast("long")
+
+    def line(spans: F.Column) -> F.Column:
+        return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"], s["end"])), ",")
+
+    base = F.filter("spans", lambda s: s["kind"] != "random")
+    return found.select(
+        "doc_id",
+        count("assign").alias("n_assign"),
+        count("access").alias("n_access"),
+        count("hex").alias("n_hex"),
+        F.sha2(line(base).cast("binary"), 256).alias("base_sha256"),
+        line(F.col("spans")).alias("spans"),
+    )
+
+
+QUERIES = {"op4_bpe": op4_bpe, "op9_secrets": op9_secrets}
 ORACLES: dict[str, str] = {}
