@@ -6,8 +6,30 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidebin.llm import bpe, secrets
-from tidebin.llm.shared import table
+from tidebin.llm import bpe, secrets, toxicity
+from tidebin.llm.shared import fold_of, table
+
+
+def toxicity_model(spark: SparkSession, sf_dir: str, docs: DataFrame) -> toxicity.Model:
+    """Learned from the labelled documents outside the held-out fold."""
+    labels = table(spark, sf_dir, "labels").select(F.col("doc_id").alias("labelled_id"), "toxic")
+    train = docs.select("doc_id", "text").filter(fold_of(F.col("doc_id")) != 0)
+    rows = train.join(labels, F.col("doc_id") == F.col("labelled_id")).select("text", "toxic")
+    return toxicity.learn(rows, "text", "toxic")
+
+
+def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Toxicity of every document."""
+    docs = table(spark, sf_dir, "documents")
+    scored = toxicity.score(docs, "text", toxicity_model(spark, sf_dir, docs), ["doc_id"])
+    return scored.select(
+        "doc_id",
+        (fold_of(F.col("doc_id")) == 0).alias("held_out"),
+        "score",
+        (F.col("score") >= 0.5).cast("int").alias("predicted"),
+        "density",
+        "matches",
+    )
 
 
 def op4_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -44,5 +66,5 @@ def op9_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-QUERIES = {"op4_bpe": op4_bpe, "op9_secrets": op9_secrets}
+QUERIES = {"op1_toxicity": op1_toxicity, "op4_bpe": op4_bpe, "op9_secrets": op9_secrets}
 ORACLES: dict[str, str] = {}
