@@ -1,5 +1,4 @@
 import random
-import re
 
 from tidebin.llm import toxicity
 from tidebin.llm.catalogue import op1_toxicity
@@ -30,7 +29,7 @@ def plain_density(weights, exceptions, text):
         for i in range(len(words) - len(e) + 1):
             if words[i : i + len(e)] == e:
                 free.update(range(i, i + len(e)))
-    total = sum(weights.get(w, 0) for i, w in enumerate(words) if i not in free)
+    total = sum(max([v for e, v in weights.items() if (w + " ").startswith(e)], default=0) for i, w in enumerate(words) if i not in free)
     return total / len(words) ** 0.5 if words else 0.0
 
 
@@ -43,7 +42,7 @@ def test_folding():
 
 def test_density_equals_plain_search():
     rnd = random.Random(2)
-    weights, exceptions = {"ciown": 3.0, "idiot": 2.0, "trash": 1.0, "a": 0.5}, ("trash can", "clown fish")
+    weights, exceptions = {"ciown ": 3.0, "idio": 1.5, "idiot ": 2.0, "trash": 1.0, "a ": 0.5}, ("trash can", "clown fish")
     model = Model(weights, exceptions).build()
     pool = ["clown", "Idiot", "tr4sh", "trash can", "clown fish", "clowns", "a", "x", "trash", "can", "idiotic"]
     for _ in range(300):
@@ -54,7 +53,7 @@ def test_density_equals_plain_search():
 def test_learned_lexicon_and_held_out(spark):
     df = spark.createDataFrame(labelled(), "doc_id long, text string, toxic int")
     model = toxicity.learn(df, "text", "toxic")
-    assert set(model.weights) == {"biargh", "zonk"}
+    assert set(model.weights) == {"biargh ", "zonk "}
     cases = [(0, "alpha BL4RGH beta"), (1, "alpha beta"), (2, None), (3, ""), (4, "zonk " + "tree " * 99), (5, "zonking trees"), (5, "zonking trees")]
     test = spark.createDataFrame([(i, t, 1.0) for i, t in cases], "doc_id long, text string, score double")
     rows = [(r.doc_id, r.score >= 0.5) for r in toxicity.score(test, "text", model, ["doc_id"]).collect()]
@@ -64,7 +63,16 @@ def test_learned_lexicon_and_held_out(spark):
 def test_copies_do_not_make_words_toxic(spark):
     rows = [(i, t, y) for i, t, y in labelled()] + [(1000 + i, "quark alpha beta gamma", 1) for i in range(40)]
     model = toxicity.learn(spark.createDataFrame(rows, "doc_id long, text string, toxic int"), "text", "toxic")
-    assert "quark" not in model.weights and "biargh" in model.weights
+    assert "quark " not in model.weights and "biargh " in model.weights
+
+
+def test_stem_with_changing_endings(spark):
+    rnd = random.Random(4)
+    rows = [(t.replace("blargh", "blargh" + rnd.choice("abcdef") + rnd.choice("uvwxyz")), y) for _, t, y in labelled()]
+    model = toxicity.learn(spark.createDataFrame(rows, "text string, toxic int"), "text", "toxic")
+    assert "biargh" in model.weights
+    built = model.build()
+    assert built.score(built.density("alpha blarghotto beta")[0]) >= 0.5 > built.score(built.density("alpha blar beta")[0])
 
 
 def test_nothing_to_learn(spark):
@@ -76,12 +84,11 @@ def test_nothing_to_learn(spark):
         assert 0 <= out.score <= 1
 
 
-def test_query_finds_marked_texts(spark, sf_dir):
-    rows = op1_toxicity(spark, sf_dir.replace("sf0.001", "sf0.01")).collect()
-    docs = spark.read.parquet(f"{sf_dir.replace('sf0.001', 'sf0.01')}/documents.parquet").collect()
-    text = {d.doc_id: d.text for d in docs}
-    bad = re.compile(r"(?<!\w)(clown|idiot|pathetic|moron|worthless|stupid|loser|trash|scum|disgusting)(?!\w)", re.I)
-    assert len(rows) == len(docs)
-    marked = {i for i, t in text.items() if bad.search(t or "")}
-    found = {r.doc_id for r in rows if r.predicted}
-    assert len(found & marked) >= 0.9 * len(marked) and len(found - marked) <= 2
+def test_held_out_accuracy(spark, sf_dir):
+    folder = sf_dir.replace("sf0.001", "sf0.1")
+    rows = {r.doc_id: r for r in op1_toxicity(spark, folder).collect()}
+    assert len(rows) == spark.read.parquet(f"{folder}/documents.parquet").count()
+    labels = [(rows[r.doc_id], r.toxic) for r in spark.read.parquet(f"{folder}/labels.parquet").collect() if r.doc_id in rows]
+    held = [(r.predicted, y) for r, y in labels if r.held_out]
+    assert len(held) > 300 and sum(p == y for p, y in held) >= 0.98 * len(held)
+    assert sum(p for p, y in held if y) >= 0.9 * sum(y for _, y in held)

@@ -2,13 +2,15 @@
 
 Texts are folded first: lower case, look-alike letters and digit substitutions become one
 plain letter, accents go, everything else separates words. The lexicon is learned from
-labelled rows: words whose share of toxic documents is many times their share of clean
-ones, found in enough different contexts (copies of one text count once). An automaton
-finds the whole words of the lexicon, matches inside exception phrases do not count, and
-the sum of weights is normalised by text length. One logistic curve, fitted on the
-labelled rows, turns that density into a score.
-
-What the driver and the tasks hold is bounded by `lexicon_size` words and `BINS` counts.
+labelled rows: words and stems (word beginnings) whose share of toxic documents is many
+times their share of clean ones, found in enough different contexts (copies of one text
+count once). An automaton finds the entries at word starts, each word counts with the
+largest weight of its matches, matches inside exception phrases do not count, and the sum
+of weights is normalised by text length. One logistic curve, fitted on the labelled rows,
+turns that density into a score.
+
+What the driver and the tasks hold is bounded by `candidates`, `lexicon_size` and `BINS`.
+An entry that ends in a space is a whole word, any other a stem.
 """
 
 from __future__ import annotations
@@ -38,8 +40,8 @@ LOOK_ALIKES = {
 }
 BINS = 4096
 BINS_PER_UNIT = 64
-#: Bound on the words of a task that are counted before they are handed on.
-COUNT_WORDS = 300_000
+#: Entries a task counts before it hands its sums on.
+COUNT_ENTRIES = 400_000
 
 
 class Folding(dict):
@@ -83,10 +85,10 @@ class Model:
         self.table = Folding()
         self.matcher = ahocorasick.Automaton()
         for word, weight in self.weights.items():
-            self.matcher.add_word(f" {word} ", (len(word), weight))
+            self.matcher.add_word(" " + word, (len(word), weight))
         for phrase in self.exceptions:
             words = " ".join(fold(phrase, self.table).split())
-            self.matcher.add_word(f" {words} ", (len(words), None))
+            self.matcher.add_word(f" {words} ", (len(words) + 1, None))
         if len(self.matcher):
             self.matcher.make_automaton()
         return self
@@ -96,57 +98,76 @@ class Model:
         words = fold(text, self.table).split()
         if not words or not len(self.matcher):
             return 0.0, 0
-        hits, free = [], []
+        hits: dict[int, float] = {}
+        free = []
         for end, (size, weight) in self.matcher.iter(" " + " ".join(words) + " "):
+            start = end - size + 1
             if weight is None:
-                free.append((end - size, end))
-            else:
-                hits.append((end - size, end, weight))
+                free.append((start, end))
+            elif weight > hits.get(start, 0.0):
+                hits[start] = weight
         if free:
-            hits = [h for h in hits if not any(a <= h[0] and h[1] <= b for a, b in free)]
-        return sum(h[2] for h in hits) / math.sqrt(len(words)), len(hits)
+            hits = {at: w for at, w in hits.items() if not any(x <= at < y for x, y in free)}
+        return sum(hits.values()) / math.sqrt(len(words)), len(hits)
 
     def score(self, density: float) -> float:
         return 1 / (1 + math.exp(-max(-30.0, min(30.0, self.offset + self.slope * math.log1p(BINS_PER_UNIT * density)))))
 
 
-def _word_counts(df: DataFrame) -> DataFrame:
-    """Documents of each class that hold a word, and different contexts in toxic ones."""
-    schema = T.StructType(
-        [
-            T.StructField("word", T.StringType()),
-            T.StructField("context", T.StringType()),
-            T.StructField("toxic", T.LongType()),
-            T.StructField("clean", T.LongType()),
-        ]
-    )
-    arrow = to_arrow_schema(schema)
+STEMS = range(4, 9)
+
 
-    def pack(rows: list) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows), arrow)], schema=arrow)
+def entries_of(words: set[str]) -> set[str]:
+    """The possible lexicon entries that a document with these words holds."""
+    out = {w + " " for w in words}
+    for size in STEMS:
+        out.update([w[:size] for w in words if len(w) >= size])
+    return out
+
+
+def _entry_counts(df: DataFrame, wanted: set[str] | None = None) -> DataFrame:
+    """Documents that hold an entry, summed by task in bounded steps and then by Spark."""
+    schema = T.StructType([T.StructField("entry", T.StringType()), T.StructField("docs", T.LongType())])
+    arrow = to_arrow_schema(schema)
+    only = df.sparkSession.sparkContext.broadcast(wanted) if wanted is not None else None
 
     def run(batches):
-        table, counts = Folding(), {0: Counter(), 1: Counter()}
+        table, counts = Folding(), Counter()
+
+        def emptied():
+            batch = pa.RecordBatch.from_arrays([pa.array(list(counts), pa.string()), pa.array(list(counts.values()), pa.int64())], schema=arrow)
+            counts.clear()
+            return batch
 
-        def emptied() -> list:
-            words = counts[0].keys() | counts[1].keys()
-            rows = [(w, None, counts[1].get(w, 0), counts[0].get(w, 0)) for w in words]
-            counts[0].clear(), counts[1].clear()
-            return rows
+        for batch in batches:
+            for text in batch.column(0):
+                held = entries_of(set(fold(text.as_py() or "", table).split()))
+                counts.update(held & only.value if only else held)
+                if len(counts) > COUNT_ENTRIES:
+                    yield emptied()
+        if counts:
+            yield emptied()
+
+    return df.select("text").mapInArrow(run, schema).groupBy("entry").agg(F.sum("docs").alias("docs"))
+
+
+def _contexts(df: DataFrame, wanted: list[str]) -> DataFrame:
+    """Different pairs of neighbouring words of each entry."""
+    schema = T.StructType([T.StructField("entry", T.StringType()), T.StructField("around", T.StringType())])
+    arrow = to_arrow_schema(schema)
 
+    def run(batches):
+        table, inside = Folding(), set(wanted)
         for batch in batches:
-            for text, toxic in zip(batch.column(0), batch.column(1).to_pylist()):
+            for text in batch.column(0):
                 words = fold(text.as_py() or "", table).split()
-                counts[toxic].update(set(words))
-                if toxic and words:
-                    around = ["", *words, ""]
-                    yield pack(list({(w, f"{a} {b}", 0, 0) for a, w, b in zip(around, words, around[2:])}))
-                if len(counts[0]) + len(counts[1]) > COUNT_WORDS:
-                    yield pack(emptied())
-        if rows := emptied():
-            yield pack(rows)
+                found = set()
+                for before, word, after in zip(["", *words], words, [*words[1:], ""]):
+                    found.update((e, f"{before} {after}") for e in entries_of({word}) & inside)
+                if found:
+                    yield pa.RecordBatch.from_arrays([pa.array(c, pa.string()) for c in zip(*found)], schema=arrow)
 
-    return df.select("text", "toxic").mapInArrow(run, schema)
+    return df.select("text").mapInArrow(run, schema).distinct().groupBy("entry").agg(F.count("around").alias("contexts"))
 
 
 def learn(
@@ -154,35 +175,41 @@ def learn(
     text: str,
     label: str,
     lexicon_size: int = 5000,
+    candidates: int = 100_000,
     min_share: float = 0.01,
     min_contexts: int = 5,
-    min_log_odds: float = 2.0,
+    min_log_odds: float = 3.0,
     exceptions: Sequence[str] = EXCEPTIONS,
 ) -> Model:
     """Lexicon and curve from labelled rows; rows with a null label teach nothing.
 
-    A word joins the lexicon if toxic documents hold it in at least `min_contexts`
-    different contexts and `min_share` contexts for each toxic document, and the log odds
-    of its document shares reach `min_log_odds`, which then is its weight. Ties in weight
-    go by word. Without toxic or without clean rows the lexicon is empty.
+    Candidates are the entries that most toxic documents hold. One joins the lexicon if
+    the log odds of its document shares reach `min_log_odds`, which then is its weight,
+    and toxic documents hold it in at least `min_contexts` different contexts and
+    `min_share` contexts for each toxic document. A stem gives way to a longer entry that
+    is found nearly as often. Ties go by entry. Without toxic or without clean rows the
+    lexicon is empty.
     """
     rows = labelled.select(F.col(text).alias("text"), F.col(label).cast("int").alias("toxic")).filter("toxic in (0, 1)")
     total = rows.agg(F.sum("toxic").alias("toxic"), F.count("toxic").alias("all")).first()
     n_toxic, n_clean = total["toxic"] or 0, total["all"] - (total["toxic"] or 0)
     if not n_toxic or not n_clean:
         return Model({}, exceptions, 0.0, math.log((n_toxic + 0.5) / (n_clean + 0.5)))
-    pairs = _word_counts(rows).groupBy("word", "context").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean"))
-    words = pairs.groupBy("word").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean"), F.count("context").alias("contexts"))
-    odds = F.log((F.col("toxic") + 0.5) / (n_toxic + 1)) - F.log((F.col("clean") + 0.5) / (n_clean + 1))
-    lexicon = (
-        words.filter(F.col("contexts") >= max(min_contexts, min_share * n_toxic))
-        .select("word", odds.alias("weight"))
-        .filter(F.col("weight") >= min_log_odds)
-        .orderBy(F.desc("weight"), "word")
-        .limit(lexicon_size)
-        .collect()
-    )
-    model = Model({r.word: r.weight for r in lexicon}, exceptions)
+    least = max(3, min_share * n_toxic)
+    toxic = _entry_counts(rows.filter("toxic = 1")).filter(F.col("docs") >= min(least, min_contexts))
+    often = {r.entry: r.docs for r in toxic.orderBy(F.desc("docs"), "entry").limit(candidates).collect()}
+    clean = {r.entry: r.docs for r in _entry_counts(rows.filter("toxic = 0"), set(often)).collect()}
+    weights = {e: math.log((n + 0.5) / (n_toxic + 1)) - math.log((clean.get(e, 0) + 0.5) / (n_clean + 1)) for e, n in often.items()}
+    strong = sorted((e for e, w in weights.items() if w >= min_log_odds), key=lambda e: (-weights[e], e))[: 4 * lexicon_size]
+    contexts = {r.entry: r.contexts for r in _contexts(rows.filter("toxic = 1"), strong).collect()} if strong else {}
+    good = [e for e in strong if contexts.get(e, 0) >= max(min_contexts, min_share * n_toxic)]
+    longest = dict.fromkeys(good, 0)
+    for e in good:
+        for size in STEMS:
+            if size < len(e) and e[:size] in longest:
+                longest[e[:size]] = max(longest[e[:size]], often[e])
+    lexicon = [e for e in good if longest[e] < 0.8 * often[e]][:lexicon_size]
+    model = Model({e: weights[e] for e in lexicon}, exceptions)
     bins = (
         densities(rows, "text", model, ["toxic"])
         .groupBy(F.least(F.lit(BINS), F.ceil(F.col("density") * BINS_PER_UNIT)).cast("int").alias("bin"))
