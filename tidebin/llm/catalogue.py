@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidebin.llm import bpe, secrets, toxicity
+from tidebin.llm import bpe, jaccard, secrets, toxicity
 from tidebin.llm.shared import fold_of, table
 
 
@@ -44,6 +44,11 @@ def op4_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op5_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Near-duplicate components of all documents."""
+    return jaccard.join(table(spark, sf_dir, "documents"), "doc_id", "text")
+
+
 def op9_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Spans of likely secrets in every document."""
     docs = table(spark, sf_dir, "documents")
@@ -66,5 +71,20 @@ def op9_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-QUERIES = {"op1_toxicity": op1_toxicity, "op4_bpe": op4_bpe, "op9_secrets": op9_secrets}
-ORACLES: dict[str, str] = {}
+QUERIES = {"op1_toxicity": op1_toxicity, "op4_bpe": op4_bpe, "op5_ngram_jaccard": op5_ngram_jaccard, "op9_secrets": op9_secrets}
+OP5 = r"""
+WITH RECURSIVE words AS (
+  SELECT doc_id, list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), x -> x <> '') AS w
+  FROM documents
+), grams AS (
+  SELECT DISTINCT doc_id, unnest(CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 5 THEN [array_to_string(w, ' ')]
+    ELSE list_transform(range(1, len(w) - 3), i -> array_to_string(w[i:i+4], ' ')) END) AS g
+  FROM words
+), sizes AS (SELECT d.doc_id, count(g) AS n FROM documents d LEFT JOIN grams USING (doc_id) GROUP BY d.doc_id
+), links AS (
+  SELECT a, b FROM (SELECT x.doc_id AS a, y.doc_id AS b, count(*) AS c FROM grams x JOIN grams y USING (g) WHERE x.doc_id <> y.doc_id GROUP BY 1, 2) p
+  JOIN sizes s ON s.doc_id = a JOIN sizes t ON t.doc_id = b WHERE 100 * c >= 75 * (s.n + t.n - c)
+), reach AS (SELECT doc_id AS a, doc_id AS b FROM documents UNION SELECT r.a, l.b FROM reach r JOIN links l ON l.a = r.b)
+SELECT r.a AS doc_id, s.n AS n_shingles, min(r.b) AS component_id FROM reach r JOIN sizes s ON s.doc_id = r.a GROUP BY 1, 2
+"""
+ORACLES: dict[str, str] = {"op5_ngram_jaccard": OP5}
