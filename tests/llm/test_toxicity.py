@@ -84,6 +84,16 @@ def test_nothing_to_learn(spark):
         assert 0 <= out.score <= 1
 
 
+def test_labelled_rows(spark):
+    from pyspark.sql import functions as F
+
+    docs = spark.createDataFrame([(i, f"t{i}", "x") for i in [*range(6), 3]] + [(None, "n", "x")], "doc_id long, text string, toxic string")
+    labels = spark.createDataFrame([(1, 0), (2, 1), (3, 1), (4, None), (None, 1), (9, 1)], "doc_id long, toxic int")
+    rows = toxicity.labelled_rows(docs, labels, "doc_id", "text", "toxic", F.col("doc_id") == 2)
+    assert sorted(map(tuple, rows.collect())) == [("t1", 0), ("t3", 1), ("t3", 1)]
+    assert toxicity.labelled_rows(docs, labels, "doc_id", "text", "toxic", F.lit(False), train_rows=2).select("toxic").distinct().count() <= 2
+
+
 def test_held_out_accuracy(spark, sf_dir):
     folder = sf_dir.replace("sf0.001", "sf0.1")
     rows = {r.doc_id: r for r in op1_toxicity(spark, folder).collect()}

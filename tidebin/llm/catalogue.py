@@ -6,15 +6,14 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidebin.llm import bpe, jaccard, secrets, toxicity
+from tidebin.llm import bpe, jaccard, mixing, secrets, toxicity
 from tidebin.llm.shared import fold_of, table
 
 
 def toxicity_model(spark: SparkSession, sf_dir: str, docs: DataFrame) -> toxicity.Model:
     """Learned from the labelled documents outside the held-out fold."""
-    labels = table(spark, sf_dir, "labels").select(F.col("doc_id").alias("labelled_id"), "toxic")
-    train = docs.select("doc_id", "text").filter(fold_of(F.col("doc_id")) != 0)
-    rows = train.join(labels, F.col("doc_id") == F.col("labelled_id")).select("text", "toxic")
+    labels = table(spark, sf_dir, "labels")
+    rows = toxicity.labelled_rows(docs, labels, "doc_id", "text", "toxic", fold_of(F.col("doc_id")) == 0)
     return toxicity.learn(rows, "text", "toxic")
 
 
@@ -49,6 +48,22 @@ def op5_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.join(table(spark, sf_dir, "documents"), "doc_id", "text")
 
 
+MIX_WEIGHTS = {("web",): 5, ("books",): 3, ("code",): 2, ("web", "en"): 4, ("books", "de"): 2, ("web", "en", "src0"): 3}
+
+
+def mix_levels() -> dict[str, F.Column]:
+    """Domain, language and source; domains stand in for a catalogue of sources."""
+    number = F.expr("try_cast(regexp_extract(source, '^src([0-9]+)$', 1) as int) % 3")
+    domain = F.when(number == 0, "web").when(number == 1, "books").when(number == 2, "code").otherwise("other")
+    return {"domain": domain, "lang": F.col("lang"), "source": F.col("source")}
+
+
+def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whole copies and part of one more that every document gives to the mixture."""
+    docs = table(spark, sf_dir, "documents")
+    return mixing.mix(docs, "doc_id", mix_levels(), mixing.word_count("text"), MIX_WEIGHTS, share=0.8, max_epochs=2, seed=11)
+
+
 def op9_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Spans of likely secrets in every document."""
     docs = table(spark, sf_dir, "documents")
@@ -71,14 +86,14 @@ def op9_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-QUERIES = {"op1_toxicity": op1_toxicity, "op4_bpe": op4_bpe, "op5_ngram_jaccard": op5_ngram_jaccard, "op9_secrets": op9_secrets}
+QUERIES = {"op1_toxicity": op1_toxicity, "op4_bpe": op4_bpe, "op5_ngram_jaccard": op5_ngram_jaccard, "op8_mixing": op8_mixing, "op9_secrets": op9_secrets}
 OP5 = r"""
 WITH RECURSIVE words AS (
-  SELECT doc_id, list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), x -> x <> '') AS w
+  SELECT doc_id, list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w
   FROM documents
 ), grams AS (
   SELECT DISTINCT doc_id, unnest(CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 5 THEN [array_to_string(w, ' ')]
-    ELSE list_transform(range(1, len(w) - 3), i -> array_to_string(w[i:i+4], ' ')) END) AS g
+    ELSE list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i+4], ' ')) END) AS g
   FROM words
 ), sizes AS (SELECT d.doc_id, count(g) AS n FROM documents d LEFT JOIN grams USING (doc_id) GROUP BY d.doc_id
 ), links AS (
@@ -87,4 +102,35 @@ WITH RECURSIVE words AS (
 ), reach AS (SELECT doc_id AS a, doc_id AS b FROM documents UNION SELECT r.a, l.b FROM reach r JOIN links l ON l.a = r.b)
 SELECT r.a AS doc_id, s.n AS n_shingles, min(r.b) AS component_id FROM reach r JOIN sizes s ON s.doc_id = r.a GROUP BY 1, 2
 """
-ORACLES: dict[str, str] = {"op5_ngram_jaccard": OP5}
+
+def _filled_sql(nodes: str, parent: str) -> str:
+    """SQL of one level of budgets, over nodes(path..., node, room, weight, parent_budget)."""
+    return f"""
+    SELECT *, CASE WHEN is_full THEN room ELSE (weight::HUGEINT * (parent_budget - taken) // sharing)::BIGINT END AS budget FROM (
+      SELECT *, coalesce(sum(room) FILTER (is_full) OVER (PARTITION BY {parent}), 0) AS taken, sum(weight) FILTER (NOT is_full) OVER (PARTITION BY {parent}) AS sharing FROM (
+        SELECT *, room::HUGEINT * sum(weight) OVER (PARTITION BY {parent} ORDER BY fill, node ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING)
+          <= weight::HUGEINT * (parent_budget - coalesce(sum(room) OVER (PARTITION BY {parent} ORDER BY fill, node ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)) AS is_full
+        FROM (SELECT *, CASE WHEN room > 0 THEN room / weight::DOUBLE ELSE 0 END AS fill FROM ({nodes}))))"""
+
+
+OP8 = f"""
+WITH docs AS (
+  SELECT doc_id, coalesce(CASE try_cast(regexp_extract(source, '^src([0-9]+)$', 1) AS INT) % 3 WHEN 0 THEN 'web' WHEN 1 THEN 'books' WHEN 2 THEN 'code' END, 'other') AS domain,
+    coalesce(lang, '') AS lang, coalesce(source, '') AS source, len(regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+'))::BIGINT AS n_tokens
+  FROM documents
+), leaves AS (SELECT domain, lang, source, sum(n_tokens)::BIGINT AS tokens FROM docs GROUP BY ALL
+), l1 AS ({_filled_sql("""SELECT *, least((SELECT floor(sum(tokens) * 0.8::DOUBLE)::BIGINT FROM leaves), sum(room) OVER ()) AS parent_budget
+    FROM (SELECT domain, domain AS node, sum(tokens * 2)::BIGINT AS room, CASE domain WHEN 'web' THEN 5 WHEN 'books' THEN 3 WHEN 'code' THEN 2 ELSE 1 END AS weight FROM leaves GROUP BY 1)""", "0")}
+), l2 AS ({_filled_sql("""SELECT n.*, l1.budget AS parent_budget FROM (SELECT domain, lang, lang AS node, sum(tokens * 2)::BIGINT AS room,
+    CASE WHEN domain = 'web' AND lang = 'en' THEN 4 WHEN domain = 'books' AND lang = 'de' THEN 2 ELSE 1 END AS weight FROM leaves GROUP BY 1, 2) n JOIN l1 USING (domain)""", "domain")}
+), l3 AS ({_filled_sql("""SELECT n.*, l2.budget AS parent_budget FROM (SELECT domain, lang, source, source AS node, tokens, tokens * 2 AS room,
+    CASE WHEN domain = 'web' AND lang = 'en' AND source = 'src0' THEN 3 ELSE 1 END AS weight FROM leaves) n JOIN l2 USING (domain, lang)""", "domain, lang")}
+), plan AS (SELECT domain, lang, source, CASE WHEN tokens > 0 THEN budget // tokens ELSE 0 END AS epochs, budget - CASE WHEN tokens > 0 THEN budget // tokens ELSE 0 END * tokens AS rest FROM l3
+), placed AS (
+  SELECT d.*, p.epochs, p.rest, sum(n_tokens) OVER (PARTITION BY domain, lang, source ORDER BY md5('11:' || epochs || ':' || doc_id), doc_id) - n_tokens AS ahead
+  FROM docs d JOIN plan p USING (domain, lang, source)
+)
+SELECT doc_id, domain, lang, source, n_tokens, epochs::BIGINT AS epochs, greatest(0, least(n_tokens, rest - ahead))::BIGINT AS part_tokens FROM placed
+"""
+
+ORACLES: dict[str, str] = {"op5_ngram_jaccard": OP5, "op8_mixing": OP8}

@@ -22,12 +22,12 @@ from collections.abc import Sequence
 from dataclasses import dataclass, field
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
-from tidebin.llm.shared import map_texts
+from tidebin.llm.shared import map_texts, settle
 
 #: Harmless phrases with words that are often in a lexicon.
 EXCEPTIONS = ("trash can", "trash bin", "trash bag", "clown fish", "circus clown", "class clown", "stupid simple")
@@ -115,6 +115,24 @@ class Model:
 
 
 STEMS = range(4, 9)
+#: Labelled rows to learn from at most; their ids and labels (16 bytes each) are broadcast.
+TRAIN_ROWS = 200_000
+
+
+def labelled_rows(
+    df: DataFrame, labels: DataFrame, doc_id: str, text: str, label: str, held_out: Column, train_rows: int = TRAIN_ROWS
+) -> DataFrame:
+    """`text` and `toxic` of at most `train_rows` labelled documents that are not held out.
+
+    `held_out` is a condition on the ids of `labels`. If there are more, those with the
+    smallest hashes of the id are taken. Ids or labels that are null teach nothing; an id
+    labelled twice counts twice. The rows are written to the shared folder once, as
+    learning reads them several times.
+    """
+    wanted = labels.filter(~held_out).select(F.col(doc_id).cast("long").alias("__id"), F.col(label).cast("int").alias("toxic"))
+    wanted = wanted.filter("__id is not null and toxic in (0, 1)").orderBy(F.xxhash64("__id"), "__id", "toxic").limit(train_rows)
+    texts = df.select(F.col(doc_id).cast("long").alias("__doc"), F.col(text).alias("text"))
+    return settle(texts.join(F.broadcast(wanted), F.col("__doc") == F.col("__id")).select("text", "toxic"))
 
 
 def entries_of(words: set[str]) -> set[str]:
