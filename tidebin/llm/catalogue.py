@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidebin.llm import bpe, jaccard, mixing, secrets, toxicity
+from tidebin.llm import bpe, jaccard, licenses, mixing, secrets, toxicity
 from tidebin.llm.shared import fold_of, table
 
 
@@ -31,6 +31,30 @@ def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op2_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Phrases, labels and best match of every document.
+
+    Rows that repeat an id share the labels found for it.
+    """
+    docs = table(spark, sf_dir, "documents")
+    base = licenses.phrase_places(docs, "text", ["doc_id"])
+    found = licenses.matches(docs, "doc_id", "text").groupBy("doc_id").agg(F.collect_set("label").alias("found"), F.max("containment").alias("best"))
+    found = found.withColumnRenamed("doc_id", "found_id")
+    at, names = F.transform("places", lambda p: p["at"]), F.transform("places", lambda p: p["label"])
+    rows = base.join(found, F.col("doc_id").eqNullSafe(F.col("found_id")), "left")
+    both = F.array_union(names, F.coalesce("found", F.array().cast("array<string>")))
+    return rows.select(
+        "doc_id",
+        "n_words",
+        F.size("places").cast("long").alias("n_base"),
+        F.array_min(at).alias("first_word"),
+        F.array_max(at).alias("last_word"),
+        F.array_join(F.sort_array(F.array_distinct(names)), ",").alias("base_labels"),
+        F.array_join(F.sort_array(both), ",").alias("labels"),
+        F.when(F.size("places") > 0, F.lit(1.0)).otherwise(F.coalesce("best", F.lit(0.0))).alias("score"),
+    )
+
+
 def op4_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Ids and decoded text of every document, as digests."""
     docs = table(spark, sf_dir, "documents")
@@ -86,7 +110,7 @@ def op9_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-QUERIES = {"op1_toxicity": op1_toxicity, "op4_bpe": op4_bpe, "op5_ngram_jaccard": op5_ngram_jaccard, "op8_mixing": op8_mixing, "op9_secrets": op9_secrets}
+QUERIES = {"op1_toxicity": op1_toxicity, "op2_licenses": op2_licenses, "op4_bpe": op4_bpe, "op5_ngram_jaccard": op5_ngram_jaccard, "op8_mixing": op8_mixing, "op9_secrets": op9_secrets}
 OP5 = r"""
 WITH RECURSIVE words AS (
   SELECT doc_id, list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w
@@ -133,4 +157,30 @@ WITH docs AS (
 SELECT doc_id, domain, lang, source, n_tokens, epochs::BIGINT AS epochs, greatest(0, least(n_tokens, rest - ahead))::BIGINT AS part_tokens FROM placed
 """
 
-ORACLES: dict[str, str] = {"op5_ngram_jaccard": OP5, "op8_mixing": OP8}
+
+def _license_sql() -> str:
+    """Every window of every text against every template."""
+    phrases = " || ".join(
+        f"list_transform(list_filter(range(len(w) - {len(p.split()) - 1}), lambda i: w[i+1:i+{len(p.split())}] = {p.split()}), lambda i: {{'at': i, 'label': '{name}'}})"
+        for p, name in licenses.PHRASES.items()
+    )
+    sets = ", ".join(f"('{name}', {sorted(set(t.split()))})" for name, t in licenses.TEMPLATES)
+    return f"""
+WITH docs AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+') AS w FROM documents
+), base AS (SELECT doc_id, w, {phrases} AS p FROM docs
+), templates(label, t) AS (VALUES {sets}
+), windows AS (SELECT doc_id, w[s+1:s+{licenses.WINDOW}] AS b FROM (SELECT doc_id, w, unnest(range(0, len(w), {licenses.STEP})) AS s FROM docs)
+), best AS (
+  SELECT doc_id, list_distinct(list(label)) AS found, max(c / len(t)) AS score
+  FROM (SELECT doc_id, label, t, len(list_intersect(t, b)) AS c FROM windows, templates) WHERE c >= ceil({licenses.THRESHOLD} * len(t) - 1e-9) GROUP BY 1
+)
+SELECT b.doc_id, len(w)::BIGINT AS n_words, len(p)::BIGINT AS n_base, list_min(list_transform(p, lambda x: x['at'])) AS first_word, list_max(list_transform(p, lambda x: x['at'])) AS last_word,
+  coalesce(array_to_string(list_sort(list_distinct(list_transform(p, lambda x: x['label']))), ','), '') AS base_labels,
+  coalesce(array_to_string(list_sort(list_distinct(list_transform(p, lambda x: x['label']) || coalesce(found, []))), ','), '') AS labels,
+  CASE WHEN len(p) > 0 THEN 1.0::DOUBLE ELSE coalesce(score, 0.0::DOUBLE) END AS score
+FROM base b LEFT JOIN best USING (doc_id)
+"""
+
+
+ORACLES: dict[str, str] = {"op2_licenses": _license_sql(), "op5_ngram_jaccard": OP5, "op8_mixing": OP8}
