@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidebin.llm import bpe, jaccard, licenses, mixing, secrets, toxicity
+from tidebin.llm import bpe, jaccard, licenses, mixing, pitman_yor, secrets, toxicity
 from tidebin.llm.shared import fold_of, table
 
 
@@ -55,6 +55,23 @@ def op2_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op3_pitman_yor(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Probability of every document under the model of the training folds."""
+    docs = table(spark, sf_dir, "documents")
+    model, words = pitman_yor.learn(docs.filter(fold_of(F.col("doc_id")) != 1), "text")
+    scored = pitman_yor.score(docs, "text", model, words, ["doc_id"])
+    return scored.select(
+        "doc_id",
+        (fold_of(F.col("doc_id")) == 1).alias("held_out"),
+        "n_tokens",
+        "n_known",
+        F.lit(model.total).cast("long").alias("train_tokens"),
+        "base_score",
+        "score",
+        "perplexity",
+    )
+
+
 def op4_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Ids and decoded text of every document, as digests."""
     docs = table(spark, sf_dir, "documents")
@@ -110,7 +127,7 @@ def op9_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-QUERIES = {"op1_toxicity": op1_toxicity, "op2_licenses": op2_licenses, "op4_bpe": op4_bpe, "op5_ngram_jaccard": op5_ngram_jaccard, "op8_mixing": op8_mixing, "op9_secrets": op9_secrets}
+QUERIES = {"op1_toxicity": op1_toxicity, "op2_licenses": op2_licenses, "op3_pitman_yor": op3_pitman_yor, "op4_bpe": op4_bpe, "op5_ngram_jaccard": op5_ngram_jaccard, "op8_mixing": op8_mixing, "op9_secrets": op9_secrets}
 OP5 = r"""
 WITH RECURSIVE words AS (
   SELECT doc_id, list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w
