@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidebin.llm import bpe, jaccard, licenses, mixing, pitman_yor, secrets, toxicity
+from tidebin.llm import bpe, graph_dedup, jaccard, licenses, mixing, pitman_yor, secrets, toxicity
 from tidebin.llm.shared import fold_of, table
 
 
@@ -89,6 +89,11 @@ def op5_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.join(table(spark, sf_dir, "documents"), "doc_id", "text")
 
 
+def op6_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Near-duplicate components of all embeddings with the same label."""
+    return graph_dedup.near_duplicates(table(spark, sf_dir, "embeddings"), "vec_id", "embedding", "label")
+
+
 MIX_WEIGHTS = {("web",): 5, ("books",): 3, ("code",): 2, ("web", "en"): 4, ("books", "de"): 2, ("web", "en", "src0"): 3}
 
 
@@ -127,7 +132,7 @@ def op9_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-QUERIES = {"op1_toxicity": op1_toxicity, "op2_licenses": op2_licenses, "op3_pitman_yor": op3_pitman_yor, "op4_bpe": op4_bpe, "op5_ngram_jaccard": op5_ngram_jaccard, "op8_mixing": op8_mixing, "op9_secrets": op9_secrets}
+QUERIES = {"op1_toxicity": op1_toxicity, "op2_licenses": op2_licenses, "op3_pitman_yor": op3_pitman_yor, "op4_bpe": op4_bpe, "op5_ngram_jaccard": op5_ngram_jaccard, "op6_embedding_dedup": op6_embedding_dedup, "op8_mixing": op8_mixing, "op9_secrets": op9_secrets}
 OP5 = r"""
 WITH RECURSIVE words AS (
   SELECT doc_id, list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w
