@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidebin.llm import bpe, graph_dedup, jaccard, licenses, mixing, pitman_yor, secrets, toxicity
+from tidebin.llm import adaptive_search, bpe, graph_dedup, jaccard, licenses, mixing, pitman_yor, secrets, toxicity
 from tidebin.llm.shared import fold_of, table
 
 
@@ -132,7 +132,13 @@ def op9_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-QUERIES = {"op1_toxicity": op1_toxicity, "op2_licenses": op2_licenses, "op3_pitman_yor": op3_pitman_yor, "op4_bpe": op4_bpe, "op5_ngram_jaccard": op5_ngram_jaccard, "op6_embedding_dedup": op6_embedding_dedup, "op8_mixing": op8_mixing, "op9_secrets": op9_secrets}
+def op10_adaptive_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 20 nearest of every row whose id is divisible by 20."""
+    rows = table(spark, sf_dir, "embeddings")
+    return adaptive_search.nearest_neighbours(rows, "vec_id", "embedding", F.col("vec_id") % 20 == 0)
+
+
+QUERIES = {"op1_toxicity": op1_toxicity, "op2_licenses": op2_licenses, "op3_pitman_yor": op3_pitman_yor, "op4_bpe": op4_bpe, "op5_ngram_jaccard": op5_ngram_jaccard, "op6_embedding_dedup": op6_embedding_dedup, "op8_mixing": op8_mixing, "op9_secrets": op9_secrets, "op10_adaptive_search": op10_adaptive_search}
 OP5 = r"""
 WITH RECURSIVE words AS (
   SELECT doc_id, list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w
