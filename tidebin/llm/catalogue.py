@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidebin.llm import adaptive_search, bpe, graph_dedup, jaccard, licenses, mixing, pitman_yor, secrets, toxicity
+from tidebin.llm import adaptive_search, bpe, graph_dedup, jaccard, licenses, mixing, pitman_yor, secrets, token_files, toxicity
 from tidebin.llm.shared import fold_of, table
 
 
@@ -94,6 +94,21 @@ def op6_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return graph_dedup.near_duplicates(table(spark, sf_dir, "embeddings"), "vec_id", "embedding", "label")
 
 
+#: The byte-level vocabulary leaves this id free for the end of a document.
+END_OF_DOCUMENT = 50256
+
+
+def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Token counts of all documents, from flat token files written from them.
+
+    The files hold no document ids, so the counts are those of the n-th document of a file.
+    """
+    docs = table(spark, sf_dir, "documents")
+    path, pattern = public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN
+    blocks = token_files.write_tokens(docs, "text", path, pattern, END_OF_DOCUMENT)
+    return token_files.document_tokens(blocks, END_OF_DOCUMENT)
+
+
 MIX_WEIGHTS = {("web",): 5, ("books",): 3, ("code",): 2, ("web", "en"): 4, ("books", "de"): 2, ("web", "en", "src0"): 3}
 
 
@@ -138,7 +153,7 @@ def op10_adaptive_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return adaptive_search.nearest_neighbours(rows, "vec_id", "embedding", F.col("vec_id") % 20 == 0)
 
 
-QUERIES = {"op1_toxicity": op1_toxicity, "op2_licenses": op2_licenses, "op3_pitman_yor": op3_pitman_yor, "op4_bpe": op4_bpe, "op5_ngram_jaccard": op5_ngram_jaccard, "op6_embedding_dedup": op6_embedding_dedup, "op8_mixing": op8_mixing, "op9_secrets": op9_secrets, "op10_adaptive_search": op10_adaptive_search}
+QUERIES = {"op1_toxicity": op1_toxicity, "op2_licenses": op2_licenses, "op3_pitman_yor": op3_pitman_yor, "op4_bpe": op4_bpe, "op5_ngram_jaccard": op5_ngram_jaccard, "op6_embedding_dedup": op6_embedding_dedup, "op7_token_counts": op7_token_counts, "op8_mixing": op8_mixing, "op9_secrets": op9_secrets, "op10_adaptive_search": op10_adaptive_search}
 OP5 = r"""
 WITH RECURSIVE words AS (
   SELECT doc_id, list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w
