@@ -61,8 +61,10 @@ def test_additivity_of_interval_lengths(spark):
 def test_null_keys_and_dates(spark):
     rows = [("a", D, 1.0), (None, D, 2.0), (None, D + dt.timedelta(days=40), 3.0), ("a", None, 9.0)]
     df = spark.createDataFrame(rows, "k string, day date, v double")
-    out = bins.resample_forward(df, "day", 30, sums=["v"], keys=["k"], complete=False).collect()
+    out = bins.resample_forward(df, "day", 30, sums=["v"], keys=["k"], complete=False, bounds="key").collect()
     assert sorted((r.k or "", r.bin_idx, r.v) for r in out) == [("", 0, 2.0), ("", 1, 3.0), ("a", 0, 1.0)]
+    feed = bins.resample_forward(df, "day", 30, sums=["v"], keys=["k"], complete=False).collect()
+    assert sorted((r.k or "", r.bin_idx, r.v) for r in feed) == [("", 0, 2.0), ("", 1, 3.0), ("a", 0, 1.0), ("a", 1, 0.0)]
 
 
 def test_shared_origin_makes_series_meet(spark):

@@ -23,8 +23,9 @@ from tidebin.operators.signal import difference_of
 
 
 def series_spans(df: DataFrame, keys: Sequence[str], pos: str) -> DataFrame:
-    """First position and length of each series."""
-    return df.groupBy(*keys).agg(F.min(pos).alias("__p0"), F.count(F.lit(1)).alias("__n"))
+    """First position of each series and the positions it spans, gaps included."""
+    span = F.max(pos) - F.min(pos) + 1
+    return df.groupBy(*keys).agg(F.min(pos).alias("__p0"), span.alias("__n"))
 
 
 def rolling_origin_folds(
@@ -117,7 +118,7 @@ _SCORES = T.ArrayType(
 )
 
 
-def _scorer(orders: Sequence[tuple[int, int]], sets: Mapping[str, Sequence[int]], m: int):
+def _scorer(orders: Sequence[tuple[int, int]], sets: Mapping[str, Sequence[int]], m: int, horizon: int):
     @F.pandas_udf(_SCORES)
     def score(
         d: pd.Series, n: pd.Series, mean: pd.Series, cov: pd.Series, levels: pd.Series, actual: pd.Series, x: pd.Series
@@ -127,7 +128,7 @@ def _scorer(orders: Sequence[tuple[int, int]], sets: Mapping[str, Sequence[int]]
             cells = []
             y = np.asarray(y, dtype=float)
             future = np.asarray(xs, dtype=float).reshape(len(y), m)
-            ready = size > 0 and lv is not None and not any(v is None for v in mu)
+            ready = size > 0 and len(y) == horizon and lv is not None and not any(v is None for v in mu)
             if ready:
                 mu = np.asarray(mu, dtype=float)
                 c = np.asarray(c, dtype=float).reshape(len(mu), len(mu))
@@ -162,7 +163,9 @@ def backtest_folds(
     """Mean absolute error of the multi-step forecast per fold, order and exogenous set.
 
     Orders with the same d are fitted on the same training rows, so they compare fairly.
-    Exogenous values of the test rows are taken as known.
+    Exogenous values of the test rows are taken as known. In a series with gaps a fold
+    trains on the rows whose lags are all there; its error is null if a row of its test
+    part or of the levels before it is missing.
     """
     sets = exog_sets or {"none": []}
     exog = list(dict.fromkeys(c for cols in sets.values() for c in cols))
@@ -188,7 +191,7 @@ def backtest_folds(
         F.first(F.when(F.col("fold_row") == train - 1, F.col("__levels")), True).alias("levels"),
         tests.alias("tests"),
     )
-    score = _scorer(orders, positions, len(exog))(
+    score = _scorer(orders, positions, len(exog), horizon)(
         "d", "n", "mean", "cov", "levels", F.col("tests")["y"], F.flatten(F.col("tests")["x"])
     )
     cells = sums.select(*keys, "fold", "d", F.explode(score).alias("s"))

@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidebin.functions.columns import as_date, trunc_day
+from tidebin.operators.common import attach
 
 
 def date_bounds(df: DataFrame, date_col: str, keys: Sequence[str] = ()) -> DataFrame:
@@ -58,6 +59,15 @@ def gap_fill(df: DataFrame, keys: Sequence[str] = (), idx_col: str = "bin_idx",
     ).withColumn(idx_col, F.col("__at")).drop("__at")
 
 
+def _whole_calendar(bins: DataFrame, keys: Sequence[str], freq: int, zero: Sequence[str]) -> DataFrame:
+    """Every interval from origin to last day for each key, 0 where it has no row."""
+    newest = F.floor(F.datediff("__last", "__origin") / F.lit(freq)).cast("bigint")
+    each = bins.groupBy(*keys, "__origin", "__last").agg(F.count(F.lit(1)).alias("__rows"))
+    grid = each.select(*keys, "__origin", "__last", F.explode(F.sequence(F.lit(0).cast("bigint"), newest)).alias("bin_idx"))
+    found = bins.drop("__origin", "__last")
+    return attach(grid, found, [*keys, "bin_idx"]).withColumns({c: F.coalesce(F.col(c), F.lit(0)) for c in zero})
+
+
 def complete_bins(df: DataFrame, freq: int, *, strict: bool = True) -> DataFrame:
     """Keep intervals with `days_to_max >= freq`.
 
@@ -76,26 +86,42 @@ def resample_forward(
     means: Sequence[str] = (),
     keys: Sequence[str] = (),
     origin: str | dt.date | None = None,
+    last_day: str | dt.date | None = None,
+    bounds: str = "feed",
     fill: bool = True,
     complete: bool = True,
 ) -> DataFrame:
     """Intervals `[origin + k*freq, origin + (k+1)*freq)` labelled by their first day.
 
-    `sums` add up, `means` average the non-null rows; empty intervals hold 0. The
-    origin defaults to each key's first day; give one when series are to be joined.
-    Completeness looks at each key's last day. Returns keys, bin_idx, start_date,
-    end_date, measures, n_days and days_to_max.
+    `sums` add up, `means` average the non-null rows; empty intervals hold 0. With
+    `bounds="feed"` all keys share one calendar, from the first to the last day of the
+    whole input (or `origin` and `last_day`), so every key has every interval and sums over
+    keys are those of the whole. With `bounds="key"` the calendar of a key runs from its own
+    first to its own last interval. Days of keyed series outside
+    `origin` and `last_day` do not count in feed bounds. Returns keys, bin_idx, start_date, end_date, measures, n_days and
+    days_to_max.
     """
+    if bounds not in ("feed", "key"):
+        raise ValueError(f"unknown bounds: {bounds}")
     series = Window.partitionBy(*keys)
-    days = _per_day(df, date_col, keys, sums, means).withColumns(
-        {
-            "__origin": F.min("__day").over(series) if origin is None else as_date(origin),
-            "__last": F.max("__day").over(series),
-        }
-    )
+    days = _per_day(df, date_col, keys, sums, means)
+    shared = bool(keys) and bounds == "feed"
+    if shared:
+        ends = df.agg(F.min(trunc_day(date_col)).alias("lo"), F.max(trunc_day(date_col)).alias("hi"))
+        ends = ends.select(F.struct("lo", "hi").alias("s")).scalar()
+        first = ends["lo"] if origin is None else as_date(origin)
+        last = ends["hi"] if last_day is None else as_date(last_day)
+        days = days.withColumns({"__origin": first, "__last": last})
+        days = days.filter((F.col("__day") >= F.col("__origin")) & (F.col("__day") <= F.col("__last")))
+    else:
+        first = F.min("__day").over(series) if origin is None else as_date(origin)
+        last = F.max("__day").over(series) if last_day is None else as_date(last_day)
+        days = days.withColumns({"__origin": first, "__last": last})
     bin_idx = F.floor(F.datediff("__day", "__origin") / F.lit(freq))
     bins = _per_bin(days, keys, bin_idx, sums, means, ["__origin", "__last"])
-    if fill:
+    if fill and shared:
+        bins = _whole_calendar(bins, keys, freq, [*sums, *means, "n_days"])
+    elif fill:
         bins = gap_fill(bins, keys, zero=[*sums, *means, "n_days"])
     start = F.date_add("__origin", (F.col("bin_idx") * freq).cast("int"))
     out = bins.withColumn("start_date", start).select(

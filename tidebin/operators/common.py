@@ -72,10 +72,11 @@ def with_lags(
 ) -> DataFrame:
     """Add shifted columns `{name: (column, offset)}`; positive offsets look back.
 
-    `pos` must be consecutive integers per key, as the interval tables provide.
+    `pos` holds integers, unique per key. A shifted value is that of the position exactly
+    `offset` away: where a series has a gap it is null, whatever the block size.
     """
     back = max([k for _, k in lags.values()] + [0])
     ahead = max([-k for _, k in lags.values()] + [0])
     w = block_window(keys, pos)
-    shifted = {name: F.lag(c, k).over(w) for name, (c, k) in lags.items()}
+    shifted = {name: F.first(c).over(w.rangeBetween(-k, -k)) for name, (c, k) in lags.items()}
     return own_rows(to_blocks(df, pos, back, ahead, size).withColumns(shifted), pos, size)

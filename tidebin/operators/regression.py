@@ -11,12 +11,12 @@ from typing import NamedTuple
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tidebin.functions.special import student_t_pvalue
-from tidebin.operators.common import attach
+from tidebin.operators.common import BLOCK, attach, block_of, block_window
 from tidebin.operators.moments import moment_columns
 from tidebin.operators.ordering import with_random_index
 
@@ -51,11 +51,19 @@ def minmax_inverse(df: DataFrame, col: str, source: str, stats: DataFrame, keys:
 
 
 def split_chronological(df: DataFrame, pos: str, keys: Sequence[str] = (), *, train: float = 0.8, out: str = "is_train") -> DataFrame:
-    """The first `int(train*n)` positions of each key train. Positions are consecutive,
-    so this is arithmetic on the first position and the count."""
-    stats = df.groupBy(*keys).agg(F.min(pos).alias("__p0"), F.count(F.lit(1)).alias("__n"))
-    flag = (F.col(pos) - F.col("__p0")) < F.floor(F.col("__n") * F.lit(train))
-    return attach(df, stats, keys).withColumn(out, flag).drop("__p0", "__n")
+    """The first `int(train*n)` rows of each key by position train, whatever gaps there are.
+
+    Rows are ranked within blocks of positions, and blocks by the rows before them, so no
+    task orders a whole series."""
+    rows = df.withColumn(BLOCK, block_of(pos))
+    by_block = Window.partitionBy(*keys).orderBy(BLOCK)
+    sizes = rows.groupBy(*keys, BLOCK).agg(F.count(F.lit(1)).alias("__size"))
+    before = F.coalesce(F.sum("__size").over(by_block.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    total = F.sum("__size").over(Window.partitionBy(*keys))
+    stats = sizes.select(*keys, BLOCK, before.alias("__before"), total.alias("__n"))
+    rank = F.col("__before") + F.row_number().over(block_window(keys, pos))
+    flag = rank <= F.floor(F.col("__n") * F.lit(train))
+    return attach(rows, stats, [*keys, BLOCK]).withColumn(out, flag).drop("__before", "__n", BLOCK)
 
 
 def split_random(

@@ -21,7 +21,7 @@ Z95 = 1.959963984540054  # two-sided 5 % point of the normal distribution
 
 
 def difference(df: DataFrame, keys: Sequence[str], pos: str, col: str, order: int = 1, out: str | None = None) -> DataFrame:
-    """First or second difference; the leading rows without a value are dropped."""
+    """First or second difference; rows without a value, at the start and after gaps, are dropped."""
     out = out or col
     if order == 0:
         return df.withColumn(out, F.col(col))
@@ -29,7 +29,7 @@ def difference(df: DataFrame, keys: Sequence[str], pos: str, col: str, order: in
     value = difference_of([F.col(col), *[F.col(f"__l{k}") for k in range(1, order + 1)]], order)
     return (
         lagged.withColumn(out, value)
-        .filter(F.col(f"__l{order}").isNotNull())
+        .filter(F.col(out).isNotNull())
         .drop(*[f"__l{k}" for k in range(1, order + 1)])
     )
 
@@ -56,15 +56,15 @@ def all_differences(df: DataFrame, keys: Sequence[str], pos: str, col: str, max_
 
 def centered_trend(df: DataFrame, keys: Sequence[str], pos: str, col: str, period: int = 12, out: str = "trend") -> DataFrame:
     """Centred moving average of one period; an even period gives its two end points
-    half weight. Null where the frame is not full."""
+    half weight. Null where the frame is not full, at the ends and around gaps."""
     half = period // 2
     w = block_window(keys, pos)
     inner = half - 1 if period % 2 == 0 else half
-    frame = w.rowsBetween(-inner, inner)
+    frame = w.rangeBetween(-inner, inner)
     total = F.sum(col).over(frame)
     full = F.count(col).over(frame) == 2 * inner + 1
     if period % 2 == 0:
-        total = total + 0.5 * (F.lag(col, half).over(w) + F.lead(col, half).over(w))
+        total = total + 0.5 * (F.first(col).over(w.rangeBetween(-half, -half)) + F.first(col).over(w.rangeBetween(half, half)))
     blocks = to_blocks(df, pos, half, half).withColumn(out, F.when(full, total / F.lit(float(period))))
     return own_rows(blocks, pos)
 

@@ -61,6 +61,42 @@ SERIES = f"""{ORDER_DAYS}, {forward('a', 'od', 30, N_ORDERS, ['o_orderstatus'])}
 s AS (SELECT o_orderstatus, bin_idx, n_orders FROM a)"""
 SPARSE = f"{ORDER_DAYS}, {forward('a', 'od', 30, N_ORDERS, ['o_custkey'], complete=False)}"
 
+SPARSE_DAYS = """WITH od AS (SELECT *, CAST(o_orderdate AS DATE) AS day FROM orders),
+s AS (SELECT o_orderstatus, CAST(day - min(day) OVER (PARTITION BY o_orderstatus) AS BIGINT) AS bin_idx, n_orders
+    FROM (SELECT o_orderstatus, day, count(*) AS n_orders FROM od GROUP BY 1, 2))"""
+FEED_CALENDAR = """WITH od AS (SELECT *, CAST(o_orderdate AS DATE) AS day FROM orders),
+e AS (SELECT min(day) AS o, max(day) AS m FROM od),
+i AS (SELECT o_custkey, (day - o) // 30 AS bin_idx, count(*) AS n_orders, count(DISTINCT day) AS n_days FROM od JOIN e ON TRUE GROUP BY 1, 2),
+g AS (SELECT o_custkey, unnest(range(0, (m - o) // 30 + 1)) AS bin_idx, o, m FROM (SELECT DISTINCT o_custkey FROM od) JOIN e ON TRUE)
+SELECT o_custkey, CAST(bin_idx AS BIGINT) AS bin_idx, CAST(o + CAST(bin_idx * 30 AS INTEGER) AS DATE) AS start_date,
+    CAST(o + CAST(bin_idx * 30 + 29 AS INTEGER) AS DATE) AS end_date, coalesce(n_orders, 0) AS n_orders, coalesce(n_days, 0) AS n_days,
+    CAST(m - o - bin_idx * 30 AS INTEGER) AS days_to_max
+FROM g LEFT JOIN i USING (o_custkey, bin_idx) WHERE m - o - bin_idx * 30 >= 30"""
+
+
+def offence_intervals(suffix: str, prefix: str) -> str:
+    """The eleven measures over line items as offence records."""
+    rules = {
+        f"total_felony_{suffix}": "f",
+        f"violent_felony_{suffix}": "f AND (t IN ('HOMICIDE-NEGLIGENT,UNCLASSIFIE', 'FELONY ASSAULT') OR t LIKE '%MURDER & NON-NEGL. MANSLAUGHTER%' OR t LIKE '%ROBBERY%' OR t LIKE '%RAPE%')",
+        f"total_misdemeanor_{suffix}": "v = 'M'",
+        f"{prefix}murder_homicide_count": "f AND (t = 'HOMICIDE-NEGLIGENT,UNCLASSIFIE' OR t LIKE '%MURDER & NON-NEGL. MANSLAUGHTER%')",
+        f"{prefix}robbery_count": "f AND t LIKE '%ROBBERY%'",
+        f"{prefix}assault_count": "f AND t LIKE '%ASSAULT%'",
+        f"{prefix}burglary_count": "f AND t LIKE '%BURGLARY%'",
+        f"{prefix}rape_count": "f AND t LIKE '%RAPE%'",
+        f"{prefix}grand_larceny_count": "f AND t = 'GRAND LARCENY'",
+        f"{prefix}grand_larceny_vehicle_count": "f AND t = 'GRAND LARCENY OF MOTOR VEHICLE'",
+        f"{prefix}weapons_count": "f AND t LIKE '%WEAPON%'",
+    }
+    counts = {name: f"count(CASE WHEN {rule} THEN l_orderkey END)" for name, rule in rules.items()}
+    return f"""WITH ld AS (SELECT l_orderkey, CAST(l_shipdate AS DATE) AS day, l_returnflag = 'R' AS f, CASE l_returnflag WHEN 'A' THEN 'M' END AS v,
+        CASE split_part(p_type, ' ', 1) WHEN 'PROMO' THEN 'MURDER & NON-NEGL. MANSLAUGHTER' WHEN 'STANDARD' THEN 'ROBBERY' WHEN 'SMALL' THEN 'FELONY ASSAULT'
+            WHEN 'MEDIUM' THEN 'GRAND LARCENY' WHEN 'LARGE' THEN 'GRAND LARCENY OF MOTOR VEHICLE' WHEN 'ECONOMY' THEN 'DANGEROUS WEAPONS' ELSE 'BURGLARY' END AS t
+        FROM lineitem JOIN part ON l_partkey = p_partkey WHERE l_shipdate >= TIMESTAMP '1995-03-01'),
+        {forward('a', 'ld', 30, counts)} SELECT * FROM a"""
+
+
 ALIGNED = f"""{ORDER_DAYS}, {LINE_DAYS},
 cd AS (SELECT day, count(DISTINCT o_custkey) AS customers FROM od GROUP BY day),
 {forward('a', 'od', 30, N_ORDERS | {'urgent': "CAST(sum((o_orderpriority = '1-URGENT')::INT) AS BIGINT)"}, origin='1995-01-01')},
@@ -70,10 +106,10 @@ m AS (SELECT a.bin_idx, start_date, end_date, n_orders, urgent, customers, items
     FROM a JOIN c USING (start_date, end_date) JOIN i USING (start_date, end_date))"""
 MEASURES = ["n_orders", "customers", "urgent", "items", "returned", "quantity"]
 
-LEFT = f"""{ORDER_DAYS}, ll AS (SELECT CAST(l_shipdate AS DATE) AS day FROM lineitem WHERE l_shipdate >= TIMESTAMP '1996-01-01'),
+LEFT = f"""{ORDER_DAYS}, ll AS (SELECT CAST(l_shipdate AS DATE) AS day FROM lineitem),
 {forward('a', 'od', 30, N_ORDERS, origin='1994-12-02')},
 {forward('i', 'll', 30, {'items': 'count(*)'}, origin='1994-12-02')},
-j AS (SELECT start_date, end_date, n_orders, items FROM a LEFT JOIN i USING (start_date, end_date))"""
+j AS (SELECT start_date, end_date, n_orders, items FROM i LEFT JOIN a USING (start_date, end_date))"""
 
 # lag curve per series: c(o_orderstatus, lag, r, n)
 CURVE = f"""{SERIES},
@@ -258,7 +294,7 @@ o AS (SELECT *, my - ba * ma - bb * mb AS b0, greatest(syy - ba * say - bb * sby
 
 ALL_ROWS = f"{ALIGNED}, g AS (SELECT n_orders::DOUBLE AS y, urgent::DOUBLE AS a, items::DOUBLE AS b, true AS is_train FROM m)"
 CHRONO = f"""{ALIGNED}, g AS (SELECT n_orders::DOUBLE AS y, urgent::DOUBLE AS a, items::DOUBLE AS b,
-    bin_idx - min(bin_idx) OVER () < floor(count(*) OVER () * 0.8) AS is_train FROM m)"""
+    row_number() OVER (ORDER BY bin_idx) <= floor(count(*) OVER () * 0.8) AS is_train FROM m)"""
 RANDOM = f"""{ALIGNED}, g AS (SELECT n_orders::DOUBLE AS y, urgent::DOUBLE AS a, items::DOUBLE AS b,
     row_number() OVER (ORDER BY md5('7|' || bin_idx)) > ceil(count(*) OVER () * 0.2) AS is_train FROM m)"""
 SCALED = f"""{CHRONO.replace('g AS (', 'g0 AS (')},
@@ -355,6 +391,22 @@ ORACLES: dict[str, str] = {
         SELECT bin_idx, start_date, end_date, coalesce(mean_price, v0 + (v1 - v0) / nullif(p1 - p0, 0) * (bin_idx - p0), v0, v1) AS mean_price, n_days FROM e""",
     "complete_bins": f"""WITH ed AS (SELECT event_type, CAST(ts AS DATE) AS day FROM events),
         {forward('a', 'ed', 7, {'n_events': 'CAST(count(*) AS BIGINT)'}, ['event_type'])} SELECT * FROM a""",
+    "feed_calendar": f"SELECT * FROM ({FEED_CALENDAR})",
+    "feed_calendar_totals": f"WITH {ORDER_DAYS}, {forward('a', 'od', 30, N_ORDERS)} SELECT bin_idx, start_date, n_orders FROM a",
+    "late_rule_counts": f"""WITH ld AS (SELECT *, CAST(l_shipdate AS DATE) AS day FROM lineitem WHERE l_shipdate >= TIMESTAMP '1999-03-01'),
+        {forward('a', 'ld', 30, {'total_back': "count(CASE WHEN l_returnflag = 'R' THEN l_orderkey END)"})} SELECT * FROM a""",
+    "complaint_intervals": offence_intervals("crimes", ""),
+    "arrest_intervals": offence_intervals("arrest", "arrest_"),
+    "diff_gaps": f"""{SPARSE_DAYS} SELECT x.o_orderstatus, x.bin_idx, x.n_orders - y.n_orders AS n_orders
+        FROM s x JOIN s y ON y.o_orderstatus = x.o_orderstatus AND y.bin_idx = x.bin_idx - 1""",
+    "trend_gaps": f"""{SPARSE_DAYS} SELECT x.o_orderstatus, x.bin_idx, x.n_orders, round(sum(y.n_orders * CASE WHEN abs(y.bin_idx - x.bin_idx) = 3 THEN 0.5 ELSE 1 END)::DOUBLE / 6, 6) + 0 AS trend
+        FROM s x JOIN s y ON y.o_orderstatus = x.o_orderstatus AND y.bin_idx BETWEEN x.bin_idx - 3 AND x.bin_idx + 3 GROUP BY 1, 2, 3 HAVING count(*) = 7""",
+    "ols_chrono_gaps": f"""{SPARSE_DAYS},
+        g AS (SELECT o_orderstatus, n_orders::DOUBLE AS y, bin_idx::DOUBLE AS a, row_number() OVER w <= floor(count(*) OVER (PARTITION BY o_orderstatus) * 0.8) AS is_train
+            FROM s WINDOW w AS (PARTITION BY o_orderstatus ORDER BY bin_idx)),
+        f AS (SELECT o_orderstatus, regr_slope(y, a) AS b, regr_intercept(y, a) AS c FROM g WHERE is_train GROUP BY 1)
+        SELECT o_orderstatus, CASE WHEN is_train THEN 'in_sample' ELSE 'out_of_sample' END AS sample, count(*) AS n,
+            round(avg((y - c - b * a) ** 2), 5) + 0 AS mse, round(avg(abs(y - c - b * a)), 5) + 0 AS mae FROM g JOIN f USING (o_orderstatus) GROUP BY 1, 2""",
     "gap_fill": f"WITH {SPARSE} SELECT * FROM a",
     "interpolate_linear": f"""WITH {SPARSE},
         n AS (SELECT o_custkey, bin_idx, nullif(n_orders, 0) AS v FROM a),
@@ -377,8 +429,8 @@ ORACLES: dict[str, str] = {
     "align_inner": f"WITH {ALIGNED} SELECT * REPLACE (round(quantity, 2) + 0 AS quantity) FROM m",
     "align_left": f"WITH {LEFT} SELECT * FROM j",
     "study_table": f"""WITH {LEFT} SELECT start_date, end_date, round(ln(1 + n_orders), 6) + 0 AS n_orders, round(ln(1 + items), 6) + 0 AS items
-        FROM j WHERE items IS NOT NULL""",
-    "align_by_position": f"""WITH {ORDER_DAYS}, {LINE_DAYS}, {forward('a', 'od', 30, N_ORDERS)}, {forward('i', 'ld', 30, ITEMS)}
+        FROM j WHERE n_orders IS NOT NULL""",
+    "align_by_position": f"""WITH {ORDER_DAYS}, {LINE_DAYS}, {forward('a', 'od', 30, N_ORDERS, origin='1994-12-02')}, {forward('i', 'ld', 30, ITEMS, origin='1994-12-02')}
         SELECT bin_idx, n_orders, items, returned FROM a JOIN i USING (bin_idx)""",
     "era_split": f"""{PLAIN} SELECT CASE WHEN start_date < DATE '1998-06-01' THEN 'pre' ELSE 'post' END AS era, count(*) AS n,
         round(avg(n_orders), 6) AS mean, round(median(n_orders), 6) AS median FROM a GROUP BY era""",
@@ -404,7 +456,7 @@ ORACLES: dict[str, str] = {
     "first_and_last": f"""{PLAIN}, x AS (SELECT start_date, end_date, n_orders FROM a)
         (SELECT *, 'first' AS side FROM x ORDER BY start_date LIMIT 5) UNION ALL
         (SELECT *, 'last' AS side FROM x ORDER BY start_date DESC LIMIT 5)""",
-    "drop_and_rename": f"WITH {LEFT} SELECT start_date, n_orders AS orders, items AS lines FROM j WHERE items IS NOT NULL",
+    "drop_and_rename": f"WITH {LEFT} SELECT start_date, n_orders AS orders, items AS lines FROM j WHERE n_orders IS NOT NULL",
     "diff_1": f"""WITH {SERIES}, x AS (SELECT o_orderstatus, bin_idx, n_orders - lag(n_orders) OVER (PARTITION BY o_orderstatus
         ORDER BY bin_idx) AS n_orders FROM s) SELECT * FROM x WHERE n_orders IS NOT NULL""",
     "diff_2": f"""WITH {SERIES}, x AS (SELECT o_orderstatus, bin_idx, n_orders - 2 * lag(n_orders) OVER k + lag(n_orders, 2) OVER k AS n_orders
@@ -497,5 +549,6 @@ ORACLES: dict[str, str] = {
             FROM events), x AS (SELECT event_type, CAST(start_date AS DATE) AS start_date, CAST(start_date + 6 AS DATE) AS end_date,
             count(*) AS n_events FROM e GROUP BY ALL)
         SELECT * FROM x WHERE end_date + 1 <= (SELECT max(ts) - INTERVAL 1 DAY FROM events)""",
-    "accumulate_snapshots": "SELECT CAST(ts AS DATE) AS day, count(event_id) AS n_rows FROM events GROUP BY day",
+    "accumulate_snapshots": """SELECT day, CASE WHEN odd > 0 THEN odd ELSE n END AS n_rows FROM (
+        SELECT CAST(ts AS DATE) AS day, count(event_id) AS n, count(CASE WHEN user_id % 2 = 1 THEN event_id END) AS odd FROM events GROUP BY day)""",
 }

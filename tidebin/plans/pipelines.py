@@ -95,13 +95,12 @@ def interval_rule_counts(
 ) -> DataFrame:
     """Complaints or arrests: rule counts over the archive continued by the current feed.
 
-    The archive's last day decides where the current feed takes over. It is found from the
-    date column alone, and the current feed is filtered by it before any counting.
+    The last day of the whole archive decides where the current feed takes over. It is found
+    from the date column alone; both inputs are filtered by `since` before any counting.
     """
     _require(historic, date_col, id_col, *keys)
-    rows = filter_since(historic, date_col, since)
-    if current is not None:
-        rows = union_with_cutover(rows, current, date_col)
+    rows = historic if current is None else union_with_cutover(historic, current, date_col)
+    rows = filter_since(rows, date_col, since)
     daily = daily_rule_counts(rows, date_col, id_col, rules, keys)
     return resample_forward(daily, "day", freq, sums=list(rules), keys=keys, origin=origin)
 

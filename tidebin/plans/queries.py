@@ -39,11 +39,12 @@ def rounded(df: DataFrame, *cols: str, digits: int = 6) -> DataFrame:
 # ---------------------------------------------------------------- shared inputs
 
 
-def order_counts(spark, d, freq: int = 30, keys: Sequence[str] = (), origin=None, complete: bool = True) -> DataFrame:
-    """Orders per interval."""
+def order_counts(spark, d, freq: int = 30, keys: Sequence[str] = (), origin=None, complete: bool = True, **options) -> DataFrame:
+    """Orders per interval; keyed series run from their own first to their own last order."""
     orders = table(spark, d, "orders").select(*keys, "o_orderdate", F.lit(1).cast("bigint").alias("n_orders"))
     return bins.resample_forward(
-        orders, "o_orderdate", freq, sums=["n_orders"], keys=keys, origin=origin, complete=complete
+        orders, "o_orderdate", freq, sums=["n_orders"], keys=keys, origin=origin, complete=complete,
+        **{"bounds": "key"} | options,
     )
 
 
@@ -147,10 +148,21 @@ def resample_backward_mean_7(spark, d):
 
 def complete_bins(spark, d):
     events = table(spark, d, "events").withColumn("n_events", F.lit(1).cast("bigint"))
-    every = bins.resample_forward(events, "ts", 7, sums=["n_events"], keys=["event_type"], complete=False)
+    every = bins.resample_forward(events, "ts", 7, sums=["n_events"], keys=["event_type"], complete=False, bounds="key")
     return bins.complete_bins(every, 7)
 
 
+def feed_calendar(spark, d):
+    """Every customer on the calendar of all orders."""
+    return order_counts(spark, d, 30, ["o_custkey"], bounds="feed")
+
+
+def feed_calendar_totals(spark, d):
+    """Sums over customers on one calendar: those of the unkeyed intervals."""
+    each = feed_calendar(spark, d)
+    return each.groupBy("bin_idx", "start_date").agg(F.sum("n_orders").alias("n_orders"))
+
+
 def gap_fill(spark, d):
     return order_counts(spark, d, 30, ["o_custkey"], complete=False)
 
@@ -186,6 +198,50 @@ def interval_rule_counts(spark, d):
     return out.withColumn("closed_back", F.col("total_back") - F.col("open_back"))
 
 
+def late_rule_counts(spark, d):
+    """A start after the archive's end: the current feed alone, from that day on."""
+    lines = table(spark, d, "lineitem").select("l_orderkey", "l_shipdate", "l_returnflag")
+    archive = lines.filter(F.col("l_shipdate") < F.lit("1998-01-01").cast("timestamp_ntz"))
+    rules = {"total_back": F.col("l_returnflag") == "R"}
+    return pipelines.interval_rule_counts(
+        archive, C.filter_since(lines, "l_shipdate", "1997-10-01"), "1999-03-01", 30,
+        date_col="l_shipdate", id_col="l_orderkey", rules=rules,
+    )
+
+
+#: Offence texts that stand in for the types of a part, by the first word of `p_type`.
+OFFENCES = {
+    "PROMO": "MURDER & NON-NEGL. MANSLAUGHTER", "STANDARD": "ROBBERY", "SMALL": "FELONY ASSAULT",
+    "MEDIUM": "GRAND LARCENY", "LARGE": "GRAND LARCENY OF MOTOR VEHICLE", "ECONOMY": "DANGEROUS WEAPONS",
+}
+
+
+def _records(spark, d, levels: Sequence[str]) -> DataFrame:
+    """Line items as offence records: text from the part, level from the return flag."""
+    lines = table(spark, d, "lineitem").select("l_orderkey", "l_partkey", "l_shipdate", "l_returnflag")
+    parts = table(spark, d, "part").select("p_partkey", "p_type")
+    text, kind = F.lit("BURGLARY"), F.split("p_type", " ")[0]
+    for word, offence in OFFENCES.items():
+        text = F.when(kind == word, offence).otherwise(text)
+    level = F.when(F.col("l_returnflag") == "R", levels[0]).when(F.col("l_returnflag") == "A", levels[1]).otherwise("VIOLATION")
+    rows = lines.join(parts, lines.l_partkey == parts.p_partkey)
+    return rows.select("l_orderkey", "l_shipdate", text.alias("OFNS_DESC"), level.alias("LAW_CAT_CD"))
+
+
+def complaint_intervals(spark, d):
+    rows = _records(spark, d, pipelines.COMPLAINT_LEVELS)
+    return pipelines.interval_rule_counts(
+        rows, None, "1995-03-01", 30, date_col="l_shipdate", id_col="l_orderkey", rules=pipelines.complaint_rules()
+    )
+
+
+def arrest_intervals(spark, d):
+    rows = _records(spark, d, pipelines.ARREST_LEVELS)
+    return pipelines.interval_rule_counts(
+        rows, None, "1995-03-01", 30, date_col="l_shipdate", id_col="l_orderkey", rules=pipelines.arrest_rules()
+    )
+
+
 # ---------------------------------------------------------------- alignment
 
 
@@ -196,26 +252,27 @@ def align_inner(spark, d):
 def _order_and_item_bins(spark, d):
     origin = "1994-12-02"
     people = order_counts(spark, d, 30, origin=origin).select(*align.INTERVAL, "n_orders")
-    late = C.filter_since(table(spark, d, "lineitem"), "l_shipdate", "1996-01-01")
-    rows = late.select("l_shipdate", F.lit(1).cast("bigint").alias("items"))
+    rows = table(spark, d, "lineitem").select("l_shipdate", F.lit(1).cast("bigint").alias("items"))
     items = bins.resample_forward(rows, "l_shipdate", 30, sums=["items"], origin=origin)
     return people, items.select(*align.INTERVAL, "items")
 
 
 def align_left(spark, d):
+    """Items go on after the last order: their last intervals have no orders beside them."""
     people, items = _order_and_item_bins(spark, d)
-    return align.align_left(people, items)
+    return align.align_left(items, people)
 
 
 def study_table(spark, d):
     people, items = _order_and_item_bins(spark, d)
-    return rounded(pipelines.study_table(people, items, log_cols=["n_orders", "items"]), "n_orders", "items")
+    return rounded(pipelines.study_table(items, people, log_cols=["n_orders", "items"]), "n_orders", "items")
 
 
 def align_by_position(spark, d):
-    """Side by side on the interval number; unmatched positions are not padded."""
-    people = order_counts(spark, d).select("bin_idx", "n_orders")
-    return align.align([people, item_counts(spark, d).select("bin_idx", "items", "returned")], on=["bin_idx"])
+    """Side by side on the interval number, counted from one origin; unmatched positions are not padded."""
+    origin = "1994-12-02"
+    people = order_counts(spark, d, origin=origin).select("bin_idx", "n_orders")
+    return align.align([people, item_counts(spark, d, origin=origin).select("bin_idx", "items", "returned")], on=["bin_idx"])
 
 
 # ---------------------------------------------------------------- columns and order
@@ -317,7 +374,7 @@ def first_and_last(spark, d):
 
 def drop_and_rename(spark, d):
     people, items = _order_and_item_bins(spark, d)
-    joined = align.align_left(people, items).dropna("any")
+    joined = align.align_left(items, people).dropna("any")
     return joined.withColumnsRenamed({"n_orders": "orders", "items": "lines"}).drop("end_date")
 
 
@@ -332,6 +389,20 @@ def diff_2(spark, d):
     return signal.difference(order_series(spark, d), STATUS, "bin_idx", "n_orders", 2)
 
 
+def sparse_days(spark, d) -> DataFrame:
+    """Orders per day and status, days without orders left out: series with gaps."""
+    return settle(order_counts(spark, d, 1, STATUS, complete=False, fill=False).select(*STATUS, "bin_idx", "n_orders"))
+
+
+def diff_gaps(spark, d):
+    return signal.difference(sparse_days(spark, d), STATUS, "bin_idx", "n_orders", 1)
+
+
+def trend_gaps(spark, d):
+    out = signal.centered_trend(sparse_days(spark, d), STATUS, "bin_idx", "n_orders", 6)
+    return rounded(out.filter("trend is not null"), "trend")
+
+
 def decompose_additive(spark, d):
     out = signal.decompose_additive(order_series(spark, d), STATUS, "bin_idx", "n_orders")
     return rounded(out, "observed", "trend", "seasonal", "resid")
@@ -432,6 +503,12 @@ def ols_chrono(spark, d):
     return rounded(fit.metrics, "mse", "mae", digits=5)
 
 
+def ols_chrono_gaps(spark, d):
+    """Trend per status on series with gaps: the first rows train, not the first positions."""
+    fit = regression.fit_holdout(sparse_days(spark, d), "n_orders", ["bin_idx"], keys=STATUS)
+    return rounded(fit.metrics, "mse", "mae", digits=5)
+
+
 def ols_random(spark, d):
     fit = regression.fit_holdout(_matrix(spark, d), "n_orders", ["urgent", "items"], split="random", seed=7)
     return rounded(fit.metrics, "mse", "mae", digits=5)
@@ -457,13 +534,13 @@ def split_random(spark, d):
 
 def rf_importance(spark, d):
     rows = _matrix(spark, d)
-    model = importance.fit_forest(rows, "n_orders", MEASURES, trees=20, depth=10)
+    model = importance.fit_forest(rows, "n_orders", MEASURES)
     return importance.impurity_importance(model, MEASURES, rows)
 
 
 def permutation_importance(spark, d):
     rows = _matrix(spark, d)
-    model = importance.fit_forest(rows, "n_orders", MEASURES, trees=20, depth=10)
+    model = importance.fit_forest(rows, "n_orders", MEASURES)
     return importance.permutation_importance(model, rows, "n_orders", MEASURES, ["bin_idx"])
 
 
@@ -552,9 +629,14 @@ def stream_interval_counts(spark, d):
 
 
 def accumulate_snapshots(spark, d):
-    rows = _event_stream(spark, d).select(F.to_date("ts").alias("day"), "event_id", "user_id", F.lit(1).alias("delivery"))
+    """Every event is delivered once; those of odd users a second time, as a newer snapshot of
+    their day, in several files of mixed deliveries that come one by one."""
+    rows = table(spark, d, "events").select(F.to_date("ts").alias("day"), "event_id", "user_id")
+    twice = rows.select("*", F.explode(F.when(F.col("user_id") % 2 == 1, F.array(F.lit(2), F.lit(1))).otherwise(F.array(F.lit(1)))).alias("delivery"))
     target = f"{shared_folder(spark)}/snapshots-{uuid.uuid4().hex}"
-    streams.accumulate_snapshots(rows, target, f"{target}-log", "day", "delivery").awaitTermination()
+    twice.repartition(4, "user_id").write.parquet(f"{target}-feed")
+    feed = spark.readStream.schema(twice.schema).option("maxFilesPerTrigger", 1).parquet(f"{target}-feed")
+    streams.accumulate_snapshots(feed, target, f"{target}-log", "day", "delivery").awaitTermination()
     stored = spark.read.schema("event_id bigint, user_id bigint, delivery int, day date").parquet(target)
     return stored.groupBy("day").agg(F.count("event_id").alias("n_rows"))
 
@@ -564,14 +646,15 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     for f in (
         weekly_event_counts, daily_distinct_count, daily_conditional_counts, distinct_rows,
         resample_forward_sum, resample_forward_mean, resample_backward_mean_30, resample_backward_mean_7,
-        complete_bins, gap_fill, interpolate_linear, date_bounds, union_with_cutover, interval_rule_counts,
+        complete_bins, gap_fill, feed_calendar, feed_calendar_totals, interpolate_linear, date_bounds, union_with_cutover, interval_rule_counts,
+        late_rule_counts, complaint_intervals, arrest_intervals,
         align_inner, align_left, study_table, align_by_position,
         era_split, mean_median, group_stats, row_counts, elapsed_days, date_columns, derived_columns,
         round_half_even, filter_since, prefix_columns, first_and_last, drop_and_rename,
-        diff_1, diff_2, decompose_additive, acf24, pacf24, order_hint, stationary_signal,
+        diff_1, diff_2, diff_gaps, trend_gaps, decompose_additive, acf24, pacf24, order_hint, stationary_signal,
         adf_lag0, adf_test, adf_pvalues, ndiffs,
         pearson_matrix, corr_with_target, partial_corr, kde, kde_by_group, kmeans2, cluster_spans,
-        minmax_scale, ols_inference, ols_chrono, ols_random, ols_scaled_coefficients, ols_per_series,
+        minmax_scale, ols_inference, ols_chrono, ols_chrono_gaps, ols_random, ols_scaled_coefficients, ols_per_series,
         split_random, rf_importance, permutation_importance,
         rolling_origin_folds, backtest_ar1, backtest_grid, funnel_comparison, forecast12, forecast_best,
         csv_round_trip, json_round_trip, parse_json_records, stream_interval_counts, accumulate_snapshots,

@@ -5,6 +5,7 @@ from __future__ import annotations
 import datetime as dt
 from collections.abc import Sequence
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -39,22 +40,32 @@ def stream_interval_counts(
 def accumulate_snapshots(
     snapshots: DataFrame, path: str, checkpoint: str, day: str, version: str, *, available_now: bool = True
 ) -> StreamingQuery:
-    """Keep one snapshot per day: a later delivery of a day replaces the earlier one.
+    """Keep one snapshot per day: its newest delivery, by `version`.
 
-    Each micro-batch overwrites only the day partitions it brings, so a replayed batch
-    writes the same result. Within a batch only the newest `version` of a day counts.
+    The stored rows of a day are the distinct rows of the newest version that has come, in
+    whatever order deliveries arrive and however they are cut into micro-batches: a newer
+    version replaces a day, rows of the stored version join it, older ones are ignored.
+    Replaying a batch changes nothing. A batch is read once: its rows and the stored rows of
+    its days are staged beside the checkpoint, and only those days are overwritten.
     """
 
-    def replace_days(batch: DataFrame, _: int) -> None:
-        newest = batch.groupBy(F.col(day).alias("__day")).agg(F.max(version).alias("__version"))
-        kept = batch.join(newest, (F.col(day) == F.col("__day")) & F.col(version).eqNullSafe(F.col("__version")))
-        (
-            kept.drop("__day", "__version")
-            .write.mode("overwrite")
-            .option("partitionOverwriteMode", "dynamic")
-            .partitionBy(day)
-            .parquet(path)
-        )
-
-    writer = snapshots.writeStream.option("checkpointLocation", checkpoint).foreachBatch(replace_days)
+    def merge_days(batch: DataFrame, _: int) -> None:
+        session, names = batch.sparkSession, batch.columns
+        arrived, staged = f"{checkpoint}-staged/arrived", f"{checkpoint}-staged/merged"
+        batch.write.mode("overwrite").parquet(arrived)
+        rows = session.read.schema(batch.schema).parquet(arrived)
+        try:
+            stored = session.read.schema(batch.schema).parquet(path).select(*names)
+        except AnalysisException as missing:
+            if missing.getCondition() != "PATH_NOT_FOUND":
+                raise
+        else:
+            rows = rows.unionByName(stored.join(rows.select(day).distinct(), day, "left_semi").select(*names))
+        newest = rows.groupBy(F.col(day).alias("__day")).agg(F.max(version).alias("__version"))
+        same = F.col(day).eqNullSafe(F.col("__day")) & F.col(version).eqNullSafe(F.col("__version"))
+        rows.join(newest, same).select(*names).distinct().write.mode("overwrite").parquet(staged)
+        merged = session.read.schema(batch.schema).parquet(staged)
+        merged.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(day).parquet(path)
+
+    writer = snapshots.writeStream.option("checkpointLocation", checkpoint).foreachBatch(merge_days)
     return (writer.trigger(availableNow=True) if available_now else writer).start()
