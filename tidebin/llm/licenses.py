@@ -7,8 +7,8 @@ word sets with enough in common share a word of their prefixes in that order, so
 and templates are joined on prefix words alone; length and position bounds drop more
 pairs before whole sets are compared. Texts that hold no prefix word are not cut at all.
 
-The templates are a parameter of bounded size; Spark broadcasts their index if it is
-below its own limit and shuffles otherwise.
+The templates are a parameter; their index is broadcast up to BROADCAST_ROWS rows, and
+joined by a shuffle beyond.
 """
 
 from __future__ import annotations
@@ -24,6 +24,8 @@ WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 GAP = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 THRESHOLD = 0.85
 WINDOW, STEP = 96, 48
+#: Index rows (template and prefix word) up to which the index is broadcast.
+BROADCAST_ROWS = 20_000
 
 #: Phrases whose places are counted, and their labels (fixed values).
 PHRASES = {
@@ -114,6 +116,8 @@ def matches(
         index += [(number, label, w, i, need, ordered) for i, w in enumerate(ordered[: len(ordered) - need + 1])]
     least = min(row[4] for row in index)
     prefixes = df.sparkSession.createDataFrame(index, "template int, label string, word string, t_at int, need int, t_words array<string>")
+    if len(index) <= BROADCAST_ROWS:
+        prefixes = F.broadcast(prefixes)
     rows = df.select(F.col(doc_id).alias("doc_id"), lowered(text).alias("low")).filter(any_of(F.col("low"), sorted({r[2] for r in index})))
     rows = rows.select("doc_id", words(F.col("low")).alias("words")).filter(F.size("words") > 0)
     known = F.array(*map(F.lit, order))
