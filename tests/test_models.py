@@ -199,3 +199,12 @@ def test_folds_cover_whole_windows(table):
         g = g.sort_values("bin_idx")
         assert g.bin_idx.tolist() == list(range(15 * f, 15 * f + 30))
         assert g.role.tolist() == ["train"] * 20 + ["test"] * 10
+
+
+def test_many_pvalues_at_once():
+    from tidebin.functions.special import student_t_pvalue, student_t_pvalues
+
+    t = np.array([0.0, 0.3, -1.5, 2.228, 40.0, np.inf, np.nan, 1.96, 1e-9])
+    df = np.array([3.0, 1.0, 7.0, 10.0, 5.0, 3.0, 3.0, 1e6, 2.0])
+    want = [student_t_pvalue(a, b) for a, b in zip(t, df)]
+    assert np.allclose(student_t_pvalues(t, df), want, rtol=1e-12, equal_nan=True)

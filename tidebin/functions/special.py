@@ -59,6 +59,30 @@ def trend_pvalue(stat: float, n: int) -> float:
     return float(np.interp(stat, row, TREND_P))
 
 
+def student_t_pvalues(t: np.ndarray, df: np.ndarray) -> np.ndarray:
+    """`student_t_pvalue` of many values at once."""
+    t, df = np.asarray(t, dtype=float), np.asarray(df, dtype=float)
+    out = np.full(t.shape, np.nan)
+    good = np.isfinite(t) & (df > 0)
+    a, x = df[good] / 2.0, df[good] / (df[good] + t[good] ** 2)
+    b = np.full(len(a), 0.5)
+    swap = x > (a + 1.0) / (a + b + 2.0)
+    a, b, x = np.where(swap, b, a), np.where(swap, a, b), np.where(swap, 1.0 - x, x)
+    logs = {v: math.lgamma(v) for v in np.unique(np.concatenate([a, b, a + b])).tolist()}
+    log_gamma = np.vectorize(logs.get, otypes=[float])
+    tail = np.zeros(len(a))
+    for m in range(400, 0, -1):
+        k = m // 2
+        coef = -(a + k) * (a + b + k) * x / ((a + 2 * k) * (a + 2 * k + 1)) if m % 2 else k * (b - k) * x / ((a + 2 * k - 1) * (a + 2 * k))
+        tail = coef / (1.0 + tail)
+    if len(a):
+        with np.errstate(divide="ignore"):
+            front = log_gamma(a + b) - log_gamma(a) - log_gamma(b) + a * np.log(x) + b * np.log1p(-x)
+        value = np.where(x <= 0.0, 0.0, np.exp(front) / (a * (1.0 + tail)))
+        out[good] = np.where(swap, 1.0 - value, value)
+    return out
+
+
 def student_t_pvalue(t: float, df: float) -> float:
     """Two-sided p-value, as the regularised incomplete beta I_x(df/2, 1/2)."""
     if not (math.isfinite(t) and df > 0):

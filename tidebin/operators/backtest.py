@@ -18,7 +18,7 @@ from pyspark.sql import types as T
 
 from tidebin.operators.common import attach, with_lags
 from tidebin.operators.moments import moment_columns
-from tidebin.operators.regression import solve
+from tidebin.operators.regression import solve, stacked
 from tidebin.operators.signal import difference_of
 
 
@@ -87,24 +87,27 @@ def _with_designs(df, keys, pos, y, ds, pmax, exog):
 
 
 def _sub_model(mean: np.ndarray, cov: np.ndarray, xs: Sequence[int], p: int, m: int) -> tuple[np.ndarray, np.ndarray]:
-    """Moments of target, chosen exogenous columns and the first p lags."""
+    """Moments of target, chosen exogenous columns and the first p lags, for a stack of systems."""
     pick = [0, *[1 + j for j in xs], *[1 + m + i for i in range(p)]]
-    return mean[pick], cov[np.ix_(pick, pick)]
+    return mean[:, pick], cov[:, pick][:, :, pick]
 
 
-def _recurse(levels: np.ndarray, d: int, slopes: np.ndarray, const: float, p: int, x: np.ndarray) -> np.ndarray:
-    """Forecast as many steps as `x` has rows. `levels` holds the last values, newest first."""
-    k = x.shape[1]
-    past = list(levels[: p + d + 1][::-1])
-    diffs = list(np.diff(past, d)) if d else list(past)
+def _recurse(levels: np.ndarray, d: int, slopes: np.ndarray, const: np.ndarray, p: int, x: np.ndarray) -> np.ndarray:
+    """Forecast many series as many steps as `x` (series, steps, columns) has. `levels` holds
+    the last values of each, newest first."""
+    k = x.shape[2]
+    past = [*levels[:, : p + d + 1][:, ::-1].T]
+    diffs = [*(np.diff(np.array(past), d, axis=0) if d else past)]
     out = []
-    for row in x:
-        w = const + row @ slopes[:k] + sum(slopes[k + i] * diffs[-1 - i] for i in range(p))
+    for step in range(x.shape[1]):
+        w = const + np.einsum("mj,mj->m", x[:, step], slopes[:, :k])
+        for i in range(p):
+            w = w + slopes[:, k + i] * diffs[-1 - i]
         diffs.append(w)
         value = w if d == 0 else past[-1] + w if d == 1 else 2 * past[-1] - past[-2] + w
         past.append(value)
         out.append(value)
-    return np.array(out)
+    return np.column_stack(out) if out else np.empty((len(levels), 0))
 
 
 _SCORES = T.ArrayType(
@@ -123,26 +126,29 @@ def _scorer(orders: Sequence[tuple[int, int]], sets: Mapping[str, Sequence[int]]
     def score(
         d: pd.Series, n: pd.Series, mean: pd.Series, cov: pd.Series, levels: pd.Series, actual: pd.Series, x: pd.Series
     ) -> pd.Series:
-        out = []
-        for dd, size, mu, c, lv, y, xs in zip(d, n, mean, cov, levels, actual, x):
-            cells = []
-            y = np.asarray(y, dtype=float)
-            future = np.asarray(xs, dtype=float).reshape(len(y), m)
-            ready = size > 0 and len(y) == horizon and lv is not None and not any(v is None for v in mu)
-            if ready:
-                mu = np.asarray(mu, dtype=float)
-                c = np.asarray(c, dtype=float).reshape(len(mu), len(mu))
-                lv = np.asarray(lv, dtype=float)
+        out = [[(name, p, None) for p, order_d in orders if order_d == dd for name in sets] for dd in d]
+        ready = [
+            i for i, (size, mu, lv, y) in enumerate(zip(n, mean, levels, actual))
+            if size > 0 and len(y) == horizon and lv is not None and not any(v is None for v in mu)
+        ]
+        for dd in sorted({d.iloc[i] for i in ready}):
+            where = np.array([i for i in ready if d.iloc[i] == dd], dtype=int)
+            mu, c = stacked(mean, cov, where)
+            size = n.to_numpy()[where].astype(float)
+            lv = np.array([np.asarray(levels.iloc[i], dtype=float) for i in where])
+            y = np.array([np.asarray(actual.iloc[i], dtype=float) for i in where])
+            future = np.array([np.asarray(x.iloc[i], dtype=float) for i in where]).reshape(len(where), horizon, m)
+            cell = 0
             for p in [p for p, order_d in orders if order_d == dd]:
                 for name, cols in sets.items():
-                    mae = None
-                    if ready and size > p + len(cols) + 1:
-                        sub_mean, sub_cov = _sub_model(mu, c, cols, p, m)
-                        slopes, const, _, _ = solve(int(size), sub_mean, sub_cov)
-                        err = np.abs(_recurse(lv, int(dd), slopes, const, p, future[:, list(cols)]) - y)
-                        mae = float(err.mean()) if np.isfinite(err).all() else None
-                    cells.append((name, p, mae))
-            out.append(cells)
+                    fits = np.flatnonzero(size > p + len(cols) + 1)
+                    if len(fits):
+                        slopes, const, _, _ = solve(size[fits], *_sub_model(mu[fits], c[fits], cols, p, m))
+                        path = _recurse(lv[fits], int(dd), slopes, const, p, future[fits][:, :, list(cols)])
+                        err = np.abs(path - y[fits])
+                        for j, e in zip(fits, err):
+                            out[where[j]][cell] = (name, p, float(e.mean()) if np.isfinite(e).all() else None)
+                    cell += 1
         return pd.Series(out)
 
     return score
@@ -217,17 +223,16 @@ def funnel_comparison(grid: DataFrame, keys: Sequence[str], baseline: str = "non
 def _forecaster(horizon: int):
     @F.pandas_udf(T.ArrayType(T.DoubleType()))
     def project(d: pd.Series, p: pd.Series, n: pd.Series, mean: pd.Series, cov: pd.Series, levels: pd.Series) -> pd.Series:
-        out = []
-        for dd, pp, size, mu, c, lv in zip(d, p, n, mean, cov, levels):
-            if size <= pp + 1 or any(v is None for v in mu):
-                out.append(None)
-                continue
-            mu = np.asarray(mu, dtype=float)
-            c = np.asarray(c, dtype=float).reshape(len(mu), len(mu))
-            sub_mean, sub_cov = _sub_model(mu, c, [], int(pp), 0)
-            slopes, const, _, _ = solve(int(size), sub_mean, sub_cov)
-            path = _recurse(np.asarray(lv, dtype=float), int(dd), slopes, const, int(pp), np.zeros((horizon, 0)))
-            out.append(path.tolist())
+        out: list = [None] * len(n)
+        ready = [i for i, (size, pp, mu) in enumerate(zip(n, p, mean)) if size > pp + 1 and not any(v is None for v in mu)]
+        for dd, pp in sorted({(d.iloc[i], p.iloc[i]) for i in ready}):
+            where = np.array([i for i in ready if d.iloc[i] == dd and p.iloc[i] == pp], dtype=int)
+            mu, c = stacked(mean, cov, where)
+            lv = np.array([np.asarray(levels.iloc[i], dtype=float) for i in where])
+            slopes, const, _, _ = solve(n.to_numpy()[where].astype(float), *_sub_model(mu, c, [], int(pp), 0))
+            paths = _recurse(lv, int(dd), slopes, const, int(pp), np.zeros((len(where), horizon, 0)))
+            for i, path in zip(where, paths):
+                out[i] = path.tolist()
         return pd.Series(out)
 
     return project

@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tidebin.functions.special import student_t_pvalue
+from tidebin.functions.special import student_t_pvalues
 from tidebin.operators.common import BLOCK, attach, block_of, block_window
 from tidebin.operators.moments import moment_columns
 from tidebin.operators.ordering import with_random_index
@@ -90,44 +90,55 @@ _FIT = T.StructType(
 )
 
 
-def solve(n: int, mean: np.ndarray, cov: np.ndarray) -> tuple[np.ndarray, float, np.ndarray, float] | None:
+def solve(n: np.ndarray, mean: np.ndarray, cov: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Slopes, constant, inverse of the centred cross-products and residual sum of squares
-    of variable 0 on the others. Redundant columns share their effect (pseudo-inverse)."""
-    a, b = n * cov[1:, 1:], n * cov[1:, 0]
-    scale = np.sqrt(np.maximum(np.diag(a), 0.0))
+    of variable 0 on the others, for a stack of systems of one size. Redundant columns share
+    their effect (pseudo-inverse)."""
+    a, b = n[:, None, None] * cov[:, 1:, 1:], n[:, None] * cov[:, 1:, 0]
+    scale = np.sqrt(np.maximum(np.diagonal(a, axis1=1, axis2=2), 0.0))
     scale[scale == 0] = 1.0
-    inv = np.linalg.pinv(a / np.outer(scale, scale), rcond=1e-13, hermitian=True) / np.outer(scale, scale)
-    slopes = inv @ b
-    ssr = max(float(n * cov[0, 0] - b @ slopes), 0.0)
-    return slopes, float(mean[0] - slopes @ mean[1:]), inv, ssr
-
-
-def _infer(n: int, mean, cov) -> tuple:
-    k = len(mean)
-    if n <= k or any(v is None for v in mean):
-        return None, None, None, None, None, None, None, None
-    mean = np.asarray(mean, dtype=float)
-    cov = np.asarray(cov, dtype=float).reshape(k, k)
-    slopes, const, inv, ssr = solve(n, mean, cov)
-    dof = n - k
-    sigma2 = ssr / dof
-    var = np.append(np.diag(inv), 1.0 / n + mean[1:] @ inv @ mean[1:]) * sigma2
-    coef = np.append(slopes, const)
-    se = np.sqrt(np.maximum(var, 0.0))
-    with np.errstate(divide="ignore", invalid="ignore"):
-        t = coef / se
-    p = [student_t_pvalue(float(v), dof) for v in t]
-    sst = n * cov[0, 0]
-    r2 = 1.0 - ssr / sst if sst > 0 else None
-    adj = None if r2 is None else 1.0 - (1.0 - r2) * (n - 1) / dof
-    aic = n * (np.log(2 * np.pi) + np.log(ssr / n) + 1) + 2 * k if ssr > 0 else None
-    return coef.tolist(), se.tolist(), t.tolist(), p, r2, adj, aic, dof
+    both = scale[:, :, None] * scale[:, None, :]
+    inv = np.linalg.pinv(a / both, rcond=1e-13, hermitian=True) / both if a.size else a
+    slopes = np.einsum("mij,mj->mi", inv, b)
+    ssr = np.maximum(n * cov[:, 0, 0] - np.einsum("mi,mi->m", b, slopes), 0.0)
+    return slopes, mean[:, 0] - np.einsum("mi,mi->m", slopes, mean[:, 1:]), inv, ssr
+
+
+def stacked(mean: pd.Series, cov: pd.Series, where: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The moments of the chosen rows, which have equal sizes, as arrays."""
+    means = np.array([np.asarray(mean.iloc[i], dtype=float) for i in where])
+    k = means.shape[1]
+    return means, np.array([np.asarray(cov.iloc[i], dtype=float) for i in where]).reshape(-1, k, k)
 
 
 @F.pandas_udf(_FIT)
 def _fit(n: pd.Series, mean: pd.Series, cov: pd.Series) -> pd.DataFrame:
-    rows = [_infer(int(size), m, c) for size, m, c in zip(n, mean, cov)]
-    return pd.DataFrame(rows, columns=_FIT.names).astype({"df_resid": "Int64"})
+    out: list = [(None,) * len(_FIT.names)] * len(n)
+    where = np.array([i for i, (size, m) in enumerate(zip(n, mean)) if size > len(m) and not any(v is None for v in m)], dtype=int)
+    if len(where):
+        means, covs = stacked(mean, cov, where)
+        size, k = n.to_numpy()[where].astype(float), means.shape[1]
+        slopes, const, inv, ssr = solve(size, means, covs)
+        dof = size - k
+        sigma2 = ssr / dof
+        spread = np.einsum("mi,mij,mj->m", means[:, 1:], inv, means[:, 1:])
+        var = np.column_stack([np.diagonal(inv, axis1=1, axis2=2), 1.0 / size + spread]) * sigma2[:, None]
+        coef = np.column_stack([slopes, const])
+        se = np.sqrt(np.maximum(var, 0.0))
+        with np.errstate(divide="ignore", invalid="ignore"):
+            t = coef / se
+            p = student_t_pvalues(t, np.broadcast_to(dof[:, None], t.shape))
+            sst = size * covs[:, 0, 0]
+            r2 = 1.0 - ssr / sst
+            adj = 1.0 - (1.0 - r2) * (size - 1) / dof
+            aic = size * (np.log(2 * np.pi) + np.log(ssr / size) + 1) + 2 * k
+        for j, i in enumerate(where):
+            known = sst[j] > 0
+            out[i] = (
+                coef[j].tolist(), se[j].tolist(), t[j].tolist(), p[j].tolist(), r2[j] if known else None,
+                adj[j] if known else None, aic[j] if ssr[j] > 0 else None, int(dof[j]),
+            )
+    return pd.DataFrame(out, columns=_FIT.names).astype({"df_resid": "Int64"})
 
 
 def ols_fit(
