@@ -170,6 +170,20 @@ WITH RECURSIVE words AS (
 SELECT r.a AS doc_id, s.n AS n_shingles, min(r.b) AS component_id FROM reach r JOIN sizes s ON s.doc_id = r.a GROUP BY 1, 2
 """
 
+OP6 = f"""
+WITH RECURSIVE good AS (
+  SELECT vec_id, label, embedding::DOUBLE[] AS v FROM embeddings
+  WHERE label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(embedding, lambda x: x <> 0)) > 0
+), links AS (
+  SELECT a.vec_id AS a, b.vec_id AS b FROM good a JOIN good b ON a.label = b.label AND a.vec_id <> b.vec_id AND len(a.v) = len(b.v)
+  WHERE list_cosine_similarity(a.v, b.v) >= {graph_dedup.SIMILAR}
+), reach AS (SELECT vec_id AS a, vec_id AS b FROM embeddings UNION SELECT r.a, l.b FROM reach r JOIN links l ON l.a = r.b
+), groups AS (SELECT a AS vec_id, min(b) AS component_id FROM reach GROUP BY 1
+), counts AS (SELECT a AS vec_id, count(*) AS n FROM links GROUP BY 1)
+SELECT vec_id, coalesce(n, 0) AS n_links, component_id, vec_id = component_id AS kept FROM groups LEFT JOIN counts USING (vec_id)
+"""
+
+
 def _filled_sql(nodes: str, parent: str) -> str:
     """SQL of one level of budgets, over nodes(path..., node, room, weight, parent_budget)."""
     return f"""
@@ -226,4 +240,4 @@ FROM base b LEFT JOIN best USING (doc_id)
 """
 
 
-ORACLES: dict[str, str] = {"op2_licenses": _license_sql(), "op5_ngram_jaccard": OP5, "op8_mixing": OP8}
+ORACLES: dict[str, str] = {"op2_licenses": _license_sql(), "op5_ngram_jaccard": OP5, "op6_embedding_dedup": OP6, "op8_mixing": OP8}
