@@ -33,11 +33,11 @@ def _test_folder() -> str:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The cluster's shared folder (`spark.checkpoint.dir`).
+    """The cluster's shared folder: `spark.checkpoint.dir`, or the context's checkpoint folder.
 
     Only a local session that names none, such as a test, gets a temporary one.
     """
-    folder = spark.conf.get("spark.checkpoint.dir", None)
+    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if folder:
         return folder.rstrip("/")
     if not spark.sparkContext.master.startswith("local"):
