@@ -5,8 +5,8 @@ product is the smallest distance. They are rotated at random and stored in lists
 nearest centre, each list in blocks of limited size. A query probes its nearest lists. In
 a list the rotated columns are read block by block: after each block, the distance so far,
 scaled to all dimensions, tests the hypothesis that the candidate is among the nearest;
-candidates that fail leave early. The bound comes from the query's nearest list, which is
-scanned first, and tightens with every list block. Survivors are scored on the original
+candidates that fail leave early. The bound comes from the query's few nearest lists,
+which are scanned first; of the others only candidates within it are handed on. Survivors are scored on the original
 vectors in double precision.
 
 Centres come from at most `SAMPLE` vectors; every vector is in a list. How many lists a
@@ -29,6 +29,8 @@ from tidebin.llm.vectors import matrix, valid
 NEAREST = 20
 LIST_VECTORS = 1000
 MAX_LISTS = 4096
+#: Lists that a query scans first, for the bound that the others start with.
+FIRST_LISTS = 4
 SAMPLE = 50_000
 #: Vectors of a list that one task scans together.
 BLOCK = 4096
@@ -109,6 +111,9 @@ def scan(
                         best = np.einsum("ij,ij->i", full, full).max()
                     keep = part * (dims / end) <= best * (1 + EPSILON / end**0.5) ** 2
                     left, part = left[keep], part[keep]
+            # what the bound's list has beaten can't be among the nearest
+            inside = part <= limit[i] * (1 + 1e-9) + 1e-12
+            left, part = left[inside], part[inside]
             if len(left) > nearest:
                 kth = np.partition(part, nearest - 1)[nearest - 1]
                 left = left[part <= kth * (1 + 1e-9) + 1e-12]
@@ -231,14 +236,14 @@ def nearest_neighbours(df: DataFrame, vec_id: str, vector: str, is_query: Column
     queries = rows.filter("__query").select(F.col("vec_id").alias("query_id"), F.col("vec").alias("q"))
     probes = lists_to_probe(rows, queries, centres, longest, nearest, recall)
     index = settle(_index(rows, centres, longest))
-    first = settle(_best(_searched(index, _probes(queries, centres, longest, 0, 1), longest, nearest), nearest))
-    # the distance of the last of `nearest` found in the first list bounds the others
+    first = settle(_best(_searched(index, _probes(queries, centres, longest, 0, min(FIRST_LISTS, probes)), longest, nearest), nearest))
+    # the distance of the last of `nearest` found in the first lists bounds the others
     ends = first.filter(F.col("rank") == nearest).select(F.col("query_id").alias("end_id"), F.col("score").alias("end"))
     q2 = F.aggregate("q", F.lit(0.0), lambda a, v: a + v * v)
     distance = F.greatest(F.lit(0.0), q2 + longest * longest - 2 * F.col("end")) * (1 + 1e-9) + 1e-12
     bound = F.when(F.col("end").isNotNull(), distance).otherwise(F.lit(float("inf")))
     bounded = queries.join(ends, F.col("query_id") == F.col("end_id"), "left").select("query_id", "q", bound.alias("bound"))
-    more = _searched(index, _probes(bounded, centres, longest, 1, probes), longest, nearest) if probes > 1 else None
+    more = _searched(index, _probes(bounded, centres, longest, FIRST_LISTS, probes), longest, nearest) if probes > FIRST_LISTS else None
     found = first.select("query_id", "vec_id", "score")
     best = _best(found if more is None else found.unionByName(more), nearest)
     return best.select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
