@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 from tidebin.llm.shared import settle
 
 TOKEN_TYPE = "<u4"
-BLOCK_TOKENS = 1 << 18
+BLOCK_TOKENS = 1 << 16
 #: Blocks whose sums make one row of the upper level of the prefix scan.
 GROUP_BLOCKS = 1024
 
