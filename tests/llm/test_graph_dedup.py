@@ -49,6 +49,24 @@ def test_recall_against_every_pair(spark, monkeypatch, shard):
         assert got == want
 
 
+@pytest.mark.parametrize("block", [64, 4096])
+def test_group_cut_among_many_shards(spark, monkeypatch, block):
+    """A group larger than the shards of a point keeps every link, in one label of several."""
+    monkeypatch.setattr(G, "SHARD_POINTS", 40)
+    monkeypatch.setattr(G, "BLOCK", block, raising=False)
+    rng = np.random.default_rng(5)
+    x = rng.normal(size=(700, 24))
+    x[:300] = x[0] + 0.1 * rng.normal(size=(300, 24))
+    x[300:400] = x[np.repeat(np.arange(400, 450), 2)] + 0.02 * rng.normal(size=(100, 24))
+    x[:8] = x[8:16]
+    rows = [(i, [float(np.float32(v)) for v in x[i]], int(i % 7 == 0)) for i in map(int, rng.permutation(700))]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int").repartition(4)
+    got = {r.vec_id: (r.n_links, r.component_id, r.kept) for r in G.near_duplicates(df, "vec_id", "embedding", "label").collect()}
+    want = plain(rows)
+    assert max(w[0] for w in want.values()) > 150
+    assert got == want
+
+
 def test_exact_blocks_when_the_graph_fails(spark, monkeypatch):
     monkeypatch.setattr(G, "search", lambda x, graph, medoid, at, seen, threshold: np.empty(0, np.int64))
     rows = vectors(2, 300)

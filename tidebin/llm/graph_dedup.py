@@ -9,8 +9,14 @@ medoid, then expanding from everything found in range until nothing new is. Cand
 are verified in double precision.
 
 Each shard audits its search against exact comparison for some of its points, and one
-that misses links is compared exactly, block by block. A second audit compares some
-points with all others; if links between shards are missed, `overlap` grows.
+that misses links is compared exactly, block by block.
+
+Links between points that share no shard are found exactly, without an audit. A point in
+range of `p` whose nearest centre is B lies on B's side of the plane between B and any
+other centre, so `p` is within the range of that plane. A point is compared, block by
+block, with the points nearest to each centre for which this holds and that is none of
+its own shards. On vectors without clusters that is a large part of the centres, and the
+work grows with the square of a label; for a group of near copies it is all of them.
 
 No pair leaves a task: a pair is counted in the first shard that its points share, and
 what leaves is a number of links for each point and one tree edge for each further point
@@ -40,8 +46,12 @@ ALPHA = 1.2
 BEAM = 8
 #: Differences of 1 - cosine that are rounding in single precision.
 NOISE = 1e-5
-#: Points of a shard, and of all, whose exact links the audits compare.
-AUDIT_SHARD, AUDIT_ALL = 48, 200
+#: Shards of a point.
+OVERLAP = 2
+#: Points on either side that a task compares when it looks for links between shards.
+BLOCK = 4096
+#: Points of a shard whose exact links the audit compares.
+AUDIT_SHARD = 48
 RECALL = 0.99
 #: The search widens over points up to this many times as far (in 1 - cosine) as the threshold:
 #: a pruned neighbour is reached through one that may lie outside the range itself.
@@ -208,52 +218,88 @@ def _centres(points: DataFrame) -> dict[object, np.ndarray]:
     return {label: unit(np.array(rows)) for label, rows in out.items()}
 
 
-def _placed(points: DataFrame, centres: dict[object, np.ndarray], overlap: int) -> DataFrame:
-    """A row for each shard of a point, with all its shards in `homes`."""
+def _placed(points: DataFrame, centres: dict[object, np.ndarray], overlap: int, threshold: float) -> DataFrame:
+    """Every point with its nearest shard in `first`, all its shards in `homes`, and in
+    `others` those whose nearest points may be in range of it though it is not in them."""
     sent = points.sparkSession.sparkContext.broadcast(centres)
-    schema = f"label {points.schema['label'].dataType.simpleString()}, point long, copies long, vec array<double>, homes array<int>"
+    schema = f"label {points.schema['label'].dataType.simpleString()}, point long, copies long, vec array<double>, first int, homes array<int>, others array<int>"
+    far = (2 * (1 - threshold)) ** 0.5
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         none = np.zeros((1, 1))
+        gaps: dict[object, np.ndarray] = {}
         for batch in batches:
             labels = batch.column(0).to_pylist()
             x = unit(matrix(batch.column(3)))
+            first = np.zeros(len(labels), np.int32)
             homes: list = [None] * len(labels)
+            others: list = [np.empty(0, np.int32)] * len(labels)
             for label in set(labels):
                 rows = np.array([i for i, v in enumerate(labels) if v == label])
                 c = sent.value.get(label, none)
-                if len(c) <= overlap:
-                    best = np.tile(np.arange(len(c)), (len(rows), 1))
+                if len(c) == 1:
+                    best = np.zeros((len(rows), 1), int)
                 else:
-                    best = np.argsort(-(x[rows] @ c.T), axis=1)[:, :overlap]
+                    sims = x[rows] @ c.T
+                    best = np.argsort(-sims, axis=1)[:, :overlap]
+                    if label not in gaps:
+                        gaps[label] = np.sqrt(np.maximum(0.0, 2 - 2 * (c @ c.T)))
+                    near = np.ones(sims.shape, bool)
+                    for own in best.T:
+                        near &= np.take_along_axis(sims, own[:, None], 1) - sims <= far * gaps[label][own] + NOISE
+                    np.put_along_axis(near, best, False, axis=1)
+                    for i, b in zip(rows, near):
+                        others[i] = np.flatnonzero(b).astype(np.int32)
+                first[rows] = best[:, 0]
                 for i, b in zip(rows, best):
                     homes[i] = np.sort(b).astype(np.int32)
-            yield pa.RecordBatch.from_arrays([*batch.columns[:4], pa.array(homes, pa.list_(pa.int32()))], names=["label", "point", "copies", "vec", "homes"])
+            lists = [pa.array(v, pa.list_(pa.int32())) for v in (homes, others)]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:4], pa.array(first), *lists], names=["label", "point", "copies", "vec", "first", "homes", "others"])
 
-    placed = points.select("label", "point", "copies", "vec").mapInArrow(run, schema)
-    return placed.select("*", F.explode("homes").alias("shard"))
+    return points.select("label", "point", "copies", "vec").mapInArrow(run, schema)
 
 
-def _audit(points: DataFrame, found: DataFrame, threshold: float) -> float:
-    """Share of the exact links of some points that the search has counted."""
-    some = points.orderBy(F.xxhash64("point", F.lit(1)), "point").limit(AUDIT_ALL).select("label", "point", "copies", "vec").collect()
-    if not some:
-        return 1.0
-    sent = points.sparkSession.sparkContext.broadcast([(r.label, r.point, unit(np.array([r.vec]))[0]) for r in some])
+def _between_rows(placed: DataFrame, threshold: float) -> DataFrame:
+    """`point`, `links` (vectors of points in range that share no shard with it), `root`."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            labels, ids, copies = batch.column(0).to_pylist(), batch.column(1).to_numpy(), batch.column(2).to_numpy()
-            x = unit(matrix(batch.column(3)))
-            close = x @ np.array([q for *_, q in sent.value]).T >= threshold
-            same = np.array([[a == b for b, *_ in sent.value] for a in labels])
-            other = ids[:, None] != np.array([p for _, p, _ in sent.value])
-            counts = ((close & same & other) * copies[:, None]).sum(axis=0)
-            yield pa.RecordBatch.from_arrays([pa.array([p for _, p, _ in sent.value]), pa.array(counts)], names=["point", "want"])
-
-    want = points.select("label", "point", "copies", "vec").mapInArrow(run, "point long, want long").groupBy("point").agg(F.sum("want").alias("want"))
-    both = want.join(found, "point").agg(F.sum("want"), F.sum("links")).first()
-    return both[1] / both[0] if both[0] else 1.0
+    def run(key: tuple, asking: pa.Table, asked: pa.Table) -> pa.Table:
+        ids = np.r_[asking["point"].to_numpy(), asked["of_point"].to_numpy()]
+        n = len(asking)
+        links, roots = np.zeros(len(ids), np.int64), ids.copy()
+        if n and len(asked):
+            x, y = unit(matrix(asking["vec"])), unit(matrix(asked["of_vec"]))
+            copies = asked["of_copies"].to_numpy()
+            mine, theirs = (matrix(c).astype(int) for c in (asking["homes"], asked["of_homes"]))
+            for start in range(0, n, 256):
+                close = x[start : start + 256] @ y.T >= threshold
+                for i in np.flatnonzero(close.any(axis=1)):
+                    row, found = start + i, np.flatnonzero(close[i])
+                    met = np.unique(np.r_[roots[row], roots[n + found]])
+                    if len(met) > 1:
+                        roots[np.isin(roots, met)] = met[0]
+                    apart = ~(theirs[found][:, :, None] == mine[row]).any(axis=(1, 2))
+                    links[row] = copies[found[apart]].sum()
+        some = np.flatnonzero((links > 0) | (roots != ids))
+        return pa.table({"point": ids[some], "links": links[some], "root": roots[some]})
+
+    about = ["point", "copies", "vec", "homes"]
+    asking = placed.select("label", F.explode("others").alias("shard"), *about)
+    asked = placed.select("label", F.col("first").alias("shard"), *about)
+    blocks = asked.groupBy("label", "shard").agg(F.ceil(F.count("point") / BLOCK).cast("int").alias("blocks"))
+    parts = asking.groupBy("label", "shard").agg(F.ceil(F.count("point") / BLOCK).cast("int").alias("parts"))
+    sizes = settle(blocks.join(parts, ["label", "shard"]))
+
+    def one(count: str) -> F.Column:
+        return F.pmod(F.xxhash64("point"), F.col(count)).cast("int")
+
+    def each(count: str) -> F.Column:
+        return F.explode(F.sequence(F.lit(0), F.col(count) - 1))
+
+    names = ["label", "shard", "block", "part"]
+    left = asking.join(sizes, ["label", "shard"]).withColumn("part", one("parts")).withColumn("block", each("blocks"))
+    right = asked.join(sizes, ["label", "shard"]).withColumn("block", one("blocks")).withColumn("part", each("parts"))
+    left, right = left.select(*names, *about), right.select([F.col(c).alias(f"of_{c}") for c in names + about])
+    return left.groupBy(*names).cogroup(right.groupBy([f"of_{c}" for c in names])).applyInArrow(run, "point long, links long, root long")
 
 
 def near_duplicates(df: DataFrame, vec_id: str, vector: str, label: str, threshold: float = SIMILAR) -> DataFrame:
@@ -267,13 +313,13 @@ def near_duplicates(df: DataFrame, vec_id: str, vector: str, label: str, thresho
     same = rows.groupBy("label", "vec").agg(F.min("vec_id").alias("point"), F.count("vec_id").alias("copies"))
     points = settle(same)
     centres = _centres(points)
-    for overlap in (2, 3, 4):
-        placed = settle(_placed(points, centres, overlap))
-        united = _graph_rows(placed)
-        searched = settle(_search_rows(placed.join(united, "point"), threshold))
-        links = settle(searched.groupBy("point").agg(F.sum("links").alias("links")))
-        if _audit(points, links, threshold) >= RECALL or all(len(c) <= overlap for c in centres.values()):
-            break
+    placed = settle(_placed(points, centres, OVERLAP, threshold))
+    shards = placed.select("*", F.explode("homes").alias("shard"))
+    united = _graph_rows(shards)
+    searched = settle(_search_rows(shards.join(united, "point"), threshold))
+    if any(len(c) > OVERLAP for c in centres.values()):
+        searched = searched.unionByName(settle(_between_rows(placed, threshold)))
+    links = settle(searched.groupBy("point").agg(F.sum("links").alias("links")))
     groups = components(searched.select(F.col("point").alias("a"), F.col("root").alias("b")))
     of_point = points.join(links, "point").join(groups, F.col("point") == F.col("node"), "left")
     of_point = of_point.select("label", "vec", (F.col("links") + F.col("copies") - 1).alias("n_links"), F.coalesce("component", "point").alias("component"))
