@@ -71,6 +71,17 @@ def test_random_keys_found_and_names_left_alone():
     assert secrets.known("123e4567-e89b-12d3-a456-426614174000") and secrets.known("d41d8cd98f00b204e9800998ecf8427e")
 
 
+def test_random_strings_of_one_case_found_and_words_left_alone():
+    rnd, encoding = random.Random(4), library()
+    random_spans = lambda s: [x for x in secrets.spans_of(s, lambda t: len(encoding.encode_ordinary(t)), 2.0) if x[1] == 3]
+    lower, upper, digits = string.ascii_lowercase, string.ascii_uppercase, string.digits
+    for letters in (lower, upper, upper + "234567", lower + digits, upper + digits):
+        hits = sum(bool(random_spans("".join(rnd.choices(letters, k=rnd.randrange(24, 41))))) for _ in range(300))
+        assert hits >= 280, (letters, hits)
+    for name in ("INTERNATIONALIZATION", "SOME_ENVIRONMENT_VARIABLE", "antidisestablishmentarianism", "Geschwindigkeitsbegrenzung", "get_user_account_settings"):
+        assert not random_spans(name), name
+
+
 def test_masked_text(spark):
     df = spark.createDataFrame([(1, "ä password=abcdefgh1 b"), (2, "clean"), (3, None), (4, "")], "doc_id long, text string")
     out = secrets.scan(df, "text", PATH, P.PATTERN, ["doc_id", "text"]).select("doc_id", secrets.masked("text", "spans").alias("t"))

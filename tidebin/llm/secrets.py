@@ -2,7 +2,8 @@
 
 Text that a byte-pair vocabulary was built for takes few tokens; random strings fall
 apart into short ones. Runs of key-like characters are measured in characters per token;
-a low ratio exposes a random string, unless the run is a known digest or identifier.
+a low ratio exposes a random string, unless the run is a known digest or identifier, or
+a name whose parts are words to the vocabulary.
 """
 
 from __future__ import annotations
@@ -42,12 +43,18 @@ NAME_PART = 3.5
 
 
 def known(run: str) -> bool:
-    """Digests, UUIDs, plain numbers and names made of words."""
+    """Digests, UUIDs and plain numbers."""
     if DIGESTS.fullmatch(run) and len(run) in DIGEST_SIZES or UUID.fullmatch(run):
         return True
+    return all(p.isdigit() for p in PARTS.findall(run))
+
+
+def named(run: str, count_tokens: Callable[[str], int], max_ratio: float) -> bool:
+    """Names made of words: long parts, each of few tokens (digits aside)."""
     parts = PARTS.findall(run)
-    letters = [p for p in parts if not p.isdigit()]
-    return not letters or sum(map(len, parts)) >= NAME_PART * len(parts)
+    if sum(map(len, parts)) < NAME_PART * len(parts):
+        return False
+    return all(len(p) >= max_ratio * count_tokens(p) for p in parts if not p.isdigit())
 
 
 def spans_of(text: str, count_tokens: Callable[[str], int], max_ratio: float) -> list[tuple[int, int, int]]:
@@ -58,17 +65,13 @@ def spans_of(text: str, count_tokens: Callable[[str], int], max_ratio: float) ->
         out += [(m.start(), 0, m.end()) for m in ASSIGN.finditer(text) if m.end(2) - m.start(2) >= 8]
     for found in RUN.finditer(text):
         run, at = found[0], found.start()
-        if run.isalpha() and (run.islower() or run[1:].islower()):
-            if len(run) >= 32:
-                out += [(at + m.start(), 2, at + m.end()) for m in HEX.finditer(run) if m.end() - m.start() >= 32]
-            continue
         base = []
         if "AKIA" in run:
             base += [(at + m.start(), 1, at + m.end()) for m in ACCESS.finditer(run) if m.end() - m.start() >= 16]
         if len(run) >= 32:
             base += [(at + m.start(), 2, at + m.end()) for m in HEX.finditer(run) if m.end() - m.start() >= 32]
         out += base
-        if not known(run) and len(run) < max_ratio * count_tokens(run):
+        if not known(run) and len(run) < max_ratio * count_tokens(run) and not named(run, count_tokens, max_ratio):
             out.append((at, 3, at + len(run)))
     out.sort()
     return out
