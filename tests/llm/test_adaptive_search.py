@@ -52,6 +52,39 @@ def test_recall_and_exact_scores(spark, monkeypatch, per_list, block, dims):
             assert score == pytest.approx(np.dot(data[i], data[q]), rel=1e-12, abs=1e-12)
 
 
+def skewed():
+    """A third of all rows equal, a dense cluster, and groups smaller than what is asked for."""
+    rng = np.random.default_rng(3)
+    x = rng.normal(size=(1200, 16))
+    x[:400] = x[0]
+    x[400:1000] = x[400] + 0.05 * rng.normal(size=(600, 16))
+    x[1000:] = 3 * x[np.repeat(np.arange(1000, 1020), 10)] + 0.1 * rng.normal(size=(200, 16))
+    return [(i, [float(v) for v in row]) for i, row in enumerate(x)]
+
+
+@pytest.mark.parametrize("probes", [1, 2, None])
+def test_every_query_gets_its_rows(spark, monkeypatch, probes):
+    monkeypatch.setattr(A, "LIST_VECTORS", 20)
+    if probes:
+        monkeypatch.setattr(A, "lists_to_probe", lambda *a: probes)
+    rows = skewed()
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>").repartition(3)
+    got = found(A.nearest_neighbours(df, "vec_id", "embedding", F.col("vec_id") % 20 == 0))
+    assert set(got) == set(range(0, 1200, 20))
+    assert {len(near) for near in got.values()} == {20}
+
+
+def test_probes_hold_the_recall_of_each_query(spark):
+    """Most queries need one list; one has its neighbours in the list that is its second."""
+    rng = np.random.default_rng(4)
+    x = np.r_[np.array([10.0, 0.0]) + 0.01 * rng.normal(size=(990, 2)), np.array([0.0, 10.0]) + 0.01 * rng.normal(size=(25, 2)), [[0.0, -1.0]]]
+    longest = float(np.sqrt((x * x).sum(axis=1)).max())
+    centres = A.lengthened(np.array([[10.0, 0.0], [0.0, 10.0], [0.0, -1.0]]), longest)
+    rows = spark.createDataFrame([(i, [float(v) for v in r]) for i, r in enumerate(x)], "vec_id long, vec array<double>")
+    queries = rows.filter("vec_id % 10 = 0 or vec_id = 1015").selectExpr("vec_id as query_id", "vec as q")
+    assert A.lists_to_probe(rows, queries, centres, longest, 5, 0.97) > 1
+
+
 def test_ties_and_odd_rows(spark):
     nan = float("nan")
     rows = [(i, [1.0, 1.0, 0.0]) for i in range(30)] + [(40, None), (60, [0.0, 0.0, 0.0]), (80, [nan, 1.0, 0.0]), (100, [1.0, None, 0.0]), (101, []), (None, [5.0, 5.0, 5.0]), (120, [0.5, 0.0, 0.0])]

@@ -11,7 +11,8 @@ vectors in double precision.
 
 Centres come from at most `SAMPLE` vectors; every vector is in a list. How many lists a
 query must probe is measured: for some queries all candidates are searched exactly, and
-the smallest number of lists that holds `recall` of their neighbours is taken.
+the smallest number of lists that holds `recall` of the neighbours of each of them is
+taken. A query that still has fewer than `nearest` rows searches all other lists too.
 """
 
 from __future__ import annotations
@@ -184,7 +185,7 @@ def _best(found: DataFrame, nearest: int) -> DataFrame:
 
 
 def lists_to_probe(rows: DataFrame, queries: DataFrame, centres: np.ndarray, longest: float, nearest: int, recall: float) -> int:
-    """From exact neighbours of some queries: how many lists hold `recall` of them."""
+    """From exact neighbours of some queries: how many lists hold `recall` of those of each."""
     some = queries.orderBy(F.xxhash64("query_id"), "query_id").limit(AUDIT_QUERIES).collect()
     if not some or len(centres) == 1:
         return 1
@@ -207,13 +208,10 @@ def lists_to_probe(rows: DataFrame, queries: DataFrame, centres: np.ndarray, lon
             )
 
     exact = rows.select("vec_id", "vec").mapInArrow(run, "query_id long, vec_id long, score double, place long")
-    places = _best(exact.filter(F.col("score") > float("-inf")), nearest).groupBy("place").count().collect()
-    wanted, held = sum(r["count"] for r in places) * recall, 0
-    for r in sorted(places):
-        held += r["count"]
-        if held >= wanted:
-            return r.place + 1
-    return 1
+    places: dict[int, list[int]] = {}
+    for r in _best(exact.filter(F.col("score") > float("-inf")), nearest).select("query_id", "place").collect():
+        places.setdefault(r.query_id, []).append(r.place)
+    return max((sorted(p)[int(np.ceil(recall * len(p))) - 1] + 1 for p in places.values()), default=1)
 
 
 def nearest_neighbours(df: DataFrame, vec_id: str, vector: str, is_query: Column, nearest: int = NEAREST, recall: float = RECALL) -> DataFrame:
@@ -232,7 +230,8 @@ def nearest_neighbours(df: DataFrame, vec_id: str, vector: str, is_query: Column
     longest = float(about.longest) ** 0.5
     sample = np.array([r.vec for r in rows.orderBy(F.xxhash64("vec_id"), "vec_id").limit(SAMPLE).select("vec").collect()])
     lists = max(1, min(MAX_LISTS, len(sample), -(-about.n // LIST_VECTORS)))
-    centres = centres_of(lengthened(sample, longest), lists)
+    # equal centres are one list: all but the first of them would get no vector
+    centres = np.unique(centres_of(lengthened(sample, longest), lists), axis=0)
     queries = rows.filter("__query").select(F.col("vec_id").alias("query_id"), F.col("vec").alias("q"))
     probes = lists_to_probe(rows, queries, centres, longest, nearest, recall)
     index = settle(_index(rows, centres, longest))
@@ -246,4 +245,11 @@ def nearest_neighbours(df: DataFrame, vec_id: str, vector: str, is_query: Column
     more = _searched(index, _probes(bounded, centres, longest, FIRST_LISTS, probes), longest, nearest) if probes > FIRST_LISTS else None
     found = first.select("query_id", "vec_id", "score")
     best = _best(found if more is None else found.unionByName(more), nearest)
+    if probes < len(centres):
+        best = settle(best.select("query_id", "vec_id", "score", "rank"))
+        full = best.filter(F.col("rank") == nearest).select(F.col("query_id").alias("full_id"))
+        short = settle(queries.join(full, F.col("query_id") == F.col("full_id"), "left_anti"))
+        if not short.isEmpty():
+            rest = _searched(index, _probes(short, centres, longest, probes, len(centres)), longest, nearest)
+            best = _best(best.drop("rank").unionByName(rest), nearest)
     return best.select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
