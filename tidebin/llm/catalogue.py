@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidebin.llm import adaptive_search, bpe, graph_dedup, jaccard, licenses, mixing, pitman_yor, secrets, token_files, toxicity
+from tidebin.llm import adaptive_search, bpe, conversations, graph_dedup, jaccard, licenses, mixing, pitman_yor, secrets, token_files, toxicity
 from tidebin.llm.shared import fold_of, table
 
 
@@ -153,7 +153,27 @@ def op10_adaptive_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return adaptive_search.nearest_neighbours(rows, "vec_id", "embedding", F.col("vec_id") % 20 == 0)
 
 
-QUERIES = {"op1_toxicity": op1_toxicity, "op2_licenses": op2_licenses, "op3_pitman_yor": op3_pitman_yor, "op4_bpe": op4_bpe, "op5_ngram_jaccard": op5_ngram_jaccard, "op6_embedding_dedup": op6_embedding_dedup, "op7_token_counts": op7_token_counts, "op8_mixing": op8_mixing, "op9_secrets": op9_secrets, "op10_adaptive_search": op10_adaptive_search}
+def op11_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Faults, cheapest edits and repaired text of every conversation, after damage."""
+    talks = table(spark, sf_dir, "conversations")
+    names = ["conv_id", "turn", "role", "text"]
+    damaged = conversations.damage(talks, *names)
+    found = conversations.repair(damaged, *names)
+    parts = [conversations.turn_gaps(damaged, "conv_id", "turn"), found.summary, conversations.text_hashes(found.rows)]
+    out = talks.select("conv_id").distinct()
+    for i, part in enumerate(parts):
+        part = part.withColumnRenamed("conv", f"c{i}")
+        out = out.join(part, F.col("conv_id").eqNullSafe(F.col(f"c{i}")), "left")
+    numbers = ["gaps", "blank", "duplicate", "truncated", "illegal", "cost"]
+    return out.select(
+        "conv_id",
+        *[F.coalesce(F.col(c), F.lit(0)).cast("long").alias(c) for c in numbers],
+        F.coalesce("audit", F.lit("")).alias("audit"),
+        F.coalesce("repaired_sha256", F.sha2(F.lit("").cast("binary"), 256)).alias("repaired_sha256"),
+    )
+
+
+QUERIES = {"op1_toxicity": op1_toxicity, "op2_licenses": op2_licenses, "op3_pitman_yor": op3_pitman_yor, "op4_bpe": op4_bpe, "op5_ngram_jaccard": op5_ngram_jaccard, "op6_embedding_dedup": op6_embedding_dedup, "op7_token_counts": op7_token_counts, "op8_mixing": op8_mixing, "op9_secrets": op9_secrets, "op10_adaptive_search": op10_adaptive_search, "op11_conversation_repair": op11_conversation_repair}
 OP5 = r"""
 WITH RECURSIVE words AS (
   SELECT doc_id, list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w
