@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidebin.llm import adaptive_search, bpe, conversations, graph_dedup, jaccard, licenses, mixing, pitman_yor, secrets, token_files, toxicity
+from tidebin.llm import adaptive_search, alignment, bpe, conversations, graph_dedup, jaccard, licenses, mixing, pitman_yor, secrets, token_files, toxicity
 from tidebin.llm.shared import fold_of, table
 
 
@@ -173,7 +173,18 @@ def op11_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-QUERIES = {"op1_toxicity": op1_toxicity, "op2_licenses": op2_licenses, "op3_pitman_yor": op3_pitman_yor, "op4_bpe": op4_bpe, "op5_ngram_jaccard": op5_ngram_jaccard, "op6_embedding_dedup": op6_embedding_dedup, "op7_token_counts": op7_token_counts, "op8_mixing": op8_mixing, "op9_secrets": op9_secrets, "op10_adaptive_search": op10_adaptive_search, "op11_conversation_repair": op11_conversation_repair}
+def op12_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Groups and links between byte-level and word-piece tokens of every document."""
+    docs = table(spark, sf_dir, "documents")
+    paths = [public_tokenizers.path(p) for p in ("byte_bpe_50k.json", "byte_bpe_50k.tiktoken", "piece_bpe_32k.model")]
+    pattern = public_tokenizers.PATTERN
+    out = alignment.align(docs, "doc_id", "text", lambda: alignment.byte_level(*paths[:2], pattern), lambda: alignment.word_pieces(paths[2]))
+    numbers = ["n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum"]
+    digest = F.when(F.col("groups") == "", "").otherwise(F.sha2(F.col("groups").cast("binary"), 256))
+    return out.select(F.col("doc_id").cast("long").alias("doc_id"), *numbers, digest.alias("groups_sha256"))
+
+
+QUERIES = {"op1_toxicity": op1_toxicity, "op2_licenses": op2_licenses, "op3_pitman_yor": op3_pitman_yor, "op4_bpe": op4_bpe, "op5_ngram_jaccard": op5_ngram_jaccard, "op6_embedding_dedup": op6_embedding_dedup, "op7_token_counts": op7_token_counts, "op8_mixing": op8_mixing, "op9_secrets": op9_secrets, "op10_adaptive_search": op10_adaptive_search, "op11_conversation_repair": op11_conversation_repair, "op12_alignment": op12_alignment}
 OP5 = r"""
 WITH RECURSIVE words AS (
   SELECT doc_id, list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w
