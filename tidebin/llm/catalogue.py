@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidebin.llm import adaptive_search, alignment, bpe, conversations, graph_dedup, jaccard, licenses, mixing, pitman_yor, secrets, token_files, toxicity
+from tidebin.llm import adaptive_search, alignment, bpe, conversations, graph_dedup, jaccard, licenses, mixing, pitman_yor, repeats, secrets, token_files, toxicity
 from tidebin.llm.shared import fold_of, table
 
 
@@ -184,7 +184,13 @@ def op12_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select(F.col("doc_id").cast("long").alias("doc_id"), *numbers, digest.alias("groups_sha256"))
 
 
-QUERIES = {"op1_toxicity": op1_toxicity, "op2_licenses": op2_licenses, "op3_pitman_yor": op3_pitman_yor, "op4_bpe": op4_bpe, "op5_ngram_jaccard": op5_ngram_jaccard, "op6_embedding_dedup": op6_embedding_dedup, "op7_token_counts": op7_token_counts, "op8_mixing": op8_mixing, "op9_secrets": op9_secrets, "op10_adaptive_search": op10_adaptive_search, "op11_conversation_repair": op11_conversation_repair, "op12_alignment": op12_alignment}
+def op13_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What is left of every document without byte strings that repeat."""
+    out = repeats.without_repeats(table(spark, sf_dir, "documents"), "text", ["doc_id"])
+    return out.select("doc_id", "n_bytes", "n_removed", F.size("removed").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
+
+
+QUERIES = {"op1_toxicity": op1_toxicity, "op2_licenses": op2_licenses, "op3_pitman_yor": op3_pitman_yor, "op4_bpe": op4_bpe, "op5_ngram_jaccard": op5_ngram_jaccard, "op6_embedding_dedup": op6_embedding_dedup, "op7_token_counts": op7_token_counts, "op8_mixing": op8_mixing, "op9_secrets": op9_secrets, "op10_adaptive_search": op10_adaptive_search, "op11_conversation_repair": op11_conversation_repair, "op12_alignment": op12_alignment, "op13_suffix_dedup": op13_suffix_dedup}
 OP5 = r"""
 WITH RECURSIVE words AS (
   SELECT doc_id, list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w
