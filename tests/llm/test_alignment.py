@@ -93,18 +93,6 @@ def test_ranks_encode_like_the_whole_library():
         assert fast.encode(text) == whole.encode(text), repr(text)
 
 
-def test_chunks_encode_like_whole_texts():
-    sides = alignment.byte_level(PATHS[0], PATHS[1], public_tokenizers.PATTERN), alignment.word_pieces(PATHS[2])
-    assert all(side.by_chunk for side in sides)
-    rnd = random.Random(8)
-    samples = ["".join(rnd.choices(["a", "be", " ", "  ", "\n", "\t ", " \n", "\u00a0", "\u3000", "'s", "12", "é", "-", ". "], k=rnd.randrange(1, 30))) for _ in range(3000)]
-    for text in samples:
-        cut = alignment.chunks(text)
-        assert " " + text == "".join(" " + c for c in cut)
-        for side in sides:
-            assert [i for c in cut for i in side.encode(c)] == side.encode(text), repr(text)
-
-
 def test_long_text_and_empty_table(spark, libraries):
     rnd = random.Random(3)
     long = " ".join(rnd.choices(["alpha", "Beta", "gämma", "delta9", "\n"], k=1500)) + "q" * 2000

@@ -43,7 +43,7 @@ WINDOWS = 1 << 20
 RUN = 400
 #: Bytes of texts in a pack, bytes of pieces in a range, shards of a range.
 PACK = 65_536
-RANGE = 2 << 20
+RANGE = 1 << 19
 SHARDS = 4
 #: Different pieces with one key that a range takes.
 MANY = 4096
@@ -141,9 +141,9 @@ def transform(texts: Sequence[bytes]) -> np.ndarray:
 def steps_back(bwt: np.ndarray, n_texts: int) -> np.ndarray:
     """For each row, the row of the suffix one byte longer; -1 where a text begins."""
     order = np.argsort(bwt, kind="stable")
-    out = np.full(len(bwt), -1, np.int64)
+    out = np.full(len(bwt), -1, np.int32)
     rest = order[n_texts:]
-    out[rest] = n_texts + np.arange(len(rest))
+    out[rest] = n_texts + np.arange(len(rest), dtype=np.int32)
     return out
 
 
@@ -158,24 +158,22 @@ def merged_blocks(shards: Sequence[tuple[np.ndarray, int]], length: int) -> np.n
         letter.append(bwt)
         low += len(bwt)
     one, letter = np.concatenate(back), np.concatenate(letter).astype(np.uint16)
-    two = np.where(one >= 0, one[one], -1)
+    two = np.where(one >= 0, one[one], -1).astype(np.int32)
     pair = np.where(two >= 0, (letter[one] << 8) | letter, 0).astype(np.uint16)
-    order = np.arange(low)
-    block = np.zeros(low, np.int64)
+    one, order, block = one.astype(np.int32), np.arange(low, dtype=np.int32), np.zeros(low, np.int32)
     for width in [1] * (length % 2) + [2] * (length // 2):
         target, code = (one, letter) if width == 1 else (two, pair)
-        goes = target[order] >= 0
-        order, block = order[goes], block[goes]
-        signs = code[order]
-        sorted_ = np.argsort(signs, kind="stable")
-        signs, block = signs[sorted_], block[sorted_]
-        order = target[order[sorted_]]
-        new = np.r_[True, (signs[1:] != signs[:-1]) | (block[1:] != block[:-1])]
-        shared = ~(new & np.r_[new[1:], True])
-        order, new = order[shared], new[shared]
-        block = np.cumsum(new)
-        if not len(order):
-            break
+        signs, order = code[order], target[order]
+        goes = np.flatnonzero(order >= 0)
+        if not len(goes):
+            return order[:0]
+        goes = goes[np.argsort(signs[goes], kind="stable")]
+        signs, block, order = signs[goes], block[goes], order[goes]
+        new = np.ones(len(goes) + 1, bool)
+        np.not_equal(signs[1:], signs[:-1], out=new[1:-1])
+        new[1:-1] |= block[1:] != block[:-1]
+        shared = np.flatnonzero(~(new[:-1] & new[1:]))
+        order, block = order[shared], np.cumsum(new[shared], dtype=np.int32)
     return order
 
 
