@@ -204,6 +204,134 @@ def backtest_folds(
     return cells.select(*keys, "fold", "s.exog_set", "s.p", "d", "s.mae")
 
 
+_ARMA = T.ArrayType(
+    T.StructType([T.StructField("p", T.IntegerType()), T.StructField("q", T.IntegerType()), T.StructField("mae", T.DoubleType())])
+)
+
+
+def _residual_forms(slopes: np.ndarray, const: np.ndarray, q: int, lags: int) -> tuple[np.ndarray, np.ndarray]:
+    """The residuals 1..q positions back of a long autoregression, as weights on the lags
+    1.. of the series and a constant, for a stack of series."""
+    m = slopes.shape[1]
+    weights = np.zeros((len(slopes), q, lags))
+    for j in range(q):
+        weights[:, j, j] = 1.0
+        weights[:, j, j + 1 : j + 1 + m] -= slopes
+    return weights, np.broadcast_to(-const[:, None], (len(const), q))
+
+
+def arma_fit(n: np.ndarray, mean: np.ndarray, cov: np.ndarray, p: int, q: int, long: int):
+    """Two-stage least squares (Hannan and Rissanen) from the moments of a series and its lags.
+
+    The first stage regresses the series on `long` lags; its residuals are linear in the
+    lags, so the moments of the second stage, on p lags and q residuals, follow from the
+    same moments. Returns the slopes (lags, then residuals), the constant, and the weights and
+    constants that give the residuals.
+    """
+    lags = mean.shape[1] - 1
+    first = [0, *range(1, long + 1)]
+    slopes, const, _, _ = solve(n, mean[:, first], cov[:, first][:, :, first])
+    weights, shift = _residual_forms(slopes, const, q, lags)
+    form = np.zeros((len(n), 1 + p + q, 1 + lags))
+    form[:, range(1 + p), range(1 + p)] = 1.0
+    form[:, 1 + p :, 1:] = weights
+    mean2 = np.einsum("mij,mj->mi", form, mean)
+    mean2[:, 1 + p :] += shift
+    cov2 = np.einsum("mij,mjk,mlk->mil", form, cov, form)
+    slopes2, const2, _, _ = solve(n, mean2, cov2)
+    return slopes2, const2, weights, shift
+
+
+def _arma_paths(levels: np.ndarray, d: int, p: int, q: int, fit, horizon: int) -> np.ndarray:
+    """Forecasts from the last levels, newest first; residuals to come are 0."""
+    slopes, const, weights, shift = fit
+    past = [*levels[:, ::-1].T]
+    diffs = [*(np.diff(np.array(past), d, axis=0) if d else past)]
+    lags = weights.shape[2]
+    recent = np.stack([diffs[-1 - i] for i in range(lags)], axis=1)
+    known = [*(np.einsum("mqj,mj->mq", weights, recent) + shift).T][::-1]
+    out = []
+    for _ in range(horizon):
+        w = const.copy()
+        for i in range(p):
+            w = w + slopes[:, i] * diffs[-1 - i]
+        for j in range(q):
+            w = w + slopes[:, p + j] * known[-1 - j]
+        diffs.append(w)
+        known.append(np.zeros_like(w))
+        value = w if d == 0 else past[-1] + w if d == 1 else 2 * past[-1] - past[-2] + w
+        past.append(value)
+        out.append(value)
+    return np.column_stack(out)
+
+
+def _arma_scorer(orders: Sequence[tuple[int, int, int]], long: int, horizon: int):
+    @F.pandas_udf(_ARMA)
+    def score(d: pd.Series, n: pd.Series, mean: pd.Series, cov: pd.Series, levels: pd.Series, actual: pd.Series) -> pd.Series:
+        of_d = {dd: [(p, q) for p, od, q in orders if od == dd] for dd in set(d)}
+        out = [[(p, q, None) for p, q in of_d[dd]] for dd in d]
+        ready = [
+            i for i, (size, mu, lv, y) in enumerate(zip(n, mean, levels, actual))
+            if size > len(mu) and len(y) == horizon and lv is not None and not any(v is None for v in mu)
+        ]
+        for dd in sorted({d.iloc[i] for i in ready}):
+            where = np.array([i for i in ready if d.iloc[i] == dd], dtype=int)
+            mu, c = stacked(mean, cov, where)
+            size = n.to_numpy()[where].astype(float)
+            lv = np.array([np.asarray(levels.iloc[i], dtype=float) for i in where])
+            y = np.array([np.asarray(actual.iloc[i], dtype=float) for i in where])
+            for cell, (p, q) in enumerate(of_d[dd]):
+                path = _arma_paths(lv, int(dd), p, q, arma_fit(size, mu, c, p, q, long), horizon)
+                for i, e in zip(where, np.abs(path - y)):
+                    out[i][cell] = (p, q, float(e.mean()) if np.isfinite(e).all() else None)
+        return pd.Series(out)
+
+    return score
+
+
+def backtest_arma(
+    df: DataFrame,
+    keys: Sequence[str],
+    pos: str,
+    y: str,
+    *,
+    orders: Sequence[tuple[int, int, int]],
+    train: int,
+    horizon: int,
+    step: int,
+    long: int,
+) -> DataFrame:
+    """Mean absolute error of the multi-step forecast per fold and order (p, d, q).
+
+    Models with moving-average terms are fitted by two-stage least squares over an
+    autoregression of `long` lags. One aggregate per (series, fold, d) gives the moments of
+    the differenced series and its lags; both stages of every order are solved from them, so
+    residuals are never materialised. All orders of one d use the same training rows, those
+    with `max(p, long + q)` lags in the fold. Gaps are treated as in `backtest_folds`.
+    """
+    ds = sorted({d for _, d, _ in orders})
+    lags = max(max(p for p, _, _ in orders), long + max(q for _, _, q in orders))
+    rows = _with_designs(df, keys, pos, y, ds, lags, [])
+    folded = rolling_origin_folds(rows, keys, pos, train=train, horizon=horizon, step=step, spans=series_spans(df, keys, pos))
+    wide = folded.select(*keys, "fold", "role", "fold_row", "__y", "__levels", F.inline("__designs"))
+    fits = (F.col("role") == "train") & (F.col("fold_row") >= lags + F.col("d"))
+    tests = F.array_sort(F.collect_list(F.when(F.col("role") == "test", F.struct("fold_row", F.col("__y").alias("y")))))
+    sums = wide.groupBy(*keys, "fold", "d").agg(
+        *moment_columns([F.col(f"w{i}") for i in range(lags + 1)], fits),
+        F.first(F.when(F.col("fold_row") == train - 1, F.col("__levels")), True).alias("levels"),
+        tests.alias("tests"),
+    )
+    score = _arma_scorer(orders, long, horizon)("d", "n", "mean", "cov", "levels", F.col("tests")["y"])
+    return sums.select(*keys, "fold", "d", F.explode(score).alias("__s")).select(*keys, "fold", "__s.p", "d", "__s.q", "__s.mae")
+
+
+def arma_grid(folds: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Average error over folds of each (p, d, q), with `rank` 1 for the best per series."""
+    mean = folds.groupBy(*keys, "p", "d", "q").agg(F.avg("mae").alias("mae"), F.count("mae").alias("folds"))
+    best = Window.partitionBy(*keys).orderBy(F.col("mae").asc_nulls_last(), "d", F.col("p") + F.col("q"), "p")
+    return mean.withColumn("rank", F.row_number().over(best))
+
+
 def backtest_grid(folds: DataFrame, keys: Sequence[str]) -> DataFrame:
     """Average error over folds, with `rank` 1 for the best order per series and exogenous set."""
     by = [*keys, "exog_set"]

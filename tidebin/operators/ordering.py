@@ -8,6 +8,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidebin.operators.common import attach
+
 BUCKET_DIGITS = 3  # 4096 buckets, ordered like the hash itself
 
 
@@ -48,6 +50,46 @@ def with_random_index(
     )
 
 
+#: Rows that the last hash range of a share should hold.
+RANGE_ROWS = 64
+
+
+def random_share(
+    df: DataFrame, ids: Sequence[str], seed: int | Column, share: float, keys: Sequence[str] = (), out: str = "chosen"
+) -> DataFrame:
+    """Flag exactly `ceil(share * n)` rows of each key: those with the smallest md5, then ids.
+
+    The row at that rank is found by selection. Counts of hash ranges, about the square root
+    of a key's rows of them, tell the range that holds the rank; counts of ranges within it
+    tell the next; only its rows are ordered. Every other row is decided by comparison with
+    the row found, so no row is numbered or joined with another row.
+    """
+    found = attach(df.withColumn("__h", shuffle_key(ids, seed)), _share_sizes(df, share, keys), keys)
+    digits = F.col("__digits")
+    ahead, kept = F.col("__rank"), found
+    for level in (0, 1):
+        part = F.col("__h").substr(digits * level + 1, digits)
+        counts = kept.groupBy(*keys, part.alias("__part")).agg(F.count(F.lit(1)).alias("__c"), F.first(ahead).alias("__r"))
+        before = F.sum("__c").over(Window.partitionBy(*keys).orderBy("__part")) - F.col("__c")
+        holds = counts.withColumn("__b", before).filter((F.col("__b") < F.col("__r")) & (F.col("__r") <= F.col("__b") + F.col("__c")))
+        holds = holds.select(*keys, F.col("__part").alias(f"__part{level}"), (F.col("__r") - F.col("__b")).alias(f"__left{level}"))
+        kept = attach(kept, holds, keys, "inner").filter(part == F.col(f"__part{level}"))
+        ahead = F.col(f"__left{level}")
+    place = F.row_number().over(Window.partitionBy(*keys).orderBy("__h", *ids))
+    last = kept.withColumn("__place", place).filter(F.col("__place") == ahead)
+    last = last.select(*keys, F.struct(F.col("__h").alias("h"), *[F.col(c).alias(f"i{i}") for i, c in enumerate(ids)]).alias("__last"))
+    mine = F.struct(shuffle_key(ids, seed).alias("h"), *[F.col(c).alias(f"i{i}") for i, c in enumerate(ids)])
+    return attach(df, last, keys).withColumn(out, F.coalesce(mine <= F.col("__last"), F.lit(False))).drop("__last")
+
+
+def _share_sizes(df: DataFrame, share: float, keys: Sequence[str]) -> DataFrame:
+    """For each key the rank of the last row, and the hexadecimal digits of a range."""
+    n = F.count(F.lit(1))
+    ranges = F.greatest(n / RANGE_ROWS, F.lit(1))
+    digits = F.ceil(F.log(16.0, ranges) / 2).cast("int")
+    return df.groupBy(*keys).agg(F.ceil(n * F.lit(share)).alias("__rank"), digits.alias("__digits"))
+
+
 def first_rows(df: DataFrame, n: int, by: str | Column) -> DataFrame:
     """The n rows that come first by a column: a distributed top-k, not a full sort."""
     return df.orderBy(by).limit(n)

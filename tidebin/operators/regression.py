@@ -18,7 +18,7 @@ from pyspark.sql import types as T
 from tidebin.functions.special import student_t_pvalues
 from tidebin.operators.common import BLOCK, attach, block_of, block_window
 from tidebin.operators.moments import moment_columns
-from tidebin.operators.ordering import with_random_index
+from tidebin.operators.ordering import random_share
 
 CONST = "const"
 
@@ -70,10 +70,7 @@ def split_random(
     df: DataFrame, ids: Sequence[str], keys: Sequence[str] = (), *, test: float = 0.2, seed: int = 0, out: str = "is_train"
 ) -> DataFrame:
     """Exactly `ceil(test*n)` rows of each key test, chosen by a seeded hash order."""
-    stats = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("__n"))
-    numbered = with_random_index(df, ids, seed, keys, "__i")
-    flag = F.col("__i") >= F.ceil(F.col("__n") * F.lit(test))
-    return attach(numbered, stats, keys).withColumn(out, flag).drop("__i", "__n")
+    return random_share(df, ids, seed, test, keys, out).withColumn(out, ~F.col(out))
 
 
 _FIT = T.StructType(

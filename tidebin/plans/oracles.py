@@ -323,6 +323,27 @@ er AS (SELECT rec.o_orderstatus, rec.fold, avg(abs(y0 - n_orders)) AS e0, avg(ab
     FROM rec JOIN fo ON fo.o_orderstatus = rec.o_orderstatus AND fo.fold = rec.fold AND fo.r = 35 + rec.h WHERE h > 0
     GROUP BY rec.o_orderstatus, rec.fold)"""
 
+def _two_regressors(rows: str, y: str, a: str, b: str, names: str) -> str:
+    """Least squares on two columns per series and fold, as (slope of a, slope of b, constant)."""
+    sa, sb, c = names.split()
+    return f"""SELECT o_orderstatus, fold, {sa}, {sb}, my - {sa} * ma - {sb} * mb AS {c} FROM (
+        SELECT *, (ya * bb - yb * ab) / (aa * bb - ab * ab) AS {sa}, (yb * aa - ya * ab) / (aa * bb - ab * ab) AS {sb} FROM (
+            SELECT o_orderstatus, fold, avg({y}) AS my, avg({a}) AS ma, avg({b}) AS mb, var_pop({a}) AS aa, var_pop({b}) AS bb, covar_pop({a}, {b}) AS ab,
+                covar_pop({y}, {a}) AS ya, covar_pop({y}, {b}) AS yb FROM {rows} GROUP BY ALL))"""
+
+
+# ARMA(1, 1) on levels: residuals of two lags as a regressor
+ARMA = f"""{FOLDS},
+lg AS (SELECT *, n_orders::DOUBLE AS y, lag(n_orders) OVER k AS l1, lag(n_orders, 2) OVER k AS l2, lag(n_orders, 3) OVER k AS l3
+    FROM fo WINDOW k AS (PARTITION BY o_orderstatus, fold ORDER BY r)),
+tr AS (SELECT * FROM lg WHERE r BETWEEN 3 AND 35),
+f1 AS ({_two_regressors("tr", "y", "l1", "l2", "a1 a2 c1")}),
+t2 AS (SELECT tr.*, l1 - c1 - a1 * l2 - a2 * l3 AS e1, y - c1 - a1 * l1 - a2 * l2 AS e0 FROM tr JOIN f1 USING (o_orderstatus, fold)),
+f2 AS ({_two_regressors("t2", "y", "l1", "e1", "phi theta c2")}),
+rec(o_orderstatus, fold, h, v, phi, c2) AS (
+    SELECT o_orderstatus, fold, 1, c2 + phi * y + theta * e0, phi, c2 FROM t2 JOIN f2 USING (o_orderstatus, fold) WHERE r = 35
+    UNION ALL SELECT o_orderstatus, fold, h + 1, c2 + phi * v, phi, c2 FROM rec WHERE h < 6)"""
+
 FOLD_LISTS = f"""{FOLDS},
 fl AS (SELECT o_orderstatus, fold, list(n_orders::DOUBLE ORDER BY r) FILTER (WHERE r < 36) AS y,
     list(n_orders::DOUBLE ORDER BY r) FILTER (WHERE r >= 36) AS ya FROM fo GROUP BY o_orderstatus, fold)"""
@@ -532,6 +553,9 @@ ORACLES: dict[str, str] = {
     "backtest_ar1": f"""WITH RECURSIVE {AR1}
         SELECT o_orderstatus, fold, 'none' AS exog_set, CAST(1 AS INTEGER) AS p, CAST(0 AS INTEGER) AS d, round(e0, 5) AS mae FROM er UNION ALL
         SELECT o_orderstatus, fold, 'none', CAST(1 AS INTEGER), CAST(1 AS INTEGER), round(e1, 5) FROM er""",
+    "backtest_arma101": f"""WITH RECURSIVE {ARMA}
+        SELECT rec.o_orderstatus, rec.fold, CAST(1 AS INTEGER) AS p, CAST(0 AS INTEGER) AS d, CAST(1 AS INTEGER) AS q, round(avg(abs(v - n_orders)), 4) AS mae
+        FROM rec JOIN fo ON fo.o_orderstatus = rec.o_orderstatus AND fo.fold = rec.fold AND fo.r = 35 + rec.h GROUP BY rec.o_orderstatus, rec.fold""",
     "backtest_grid": f"""WITH RECURSIVE {FOLD_LISTS}, {autoregressions('fl', 3, 4, 3, 6)}, {GRID}
         SELECT * REPLACE (round(mae, 4) AS mae) FROM rk""",
     "forecast_best": _forecast_best(),
@@ -550,5 +574,11 @@ ORACLES: dict[str, str] = {
             count(*) AS n_events FROM e GROUP BY ALL)
         SELECT * FROM x WHERE end_date + 1 <= (SELECT max(ts) - INTERVAL 1 DAY FROM events)""",
     "accumulate_snapshots": """SELECT day, CASE WHEN odd > 0 THEN odd ELSE n END AS n_rows FROM (
-        SELECT CAST(ts AS DATE) AS day, count(event_id) AS n, count(CASE WHEN user_id % 2 = 1 THEN event_id END) AS odd FROM events GROUP BY day)""",
+        SELECT CASE WHEN day(ts) <> 13 THEN CAST(ts AS DATE) END AS day, count(event_id) AS n, count(CASE WHEN user_id % 2 = 1 THEN event_id END) AS odd FROM events GROUP BY 1)""",
+    "stream_filled_counts": """WITH w AS (SELECT unnest(range(0, 1 + (SELECT CAST(max(ts) AS DATE) - DATE '2024-01-01' FROM events) // 7)) AS k),
+            k AS (SELECT DISTINCT event_type, user_id FROM events),
+            c AS (SELECT event_type, user_id, (CAST(ts AS DATE) - DATE '2024-01-01') // 7 AS k, count(*) AS n FROM events GROUP BY ALL)
+        SELECT event_type, user_id, CAST(DATE '2024-01-01' + CAST(7 * k AS INTEGER) AS DATE) AS start_date, CAST(DATE '2024-01-07' + CAST(7 * k AS INTEGER) AS DATE) AS end_date,
+            coalesce(n, 0) AS n_events FROM k CROSS JOIN w LEFT JOIN c USING (event_type, user_id, k)
+        WHERE DATE '2024-01-08' + CAST(7 * k AS INTEGER) <= (SELECT max(ts) - INTERVAL 2 DAY FROM events)""",
 }

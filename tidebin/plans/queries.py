@@ -566,6 +566,19 @@ def backtest_grid(spark, d):
     return rounded(backtest.backtest_grid(folds, STATUS), "mae", digits=4)
 
 
+def backtest_arma101(spark, d):
+    """One autoregressive and one moving-average term, over an autoregression of two lags."""
+    out = backtest.backtest_arma(order_series(spark, d), STATUS, "bin_idx", "n_orders", orders=[(1, 0, 1)], long=2, **FOLDS)
+    return rounded(out, "mae", digits=4)
+
+
+def arma_grid(spark, d):
+    """All orders up to (2, 1, 1), ranked."""
+    orders = [(p, i, q) for p in range(3) for i in range(2) for q in range(2)]
+    folds = backtest.backtest_arma(order_series(spark, d), STATUS, "bin_idx", "n_orders", orders=orders, long=2, **FOLDS)
+    return rounded(backtest.arma_grid(folds, STATUS), "mae", digits=4)
+
+
 def funnel_comparison(spark, d):
     rows = _matrix(spark, d).withColumn("series", F.lit("orders"))
     sets = {"none": [], "items": ["items"], "returned": ["returned"], "urgent": ["urgent"]}
@@ -628,10 +641,35 @@ def stream_interval_counts(spark, d):
     return spark.read.schema(out.schema).parquet(target)
 
 
+def stream_filled_counts(spark, d):
+    """Weekly counts of each type and user, empty weeks too, from a stream of the event table
+    in slices of some days, so that keys fall silent and late events come."""
+    rows = table(spark, d, "events").select("event_id", "ts", "event_type", "user_id")
+    target = f"{shared_folder(spark)}/filled-{uuid.uuid4().hex}"
+    late = F.date_add(F.to_date("ts"), F.when(F.col("event_id") % 10 == 0, 1).otherwise(0))
+    for low, high in (("2000-01-01", "2024-01-08"), ("2024-01-08", "2024-01-20"), ("2024-01-20", "2100-01-01")):
+        rows.filter((late >= F.lit(low).cast("date")) & (late < F.lit(high).cast("date"))).coalesce(1).write.mode("append").parquet(f"{target}-feed")
+    stream = spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(f"{target}-feed")
+    name = "spark.sql.streaming.stateStore.providerClass"
+    before = spark.conf.get(name)
+    spark.conf.set(name, streams.ROCKSDB)
+    try:
+        out = streams.stream_filled_counts(stream, "ts", 7, dt.date(2024, 1, 1), ["event_type", "user_id"], delay="2 days")
+        query = (
+            out.writeStream.format("parquet").outputMode("append").option("path", target)
+            .option("checkpointLocation", f"{target}-log").trigger(availableNow=True).start()
+        )
+        query.awaitTermination()
+    finally:
+        spark.conf.set(name, before)
+    return spark.read.schema(out.schema).parquet(target)
+
+
 def accumulate_snapshots(spark, d):
     """Every event is delivered once; those of odd users a second time, as a newer snapshot of
-    their day, in several files of mixed deliveries that come one by one."""
-    rows = table(spark, d, "events").select(F.to_date("ts").alias("day"), "event_id", "user_id")
+    their day, in several files of mixed deliveries that come one by one. The 13th is unknown."""
+    day = F.to_date("ts")
+    rows = table(spark, d, "events").select(F.when(F.dayofmonth(day) != 13, day).alias("day"), "event_id", "user_id")
     twice = rows.select("*", F.explode(F.when(F.col("user_id") % 2 == 1, F.array(F.lit(2), F.lit(1))).otherwise(F.array(F.lit(1)))).alias("delivery"))
     target = f"{shared_folder(spark)}/snapshots-{uuid.uuid4().hex}"
     twice.repartition(4, "user_id").write.parquet(f"{target}-feed")
@@ -656,7 +694,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         pearson_matrix, corr_with_target, partial_corr, kde, kde_by_group, kmeans2, cluster_spans,
         minmax_scale, ols_inference, ols_chrono, ols_chrono_gaps, ols_random, ols_scaled_coefficients, ols_per_series,
         split_random, rf_importance, permutation_importance,
-        rolling_origin_folds, backtest_ar1, backtest_grid, funnel_comparison, forecast12, forecast_best,
-        csv_round_trip, json_round_trip, parse_json_records, stream_interval_counts, accumulate_snapshots,
+        rolling_origin_folds, backtest_ar1, backtest_grid, backtest_arma101, arma_grid, funnel_comparison, forecast12, forecast_best,
+        csv_round_trip, json_round_trip, parse_json_records, stream_interval_counts, stream_filled_counts,
+        accumulate_snapshots,
     )
 }

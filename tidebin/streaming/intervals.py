@@ -3,40 +3,121 @@
 from __future__ import annotations
 
 import datetime as dt
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
+import pandas as pd
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
-from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, StreamingQuery
 
 from tidebin.functions.columns import MICROS_PER_DAY
 
 EPOCH = dt.date(1970, 1, 1)
+MS_PER_DAY = 86_400_000
+
+
+ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+
+
+def _timed(events: DataFrame, ts: str, delay: str) -> DataFrame:
+    """The events with their instant as `__ts` under a watermark."""
+    instant = F.col(ts)
+    if isinstance(events.schema[ts].dataType, T.TimestampNTZType):
+        epoch = F.lit("1970-01-01 00:00:00").cast("timestamp_ntz")
+        instant = F.timestamp_micros(F.timestamp_diff("MICROSECOND", epoch, F.col(ts)))
+    return events.withColumn("__ts", instant).withWatermark("__ts", delay)
 
 
 def stream_interval_counts(
     events: DataFrame, ts: str, freq: int, origin: dt.date, keys: Sequence[str] = (), *, delay: str = "1 day"
 ) -> DataFrame:
-    """Counts per interval `[origin + k*freq, origin + (k+1)*freq)` days.
+    """Counts per interval `[origin + k*freq, origin + (k+1)*freq)` days that has events.
 
     In append mode an interval is emitted once the watermark has passed its end, the
     streaming counterpart of keeping complete intervals only. Naive timestamps are taken
     as they stand, whatever the session time zone; zoned ones are cut at UTC midnight.
     """
     offset = (origin - EPOCH).days % freq
-    instant = F.col(ts)
-    if isinstance(events.schema[ts].dataType, T.TimestampNTZType):
-        epoch = F.lit("1970-01-01 00:00:00").cast("timestamp_ntz")
-        instant = F.timestamp_micros(F.timestamp_diff("MICROSECOND", epoch, F.col(ts)))
-    timed = events.withColumn("__ts", instant).withWatermark("__ts", delay)
     interval = F.window("__ts", f"{freq} days", startTime=f"{offset} days")
-    counts = timed.groupBy(interval, *keys).agg(F.count(F.lit(1)).alias("n_events"))
+    counts = _timed(events, ts, delay).groupBy(interval, *keys).agg(F.count(F.lit(1)).alias("n_events"))
     start = F.date_add(F.lit(EPOCH), F.floor(F.unix_micros("window.start") / MICROS_PER_DAY).cast("int"))
     return counts.select(*keys, start.alias("start_date"), F.date_add(start, freq - 1).alias("end_date"), "n_events")
 
 
+class ClosedIntervals(StatefulProcessor):
+    """Open counts of a key by interval, and the interval that it has to emit next.
+
+    A timer stands at the end of that interval, so a key that falls silent still emits:
+    every interval up to the watermark once and in order, with 0 where nothing came.
+    """
+
+    def __init__(self, n_keys: int, freq: int, origin: dt.date):
+        self.n_keys, self.freq, self.origin = n_keys, freq, origin
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        interval = T.StructType([T.StructField("interval", T.LongType())])
+        self.open = handle.getMapState("open", interval, T.StructType([T.StructField("n", T.LongType())]))
+        self.next = handle.getValueState("next", interval)
+
+    def end_ms(self, interval: int) -> int:
+        return ((self.origin - EPOCH).days + (interval + 1) * self.freq) * MS_PER_DAY
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
+        first = self.next.get()[0] if self.next.exists() else 0
+        for part in rows:
+            if part.empty:
+                continue
+            for interval, n in part.iloc[:, self.n_keys].value_counts().items():
+                if interval >= first:  # those before are out already, or lie before the origin
+                    before = self.open.getValue((interval,))[0] if self.open.containsKey((interval,)) else 0
+                    self.open.updateValue((int(interval),), (before + int(n),))
+        yield self.closed(key, first, timerValues.getCurrentWatermarkInMs())
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
+        yield self.closed(key, self.next.get()[0], timerValues.getCurrentWatermarkInMs())
+
+    def closed(self, key: tuple, interval: int, watermark: int) -> pd.DataFrame:
+        out = []
+        while self.end_ms(interval) <= watermark:
+            n = 0
+            if self.open.containsKey((interval,)):
+                n = self.open.getValue((interval,))[0]
+                self.open.removeKey((interval,))
+            start = self.origin + dt.timedelta(interval * self.freq)
+            out.append((*key[: self.n_keys], start, start + dt.timedelta(self.freq - 1), n))
+            interval += 1
+        self.next.update((interval,))
+        self.handle.registerTimer(self.end_ms(interval))
+        return pd.DataFrame(out, columns=range(self.n_keys + 3))
+
+    def close(self) -> None:
+        pass
+
+
+def stream_filled_counts(
+    events: DataFrame, ts: str, freq: int, origin: dt.date, keys: Sequence[str] = (), *, delay: str = "1 day"
+) -> DataFrame:
+    """Counts of every interval from `origin` on, 0 where a key had no events.
+
+    A key emits an interval once the watermark has passed its end, whether or not events of
+    the key still come; a key that first appears late then emits its earlier intervals too.
+    An event counts as long as its interval is open, however late it is; events before the
+    origin do not count. Over the whole stream this is `resample_forward` with feed bounds,
+    cut at the watermark. State is one number for each open interval and key, in RocksDB.
+    """
+    provider = events.sparkSession.conf.get("spark.sql.streaming.stateStore.providerClass")
+    if provider != ROCKSDB:
+        raise ValueError(f"set spark.sql.streaming.stateStore.providerClass to {ROCKSDB}")
+    days = F.floor(F.unix_micros("__ts") / MICROS_PER_DAY) - (origin - EPOCH).days
+    rows = _timed(events, ts, delay).select(*keys, F.floor(days / freq).alias("__interval"), F.lit(0).alias("__all"), "__ts").drop("__ts")
+    fields = [*(events.schema[k] for k in keys), *T.StructType.fromDDL("start_date date, end_date date, n_events long").fields]
+    grouped = rows.groupBy(*keys) if keys else rows.groupBy("__all")
+    return grouped.transformWithStateInPandas(ClosedIntervals(len(keys), freq, origin), T.StructType(fields), "Append", "EventTime")
+
+
 def accumulate_snapshots(
     snapshots: DataFrame, path: str, checkpoint: str, day: str, version: str, *, available_now: bool = True
 ) -> StreamingQuery:
@@ -45,7 +126,7 @@ def accumulate_snapshots(
     The stored rows of a day are the distinct rows of the newest version that has come, in
     whatever order deliveries arrive and however they are cut into micro-batches: a newer
     version replaces a day, rows of the stored version join it, older ones are ignored.
-    Replaying a batch changes nothing. A batch is read once: its rows and the stored rows of
+    Rows with a null day are a day of their own. Replaying a batch changes nothing. A batch is read once: its rows and the stored rows of
     its days are staged beside the checkpoint, and only those days are overwritten.
     """
 
@@ -60,7 +141,8 @@ def accumulate_snapshots(
             if missing.getCondition() != "PATH_NOT_FOUND":
                 raise
         else:
-            rows = rows.unionByName(stored.join(rows.select(day).distinct(), day, "left_semi").select(*names))
+            days = rows.select(F.col(day).alias("__arrived")).distinct()
+            rows = rows.unionByName(stored.join(days, F.col(day).eqNullSafe(F.col("__arrived")), "left_semi").select(*names))
         newest = rows.groupBy(F.col(day).alias("__day")).agg(F.max(version).alias("__version"))
         same = F.col(day).eqNullSafe(F.col("__day")) & F.col(version).eqNullSafe(F.col("__version"))
         rows.join(newest, same).select(*names).distinct().write.mode("overwrite").parquet(staged)
