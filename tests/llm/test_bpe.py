@@ -70,3 +70,19 @@ def test_query_digests(spark, sf_dir, library):
         assert rows[d.doc_id].n_tokens == len(ids)
         assert rows[d.doc_id].ids_sha256 == hashlib.sha256(struct.pack(f"<{len(ids)}I", *ids)).hexdigest()
         assert rows[d.doc_id].decoded_sha256 == hashlib.sha256(text.encode()).hexdigest()
+
+
+def test_every_plain_letter_and_its_small_one(library):
+    """Capitals below U+0250 whose small letters lie beyond it included, alone and mixed."""
+    import random
+
+    vocabulary = bpe.Vocabulary(open(PATH, encoding="utf-8").read())
+    letters = [chr(c) for c in range(0x250)]
+    grown = [c for c in letters if any(ord(x) >= 0x250 for x in c.lower())]
+    assert len(grown) > 20
+    rnd = random.Random(7)
+    texts = letters + [f"a{c}b {c}" for c in letters] + ["Əliyev Bakıda yaşayır", "Ɛyɛ Ɔdɔ Ɣe Ɖevi"]
+    texts += ["".join(rnd.choices(grown + list("abc é'1 Z"), k=12)) for _ in range(400)]
+    for text in texts:
+        ids = [i for unit in vocabulary.units(text) for i in vocabulary.ids(unit)]
+        assert ids == library.encode(text, add_special_tokens=False).ids, repr(text)

@@ -141,7 +141,9 @@ class Vocabulary:
 
     def units(self, text: str) -> list[str] | list[bytes]:
         if self.plain and self.plain.fullmatch(text) and "\u0130" not in text and "<|" not in text:
-            return self.units_of(text.lower())
+            low = text.lower()  # some capitals have small letters beyond the plain range
+            if low.isascii() or self.plain.fullmatch(low):
+                return self.units_of(low)
         return text.encode("utf-8", "surrogatepass").split()
 
     def ids(self, unit: str | bytes) -> list[int]:
