@@ -546,6 +546,8 @@ ORACLES: dict[str, str] = {
                 sqrt(ssr / (n - 2) * (1.0 / n + mx * mx / sxx)) FROM x)
         SELECT o_orderstatus, n, round(rr, 5) + 0 AS r2, round(ic, 5) AS aic, term, round(coef, 5) + 0 AS coef, round(se, 5) AS se,
         round(coef / se, 5) + 0 AS t FROM t""",
+    "exact_quantiles": """SELECT l_returnflag, share::DOUBLE AS share, round(q, 4) AS quantile FROM (
+        SELECT l_returnflag, unnest([0.1, 0.5, 0.99]) AS share, unnest(quantile_cont(l_extendedprice::DOUBLE, [0.1, 0.5, 0.99])) AS q FROM lineitem GROUP BY l_returnflag)""",
     "split_random": """SELECT o_orderstatus, o_orderkey, row_number() OVER (PARTITION BY o_orderstatus ORDER BY md5('3|' || o_orderkey))
         > ceil(count(*) OVER (PARTITION BY o_orderstatus) * 0.2) AS is_train FROM orders""",
     "rolling_origin_folds": f"""WITH {FOLDS} SELECT o_orderstatus, fold, CASE WHEN r < 36 THEN 'train' ELSE 'test' END AS role,

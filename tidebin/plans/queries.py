@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 from tidebin.functions import columns as C
 from tidebin.operators import align, association, backtest, bins, cluster, counts, density
-from tidebin.operators import fill, importance, ordering, regression, signal, stationarity
+from tidebin.operators import fill, importance, ordering, quantiles, regression, signal, stationarity
 from tidebin.plans import pipelines
 from tidebin.session import settle, shared_folder
 from tidebin.sources import files
@@ -526,6 +526,13 @@ def ols_per_series(spark, d):
     return rounded(regression.ols_inference(fit, ["bin_idx"], STATUS).drop("p", "adj_r2"), "r2", "aic", "coef", "se", "t", digits=5)
 
 
+def exact_quantiles(spark, d):
+    """Median and other quantiles of prices by return flag, over all items."""
+    items = table(spark, d, "lineitem").select("l_returnflag", "l_extendedprice")
+    out = quantiles.exact_quantiles(items, "l_extendedprice", [0.1, 0.5, 0.99], ["l_returnflag"])
+    return rounded(out, "quantile", digits=4)
+
+
 def split_random(spark, d):
     """Exact random share per status over all orders."""
     orders = table(spark, d, "orders").select("o_orderstatus", "o_orderkey")
@@ -693,7 +700,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         adf_lag0, adf_test, adf_pvalues, ndiffs,
         pearson_matrix, corr_with_target, partial_corr, kde, kde_by_group, kmeans2, cluster_spans,
         minmax_scale, ols_inference, ols_chrono, ols_chrono_gaps, ols_random, ols_scaled_coefficients, ols_per_series,
-        split_random, rf_importance, permutation_importance,
+        exact_quantiles, split_random, rf_importance, permutation_importance,
         rolling_origin_folds, backtest_ar1, backtest_grid, backtest_arma101, arma_grid, funnel_comparison, forecast12, forecast_best,
         csv_round_trip, json_round_trip, parse_json_records, stream_interval_counts, stream_filled_counts,
         accumulate_snapshots,
