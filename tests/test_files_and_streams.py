@@ -1,4 +1,6 @@
 import datetime as dt
+import json
+import random
 
 import pytest
 from py4j.protocol import Py4JJavaError
@@ -6,7 +8,7 @@ from pyspark.errors import PySparkException
 from pyspark.sql import functions as F
 
 from tidebin.session import settle
-from tidebin.sources import parse_json_records, read_interval_csv, read_json_records, read_object_csv, write_interval_csv
+from tidebin.sources import parse_json_records, read_interval_csv, read_json_array, read_json_records, read_object_csv, write_interval_csv
 from tidebin.streaming import intervals as streams
 
 
@@ -85,3 +87,25 @@ def test_snapshot_redelivery_replaces_the_day(spark, tmp_path):
 
     assert deliver([(d1, 1, 1), (d1, 2, 1), (d2, 1, 1)]) == [(d1, 1), (d1, 2), (d2, 1)]
     assert deliver([(d1, 3, 2), (d1, 9, 1)]) == [(d1, 3), (d2, 1)]
+
+
+@pytest.mark.parametrize("block", [60, 300, 1 << 20])
+def test_json_array_in_blocks(spark, tmp_path, block):
+    """Records across blocks, braces, quotes and escapes in strings; equal to the multi-line reader."""
+    rnd = random.Random(block)
+    parts = ["{", "}", '"', "\\", "[", "]", ",", ":", "\n", "é", "日本", "a", " ", "}}", '"}', "\\\\\""]
+    for name, n in (("a", 0), ("b", 1), ("c", 200), ("d", 40)):
+        rows = [{"id": str(i), "text": "".join(rnd.choices(parts, k=rnd.choice([0, 3, 30, 200])))} for i in range(n)]
+        rows += [{"id": "7", "text": None}] if n else []
+        text = json.dumps(rows, indent=rnd.choice([None, 2]), ensure_ascii=name == "c")
+        (tmp_path / f"{name}.json").write_text(text, encoding="utf-8")
+    schema = "id bigint not null, text string"
+    want = sorted(map(repr, read_json_records(spark, str(tmp_path), schema).collect()))
+    name = "spark.sql.files.maxPartitionBytes"
+    before = spark.conf.get(name)
+    spark.conf.set(name, block)
+    try:
+        df = read_json_array(spark, str(tmp_path), schema)
+        assert sorted(map(repr, df.collect())) == want and len(want) == 244
+    finally:
+        spark.conf.set(name, before)

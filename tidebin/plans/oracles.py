@@ -570,6 +570,8 @@ ORACLES: dict[str, str] = {
         SELECT o_orderstatus, CAST(h AS INTEGER) AS step_ahead, e + h AS bin_idx, round(y, 5) AS forecast FROM rec WHERE h > 0""",
     "csv_round_trip": f"{PLAIN} SELECT start_date, end_date, n_orders FROM a",
     "json_round_trip": "SELECT CAST(o_orderdate AS DATE) AS day, count(DISTINCT o_custkey) AS customers FROM orders GROUP BY day",
+    "json_array_round_trip": """SELECT event_id, '{"\\' || event_type || '"}, {' || user_id AS note, value FROM events""",
+    "object_csv": "SELECT CAST(o_orderdate AS DATE) AS day, count(DISTINCT o_custkey) AS customers FROM orders GROUP BY day",
     "parse_json_records": "SELECT event_id, CAST(props->>'k' AS INTEGER) AS k FROM events",
     "stream_interval_counts": """WITH e AS (SELECT event_type, DATE '2024-01-01' + 7 * CAST(floor((CAST(ts AS DATE) - DATE '2024-01-01') / 7.0) AS INTEGER) AS start_date
             FROM events), x AS (SELECT event_type, CAST(start_date AS DATE) AS start_date, CAST(start_date + 6 AS DATE) AS end_date,

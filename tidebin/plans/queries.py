@@ -11,6 +11,7 @@ import datetime as dt
 import uuid
 from collections.abc import Callable, Sequence
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -627,6 +628,32 @@ def json_round_trip(spark, d):
     return files.read_json_records(spark, path, "day date, customers bigint not null", array_file=False)
 
 
+def _as_arrays(batches):
+    """Lines of JSON as one array for each partition."""
+    sign = "["
+    for batch in batches:
+        lines = [f"{',' if i or sign == ',' else '['}{text.as_py()}" for i, text in enumerate(batch.column(0))]
+        sign = "," if lines else sign
+        yield pa.RecordBatch.from_arrays([pa.array(lines, pa.string())], names=["value"])
+    yield pa.RecordBatch.from_arrays([pa.array(["[]" if sign == "[" else "]"])], names=["value"])
+
+
+def json_array_round_trip(spark, d):
+    """Events with braces and quotes in a text, from files of one array each, read in small blocks."""
+    path = f"{shared_folder(spark)}/array-{uuid.uuid4().hex}"
+    note = F.concat(F.lit('{"\\'), "event_type", F.lit('"}, {'), "user_id")
+    rows = table(spark, d, "events").select(F.col("event_id").cast("string"), note.alias("note"), F.col("value").cast("string"))
+    rows.repartition(3).select(F.to_json(F.struct("event_id", "note", "value")).alias("value")).mapInArrow(_as_arrays, "value string").write.text(path)
+    return files.read_json_array(spark, path, "event_id bigint not null, note string, value double")
+
+
+def object_csv(spark, d):
+    """Daily counts written as an object and read from its path."""
+    path = f"{shared_folder(spark)}/object-{uuid.uuid4().hex}.csv"
+    daily_distinct_count(spark, d).write.option("header", True).csv(path)
+    return files.read_object_csv(spark, path, "day date, customers bigint")
+
+
 def parse_json_records(spark, d):
     return files.parse_json_records(table(spark, d, "events"), "props", "k int", ["event_id"])
 
@@ -702,7 +729,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         minmax_scale, ols_inference, ols_chrono, ols_chrono_gaps, ols_random, ols_scaled_coefficients, ols_per_series,
         exact_quantiles, split_random, rf_importance, permutation_importance,
         rolling_origin_folds, backtest_ar1, backtest_grid, backtest_arma101, arma_grid, funnel_comparison, forecast12, forecast_best,
-        csv_round_trip, json_round_trip, parse_json_records, stream_interval_counts, stream_filled_counts,
+        csv_round_trip, json_round_trip, json_array_round_trip, object_csv, parse_json_records, stream_interval_counts, stream_filled_counts,
         accumulate_snapshots,
     )
 }
