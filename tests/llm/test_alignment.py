@@ -93,6 +93,15 @@ def test_ranks_encode_like_the_whole_library():
         assert fast.encode(text) == whole.encode(text), repr(text)
 
 
+def test_long_runs_are_seen():
+    import re
+
+    rnd = random.Random(2)
+    for _ in range(3000):
+        text = "".join(rnd.choice([" ", "\n", "a", "b c "]) * rnd.choice([1, 3, 90, 199, 399, 400, 401]) for _ in range(rnd.randrange(1, 8)))
+        assert alignment.long_run(text) == bool(re.search(r"\S{400}|\s{400}", text)), repr(text)
+
+
 def test_long_text_and_empty_table(spark, libraries):
     rnd = random.Random(3)
     long = " ".join(rnd.choices(["alpha", "Beta", "gämma", "delta9", "\n"], k=1500)) + "q" * 2000

@@ -36,7 +36,8 @@ BLOCK = 2_000_000
 PACK = 16_384
 #: Texts that both libraries split alike whatever their Unicode version, without long runs.
 PLAIN = re.compile(r"[\x00-\x7f\xa1-\xac\xae-\u024f\u2010-\u2027]*")
-LONG_RUN = re.compile(r"\S{400}|\s{400}")
+LONG = 400
+SPACES = re.compile(r"\s{%d}" % LONG)
 
 
 class Side(NamedTuple):
@@ -51,6 +52,16 @@ class Side(NamedTuple):
         return self.lossless or whole == b"".join(map(self.pieces.__getitem__, ids))
 
 
+def long_run(text: str) -> bool:
+    """Whether `LONG` characters on end are all white space or all other than it; white space
+    so long shows in two neighbours of every `LONG / 2`-th character."""
+    if len(text) < LONG:
+        return False
+    if re.search(r"\s\s", text[:: LONG // 2]) and SPACES.search(text):
+        return True
+    return max(map(len, text.split()), default=0) >= LONG
+
+
 def byte_alphabet() -> dict[str, int]:
     """Characters that stand for bytes in byte-level vocabularies: printable Latin-1 for
     itself, the other bytes for the code points from 256 on."""
@@ -88,7 +99,7 @@ def byte_level(json_path: str, ranks_path: str | None = None, pattern: str | Non
     fast = tiktoken.Encoding("ranks", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
 
     def either(text: str) -> list[int]:
-        if PLAIN.fullmatch(text) and not LONG_RUN.search(text):
+        if PLAIN.fullmatch(text) and not long_run(text):
             return fast.encode_ordinary(" " + text)
         return encode(text)
 
