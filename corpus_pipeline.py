@@ -27,11 +27,12 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The document with the smallest id of each group of near copies stays.
 
-    Of rows that repeat an id, one stays; rows without an id are in no group and stay.
+    Of rows that repeat an id, the first by their other columns stays; rows without an id are
+    in no group and stay.
     """
     groups = jaccard.join(docs, "doc_id", "text")
     first = groups.filter("doc_id = component_id").select("doc_id").distinct()
-    rank = F.row_number().over(Window.partitionBy("doc_id").orderBy("doc_id"))
+    rank = F.row_number().over(Window.partitionBy("doc_id").orderBy(*[c for c in docs.columns if c != "doc_id"]))
     kept = docs.join(first, "doc_id", "left_semi").withColumn("__rank", rank).filter("__rank = 1")
     return kept.select(*docs.columns).unionByName(docs.filter("doc_id is null"))
 
