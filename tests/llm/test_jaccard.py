@@ -83,6 +83,37 @@ def test_linked_sets_share_enough_signatures():
     assert seen > 500
 
 
+def test_bitmaps_never_rule_out_a_link():
+    rng = np.random.default_rng(4)
+    for n in (1, 5, 40, 400, 5000):
+        for _ in range(20):
+            pool = np.unique(rng.integers(0, 2**64, 2 * n, dtype=np.uint64))
+            rng.shuffle(pool)
+            cut = int(rng.integers(0, n))
+            x, y = pool[:n], pool[cut : cut + n]
+            apart = sum(int(w).bit_count() for w in (jaccard.bitmap(x) ^ jaccard.bitmap(y)).view(np.uint64))
+            assert apart <= len(np.setxor1d(x, y))
+
+
+def test_copies_and_related_texts_over_many_tasks(spark):
+    """A large group of equal texts, one of near copies in a chain, and related ones below the similarity."""
+    rnd = random.Random(5)
+    base = [f"w{k}" for k in range(120)]
+    texts = [" ".join(base)] * 60
+    for changes in (1, 2, 3, 6, 9):
+        for _ in range(12):
+            words = list(base)
+            for k in rnd.sample(range(120), changes):
+                words[k] = f"x{rnd.randrange(50)}"
+            texts.append(" ".join(words))
+    rows = list(enumerate(texts))
+    rnd.shuffle(rows)
+    df = spark.createDataFrame([(i, t, 1) for i, t in rows], "doc_id long, text string, component long").repartition(20)
+    got = sorted(tuple(r) for r in jaccard.join(df, "doc_id", "text").collect())
+    assert got == plain_join(rows)
+    assert 2 < len({r[2] for r in got}) < 60
+
+
 def test_null_and_repeated_ids_and_empty_table(spark):
     long = " ".join(f"w{i}" for i in range(40))
     rows = [(None, long), (None, long), (7, long), (7, long), (3, long + " end"), (7, "other words of seven here"), (9, "other words of seven here")]

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidebin.llm.shared import settle
+from tidebin.llm.shared import discard, settle
 
 
 def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
@@ -27,7 +27,8 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
         large = both.join(least, "u").filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
         small = large.groupBy("u").agg(F.min("v").alias("m"))
         pointed = large.join(small, "u").filter("v != m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        e = settle(pointed.unionByName(small.select("u", F.col("m").alias("v"))).distinct())
+        last, e = e, settle(pointed.unionByName(small.select("u", F.col("m").alias("v"))).distinct())
+        discard(last)
         now = e.agg(F.count("u"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if now == before:
             break

@@ -10,10 +10,13 @@ The few sets whose filled ranges are too few share one extra signature for each
 
 Signatures found once drop out; sets with fewer than `need` left have no partner; of the
 rest, a set keeps its rarest but `need`-1, as in prefix filtering. A passage that many texts
-share therefore does not make them candidates. Within a group of equal signatures, sets
-are first compared with one pivot, and only groups that still fall into several
-components go on, at last with all pairs across components; every pair that might link
-two components has then been compared on whole sets.
+share therefore does not make them candidates. Equal sets are one set from the start.
+
+Within a group of equal signatures, sets are first compared with one pivot. Groups that
+still fall into several components go on with all pairs across components, of which only
+those are compared that a bitmap does not rule out: each element flips one of 1,024 bits,
+so sets whose bitmaps differ in d bits differ in at least d elements. Every pair that might
+link two components has then been compared on whole sets or is proven not to link.
 """
 
 from __future__ import annotations
@@ -28,15 +31,18 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tidebin.llm.components import components
-from tidebin.llm.shared import settle
+from tidebin.llm.shared import discard, settle
 
 WORDS = 5
 PERCENT = 75
 #: Elements for each range at the upper end of a band.
 FILL = 2.2
 MIX = (0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB)
-#: Sets a task remembers so that copies within it give their signatures once.
-COPIES = 200_000
+#: Words of 64 bits in a bitmap. Beyond about a thousand elements it rules out little.
+BITMAP = 16
+BITS = [f"b{i}" for i in range(BITMAP)]
+#: A set held by more than one of so many rows is hot: there are at most so many of them.
+HOT = 1000
 
 
 def mixed(x: np.ndarray) -> np.ndarray:
@@ -89,37 +95,45 @@ def signatures(elements: np.ndarray, percent: int = PERCENT, fill: float = FILL)
     return out
 
 
+def bitmap(elements: np.ndarray) -> np.ndarray:
+    """Bits that an odd number of elements fall on."""
+    odd = np.bincount((elements & np.uint64(64 * BITMAP - 1)).astype(np.int64), minlength=64 * BITMAP) & 1
+    return np.packbits(odd.astype(np.uint8)).view(np.int64)
+
+
 def _batch(columns: list, names: list[str]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=names)
 
 
 def sets(df: DataFrame, doc_id: str, text: str, width: int = WORDS, whole: bool = False) -> DataFrame:
     """`doc` (id), `n` (size), `set_key` (128-bit hash of the set; null if empty) for every
-    row, and with `whole` the sorted `elements`."""
+    row, and with `whole` the sorted `elements` and the words `b0`, `b1`, ... of the bitmap."""
+    names = ["doc", "n", "set_key", *(["elements", *BITS] if whole else [])]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             start, held, rows = 0, 0, []
             for i, value in enumerate(batch.column(1)):
                 x = shingles(value.as_py(), width)
-                rows.append((len(x), xxhash.xxh3_128_digest(x.tobytes()) if len(x) else None, x.view(np.int64)))
+                key = xxhash.xxh3_128_digest(x.tobytes()) if len(x) else None
+                rows.append((len(x), key, x.view(np.int64), bitmap(x)) if whole else (len(x), key))
                 held += x.nbytes
                 if held > 8 << 20 or i == batch.num_rows - 1:
-                    n, keys, elements = zip(*rows)
+                    n, keys, *more = zip(*rows)
                     out = [batch.column(0).slice(start, len(rows)).cast(pa.int64()), pa.array(n, pa.int64()), pa.array(keys, pa.binary())]
-                    out += [pa.array(elements, pa.list_(pa.int64()))] if whole else []
-                    yield pa.RecordBatch.from_arrays(out, names=["doc", "n", "set_key", "elements"][: len(out)])
+                    if whole:
+                        out += [pa.array(more[0], pa.list_(pa.int64())), *[pa.array(w, pa.int64()) for w in np.array(more[1]).T]]
+                    yield pa.RecordBatch.from_arrays(out, names=names)
                     start, held, rows = i + 1, 0, []
 
-    schema = "doc long, n long, set_key binary" + (", elements array<long>" if whole else "")
+    schema = "doc long, n long, set_key binary" + (", elements array<long>" + "".join(f", {b} long" for b in BITS) if whole else "")
     return df.select(F.col(doc_id).cast("long"), F.col(text)).mapInArrow(run, schema)
 
 
 def _signature_rows(df: DataFrame, doc_id: str, text: str, width: int, percent: int) -> DataFrame:
-    """`sig`, `doc`, `band` and `need`, for one of the copies of a set in each task."""
+    """`sig`, `doc`, `band` and `need` of every row that has words."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen: set[bytes] = set()
         names = ["sig", "doc", "band", "need"]
 
         def packed(parts: list) -> pa.RecordBatch:
@@ -130,14 +144,7 @@ def _signature_rows(df: DataFrame, doc_id: str, text: str, width: int, percent:
         for batch in batches:
             parts, held = [], 0
             for doc, value in zip(batch.column(0).to_pylist(), batch.column(1)):
-                x = shingles(value.as_py(), width)
-                key = xxhash.xxh3_128_digest(x.tobytes())
-                if key in seen or not len(x):
-                    continue
-                if len(seen) >= COPIES:
-                    seen.clear()
-                seen.add(key)
-                for band, need, found in signatures(x, percent):
+                for band, need, found in signatures(shingles(value.as_py(), width), percent):
                     parts.append((found, doc, band, need))
                     held += len(found)
                 if held > 100_000:
@@ -160,46 +167,78 @@ def members(df: DataFrame, doc_id: str, text: str, width: int = WORDS, percent:
     return chosen.select("doc", F.col("s.sig").alias("sig")).distinct()
 
 
-def linked(pairs: DataFrame, whole: DataFrame, percent: int = PERCENT) -> DataFrame:
-    """The pairs (`a`, `b`) whose whole sets reach the similarity."""
+def compared(pairs: DataFrame, whole: DataFrame) -> DataFrame:
+    """The pairs (`a`, `b`) with the sizes `n_a`, `n_b` of their whole sets and how many elements are `common`."""
 
     def side(name: str) -> DataFrame:
         return whole.select(F.col("doc").alias(name), F.col("n").alias(f"n_{name}"), F.col("elements").alias(f"x_{name}"))
 
     both = pairs.select("a", "b").join(side("a"), "a").join(side("b"), "b")
-    near = both.filter((100 * F.least("n_a", "n_b")) >= percent * F.greatest("n_a", "n_b"))
-    common = F.size(F.array_intersect("x_a", "x_b")).cast("long")
-    close = 100 * common >= percent * (F.col("n_a") + F.col("n_b") - common)
-    return near.filter(close).select("a", "b").distinct()
+    return both.select("a", "b", "n_a", "n_b", F.size(F.array_intersect("x_a", "x_b")).cast("long").alias("common"))
+
+
+def reaches(common: F.Column, sizes: F.Column, percent: int = PERCENT) -> F.Column:
+    """Whether sets with so many common elements, of so many together, are similar enough."""
+    return 100 * common >= percent * (sizes - common)
+
+
+def _labelled(found: DataFrame, component: DataFrame) -> DataFrame:
+    """The members of signatures that hold several components, with `component`."""
+    label = component.select(F.col("node").alias("doc"), "component")
+    rows = found.join(label, "doc", "left").withColumn("component", F.coalesce("component", "doc"))
+    split = rows.groupBy("sig").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).filter("lo != hi").select("sig")
+    return rows.join(split, "sig", "left_semi")
 
 
-def _rounds(found: DataFrame):
-    """Functions from the members with their component to the pairs to compare next."""
-    by_sig = Window.partitionBy("sig")
+def _first_pivots(rows: DataFrame) -> DataFrame:
+    """Each member with the smallest one of its group, where their components differ."""
+    pivot = F.min(F.struct("doc", "component")).alias("p")
+    out = rows.join(rows.groupBy("sig").agg(pivot), "sig").filter("p.component != component")
+    return out.select(F.col("p.doc").alias("a"), F.col("doc").alias("b"))
 
-    def pivoted(rows: DataFrame, order: F.Column) -> DataFrame:
-        pivot = F.min(F.struct(order.alias("o"), "doc", "component")).over(by_sig)
-        out = rows.withColumn("pivot", pivot)
-        return out.filter(F.col("pivot.component") != F.col("component")).select(F.col("pivot.doc").alias("a"), F.col("doc").alias("b"))
 
-    def usual(rows: DataFrame) -> DataFrame:
-        """One partner for each set: the first member of most of its groups."""
-        pairs = pivoted(rows, F.col("doc")).groupBy("b", "a").count()
-        best = F.row_number().over(Window.partitionBy("b").orderBy(F.desc("count"), "a"))
-        return pairs.withColumn("rank", best).filter("rank = 1").select("a", "b")
+def _usual_pivots(rows: DataFrame) -> DataFrame:
+    """One partner for each set: the smallest member of most of its groups."""
+    pairs = _first_pivots(rows).groupBy("b", "a").count()
+    best = pairs.groupBy("b").agg(F.min(F.struct(-F.col("count"), F.col("a").alias("a"))).alias("m"))
+    return best.select("m.a", "b")
 
-    def first(rows: DataFrame) -> DataFrame:
-        return pivoted(rows, F.col("doc"))
 
-    def other(rows: DataFrame) -> DataFrame:
-        return pivoted(rows, F.xxhash64("sig", "doc"))
+def _possible(percent: int) -> F.Column:
+    """Whether sets `a` and `b` may link, by their sizes and bitmaps."""
+    apart = sum(F.bit_count(F.col(f"{w}_a").bitwiseXOR(F.col(f"{w}_b"))) for w in BITS)
+    both = F.col("n_a") + F.col("n_b")
+    return reaches(F.least("n_a", "n_b", F.shiftright(both - apart, 1)), both, percent)
 
-    def across(rows: DataFrame) -> DataFrame:
-        left = rows.select("sig", F.col("doc").alias("a"), F.col("component").alias("c"))
-        right = rows.select("sig", F.col("doc").alias("b"), F.col("component").alias("d"))
-        return left.join(right, "sig").filter("c < d").select("a", "b")
 
-    return [usual, first, other, across]
+def _side(sketch: DataFrame, name: str) -> DataFrame:
+    return sketch.select(F.col("doc").alias(name), *[F.col(c).alias(f"{c}_{name}") for c in ("n", *BITS)])
+
+
+def _across(rows: DataFrame, sketch: DataFrame, percent: int) -> DataFrame:
+    """The pairs across components within a group that may link."""
+    left = rows.select("sig", F.col("doc").alias("a"), F.col("component").alias("c")).join(_side(sketch, "a"), "a")
+    right = rows.select("sig", F.col("doc").alias("b"), F.col("component").alias("d")).join(_side(sketch, "b"), "b")
+    return left.join(right, "sig").filter((F.col("c") < F.col("d")) & _possible(percent)).select("a", "b")
+
+
+def links(found: DataFrame, whole: DataFrame, edges: DataFrame, percent: int = PERCENT) -> DataFrame:
+    """`node`, `component`: components of the sets by `edges` and all links between members."""
+    near = reaches(F.col("common"), F.col("n_a") + F.col("n_b"), percent)
+    sketch = whole.select("doc", "n", *BITS)
+    for pivots in (_usual_pivots, _first_pivots, None):
+        component = components(edges)
+        rows = settle(_labelled(found, component))
+        if rows.isEmpty():
+            return component
+        if pivots:
+            pairs = pivots(rows).distinct().join(_side(sketch, "a"), "a").join(_side(sketch, "b"), "b").filter(_possible(percent))
+        else:
+            pairs = _across(rows, sketch, percent)
+        close = settle(compared(pairs.select("a", "b").distinct(), whole).filter(near).select("a", "b"))
+        discard(rows)
+        edges = edges.unionByName(close)
+    return components(edges)
 
 
 def join(df: DataFrame, doc_id: str, text: str, width: int = WORDS, percent: int = PERCENT) -> DataFrame:
@@ -211,27 +250,25 @@ def join(df: DataFrame, doc_id: str, text: str, width: int = WORDS, percent: int
     null id take no part; their component is null. Other columns play no part.
     """
     sizes = settle(sets(df, doc_id, text, width))
-    key = F.col("set_key")
-    of_key = sizes.filter(key.isNotNull() & F.col("doc").isNotNull()).groupBy("set_key").agg(F.min("doc").alias("first"), F.count("doc").alias("copies"))
-    copies = sizes.join(of_key.filter("copies > 1"), "set_key").filter("doc != first").select(F.col("first").alias("a"), F.col("doc").alias("b"))
-    edges = settle(copies)
-    found = settle(members(df, doc_id, text, width, percent))
-    texts = df.select(F.col(doc_id).cast("long").alias("doc"), F.col(text).alias("text")).join(found.select("doc").distinct(), "doc", "left_semi")
-    whole = settle(sets(texts, "doc", "text", width, whole=True))
-    component = components(edges)
-    compared = None
-    for pairs_of in _rounds(found):
-        label = component.select(F.col("node").alias("doc"), "component")
-        rows = found.join(label, "doc", "left").withColumn("component", F.coalesce("component", "doc"))
-        split = rows.groupBy("sig").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).filter("lo != hi").select("sig")
-        rows = settle(rows.join(split, "sig", "left_semi"))
-        if rows.isEmpty():
-            break
-        pairs = pairs_of(rows).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-        pairs = settle(pairs if compared is None else pairs.join(compared, ["a", "b"], "left_anti"))
-        compared = pairs if compared is None else compared.unionByName(pairs)
-        edges = edges.unionByName(settle(linked(pairs, whole, percent)))
-        component = components(edges)
-    label = component.select(F.col("node").alias("doc"), "component")
-    out = sizes.join(label, "doc", "left")
-    return out.select(F.col("doc").alias("doc_id"), F.col("n").alias("n_shingles"), F.coalesce("component", "doc").alias("component_id"))
+    known = sizes.filter("doc is not null and set_key is not null")
+    classes = settle(known.groupBy("set_key").agg(F.min("doc").alias("first"), F.count("doc").alias("copies")))
+    texts = df.select(F.col(doc_id).cast("long").alias("doc"), F.col(text).alias("text"))
+
+    def texts_of(docs: DataFrame) -> DataFrame:
+        return texts.join(docs.select("doc").distinct(), "doc", "left_semi")
+
+    found = settle(members(texts_of(classes.select(F.col("first").alias("doc"))), "doc", "text", width, percent))
+    whole = settle(sets(texts_of(found), "doc", "text", width, whole=True))
+    again = settle(sizes.filter("doc is not null").groupBy("doc").count().filter("count > 1").select("doc"))
+    edges = settle(known.join(again, "doc", "left_semi").join(classes, "set_key").select(F.col("first").alias("a"), F.col("doc").alias("b")).distinct())
+    component = settle(links(found, whole, edges, percent))
+    label = component.select(F.col("node").alias("first"), "component")
+    of_set = settle(classes.join(label, "first", "left").select("set_key", "copies", F.coalesce("component", "first").alias("component_id")))
+    rows = known.count()
+    hot = of_set.filter(F.col("copies") * HOT > rows)
+    usual = known.join(F.broadcast(hot), "set_key", "left_anti").join(of_set, "set_key")
+    empty = sizes.filter("doc is null or set_key is null").join(component.withColumnRenamed("node", "doc"), "doc", "left")
+    out = [F.col("doc").alias("doc_id"), F.col("n").alias("n_shingles")]
+    parts = [known.join(F.broadcast(hot), "set_key"), usual, empty.withColumn("component_id", F.coalesce("component", "doc"))]
+    every = [p.select(*out, "component_id") for p in parts]
+    return every[0].unionByName(every[1]).unionByName(every[2])

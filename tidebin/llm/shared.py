@@ -77,3 +77,13 @@ def _pack(batch: pa.RecordBatch, start: int, rows: list, n_keep: int, schema: pa
 def scratch(spark: SparkSession, name: str) -> str:
     """A new path in the cluster's shared folder."""
     return f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
+
+
+def discard(*tables: DataFrame) -> None:
+    """Remove settled tables that nothing reads any more."""
+    for df in tables:
+        for folder in {path.rsplit("/", 1)[0] for path in df.inputFiles()}:
+            if folder.rsplit("/", 1)[-1].startswith("settled-"):
+                jvm = df.sparkSession._jvm
+                path = jvm.org.apache.hadoop.fs.Path(folder)
+                path.getFileSystem(df.sparkSession._jsparkSession.sessionState().newHadoopConf()).delete(path, True)
