@@ -31,10 +31,11 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
     in no group and stay.
     """
     groups = jaccard.join(docs, "doc_id", "text")
-    first = groups.filter("doc_id = component_id").select("doc_id").distinct()
+    first = settle(groups.filter("doc_id = component_id").groupBy("doc_id").agg(F.count("*").alias("times")))
+    once = docs.join(first.filter("times = 1").select("doc_id"), "doc_id", "left_semi")
     rank = F.row_number().over(Window.partitionBy("doc_id").orderBy(*[c for c in docs.columns if c != "doc_id"]))
-    kept = docs.join(first, "doc_id", "left_semi").withColumn("__rank", rank).filter("__rank = 1")
-    return kept.select(*docs.columns).unionByName(docs.filter("doc_id is null"))
+    again = docs.join(first.filter("times > 1").select("doc_id"), "doc_id", "left_semi").withColumn("__rank", rank).filter("__rank = 1")
+    return once.select(*docs.columns).unionByName(again.select(*docs.columns)).unionByName(docs.filter("doc_id is null"))
 
 
 def mask_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -51,9 +52,9 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
     A document at the end of its source's budget stays whole.
     """
-    mixed = mixing.mix(docs, "doc_id", mix_levels(), mixing.word_count("text"), MIX_WEIGHTS, share=0.8, max_epochs=1, seed=11)
-    taken = mixed.filter("epochs + part_tokens > 0").select("doc_id").distinct()
-    return docs.join(taken, docs["doc_id"].eqNullSafe(taken["doc_id"]), "left_semi")
+    levels, tokens, seed = mix_levels(), mixing.word_count("text"), 11
+    mixed = mixing.mix(docs, "doc_id", levels, tokens, MIX_WEIGHTS, share=0.8, max_epochs=1, seed=seed)
+    return mixing.taken(docs, "doc_id", levels, tokens, settle(mixing.cuts(mixed, list(levels), seed)), seed)
 
 
 def encode_tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

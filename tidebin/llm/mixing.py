@@ -78,6 +78,15 @@ def budgets(
     return filled.select(*levels, "docs", "tokens", "budget")
 
 
+def _key(seed: int, doc_id: str) -> Column:
+    """Place of a document in the order of its leaf's unfinished epoch."""
+    return F.md5(F.concat_ws(":", F.lit(str(seed)), "epochs", F.coalesce(F.col(doc_id).cast("string"), F.lit(""))))
+
+
+def _level(value: Column) -> Column:
+    return F.coalesce(value.cast("string"), F.lit(""))
+
+
 def mix(
     df: DataFrame,
     doc_id: str,
@@ -99,7 +108,7 @@ def mix(
     docs = settle(
         df.select(
             F.col(doc_id).alias("doc_id"),
-            *[F.coalesce(c.cast("string"), F.lit("")).alias(n) for n, c in levels.items()],
+            *[_level(c).alias(n) for n, c in levels.items()],
             F.coalesce(tokens, F.lit(0)).cast("long").alias("n_tokens"),
         )
     )
@@ -114,8 +123,7 @@ def mix(
         F.greatest(F.lit(1), F.expr(f"docs div {RANGE_DOCS}")).alias("ranges"),
     )
     same = reduce(lambda a, b: a & b, [F.col(n) == F.col(f"leaf_{n}") for n in names])
-    key = F.md5(F.concat_ws(":", F.lit(str(seed)), "epochs", F.coalesce(F.col("doc_id").cast("string"), F.lit("")))).alias("key")
-    placed = docs.join(plan, same).select("doc_id", *names, "n_tokens", "epochs", "rest", "ranges", key)
+    placed = docs.join(plan, same).select("doc_id", *names, "n_tokens", "epochs", "rest", "ranges", _key(seed, "doc_id").alias("key"))
     first = F.conv(F.substring("key", 1, 8), 16, 10).cast("long")
     placed = placed.withColumn("range", F.shiftright(first * F.col("ranges"), 32)).drop("ranges")
     sums = placed.groupBy(*names, "range").agg(F.sum("n_tokens").alias("in_range"))
@@ -129,3 +137,23 @@ def mix(
     out = ["doc_id", *names, "n_tokens", "epochs"]
     decided = rows.filter(~split).select(*out, F.when(F.col("ahead") < F.col("rest"), F.col("n_tokens")).otherwise(0).cast("long").alias("part_tokens"))
     return decided.unionByName(cut.select(*out, part.alias("part_tokens")))
+
+
+def cuts(mixed: DataFrame, levels: Sequence[str], seed: int) -> DataFrame:
+    """One row per leaf of a mixture: `__leaf_...` of the levels, `__epochs`, and `__last`, the place of
+    the last document that gives part of its tokens (null if none does)."""
+    last = F.max(F.when(F.col("part_tokens") > 0, _key(seed, "doc_id"))).alias("__last")
+    return mixed.groupBy(*[F.col(n).alias(f"__leaf_{n}") for n in levels]).agg(F.max("epochs").alias("__epochs"), last)
+
+
+def taken(df: DataFrame, doc_id: str, levels: Mapping[str, Column], tokens: Column, leaf_cuts: DataFrame, seed: int) -> DataFrame:
+    """The whole rows of which the mixture takes any token, each once.
+
+    A row is decided by its leaf's cut alone, so only one row per leaf is joined. Rows that
+    repeat the id of a taken row and have tokens are taken with it.
+    """
+    rows = df.withColumns({f"__at_{n}": _level(c) for n, c in levels.items()}).withColumn("__tokens", tokens)
+    same = reduce(lambda a, b: a & b, [F.col(f"__at_{n}") == F.col(f"__leaf_{n}") for n in levels])
+    part = F.coalesce(_key(seed, doc_id) <= F.col("__last"), F.lit(False))
+    chosen = rows.join(leaf_cuts, same).filter((F.col("__tokens") > 0) & ((F.col("__epochs") > 0) | part))
+    return chosen.select(*df.columns)
