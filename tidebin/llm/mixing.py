@@ -78,9 +78,9 @@ def budgets(
     return filled.select(*levels, "docs", "tokens", "budget")
 
 
-def _key(seed: int, doc_id: str) -> Column:
+def _key(seed: int, doc_id: str, epochs: str = "epochs") -> Column:
     """Place of a document in the order of its leaf's unfinished epoch."""
-    return F.md5(F.concat_ws(":", F.lit(str(seed)), "epochs", F.coalesce(F.col(doc_id).cast("string"), F.lit(""))))
+    return F.md5(F.concat_ws(":", F.lit(str(seed)), epochs, F.coalesce(F.col(doc_id).cast("string"), F.lit(""))))
 
 
 def _level(value: Column) -> Column:
@@ -154,6 +154,6 @@ def taken(df: DataFrame, doc_id: str, levels: Mapping[str, Column], tokens: Colu
     """
     rows = df.withColumns({f"__at_{n}": _level(c) for n, c in levels.items()}).withColumn("__tokens", tokens)
     same = reduce(lambda a, b: a & b, [F.col(f"__at_{n}") == F.col(f"__leaf_{n}") for n in levels])
-    part = F.coalesce(_key(seed, doc_id) <= F.col("__last"), F.lit(False))
+    part = F.coalesce(_key(seed, doc_id, "__epochs") <= F.col("__last"), F.lit(False))
     chosen = rows.join(leaf_cuts, same).filter((F.col("__tokens") > 0) & ((F.col("__epochs") > 0) | part))
     return chosen.select(*df.columns)
