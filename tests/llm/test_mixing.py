@@ -94,10 +94,10 @@ def test_taken_rows_are_those_of_the_mixture(spark):
     levels, tokens = {"source": F.col("source")}, mixing.word_count("text")
     for share, most in ((0.5, 1), (1.0, 1), (0.9, 3), (0.0, 1)):
         mixed = mixing.mix(docs, "doc_id", levels, tokens, {("a",): 1, ("b",): 4}, share=share, max_epochs=most, seed=3)
-        ids = {r.doc_id for r in mixed.filter("epochs + part_tokens > 0 and n_tokens > 0").collect()}
+        ids = {(r.doc_id, r.source) for r in mixed.filter("epochs + part_tokens > 0 and n_tokens > 0").collect()}
         got = mixing.taken(docs, "doc_id", levels, tokens, mixing.cuts(mixed, ["source"], 3), 3)
         assert got.columns == docs.columns
         found = [tuple(r) for r in got.collect()]
-        assert sorted(map(repr, found)) == sorted(repr(r) for r in rows if r[0] in ids and r[2])
+        assert sorted(map(repr, found)) == sorted(repr(r) for r in rows if (r[0], r[1] or "") in ids and r[2])
     empty = docs.limit(0)
     assert mixing.taken(empty, "doc_id", levels, tokens, mixing.cuts(mixed, ["source"], 3), 3).count() == 0
