@@ -6,6 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tidebin.operators import association, backtest, cluster, density, importance, ordering, regression
+from tidebin.operators.folds import rolling_origin_folds
 
 
 @pytest.fixture(scope="module")
@@ -193,7 +194,7 @@ def test_forecast_against_loops(table, data, order):
 
 
 def test_folds_cover_whole_windows(table):
-    out = backtest.rolling_origin_folds(table, [], "bin_idx", train=20, horizon=10, step=15).toPandas()
+    out = rolling_origin_folds(table, [], "bin_idx", train=20, horizon=10, step=15).toPandas()
     assert sorted(out.fold.unique()) == [0, 1, 2]
     for f, g in out.groupby("fold"):
         g = g.sort_values("bin_idx")

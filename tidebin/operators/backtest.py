@@ -1,9 +1,8 @@
 """Rolling-origin evaluation and forecasting of autoregressions fitted by least squares.
 
 A model of order (p, d) regresses the d-times differenced series on its own p lags and,
-optionally, on equally differenced exogenous columns. Rows are assigned to folds by
-arithmetic on their position; one aggregate per (series, fold, d) yields the moments from
-which every order and every exogenous set of that fold is solved.
+optionally, on equally differenced exogenous columns. The
+moments of a fold come from `folds`; every order and every exogenous set is solved from them.
 """
 
 from __future__ import annotations
@@ -17,49 +16,12 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tidebin.operators.common import attach, with_lags
+from tidebin.operators.folds import fold_moments, series_spans
 from tidebin.operators.moments import moment_columns
 from tidebin.operators.regression import solve, stacked
 from tidebin.operators.signal import difference_of
 
 
-def series_spans(df: DataFrame, keys: Sequence[str], pos: str) -> DataFrame:
-    """First position of each series and the positions it spans, gaps included."""
-    span = F.max(pos) - F.min(pos) + 1
-    return df.groupBy(*keys).agg(F.min(pos).alias("__p0"), span.alias("__n"))
-
-
-def rolling_origin_folds(
-    df: DataFrame,
-    keys: Sequence[str],
-    pos: str,
-    *,
-    train: int,
-    horizon: int,
-    step: int,
-    spans: DataFrame | None = None,
-) -> DataFrame:
-    """Add `fold`, `role` ("train" or "test") and `step_ahead` (1.. in the test part).
-
-    Fold f trains on positions `f*step .. f*step+train-1` counted from the series' first and
-    tests on the next `horizon`. Only whole folds are made; a row appears once per fold it
-    belongs to. `spans` (see `series_spans`) may be given where the rows are costly to
-    compute twice.
-    """
-    stats = series_spans(df, keys, pos) if spans is None else spans
-    q = F.col(pos) - F.col("__p0")
-    newest = F.least(F.floor((F.col("__n") - train - horizon) / F.lit(step)), F.floor(q / F.lit(step)))
-    oldest = F.greatest(F.lit(0), F.floor((q - train - horizon) / F.lit(step)) + 1)
-    rows = attach(df, stats, keys).withColumns({"__q": q, "__hi": newest, "__lo": oldest})
-    inside = rows.filter(F.col("__lo") <= F.col("__hi")).withColumn("fold", F.explode(F.sequence("__lo", "__hi")))
-    offset = F.col("__q") - F.col("fold") * step
-    return (
-        inside.withColumn("role", F.when(offset < train, "train").otherwise("test"))
-        .withColumn("step_ahead", F.when(offset >= train, offset - train + 1))
-        .withColumn("fold_row", offset)
-        .drop("__p0", "__n", "__q", "__hi", "__lo")
-    )
-
-
 def _with_designs(df, keys, pos, y, ds, pmax, exog):
     """Per row the level history, then one row per d: target w, its lags and exogenous values."""
     dmax = max(ds)
@@ -179,24 +141,12 @@ def backtest_folds(
     ds = sorted({d for _, d in orders})
     pmax = max(p for p, _ in orders)
     rows = _with_designs(df, keys, pos, y, ds, pmax, exog)
-    spans = series_spans(df, keys, pos)
-    folded = rolling_origin_folds(rows, keys, pos, train=train, horizon=horizon, step=step, spans=spans)
-    wide = folded.select(*keys, "fold", "role", "fold_row", "__y", "__levels", F.inline("__designs"))
-    fits = (F.col("role") == "train") & (F.col("fold_row") >= pmax + F.col("d"))
+    x = F.array(*[F.col(f"x{j}") for j in range(len(exog))]).cast("array<double>").alias("x")
     design_cols = ["w0", *[f"x{j}" for j in range(len(exog))], *[f"w{i}" for i in range(1, pmax + 1)]]
-    tests = F.array_sort(
-        F.collect_list(
-            F.when(
-                F.col("role") == "test",
-                F.struct("fold_row", F.col("__y").alias("y"), F.array(*[F.col(f"x{j}") for j in range(len(exog))]).cast("array<double>").alias("x")),
-            )
-        )
-    )
-    sums = wide.groupBy(*keys, "fold", "d").agg(
-        *moment_columns([F.col(c) for c in design_cols], fits),
-        F.first(F.when(F.col("fold_row") == train - 1, F.col("__levels")), True).alias("levels"),
-        tests.alias("tests"),
-    )
+    sums = fold_moments(
+        rows, keys, pos, design_cols, [F.col("__y").alias("y"), x], series_spans(df, keys, pos),
+        warm_up=pmax, train=train, horizon=horizon, step=step,
+    )
     score = _scorer(orders, positions, len(exog), horizon)(
         "d", "n", "mean", "cov", "levels", F.col("tests")["y"], F.flatten(F.col("tests")["x"])
     )
@@ -304,7 +254,7 @@ def backtest_arma(
     """Mean absolute error of the multi-step forecast per fold and order (p, d, q).
 
     Models with moving-average terms are fitted by two-stage least squares over an
-    autoregression of `long` lags. One aggregate per (series, fold, d) gives the moments of
+    autoregression of `long` lags. For each fold and d there are the moments of
     the differenced series and its lags; both stages of every order are solved from them, so
     residuals are never materialised. All orders of one d use the same training rows, those
     with `max(p, long + q)` lags in the fold. Gaps are treated as in `backtest_folds`.
@@ -312,15 +262,10 @@ def backtest_arma(
     ds = sorted({d for _, d, _ in orders})
     lags = max(max(p for p, _, _ in orders), long + max(q for _, _, q in orders))
     rows = _with_designs(df, keys, pos, y, ds, lags, [])
-    folded = rolling_origin_folds(rows, keys, pos, train=train, horizon=horizon, step=step, spans=series_spans(df, keys, pos))
-    wide = folded.select(*keys, "fold", "role", "fold_row", "__y", "__levels", F.inline("__designs"))
-    fits = (F.col("role") == "train") & (F.col("fold_row") >= lags + F.col("d"))
-    tests = F.array_sort(F.collect_list(F.when(F.col("role") == "test", F.struct("fold_row", F.col("__y").alias("y")))))
-    sums = wide.groupBy(*keys, "fold", "d").agg(
-        *moment_columns([F.col(f"w{i}") for i in range(lags + 1)], fits),
-        F.first(F.when(F.col("fold_row") == train - 1, F.col("__levels")), True).alias("levels"),
-        tests.alias("tests"),
-    )
+    sums = fold_moments(
+        rows, keys, pos, [f"w{i}" for i in range(lags + 1)], [F.col("__y").alias("y")], series_spans(df, keys, pos),
+        warm_up=lags, train=train, horizon=horizon, step=step,
+    )
     score = _arma_scorer(orders, long, horizon)("d", "n", "mean", "cov", "levels", F.col("tests")["y"])
     return sums.select(*keys, "fold", "d", F.explode(score).alias("__s")).select(*keys, "fold", "__s.p", "d", "__s.q", "__s.mae")
 

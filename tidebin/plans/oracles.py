@@ -305,12 +305,20 @@ HOLDOUT_ERRORS = """SELECT CASE WHEN is_train THEN 'in_sample' ELSE 'out_of_samp
     round(avg((y - b0 - ba * a - bb * b) ** 2), 5) + 0 AS mse, round(avg(abs(y - b0 - ba * a - bb * b)), 5) + 0 AS mae
     FROM g JOIN o ON TRUE GROUP BY is_train"""
 
-FOLDS = f"""{SERIES},
+
+def origin_folds(step: int) -> str:
+    return f"""{SERIES},
 w AS (SELECT *, bin_idx - min(bin_idx) OVER k AS q, count(*) OVER k AS n FROM s WINDOW k AS (PARTITION BY o_orderstatus)),
-fo AS (SELECT o_orderstatus, CAST(fold AS BIGINT) AS fold, q - fold * 6 AS r, bin_idx, n_orders
-    FROM w JOIN range(0, 100000) AS t(fold) ON fold * 6 <= q AND q < fold * 6 + 42 AND fold <= floor((n - 42) / 6.0))"""
+fo AS (SELECT o_orderstatus, CAST(fold AS BIGINT) AS fold, q - fold * {step} AS r, bin_idx, n_orders
+    FROM w JOIN range(0, 100000) AS t(fold) ON fold * {step} <= q AND q < fold * {step} + 42 AND fold <= floor((n - 42) / {step}.0))"""
+
+
+FOLDS = origin_folds(6)
+
+
 # AR(1) on levels (d = 0) and on first differences (d = 1), per fold
-AR1 = f"""{FOLDS},
+def ar1(folds: str) -> str:
+    return f"""{folds},
 lg AS (SELECT *, lag(n_orders) OVER k AS l1, n_orders - lag(n_orders) OVER k AS w0,
     lag(n_orders) OVER k - lag(n_orders, 2) OVER k AS w1 FROM fo WINDOW k AS (PARTITION BY o_orderstatus, fold ORDER BY r)),
 ft AS (SELECT o_orderstatus, fold, regr_slope(n_orders, l1) AS s0, regr_intercept(n_orders, l1) AS c0,
@@ -323,6 +331,11 @@ er AS (SELECT rec.o_orderstatus, rec.fold, avg(abs(y0 - n_orders)) AS e0, avg(ab
     FROM rec JOIN fo ON fo.o_orderstatus = rec.o_orderstatus AND fo.fold = rec.fold AND fo.r = 35 + rec.h WHERE h > 0
     GROUP BY rec.o_orderstatus, rec.fold)"""
 
+
+AR1_ERRORS = """SELECT o_orderstatus, fold, 'none' AS exog_set, CAST(1 AS INTEGER) AS p, CAST(0 AS INTEGER) AS d, round(e0, 5) AS mae FROM er
+    UNION ALL SELECT o_orderstatus, fold, 'none', CAST(1 AS INTEGER), CAST(1 AS INTEGER), round(e1, 5) FROM er"""
+
+
 def _two_regressors(rows: str, y: str, a: str, b: str, names: str) -> str:
     """Least squares on two columns per series and fold, as (slope of a, slope of b, constant)."""
     sa, sb, c = names.split()
@@ -552,9 +565,8 @@ ORACLES: dict[str, str] = {
         > ceil(count(*) OVER (PARTITION BY o_orderstatus) * 0.2) AS is_train FROM orders""",
     "rolling_origin_folds": f"""WITH {FOLDS} SELECT o_orderstatus, fold, CASE WHEN r < 36 THEN 'train' ELSE 'test' END AS role,
         CASE WHEN r >= 36 THEN r - 35 END AS step_ahead, bin_idx, n_orders FROM fo""",
-    "backtest_ar1": f"""WITH RECURSIVE {AR1}
-        SELECT o_orderstatus, fold, 'none' AS exog_set, CAST(1 AS INTEGER) AS p, CAST(0 AS INTEGER) AS d, round(e0, 5) AS mae FROM er UNION ALL
-        SELECT o_orderstatus, fold, 'none', CAST(1 AS INTEGER), CAST(1 AS INTEGER), round(e1, 5) FROM er""",
+    "backtest_ar1": f"WITH RECURSIVE {ar1(FOLDS)} {AR1_ERRORS}",
+    "backtest_every_origin": f"WITH RECURSIVE {ar1(origin_folds(1))} {AR1_ERRORS}",
     "backtest_arma101": f"""WITH RECURSIVE {ARMA}
         SELECT rec.o_orderstatus, rec.fold, CAST(1 AS INTEGER) AS p, CAST(0 AS INTEGER) AS d, CAST(1 AS INTEGER) AS q, round(avg(abs(v - n_orders)), 4) AS mae
         FROM rec JOIN fo ON fo.o_orderstatus = rec.o_orderstatus AND fo.fold = rec.fold AND fo.r = 35 + rec.h GROUP BY rec.o_orderstatus, rec.fold""",

@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 from tidebin.functions import columns as C
 from tidebin.operators import align, association, backtest, bins, cluster, counts, density
 from tidebin.operators import fill, importance, ordering, quantiles, regression, signal, stationarity
+from tidebin.operators.folds import rolling_origin_folds as origin_folds
 from tidebin.plans import pipelines
 from tidebin.session import settle, shared_folder
 from tidebin.sources import files
@@ -558,7 +559,7 @@ FOLDS = {"train": 36, "horizon": 6, "step": 6}
 
 
 def rolling_origin_folds(spark, d):
-    out = backtest.rolling_origin_folds(order_series(spark, d), STATUS, "bin_idx", **FOLDS)
+    out = origin_folds(order_series(spark, d), STATUS, "bin_idx", **FOLDS)
     return out.select(*STATUS, "fold", "role", "step_ahead", "bin_idx", "n_orders")
 
 
@@ -567,6 +568,13 @@ def backtest_ar1(spark, d):
     return rounded(out, "mae", digits=5)
 
 
+def backtest_every_origin(spark, d):
+    """A fold starts at every position, so a row is in up to 36 of them."""
+    every = FOLDS | {"step": 1}
+    out = backtest.backtest_folds(order_series(spark, d), STATUS, "bin_idx", "n_orders", orders=[(1, 0), (1, 1)], **every)
+    return rounded(out, "mae", digits=5)
+
+
 def backtest_grid(spark, d):
     folds = backtest.backtest_folds(
         order_series(spark, d), STATUS, "bin_idx", "n_orders", orders=[(p, q) for p in range(4) for q in range(3)], **FOLDS
@@ -728,7 +736,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         pearson_matrix, corr_with_target, partial_corr, kde, kde_by_group, kmeans2, cluster_spans,
         minmax_scale, ols_inference, ols_chrono, ols_chrono_gaps, ols_random, ols_scaled_coefficients, ols_per_series,
         exact_quantiles, split_random, rf_importance, permutation_importance,
-        rolling_origin_folds, backtest_ar1, backtest_grid, backtest_arma101, arma_grid, funnel_comparison, forecast12, forecast_best,
+        rolling_origin_folds, backtest_ar1, backtest_every_origin, backtest_grid, backtest_arma101, arma_grid, funnel_comparison, forecast12, forecast_best,
         csv_round_trip, json_round_trip, json_array_round_trip, object_csv, parse_json_records, stream_interval_counts, stream_filled_counts,
         accumulate_snapshots,
     )
