@@ -64,6 +64,8 @@ def test_one_calendar_for_all_keys(spark):
     assert [sum(r.n for r in out if r.bin_idx == w.bin_idx) for w in whole] == [w.n for w in whole]
     late = bins.resample_forward(feed, "day", 10, sums=["n"], keys=["key"], last_day="2024-02-05").collect()
     assert {(r.key, r.bin_idx) for r in late} == {(k, i) for k in "ab" for i in range(3)}
+    keyed = bins.resample_forward(feed, "day", 10, sums=["n"], keys=["key"])
+    assert "Join" not in keyed._jdf.queryExecution().optimizedPlan().toString()
     own = bins.resample_forward(feed, "day", 10, sums=["n"], keys=["key"], bounds="key", complete=False)
     assert own.filter("key = 'b'").count() == 3
     with pytest.raises(ValueError):

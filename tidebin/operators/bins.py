@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidebin.functions.columns import as_date, trunc_day
-from tidebin.operators.common import attach
+from tidebin.session import settle
 
 
 def date_bounds(df: DataFrame, date_col: str, keys: Sequence[str] = ()) -> DataFrame:
@@ -43,6 +43,15 @@ def _per_bin(days, keys, bin_idx, sums, means, bounds):
     )
 
 
+def _filled(df: DataFrame, idx_col: str, zero: Sequence[str], first: Column, last: Column) -> DataFrame:
+    """Each row emits the indexes `first` to `last`; inserted ones carry 0 in `zero`."""
+    filled = df.withColumn("__at", F.explode(F.sequence(first, last)))
+    inserted = F.col("__at") != F.col(idx_col)
+    return filled.withColumns(
+        {c: F.when(inserted, F.lit(0)).otherwise(F.coalesce(F.col(c), F.lit(0))) for c in zero}
+    ).withColumn(idx_col, F.col("__at")).drop("__at")
+
+
 def gap_fill(df: DataFrame, keys: Sequence[str] = (), idx_col: str = "bin_idx", zero: Sequence[str] = ()) -> DataFrame:
     """Insert the missing indexes between the first and last of each key.
 
@@ -51,21 +60,21 @@ def gap_fill(df: DataFrame, keys: Sequence[str] = (), idx_col: str = "bin_idx",
     (such as per-key bounds) are carried on from the row before.
     """
     following = F.lead(idx_col).over(Window.partitionBy(*keys).orderBy(idx_col))
-    run = F.sequence(F.col(idx_col), F.coalesce(F.col("__next") - 1, F.col(idx_col)))
-    filled = df.withColumn("__next", following).withColumn("__at", F.explode(run)).drop("__next")
-    inserted = F.col("__at") != F.col(idx_col)
-    return filled.withColumns(
-        {c: F.when(inserted, F.lit(0)).otherwise(F.coalesce(F.col(c), F.lit(0))) for c in zero}
-    ).withColumn(idx_col, F.col("__at")).drop("__at")
+    run = df.withColumn("__next", following)
+    return _filled(run, idx_col, zero, F.col(idx_col), F.coalesce(F.col("__next") - 1, F.col(idx_col))).drop("__next")
 
 
 def _whole_calendar(bins: DataFrame, keys: Sequence[str], freq: int, zero: Sequence[str]) -> DataFrame:
-    """Every interval from origin to last day for each key, 0 where it has no row."""
+    """Every interval from origin to last day for each key, 0 where it has no row.
+
+    The first row of a key also emits the intervals before it and the last one those after
+    it, so there is no grid of keys and intervals to join.
+    """
     newest = F.floor(F.datediff("__last", "__origin") / F.lit(freq)).cast("bigint")
-    each = bins.groupBy(*keys, "__origin", "__last").agg(F.count(F.lit(1)).alias("__rows"))
-    grid = each.select(*keys, "__origin", "__last", F.explode(F.sequence(F.lit(0).cast("bigint"), newest)).alias("bin_idx"))
-    found = bins.drop("__origin", "__last")
-    return attach(grid, found, [*keys, "bin_idx"]).withColumns({c: F.coalesce(F.col(c), F.lit(0)) for c in zero})
+    series = Window.partitionBy(*keys).orderBy("bin_idx")
+    run = bins.withColumns({"__before": F.lag("bin_idx").over(series), "__next": F.lead("bin_idx").over(series)})
+    first = F.when(F.col("__before").isNull(), F.lit(0).cast("bigint")).otherwise(F.col("bin_idx"))
+    return _filled(run, "bin_idx", zero, first, F.coalesce(F.col("__next") - 1, newest)).drop("__before", "__next")
 
 
 def complete_bins(df: DataFrame, freq: int, *, strict: bool = True) -> DataFrame:
@@ -107,8 +116,10 @@ def resample_forward(
     days = _per_day(df, date_col, keys, sums, means)
     shared = bool(keys) and bounds == "feed"
     if shared:
-        ends = df.agg(F.min(trunc_day(date_col)).alias("lo"), F.max(trunc_day(date_col)).alias("hi"))
-        ends = ends.select(F.struct("lo", "hi").alias("s")).scalar()
+        if origin is None or last_day is None:
+            # the compact table is read for its bounds and again for its intervals
+            days = settle(days)
+        ends = days.agg(F.struct(F.min("__day").alias("lo"), F.max("__day").alias("hi")).alias("s")).scalar()
         first = ends["lo"] if origin is None else as_date(origin)
         last = ends["hi"] if last_day is None else as_date(last_day)
         days = days.withColumns({"__origin": first, "__last": last})

@@ -281,6 +281,16 @@ u AS (SELECT n_orders AS y, sum(n_orders) OVER w AS s1, sum(n_orders ** 2) OVER
 q AS (SELECT y AS cut FROM u WHERE c < t ORDER BY s2 - s1 ** 2 / c + (t2 - s2) - (t1 - s1) ** 2 / (t - c), y LIMIT 1),
 k AS (SELECT start_date, end_date, n_orders, CAST(n_orders <= cut AS INTEGER) AS cluster FROM a JOIN q ON TRUE)"""
 
+# exact three clusters of each status: all pairs of cuts, the cheapest pair wins
+THREE_MEANS = f"""WITH {SERIES.replace('SELECT o_orderstatus, bin_idx, n_orders FROM a', 'SELECT * FROM a')},
+u AS (SELECT DISTINCT o_orderstatus, n_orders AS y, sum(n_orders) OVER w AS s1, sum(n_orders ** 2) OVER w AS s2, count(*) OVER w AS c,
+    sum(n_orders) OVER v AS t1, sum(n_orders ** 2) OVER v AS t2, count(*) OVER v AS t FROM s
+    WINDOW w AS (PARTITION BY o_orderstatus ORDER BY n_orders RANGE BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW), v AS (PARTITION BY o_orderstatus)),
+q AS (SELECT a.o_orderstatus, a.y AS low, b.y AS high FROM u AS a JOIN u AS b ON a.o_orderstatus = b.o_orderstatus AND a.y < b.y AND b.c < b.t
+    QUALIFY row_number() OVER (PARTITION BY a.o_orderstatus ORDER BY round(a.s2 - a.s1 ** 2 / a.c + (b.s2 - a.s2)
+        - (b.s1 - a.s1) ** 2 / (b.c - a.c) + (b.t2 - b.s2) - (b.t1 - b.s1) ** 2 / (b.t - b.c), 6), b.y, a.y) = 1),
+k AS (SELECT s.*, CAST(n_orders <= low AS INTEGER) + CAST(n_orders <= high AS INTEGER) AS cluster FROM s JOIN q USING (o_orderstatus))"""
+
 # least squares of n_orders on urgent and items over rows g(y, a, b), solved by Cramer's rule
 def two_regressors(rows: str) -> str:
     return f"""{rows},
@@ -536,6 +546,8 @@ ORACLES: dict[str, str] = {
     "kmeans2": f"{TWO_MEANS} SELECT * FROM k",
     "cluster_spans": f"""{TWO_MEANS} SELECT cluster, count(*) AS n, round(avg(n_orders), 6) AS mean, min(start_date) AS first_start,
         max(end_date) AS last_end FROM k GROUP BY cluster""",
+    "kmeans3_by_status": f"""{THREE_MEANS} SELECT o_orderstatus, cluster, count(*) AS n, round(avg(n_orders), 6) AS mean,
+        min(start_date) AS first_start, max(end_date) AS last_end FROM k GROUP BY o_orderstatus, cluster""",
     "minmax_scale": f"""WITH {SERIES} SELECT o_orderstatus, bin_idx, round((n_orders - min(n_orders) OVER k)
         / (max(n_orders) OVER k - min(n_orders) OVER k), 6) + 0 AS n_orders FROM s WINDOW k AS (PARTITION BY o_orderstatus)""",
     "ols_inference": f"""WITH {two_regressors(ALL_ROWS)},

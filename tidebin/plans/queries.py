@@ -482,6 +482,13 @@ def cluster_spans(spark, d):
     return rounded(cluster.cluster_spans(kmeans2(spark, d), "n_orders"), "mean")
 
 
+def kmeans3_by_status(spark, d):
+    """Three exact clusters of each status' series, with their spans."""
+    series = settle(order_counts(spark, d, 30, STATUS).select(*STATUS, "start_date", "end_date", "n_orders"))
+    found = cluster.kmeans_keyed(series, "n_orders", STATUS, 3)
+    return rounded(cluster.cluster_spans(found, "n_orders", keys=STATUS), "mean")
+
+
 # ---------------------------------------------------------------- regression
 
 
@@ -733,7 +740,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         round_half_even, filter_since, prefix_columns, first_and_last, drop_and_rename,
         diff_1, diff_2, diff_gaps, trend_gaps, decompose_additive, acf24, pacf24, order_hint, stationary_signal,
         adf_lag0, adf_test, adf_pvalues, ndiffs,
-        pearson_matrix, corr_with_target, partial_corr, kde, kde_by_group, kmeans2, cluster_spans,
+        pearson_matrix, corr_with_target, partial_corr, kde, kde_by_group, kmeans2, cluster_spans, kmeans3_by_status,
         minmax_scale, ols_inference, ols_chrono, ols_chrono_gaps, ols_random, ols_scaled_coefficients, ols_per_series,
         exact_quantiles, split_random, rf_importance, permutation_importance,
         rolling_origin_folds, backtest_ar1, backtest_every_origin, backtest_grid, backtest_arma101, arma_grid, funnel_comparison, forecast12, forecast_best,
