@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
 import numpy as np
@@ -39,18 +40,20 @@ def corr_with_target(df: DataFrame, target: str, cols: Sequence[str], keys: Sequ
 
 @F.pandas_udf(T.ArrayType(T.DoubleType()))
 def _partial(flat: pd.Series, n: pd.Series) -> pd.Series:
-    """Partial correlation of variable 0 with each other one, given the rest."""
-    out = []
-    for cells, size in zip(flat, n):
-        c = np.array(list(cells), dtype=float)
-        k = int(round(np.sqrt(len(c))))
-        c = c.reshape(k, k)
-        scale = np.sqrt(np.diag(c))
-        if size <= k or not np.all(scale > 0):
-            out.append([None] * (k - 1))
-            continue
-        p = np.linalg.pinv(c / np.outer(scale, scale), hermitian=True)
-        out.append((-p[0, 1:] / np.sqrt(p[0, 0] * np.diag(p)[1:])).tolist())
+    """Partial correlation of variable 0 with each other one, given the rest; a stack at once."""
+    if not len(flat):
+        return pd.Series([], dtype=object)
+    c = np.array([np.asarray(cells, dtype=float) for cells in flat])
+    k = math.isqrt(c.shape[1])
+    c = c.reshape(-1, k, k)
+    scale = np.sqrt(np.maximum(np.diagonal(c, axis1=1, axis2=2), 0.0))
+    fits = np.flatnonzero((n.to_numpy() > k) & (scale > 0).all(axis=1))
+    out = [[None] * (k - 1)] * len(c)
+    if len(fits):
+        p = np.linalg.pinv(c[fits] / (scale[fits, :, None] * scale[fits, None, :]), hermitian=True)
+        r = -p[:, 0, 1:] / np.sqrt(p[:, 0, :1] * np.diagonal(p, axis1=1, axis2=2)[:, 1:])
+        for i, row in zip(fits, r.tolist()):
+            out[i] = row
     return pd.Series(out)
 
 

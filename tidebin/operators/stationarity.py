@@ -8,7 +8,7 @@ a driver round trip.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pandas as pd
@@ -95,53 +95,51 @@ def lag_grams(
     return attach(grams, heads, keys)
 
 
-def _sweep(gram: np.ndarray, cols: int) -> tuple[np.ndarray, np.ndarray, float]:
+def _sweep(gram: np.ndarray, cols: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Coefficients, inverse of the scaled system and residual sum of squares for the
-    regression of variable 0 on variables 1..cols."""
-    a, b = gram[1 : cols + 1, 1 : cols + 1], gram[1 : cols + 1, 0]
-    scale = np.sqrt(np.maximum(np.diag(a), 1e-300))
-    inv = np.linalg.pinv(a / np.outer(scale, scale), hermitian=True) / np.outer(scale, scale)
-    beta = inv @ b
-    return beta, inv, max(float(gram[0, 0] - b @ beta), 0.0)
+    regression of variable 0 on variables 1..cols, for a stack of systems."""
+    a, b = gram[:, 1 : cols + 1, 1 : cols + 1], gram[:, 1 : cols + 1, 0]
+    scale = np.sqrt(np.maximum(np.diagonal(a, axis1=1, axis2=2), 1e-300))
+    both = scale[:, :, None] * scale[:, None, :]
+    inv = np.linalg.pinv(a / both, hermitian=True) / both
+    beta = np.einsum("mij,mj->mi", inv, b)
+    return beta, inv, np.maximum(gram[:, 0, 0] - np.einsum("mi,mi->m", b, beta), 0.0)
 
 
 def _nested_ssr(gram: np.ndarray) -> np.ndarray:
-    """Residual sums of squares of the regressions on variables 1..1, 1..2, ... at once.
+    """Residual sums of squares of the regressions on variables 1..1, 1..2, ... for a stack.
 
-    One Cholesky factor serves all of them; a singular system is solved size by size.
+    One Cholesky factor serves all sizes of a system. A stack with a singular system is
+    halved until that one is alone; it is solved size by size.
     """
-    a, b = gram[1:, 1:], gram[1:, 0]
-    scale = np.sqrt(np.maximum(np.diag(a), 1e-300))
+    a, b = gram[:, 1:, 1:], gram[:, 1:, 0]
+    scale = np.sqrt(np.maximum(np.diagonal(a, axis1=1, axis2=2), 1e-300))
     try:
-        lower = np.linalg.cholesky(a / np.outer(scale, scale))
-        explained = np.cumsum(np.linalg.solve(lower, b / scale) ** 2)
-        return np.maximum(gram[0, 0] - explained, 0.0)
+        lower = np.linalg.cholesky(a / (scale[:, :, None] * scale[:, None, :]))
+        explained = np.cumsum(np.linalg.solve(lower, (b / scale)[:, :, None])[:, :, 0] ** 2, axis=1)
+        return np.maximum(gram[:, 0, 0, None] - explained, 0.0)
     except np.linalg.LinAlgError:
-        return np.array([_sweep(gram, cols)[2] for cols in range(1, len(gram))])
-
-
-def _adf_one(flat, head, n: int, maxlag: int) -> tuple:
-    k = maxlag + 3
-    gram = np.asarray(flat, dtype=float).reshape(k, k)
-    nobs = n - 1 - maxlag
-    if nobs <= 3 or gram[0, 0] <= 0:
-        return (None,) * 7
-    ssr = _nested_ssr(gram)[1:]  # constant and level, then one more lag each
-    if not np.all(ssr > 0):
-        return (None,) * 7
-    aic = nobs * (np.log(2 * np.pi) + np.log(ssr / nobs) + 1) + 2 * (np.arange(maxlag + 1) + 2)
-    used = int(np.argmin(aic))
-    # the chosen order is refitted with the early rows it no longer has to give up
-    small = gram[: used + 3, : used + 3].copy()
-    early = _regressors(np.asarray(head, dtype=float), 0, used + 1, used, n, False)[: maxlag - used]
-    small += early.T @ early
-    beta, inv, ssr = _sweep(small, used + 2)
-    nobs = n - 1 - used
-    if nobs <= used + 2:
-        return (None,) * 7
-    stat = float(beta[1] / np.sqrt(ssr / (nobs - used - 2) * inv[1, 1]))
-    crit = adf_critical(nobs)
-    return stat, adf_pvalue(stat), used, nobs, crit["1%"], crit["5%"], crit["10%"]
+        half = len(gram) // 2
+        if half:
+            return np.concatenate([_nested_ssr(gram[:half]), _nested_ssr(gram[half:])])
+        return np.column_stack([_sweep(gram, cols)[2] for cols in range(1, gram.shape[1])])
+
+
+def _stacks(gram: pd.Series, lags: pd.Series, extra: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """Lag order, rows and cross-product matrices of the systems of each size."""
+    order = lags.to_numpy()
+    for k in np.unique(order).tolist():
+        rows, width = np.flatnonzero(order == k), k + extra
+        yield k, rows, np.array([np.asarray(gram.iloc[i], dtype=float) for i in rows]).reshape(-1, width, width)
+
+
+def _early_rows(head: np.ndarray, lags: int, maxlag: int) -> np.ndarray:
+    """Cross-products of the rows that order `lags` has and order `maxlag` gives up."""
+    t = np.arange(lags + 1, maxlag + 1)
+    dx = np.diff(head, axis=1)
+    cols = [dx[:, t - 1], np.ones((len(head), len(t))), head[:, t - 1], *[dx[:, t - 1 - j] for j in range(1, lags + 1)]]
+    x = np.stack(cols, axis=2)
+    return np.einsum("mti,mtj->mij", x, x)
 
 
 _ADF = T.StructType(
@@ -160,8 +158,32 @@ _TREND = T.StructType([T.StructField("stat", T.DoubleType()), T.StructField("pva
 
 @F.pandas_udf(_ADF)
 def _adf_solve(gram: pd.Series, head: pd.Series, n: pd.Series, lags: pd.Series) -> pd.DataFrame:
-    rows = [_adf_one(g, h, int(m), int(k)) for g, h, m, k in zip(gram, head, n, lags)]
-    return pd.DataFrame(rows, columns=_ADF.names).astype({"usedlag": "Int32", "nobs": "Int64"})
+    out: list[tuple] = [(None,) * 7] * len(n)
+    size = n.to_numpy(dtype=float)
+    for maxlag, rows, g in _stacks(gram, lags, 3):
+        able = (size[rows] - 1 - maxlag > 3) & (g[:, 0, 0] > 0)
+        rows, g = rows[able], g[able]
+        if not len(rows):
+            continue
+        ssr = _nested_ssr(g)[:, 1:]  # constant and level, then one more lag each
+        varied = (ssr > 0).all(axis=1)
+        rows, g, ssr = rows[varied], g[varied], ssr[varied]
+        nobs = size[rows, None] - 1 - maxlag
+        aic = nobs * (np.log(2 * np.pi) + np.log(ssr / nobs) + 1) + 2 * (np.arange(maxlag + 1) + 2)
+        chosen = np.argmin(aic, axis=1)
+        for used in np.unique(chosen).tolist():
+            # the chosen order is refitted with the early rows it no longer has to give up
+            mine = chosen == used
+            which = rows[mine]
+            first = np.array([np.asarray(head.iloc[i], dtype=float) for i in which])
+            beta, inv, rest = _sweep(g[mine][:, : used + 3, : used + 3] + _early_rows(first, used, maxlag), used + 2)
+            left = size[which] - 1 - used
+            with np.errstate(divide="ignore", invalid="ignore"):
+                stats = beta[:, 1] / np.sqrt(rest / (left - used - 2) * inv[:, 1, 1])
+            for i, stat, m in zip(which, stats.tolist(), left.astype(int).tolist()):
+                if m > used + 2:
+                    out[i] = (stat, adf_pvalue(stat), used, m, *adf_critical(m).values())
+    return pd.DataFrame(out, columns=_ADF.names).astype({"usedlag": "Int32", "nobs": "Int64"})
 
 
 def adf_test(df: DataFrame, keys: Sequence[str], pos: str, col: str, maxlag: int | None = None) -> DataFrame:
@@ -178,22 +200,20 @@ def adf_test(df: DataFrame, keys: Sequence[str], pos: str, col: str, maxlag: int
 
 @F.pandas_udf(_TREND)
 def _trend_solve(gram: pd.Series, n: pd.Series, lags: pd.Series) -> pd.DataFrame:
-    rows = []
-    for flat, size, k in zip(gram, n, lags):
-        width = int(k) + 4
-        g = np.asarray(flat, dtype=float).reshape(width, width)
-        dof = int(size) - 1 - int(k) - (width - 1)
-        if dof <= 0 or g[0, 0] <= 0:
-            rows.append((None, None))
-            continue
-        beta, inv, ssr = _sweep(g, width - 1)
-        var = ssr / dof * inv[2, 2]
-        if var <= 0:
-            rows.append((None, None))
+    out: list[tuple] = [(None, None)] * len(n)
+    size = n.to_numpy(dtype=float)
+    for k, rows, g in _stacks(gram, lags, 4):
+        able = (size[rows] - 1 - k - (k + 3) > 0) & (g[:, 0, 0] > 0)
+        rows, g = rows[able], g[able]
+        if not len(rows):
             continue
-        stat = float(beta[2] / np.sqrt(var))
-        rows.append((stat, trend_pvalue(stat, int(size) - 1)))
-    return pd.DataFrame(rows, columns=_TREND.names)
+        beta, inv, ssr = _sweep(g, k + 3)
+        var = ssr / (size[rows] - 1 - k - (k + 3)) * inv[:, 2, 2]
+        for i, b, v in zip(rows, beta[:, 2].tolist(), var.tolist()):
+            if v > 0:
+                stat = b / v**0.5
+                out[i] = (stat, trend_pvalue(stat, int(size[i]) - 1))
+    return pd.DataFrame(out, columns=_TREND.names)
 
 
 def adf_trend_test(df: DataFrame, keys: Sequence[str], pos: str, col: str) -> DataFrame:
