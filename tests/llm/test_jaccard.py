@@ -142,3 +142,23 @@ def test_query(spark, sf_dir):
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text").collect()
     got = sorted((r.doc_id, r.n_shingles, r.component_id) for r in op5_ngram_jaccard(spark, sf_dir).collect())
     assert got == plain_join([tuple(d) for d in docs])
+
+
+def test_texts_do_not_move_for_few_ids(spark, monkeypatch):
+    """Ids to leave out or look at whole are sent, whatever Spark's own limit; past SENT_IDS they are joined."""
+    rows = corpus(1, 40) + [(70, "a b c d e f g"), (71, "a b c d e f g"), (71, "h i j k l m n")]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    plans, signed, whole_sets = [], jaccard._signature_rows, jaccard.sets
+    seen = lambda d: plans.append(d._jdf.queryExecution().optimizedPlan().toString() + d._jdf.queryExecution().executedPlan().toString())
+    monkeypatch.setattr(jaccard, "_signature_rows", lambda d, *a: seen(d) or signed(d, *a))
+    monkeypatch.setattr(jaccard, "sets", lambda d, *a, **k: (k and seen(d)) or whole_sets(d, *a, **k))
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        got = sorted(tuple(r) for r in jaccard.join(df, "doc_id", "text").collect())
+        assert len(plans) == 2 and not any("SortMergeJoin" in p for p in plans)
+        monkeypatch.setattr("tidebin.llm.shared.SENT_IDS", 0)
+        assert got == sorted(tuple(r) for r in jaccard.join(df, "doc_id", "text").collect())
+        assert len(plans) == 4 and all("SortMergeJoin" in p for p in plans[2:])
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert [r[2] for r in got if r[0] in (70, 71)] == [70, 70, 70]

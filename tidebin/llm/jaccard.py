@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tidebin.llm.components import components
-from tidebin.llm.shared import discard, settle
+from tidebin.llm.shared import discard, few, settle
 
 WORDS = 5
 PERCENT = 75
@@ -254,11 +254,12 @@ def join(df: DataFrame, doc_id: str, text: str, width: int = WORDS, percent: int
     classes = settle(known.groupBy("set_key").agg(F.min("doc").alias("first"), F.count("doc").alias("copies")))
     texts = df.select(F.col(doc_id).cast("long").alias("doc"), F.col(text).alias("text"))
 
-    def texts_of(docs: DataFrame) -> DataFrame:
-        return texts.join(docs.select("doc").distinct(), "doc", "left_semi")
-
-    found = settle(members(texts_of(classes.select(F.col("first").alias("doc"))), "doc", "text", width, percent))
-    whole = settle(sets(texts_of(found), "doc", "text", width, whole=True))
+    # the ids to leave out, or to look at whole, are few beside the texts, which then stay where they are
+    firsts = classes.select(F.col("first").alias("doc")).distinct()
+    copies = settle(known.select("doc").distinct().join(firsts, "doc", "left_anti"))
+    found = settle(members(texts.join(few(copies), "doc", "left_anti"), "doc", "text", width, percent))
+    wanted = settle(found.select("doc").distinct())
+    whole = settle(sets(texts.join(few(wanted), "doc", "left_semi"), "doc", "text", width, whole=True))
     again = settle(sizes.filter("doc is not null").groupBy("doc").count().filter("count > 1").select("doc"))
     edges = settle(known.join(again, "doc", "left_semi").join(classes, "set_key").select(F.col("first").alias("a"), F.col("doc").alias("b")).distinct())
     component = settle(links(found, whole, edges, percent))

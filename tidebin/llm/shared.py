@@ -15,6 +15,8 @@ from tidebin.session import settle, shared_folder  # noqa: F401
 
 #: Bytes of result a task gathers before it hands a batch back to Spark.
 FLUSH_BYTES = 8 << 20
+#: Ids that are sent to all tasks at once (8 bytes each); more are joined by a shuffle.
+SENT_IDS = 2_000_000
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -74,6 +76,12 @@ def _pack(batch: pa.RecordBatch, start: int, rows: list, n_keep: int, schema: pa
     return pa.RecordBatch.from_arrays(kept + made, schema=schema)
 
 
+def few(ids: DataFrame) -> DataFrame:
+    """A settled table of one id column, to be sent to all tasks if it holds few rows, so that
+    what it is joined with need not move."""
+    return F.broadcast(ids) if ids.count() <= SENT_IDS else ids
+
+
 def scratch(spark: SparkSession, name: str) -> str:
     """A new path in the cluster's shared folder."""
     return f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
