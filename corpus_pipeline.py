@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from tidebin.llm import bpe, jaccard, mixing, secrets, toxicity
 from tidebin.llm.catalogue import MIX_WEIGHTS, mix_levels, toxicity_model
-from tidebin.llm.shared import settle, table
+from tidebin.llm.shared import few, settle, table
 
 ORACLE_SQL = None
 
@@ -31,11 +31,13 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
     in no group and stay.
     """
     groups = jaccard.join(docs, "doc_id", "text")
-    first = settle(groups.filter("doc_id = component_id").groupBy("doc_id").agg(F.count("*").alias("times")))
-    once = docs.join(first.filter("times = 1").select("doc_id"), "doc_id", "left_semi")
+    times = F.sum((F.col("doc_id") == F.col("component_id")).cast("long")).alias("times")
+    kept = settle(groups.filter("doc_id is not null").groupBy("doc_id").agg(times))
+    copies, repeated = (settle(kept.filter(which).select("doc_id")) for which in ("times = 0", "times > 1"))
+    once = docs.join(few(copies), "doc_id", "left_anti").join(few(repeated), "doc_id", "left_anti")
     rank = F.row_number().over(Window.partitionBy("doc_id").orderBy(*[c for c in docs.columns if c != "doc_id"]))
-    again = docs.join(first.filter("times > 1").select("doc_id"), "doc_id", "left_semi").withColumn("__rank", rank).filter("__rank = 1")
-    return once.select(*docs.columns).unionByName(again.select(*docs.columns)).unionByName(docs.filter("doc_id is null"))
+    again = docs.join(few(repeated), "doc_id", "left_semi").withColumn("__rank", rank).filter("__rank = 1")
+    return once.select(*docs.columns).unionByName(again.select(*docs.columns))
 
 
 def mask_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -75,3 +75,16 @@ def test_run_survives_odd_rows(spark, sf_dir, tmp_path):
         df.write.parquet(str(tmp_path / f"{name}.parquet"))
     out = corpus_pipeline.run(spark, str(tmp_path)).collect()
     assert sum(r.doc_id == 5003 for r in out) <= 1 and len(out) > 10
+
+
+def test_near_copies_leave_texts_where_they_are(spark, sf_dir):
+    rows = [(1, "a b c d e f g", "x"), (2, "a b c d e f g", "x"), (3, "h i j", "z"), (3, "h i j", "y"), (None, "a b c d e f g", "x"), (4, None, "x")]
+    docs = corpus_pipeline.settle(spark.createDataFrame(rows, "doc_id long, text string, lang string"))
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        out = corpus_pipeline.drop_near_copies(spark, docs, sf_dir)
+        assert "SortMergeJoin" not in out._jdf.queryExecution().executedPlan().toString()
+        got = sorted((r.doc_id or 0, r.lang) for r in out.collect())
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert got == [(0, "x"), (1, "x"), (3, "y"), (4, "x")]
