@@ -116,6 +116,33 @@ def test_filled_stream(spark, tmp_path):
     assert got == want and any(r[3] == 0 for r in got)
 
 
+def test_filled_stream_keeps_keys_of_a_group_apart(spark, tmp_path):
+    """All keys in one state value: nulls, long integers, keys that come later, counts across batches."""
+    day = lambda d: dt.datetime(2024, 1, d, 12)
+    big = 2**60 + 1
+    batches = [
+        [("a", big, 0.5, day(1)), ("a", None, 0.5, day(1)), (None, big, float("nan"), day(2)), ("a", big, 0.5, day(4))],
+        [("a", big, 0.5, day(4)), ("b", 7, -0.0, day(2)), ("b", 7, 0.0, day(9))],
+        [(None, big, float("nan"), day(1)), ("a", None, 0.5, day(16))],
+    ]
+    schema = "k string, n long, x double, ts timestamp_ntz"
+    for rows in batches:
+        spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(str(tmp_path / "feed"))
+    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "feed"))
+    name = "spark.sql.streaming.stateStore.providerClass"
+    before = spark.conf.get(name)
+    spark.conf.set(name, intervals.ROCKSDB)
+    try:
+        out = intervals.stream_filled_counts(stream, "ts", 7, dt.date(2024, 1, 1), ["k", "n", "x"], delay="1 day", groups=1)
+        out.writeStream.format("parquet").option("path", str(tmp_path / "out")).option("checkpointLocation", str(tmp_path / "log")).trigger(availableNow=True).start().awaitTermination()
+    finally:
+        spark.conf.set(name, before)
+    assert [f.dataType for f in out.schema][:3] == [f.dataType for f in spark.read.parquet(str(tmp_path / "feed")).schema][:3]
+    got = sorted((str(r.k), r.n or 0, str(r.x), r.start_date.day, r.n_events) for r in spark.read.parquet(str(tmp_path / "out")).collect())
+    want = [("None", big, "nan", 1, 2), ("None", big, "nan", 8, 0), ("a", 0, "0.5", 1, 1), ("a", 0, "0.5", 8, 0)]
+    assert got == want + [("a", big, "0.5", 1, 3), ("a", big, "0.5", 8, 0), ("b", 7, "0.0", 1, 1), ("b", 7, "0.0", 8, 1)]
+
+
 def test_snapshots_keep_null_days(spark, tmp_path):
     feed = str(tmp_path / "feed")
     for k in (1, 2):

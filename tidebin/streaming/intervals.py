@@ -3,11 +3,13 @@
 from __future__ import annotations
 
 import datetime as dt
+import json
+from collections import Counter
 from collections.abc import Iterator, Sequence
 
 import pandas as pd
 from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, StreamingQuery
@@ -16,6 +18,8 @@ from tidebin.functions.columns import MICROS_PER_DAY
 
 EPOCH = dt.date(1970, 1, 1)
 MS_PER_DAY = 86_400_000
+#: Groups of keys that share a state value, and rows that a task hands on at once.
+GROUPS, EMIT_ROWS = 1024, 100_000
 
 
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
@@ -47,10 +51,11 @@ def stream_interval_counts(
 
 
 class ClosedIntervals(StatefulProcessor):
-    """Open counts of a key by interval, and the interval that it has to emit next.
+    """Open counts by key and interval of a group of keys, and the interval that it has to emit next.
 
     A timer stands at the end of that interval, so a key that falls silent still emits:
-    every interval up to the watermark once and in order, with 0 where nothing came.
+    every interval up to the watermark once and in order, with 0 where nothing came. The
+    keys of a group share one state value, which a batch reads and writes once.
     """
 
     def __init__(self, n_keys: int, freq: int, origin: dt.date):
@@ -58,47 +63,79 @@ class ClosedIntervals(StatefulProcessor):
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        interval = T.StructType([T.StructField("interval", T.LongType())])
-        self.open = handle.getMapState("open", interval, T.StructType([T.StructField("n", T.LongType())]))
-        self.next = handle.getValueState("next", interval)
+        self.held = handle.getValueState("held", T.StructType([T.StructField("next", T.LongType()), T.StructField("counts", T.StringType())]))
 
     def end_ms(self, interval: int) -> int:
         return ((self.origin - EPOCH).days + (interval + 1) * self.freq) * MS_PER_DAY
 
+    def loaded(self) -> tuple[int, dict[tuple, dict[int, int]]]:
+        if not self.held.exists():
+            return 0, {}
+        first, counts = self.held.get()
+        return first, {tuple(key): dict(of_key) for key, of_key in json.loads(counts)}
+
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
-        first = self.next.get()[0] if self.next.exists() else 0
+        first, held = self.loaded()
+        new = set()
         for part in rows:
-            if part.empty:
-                continue
-            for interval, n in part.iloc[:, self.n_keys].value_counts().items():
-                if interval >= first:  # those before are out already, or lie before the origin
-                    before = self.open.getValue((interval,))[0] if self.open.containsKey((interval,)) else 0
-                    self.open.updateValue((int(interval),), (before + int(n),))
-        yield self.closed(key, first, timerValues.getCurrentWatermarkInMs())
+            seen = Counter(zip(*(part.iloc[:, i] for i in range(self.n_keys + 1))))
+            for (*values, interval), n in seen.items():
+                of = tuple(v if isinstance(v, str) else None for v in values)
+                if of not in held:
+                    held[of] = {}
+                    new.add(of)
+                # intervals before are out already, or lie before the origin; unknown times count nowhere
+                if pd.notna(interval) and interval >= (0 if of in new else first):
+                    held[of][int(interval)] = held[of].get(int(interval), 0) + n
+        yield from self.closed(first, held, new, timerValues.getCurrentWatermarkInMs())
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
-        yield self.closed(key, self.next.get()[0], timerValues.getCurrentWatermarkInMs())
+        yield from self.closed(*self.loaded(), set(), timerValues.getCurrentWatermarkInMs())
 
-    def closed(self, key: tuple, interval: int, watermark: int) -> pd.DataFrame:
+    def closed(self, first: int, held: dict[tuple, dict[int, int]], new: set[tuple], watermark: int) -> Iterator[pd.DataFrame]:
+        last = first
+        while self.end_ms(last) <= watermark:
+            last += 1
         out = []
-        while self.end_ms(interval) <= watermark:
-            n = 0
-            if self.open.containsKey((interval,)):
-                n = self.open.getValue((interval,))[0]
-                self.open.removeKey((interval,))
-            start = self.origin + dt.timedelta(interval * self.freq)
-            out.append((*key[: self.n_keys], start, start + dt.timedelta(self.freq - 1), n))
-            interval += 1
-        self.next.update((interval,))
-        self.handle.registerTimer(self.end_ms(interval))
-        return pd.DataFrame(out, columns=range(self.n_keys + 3))
+        for key, counts in held.items():
+            for interval in range(0 if key in new else first, last):
+                start = self.origin + dt.timedelta(interval * self.freq)
+                out.append((*key, start, start + dt.timedelta(self.freq - 1), counts.pop(interval, 0)))
+                if len(out) == EMIT_ROWS:
+                    yield pd.DataFrame(out, columns=range(self.n_keys + 3))
+                    out = []
+        if out:
+            yield pd.DataFrame(out, columns=range(self.n_keys + 3))
+        self.held.update((last, json.dumps([[key, list(counts.items())] for key, counts in held.items()])))
+        self.handle.registerTimer(self.end_ms(last))
 
     def close(self) -> None:
         pass
 
 
+def _as_text(name: str, kind: T.DataType) -> Column:
+    """A key as text that `_from_text` takes back exactly; nulls stay null."""
+    col = F.col(name)
+    if isinstance(kind, T.BinaryType):
+        return F.hex(col)
+    if isinstance(kind, T.TimestampType):
+        return F.unix_micros(col).cast("string")
+    if isinstance(kind, (T.FloatType, T.DoubleType)):
+        return F.when(col == 0, F.lit(0).cast(kind)).otherwise(col).cast("string")
+    return F.to_json(col) if isinstance(kind, (T.ArrayType, T.StructType)) else col.cast("string")
+
+
+def _from_text(name: str, kind: T.DataType) -> Column:
+    col = F.col(name)
+    if isinstance(kind, T.BinaryType):
+        return F.unhex(col)
+    if isinstance(kind, T.TimestampType):
+        return F.timestamp_micros(col.cast("long"))
+    return F.from_json(col, kind) if isinstance(kind, (T.ArrayType, T.StructType)) else col.cast(kind)
+
+
 def stream_filled_counts(
-    events: DataFrame, ts: str, freq: int, origin: dt.date, keys: Sequence[str] = (), *, delay: str = "1 day"
+    events: DataFrame, ts: str, freq: int, origin: dt.date, keys: Sequence[str] = (), *, delay: str = "1 day", groups: int = GROUPS
 ) -> DataFrame:
     """Counts of every interval from `origin` on, 0 where a key had no events.
 
@@ -106,16 +143,21 @@ def stream_filled_counts(
     the key still come; a key that first appears late then emits its earlier intervals too.
     An event counts as long as its interval is open, however late it is; events before the
     origin do not count. Over the whole stream this is `resample_forward` with feed bounds,
-    cut at the watermark. State is one number for each open interval and key, in RocksDB.
+    cut at the watermark. State is one number for each open interval and key, in RocksDB;
+    keys are dealt to `groups` by their hash, and a task holds one group at a time. The
+    number of groups is fixed for the life of a stream's checkpoint.
     """
     provider = events.sparkSession.conf.get("spark.sql.streaming.stateStore.providerClass")
     if provider != ROCKSDB:
         raise ValueError(f"set spark.sql.streaming.stateStore.providerClass to {ROCKSDB}")
     days = F.floor(F.unix_micros("__ts") / MICROS_PER_DAY) - (origin - EPOCH).days
-    rows = _timed(events, ts, delay).select(*keys, F.floor(days / freq).alias("__interval"), F.lit(0).alias("__all"), "__ts").drop("__ts")
-    fields = [*(events.schema[k] for k in keys), *T.StructType.fromDDL("start_date date, end_date date, n_events long").fields]
-    grouped = rows.groupBy(*keys) if keys else rows.groupBy("__all")
-    return grouped.transformWithStateInPandas(ClosedIntervals(len(keys), freq, origin), T.StructType(fields), "Append", "EventTime")
+    kinds = {k: events.schema[k].dataType for k in keys}
+    rows = _timed(events, ts, delay).select(*[_as_text(k, t).alias(k) for k, t in kinds.items()], F.floor(days / freq).alias("__interval"), "__ts")
+    group = F.pmod(F.xxhash64(*keys), F.lit(groups)) if keys else F.lit(0)
+    grouped = rows.select(*keys, "__interval", group.alias("__group"), "__ts").drop("__ts").groupBy("__group")
+    fields = [T.StructField(k, T.StringType()) for k in keys] + T.StructType.fromDDL("start_date date, end_date date, n_events long").fields
+    out = grouped.transformWithStateInPandas(ClosedIntervals(len(keys), freq, origin), T.StructType(fields), "Append", "EventTime")
+    return out.select(*[_from_text(k, t).alias(k) for k, t in kinds.items()], "start_date", "end_date", "n_events")
 
 
 def accumulate_snapshots(
