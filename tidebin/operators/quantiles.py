@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidebin.operators.common import attach
+from tidebin.session import settle
 
 #: A bracket holds about four in this many of a group's values.
 ACCURACY = 10_000
@@ -24,16 +25,18 @@ def exact_quantiles(df: DataFrame, value: str, shares: Sequence[float], keys: Se
 
     Nulls do not count, NaN is larger than all numbers, and a group without values gives
     null. The sketch only decides how many values are looked at: a bracket that the counts
-    show to miss its ranks is replaced by the whole range of the group.
+    show to miss its ranks is replaced by the whole range of the group. What is found for
+    each group is settled, so Spark sends few groups to the rows and a large one is not
+    gathered by its key.
     """
     if any(not 0 <= s <= 1 for s in shares):
         raise ValueError("shares lie between 0 and 1")
     rows = df.select(*keys, F.col(value).cast("double").alias("__v"))
     ends = [min(max(s + side * 2 / accuracy, 0.0), 1.0) for s in shares for side in (-1, 1)]
-    stats = rows.groupBy(*keys).agg(
+    stats = settle(rows.groupBy(*keys).agg(
         F.count("__v").alias("__n"), F.min("__v").alias("__min"), F.max("__v").alias("__max"),
         F.percentile_approx("__v", ends, accuracy).alias("__ends"),
-    )
+    ))
     v = F.col("__v")
     parts = range(len(shares))
     lo, hi = ([F.get("__ends", F.lit(2 * i + side)) for i in parts] for side in (0, 1))
@@ -52,7 +55,7 @@ def exact_quantiles(df: DataFrame, value: str, shares: Sequence[float], keys: Se
                 F.when(holds, F.col(f"__below{i}")).otherwise(0).alias("before"), rank[i].alias("rank"),
             )
         )
-    placed = attach(stats, counted, keys).select(*keys, F.array(*brackets).alias("__b"))
+    placed = settle(attach(stats, counted, keys).select(*keys, F.array(*brackets).alias("__b")))
     inside = attach(rows.filter(v.isNotNull()), placed, keys)
     inside = inside.select(*keys, "__v", F.explode(F.filter("__b", lambda b: (v >= b["lo"]) & (v <= b["hi"]))).alias("__s"))
     share = [*keys, "__s"]
