@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidebin.operators.common import BLOCK, BLOCK_ROWS, block_of
+from tidebin.session import spread
 
 
 def interpolate_linear(
@@ -16,8 +17,8 @@ def interpolate_linear(
     """Linear in position between neighbours; the edges copy the nearest value.
 
     Works block by block. The nearest known value outside a block comes from a
-    summary with one row per block, so no task ever holds a whole series. The table is
-    read twice: pass a settled one.
+    summary with one row per block, so no task ever holds a whole series. Blocks are dealt
+    to tasks in proportion to the rows. The table is counted and read twice: pass a settled one.
     """
     known = F.col(col).isNotNull()
     rows = df.withColumns(
@@ -45,7 +46,7 @@ def interpolate_linear(
     same = F.col(BLOCK) == F.col("__b")
     for k in keys:
         same &= F.col(k).eqNullSafe(F.col(f"__key_{k}"))
-    rows = rows.join(edges, same, "left")
+    rows = spread(rows, df.count(), *keys, BLOCK).join(edges, same, "left")
 
     block = Window.partitionBy(*keys, BLOCK)
     upward = block.orderBy(pos).rowsBetween(Window.unboundedPreceding, 0)

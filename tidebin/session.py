@@ -27,6 +27,17 @@ def local_session(cores: str | int = "*", partitions: int = 8, **conf: str) -> S
     return builder.getOrCreate()
 
 
+#: Rows that a task sorts or joins at most, about.
+TASK_ROWS = 500_000
+
+
+def spread(df: DataFrame, rows: int, *keys: str) -> DataFrame:
+    """Deal `df` out by `keys`, with tasks in proportion to `rows`, so that what one task holds does
+    not grow with the table. Spark merges no partitions of a number that is asked for."""
+    tasks = -(-rows // TASK_ROWS)
+    return df.repartition(tasks, *keys) if tasks > 1 else df
+
+
 @functools.cache
 def _test_folder() -> str:
     return tempfile.mkdtemp(prefix="tidebin-")
