@@ -20,7 +20,7 @@ from tidebin.operators import align, association, backtest, bins, cluster, count
 from tidebin.operators import fill, importance, ordering, quantiles, regression, signal, stationarity
 from tidebin.operators.folds import rolling_origin_folds as origin_folds
 from tidebin.plans import pipelines
-from tidebin.session import settle, shared_folder
+from tidebin.session import settle, shared_folder, spread
 from tidebin.sources import files
 from tidebin.streaming import intervals as streams
 
@@ -128,6 +128,7 @@ def resample_forward_sum(spark, d):
 def resample_forward_mean(spark, d):
     orders = table(spark, d, "orders").select("o_orderkey", "o_orderdate")
     lines = table(spark, d, "lineitem").select("l_orderkey", "l_shipdate")
+    lines = spread(lines, lines.count(), "l_orderkey")
     stays = lines.join(orders, lines.l_orderkey == orders.o_orderkey)
     out = pipelines.interval_mean_stay(
         stays, "1995-03-01", 30, id_col="l_orderkey", admitted="o_orderdate", discharged="l_shipdate"
