@@ -92,6 +92,68 @@ def test_seating_follows_the_restaurant(spark):
     assert many[0] == 0 and many[1] == 1 and 1 < many[2] < 100_000
 
 
+def plain_score(train, model, text):
+    """Every pair one table: the discounted count, then the word before's share of the parent."""
+    words, pairs, after = {}, {}, {}
+    for t in train:
+        found = tokens_of(t)
+        for before, w in zip([""] + found, found):
+            words[w] = words.get(w, 0) + 1
+            pairs[before, w] = pairs.get((before, w), 0) + 1
+            after.setdefault(before, set()).add(w)
+    d, total = model.discount, 0.0
+    for before, w in zip([""] + tokens_of(text), tokens_of(text)):
+        if w.encode() in model.ids:
+            p = model.parent[model.ids[w.encode()]]
+        else:
+            p = model.parent[-1] * (max(words.get(w, 0) - model.rare_discount, 0) + model.rare_new()) / max(model.rare_total, 1)
+        if before in words:
+            p = (max(pairs.get((before, w), 0) - d, 0) + (P.STRENGTH + d * len(after[before])) * p) / (P.STRENGTH + words[before])
+        total += math.log10(p)
+    return total
+
+
+@pytest.mark.parametrize("head", [1, 20, 1000])
+def test_every_context_and_pair_counts(spark, head):
+    rows = texts(80)
+    odd = [None, "", "never seen", "R1 R2 w3", "w1 R1 w1 R1", "W0 w1 w2 unseen w3"] + rows[:20]
+    model, words = learned(spark, rows, head=head, contexts=0, pairs=10)
+    df = spark.createDataFrame(list(enumerate(odd)), "doc_id long, text string").repartition(3)
+    got = {r.doc_id: r.score for r in P.score(df, "text", model, words, ["doc_id"]).collect()}
+    for i, text in enumerate(odd):
+        assert got[i] == pytest.approx(plain_score(rows, model, text), rel=1e-9)
+
+
+def test_pairs_that_are_not_sent_are_joined(spark):
+    """What is sent to tasks is a matter of speed: pairs drawn but not sent score alike."""
+    rows = texts(80)
+    df = spark.createDataFrame(list(enumerate(rows[:30] + ["w1 w2 unseen"])), "doc_id long, text string")
+    got = []
+    for pairs in (0, 25, 10**6):
+        model, words = learned(spark, rows, head=40, pairs=pairs)
+        assert len(model.keys) <= pairs
+        got.append({r.doc_id: r.score for r in P.score(df, "text", model, words, ["doc_id"]).collect()})
+    for i in got[0]:
+        assert got[0][i] == pytest.approx(got[2][i], rel=1e-9) and got[1][i] == pytest.approx(got[2][i], rel=1e-9)
+
+
+def test_all_words_after_a_context_sum_to_one(spark):
+    model, words = learned(spark, texts(60), head=20, pairs=30)
+    known = {r.id if bytes(r.word) not in model.ids else model.ids[bytes(r.word)]: r.n for r in words.collect()}
+    follows = {r.c: r.k for r in model.follows.collect()}
+    gains = {(r.c, r.w): r.gain for r in model.pairs.collect()}
+    rare = {w: model.parent[-1] * (n - model.rare_discount + model.rare_new()) / model.rare_total for w, n in known.items() if w < 0}
+    unknown = model.parent[-1] * model.rare_new() / model.rare_total
+    assert len(follows) > 50
+    for c in known:
+        lower = (P.STRENGTH + model.discount * follows[c]) / (P.STRENGTH + known[c]) if c < 0 else model.share[c] * model.back[min(c, model.contexts)]
+        total = lower * unknown
+        for w in known:
+            p = rare[w] if w < 0 else model.parent[w]
+            total += lower * p * 10 ** gains.get((c, w), 0.0) + (model.own(np.array([c]), np.array([w]))[0] if c >= 0 and w >= 0 else 0.0)
+        assert total == pytest.approx(1, abs=1e-9)
+
+
 def test_nothing_to_learn_from(spark):
     model, words = P.learn(spark.createDataFrame([], "text string"), "text")
     out = P.score(spark.createDataFrame([(1, "a b"), (None, None)], "doc_id long, text string"), "text", model, words, ["doc_id"]).collect()

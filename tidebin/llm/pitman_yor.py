@@ -1,29 +1,33 @@
 """Language-model scores from a hierarchical Pitman-Yor model.
 
-Tokens are words and one end for each text. The most frequent `head` words are dishes of
-their own, every other word is one dish, "rare". A restaurant for each of the `contexts`
-most frequent preceding words (and for the start) shares one parent restaurant over all
-tokens, whose own base is uniform. Seating is sampled by Gibbs sweeps: for every (context,
-word) the customers are seated again, given the tables of the context and the parent's
-probabilities of the last sweep, so all pairs of a sweep are independent Spark rows and
-only sums by context and by word (bounded numbers) meet on the driver. Random numbers are
-hashes of seed, sweep, pair and step: a task that runs again draws the same. Predictive
-probabilities are averaged over the sweeps after `burn`.
-
-A rare word's share of "rare" is a Pitman-Yor restaurant over the rare words with one
-table each and a uniform base over them and one unknown word.
-
-Word counts and pair counts cover all training texts and stay distributed. Tasks are
-sent the head words and, with their averaged mass, the pairs seen at least so often that
-at most `pairs` remain; what the other pairs hold goes to the parent, so that
-probabilities still sum to one. Counts of rare words reach the texts by a join.
+Tokens are words and one end for each text. Every word is a dish, and every preceding word
+(and the start) is a restaurant that shares one parent restaurant over all words. The most
+frequent `head` words are dishes of the parent by themselves; the others are its dish "rare",
+which is a Pitman-Yor restaurant over the rare words with one table each and a uniform base
+over them and one unknown word.
+
+Pairs of the most frequent `contexts` words with head words are seated by Gibbs sweeps: for
+every (context, word) the customers are seated again, given the tables of the context and
+the parent's probabilities of the last sweep, so all pairs of a sweep are independent Spark
+rows and only sums by context and by word (bounded numbers) meet on the driver. A pair seen
+once has one table in any sweep and takes no part. Random numbers are hashes of seed, sweep,
+pair and step: a task that runs again draws the same. Predictive probabilities are averaged
+over the sweeps after `burn`. Pairs with a word outside the head have one table each, which
+leaves nothing to draw.
+
+Word counts and pair counts cover all training texts and stay distributed; nothing is left
+out. Tasks are sent the head words and, with their averaged mass, the pairs seen at least so
+often that at most `pairs` remain. All other pairs are a table of what each adds to the
+logarithm of a token that its context would give by the parent alone, which the pairs of the
+texts are joined with; the words outside the head reach the texts by a join as well.
 """
 
 from __future__ import annotations
 
 from collections import Counter
 from collections.abc import Iterator, Sequence
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
+from hashlib import blake2b
 
 import numpy as np
 import pyarrow as pa
@@ -33,14 +37,14 @@ from pyspark.sql import functions as F
 from tidebin.llm.shared import lower_ascii, settle
 
 HEAD = 50_000
-CONTEXTS = 2_000
+CONTEXTS = HEAD
 PAIRS = 2_000_000
 STRENGTH = 1.0
 BURN, SAMPLES = 2, 3
 #: Customers of a pair that are seated one by one; later ones come in doubling groups.
 SINGLE = 16
 #: Different words, and pairs, that a task counts before it hands its sums on.
-COUNT_WORDS, COUNT_PAIRS = 250_000, 1_500_000
+COUNT_WORDS, COUNT_PAIRS = 250_000, 3_000_000
 
 
 def mixed(x: np.ndarray) -> np.ndarray:
@@ -75,7 +79,13 @@ def discount_of(once: int, twice: int) -> float:
 
 @dataclass
 class Model:
-    """What scoring sends to tasks: ids of head words, averaged probabilities, totals."""
+    """What scoring sends to tasks: ids of head words, averaged probabilities, totals; and
+    the tables it joins: `pairs` (`c`, `w`, `gain`) that are not sent and `follows` (`c`, `k`),
+    the number of different words after each word outside the head.
+
+    `back` is what the sent pairs leave of a context, `share` the part of it that is the
+    parent's and not the other pairs'.
+    """
 
     ids: dict[bytes, int]
     counts: np.ndarray
@@ -89,22 +99,40 @@ class Model:
     rare_total: int
     rare_types: int
     rare_discount: float
+    share: np.ndarray
+    discount: float
+    salt: int
+    pairs: DataFrame | None
+    follows: DataFrame | None
+
+    def own(self, before: np.ndarray, dish: np.ndarray) -> np.ndarray:
+        """Mass of the sent pairs; 0 for others."""
+        if not len(self.keys):
+            return np.zeros(len(dish))
+        key = before * np.int64(len(self.parent)) + dish
+        at = np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)
+        return np.where((before < self.contexts) & (self.keys[at] == key), self.mass[at], 0.0)
 
     def probability(self, before: np.ndarray, dish: np.ndarray) -> np.ndarray:
-        """P(dish | word before); contexts outside the model use the parent."""
-        known = before < self.contexts
-        out = self.parent[dish] * np.where(known, self.back[np.minimum(before, self.contexts)], 1.0)
-        if len(self.keys):
-            key = before * np.int64(len(self.parent)) + dish
-            at = np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)
-            out += np.where(known & (self.keys[at] == key), self.mass[at], 0.0)
-        return out
+        """P(dish | word before) by the sent pairs, with all they leave given to the parent."""
+        return self.parent[dish] * self.back[np.minimum(before, self.contexts)] + self.own(before, dish)
+
+    def rare_new(self) -> float:
+        """Customers that the base of "rare" adds to each rare word and the unknown one."""
+        return (self.rare_discount * self.rare_types if self.rare_total else 1.0) / (self.rare_types + 1)
+
 
+def rare_id(word: bytes, salt: int) -> int:
+    """Negative id of a word outside the head."""
+    return -1 - (int.from_bytes(blake2b(word, digest_size=8, salt=salt.to_bytes(8, "little")).digest(), "little") >> 1)
 
-def _ids(text: str | None, ids: dict[bytes, int], rare: int) -> tuple[list[bytes], np.ndarray]:
+
+def _ids(text: str | None, ids: dict[bytes, int], salt: int) -> tuple[list[bytes], np.ndarray]:
+    """Words and their ids: from 0 in the head, negative outside it."""
     words = lower_ascii(text).split()
     words.append(b"")
-    return words, np.array([ids.get(w, rare) for w in words], np.int64)
+    found = [ids.get(w) for w in words]
+    return words, np.array([rare_id(w, salt) if i is None else i for w, i in zip(words, found)], np.int64)
 
 
 def _before(found: np.ndarray, start: int) -> np.ndarray:
@@ -114,8 +142,8 @@ def _before(found: np.ndarray, start: int) -> np.ndarray:
     return out
 
 
-def word_counts(df: DataFrame, text: str) -> DataFrame:
-    """`word` (bytes; empty: the end) and `n` over all texts."""
+def word_counts(df: DataFrame, text: str, salt: int = 0) -> DataFrame:
+    """`word` (bytes; empty: the end), `n` over all texts, and the `id` it has outside the head."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts: Counter = Counter()
@@ -134,37 +162,44 @@ def word_counts(df: DataFrame, text: str) -> DataFrame:
         if counts:
             yield emptied()
 
-    return df.select(text).mapInArrow(run, "word binary, n long").groupBy("word").agg(F.sum("n").alias("n"))
+    def named(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = pa.array([rare_id(w.as_py(), salt) for w in batch.column(0)], pa.int64())
+            yield pa.RecordBatch.from_arrays([*batch.columns, found], names=["word", "n", "id"])
+
+    counted = df.select(text).mapInArrow(run, "word binary, n long").groupBy("word").agg(F.sum("n").alias("n"))
+    return counted.mapInArrow(named, "word binary, n long, id long")
 
 
-def pair_counts(df: DataFrame, text: str, ids: dict[bytes, int], contexts: int) -> DataFrame:
-    """`key` (context * dishes + dish) and `n`; key -1-dish: tokens after other words."""
-    rare, sent = len(ids), df.sparkSession.sparkContext.broadcast(ids)
+def pair_counts(df: DataFrame, text: str, ids: dict[bytes, int], salt: int) -> DataFrame:
+    """`c` (id of the word before), `w` (id of the word) and `n` of all pairs."""
+    sent = df.sparkSession.sparkContext.broadcast(ids)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, size = [], 0
 
         def summed() -> pa.RecordBatch:
-            keys, n = np.unique(np.concatenate(held), return_counts=True)
-            return pa.RecordBatch.from_arrays([pa.array(keys), pa.array(n.astype(np.int64))], names=["key", "n"])
+            words, at = np.unique(np.concatenate(held), return_inverse=True)
+            before = np.searchsorted(words, np.concatenate([_before(x, sent.value[b""]) for x in held]))
+            keys, n = np.unique(before * np.int64(len(words)) + at, return_counts=True)
+            c, w = np.divmod(keys, len(words))
+            return pa.RecordBatch.from_arrays([pa.array(words[c]), pa.array(words[w]), pa.array(n.astype(np.int64))], names=["c", "w", "n"])
 
         for batch in batches:
             for value in batch.column(0):
-                _, dish = _ids(value.as_py(), sent.value, rare)
-                before = _before(dish, sent.value[b""])
-                held.append(np.where(before < contexts, before * np.int64(rare + 1) + dish, -1 - dish))
-                size += len(dish)
+                held.append(_ids(value.as_py(), sent.value, salt)[1])
+                size += len(held[-1])
                 if size > COUNT_PAIRS:
                     yield summed()
                     held, size = [], 0
         if held:
             yield summed()
 
-    return df.select(text).mapInArrow(run, "key long, n long").groupBy("key").agg(F.sum("n").alias("n"))
+    return df.select(text).mapInArrow(run, "c long, w long, n long").groupBy("c", "w").agg(F.sum("n").alias("n"))
 
 
 def _tables(pairs: DataFrame, sweep: int, seed: int, discount: float, opened: np.ndarray, parent: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """One sweep over all pairs: tables by context and by dish."""
+    """One sweep over `pairs` (`key`: context * dishes + dish, `n`): tables by context and by dish."""
     dishes, contexts = len(parent), len(opened)
     sent = pairs.sparkSession.sparkContext.broadcast((opened, parent))
 
@@ -180,7 +215,7 @@ def _tables(pairs: DataFrame, sweep: int, seed: int, discount: float, opened: np
         at = np.r_[np.flatnonzero(by_context), np.flatnonzero(by_dish) + contexts]
         yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(np.r_[by_context, by_dish][at].astype(np.int64))], names=["at", "t"])
 
-    rows = pairs.filter("key >= 0").mapInArrow(run, "at long, t long").groupBy("at").agg(F.sum("t").alias("t")).toArrow()
+    rows = pairs.mapInArrow(run, "at long, t long").groupBy("at").agg(F.sum("t").alias("t")).toArrow()
     out = np.zeros(contexts + dishes)
     out[rows["at"].to_numpy()] = rows["t"].to_numpy()
     return out[:contexts], out[contexts:]
@@ -194,13 +229,27 @@ def parent_probabilities(customers: np.ndarray, discount: float, sweep: int, see
     return (customers - discount * t + (STRENGTH + discount * t.sum()) / n) / (STRENGTH + customers.sum())
 
 
+def _sums(found: DataFrame, size: int) -> np.ndarray:
+    """Counts of rows by `at`, from 0 to size - 1."""
+    rows = found.groupBy("at").count().toArrow()
+    out = np.zeros(size)
+    out[rows["at"].to_numpy()] = rows["count"].to_numpy()
+    return out
+
+
 def learn(df: DataFrame, text: str, head: int = HEAD, contexts: int = CONTEXTS, pairs: int = PAIRS, seed: int = 0) -> tuple[Model, DataFrame]:
-    """The model and the table of all word counts (`word`, `n`) it was learned from.
+    """The model and the table of all word counts (`word`, `n`, `id`) it was learned from.
 
+    `head`, `contexts` and `pairs` bound what is drawn and sent to tasks, not what is learned.
     Null texts are empty texts: one end token. Without texts, every probability is uniform
     over the end and "rare".
     """
-    words = settle(word_counts(df, text))
+    for salt in range(16):
+        words = settle(word_counts(df, text, salt))
+        if words.groupBy("id").count().filter("count > 1").isEmpty():
+            break
+    else:
+        raise ValueError("two words share an id")
     total = words.agg(F.sum("n"), F.count("n")).first()
     top = words.orderBy(F.desc("n"), "word").limit(head).collect()
     ids = {bytes(r.word): i for i, r in enumerate(top)}
@@ -209,52 +258,96 @@ def learn(df: DataFrame, text: str, head: int = HEAD, contexts: int = CONTEXTS,
         ids[b""] = len(ids)
         ends = words.filter(F.length("word") == 0).agg(F.sum("n")).first()[0]
         counts = np.r_[counts, np.int64(ends or 0)]
-    dishes, contexts = len(ids) + 1, min(contexts, len(ids))
-    counted = settle(pair_counts(df, text, ids, contexts))
-    direct = np.zeros(dishes)
-    for r in counted.filter("key < 0").collect():
-        direct[-1 - r.key] = r.n
-    inside = F.col("key") >= 0
-    seen = counted.filter(inside).groupBy("n").count().collect()
-    often = sorted(((r["n"], r["count"]) for r in seen), reverse=True)
-    once, twice = (dict(often).get(k, 0) for k in (1, 2))
-    discount = discount_of(once, twice)
-    least, kept = 1, 0
-    for n, many in often:
-        if kept + many > pairs:
-            least = n + 1
-            break
-        kept += many
-    sums = counted.filter(inside).groupBy(F.floor(F.col("key") / dishes).alias("c")).agg(F.sum("n").alias("n"), F.count("n").alias("k")).collect()
-    customers, opened = np.zeros(contexts), np.zeros(contexts)
-    for r in sums:
-        customers[r.c], opened[r.c] = r.n, r.k
+    size, contexts = len(ids), min(contexts, len(ids))
+    dishes = size + 1
+    counted = settle(pair_counts(df, text, ids, salt))
+    many = counted.agg(*[F.sum((F.col("n") == k).cast("long")) for k in (1, 2)]).first()
+    discount = discount_of(many[0] or 0, many[1] or 0)
+    drawn = F.col("c").between(0, contexts - 1) & (F.col("w") >= 0) & (F.col("n") > 1)
+    sampled = settle(counted.filter(drawn).select((F.col("c") * dishes + F.col("w")).alias("key"), "n"))
+    others = counted.filter(~drawn)
+    fixed = _sums(others.filter("c >= 0").select(F.col("c").alias("at")), size)
+    direct = _sums(others.select(F.when(F.col("w") >= 0, F.col("w")).otherwise(size).alias("at")), dishes)
+    opened = fixed[:contexts] + _sums(sampled.select(F.floor(F.col("key") / dishes).alias("at")), contexts)
     rare_total = int((total[0] or 0) - counts.sum())
     parent = np.r_[counts, rare_total] + 0.5
     parent /= parent.sum()
     chain = []
     for sweep in range(BURN + SAMPLES):
         given = (opened, parent)
-        opened, by_dish = _tables(counted, sweep, seed, discount, *given)
+        opened, by_dish = _tables(sampled, sweep, seed, discount, *given)
+        opened = opened + fixed[:contexts]
         guests = by_dish + direct
         parent = parent_probabilities(guests, discount_of(int((guests == 1).sum()), int((guests == 2).sum())), sweep, seed, parent)
         if sweep >= BURN:
-            chain.append((sweep, given, parent))
-    keys, mass = _masses(counted.filter(inside & (F.col("n") >= least)), chain, seed, discount, customers, dishes)
+            chain.append((sweep, given, opened, parent))
     parent = np.mean([p for *_, p in chain], axis=0)
+    tables = np.r_[np.mean([o for *_, o, _ in chain], axis=0), fixed[contexts:]]
+    lower = (STRENGTH + discount * tables) / (STRENGTH + counts)
+
+    often = sampled.groupBy(F.least("n", F.lit(1 << 20)).alias("n")).count().collect()
+    least, kept = 2, 0
+    for n, size_n in sorted(((r["n"], r["count"]) for r in often), reverse=True):
+        if kept + size_n > pairs:
+            least = n + 1
+            break
+        kept += size_n
+    rows = _masses(sampled.filter(F.col("n") >= least), chain, seed, discount, counts, dishes).toArrow()
+    order = np.argsort(rows["key"].to_numpy())
+    keys, mass = rows["key"].to_numpy()[order], rows["mass"].to_numpy()[order]
     back = 1 - np.bincount(keys // dishes, mass, contexts) if len(keys) else np.ones(contexts)
+
     rare = words.join(F.broadcast(df.sparkSession.createDataFrame([(bytearray(w),) for w in ids], "word binary")), "word", "left_anti")
     spread = rare.agg(F.count("n"), F.sum((F.col("n") == 1).cast("long")), F.sum((F.col("n") == 2).cast("long"))).first()
+    follows = settle(counted.filter("c < 0").groupBy("c").agg(F.count("n").alias("k")))
     model = Model(
         ids, counts, int(total[0] or 0), int(total[1]), parent, contexts, keys, mass, np.r_[back, 1.0],
         rare_total, spread[0], discount_of(spread[1] or 0, spread[2] or 0),
+        np.r_[lower[:contexts] / back, lower[contexts:]], discount, salt, None, follows,
     )
+    few = _masses(sampled.filter(F.col("n") < least), chain, seed, discount, counts, dishes)
+    few = few.select(F.floor(F.col("key") / dishes).alias("c"), (F.col("key") % dishes).alias("w"), "mass")
+    model.pairs = _gains(others, few, words, model, lower)
     return model, words
 
 
-def _masses(pairs: DataFrame, chain: list, seed: int, discount: float, customers: np.ndarray, dishes: int) -> tuple[np.ndarray, np.ndarray]:
-    """Sorted keys and averaged own mass (n - discount * tables) / (strength + customers)."""
-    sent = pairs.sparkSession.sparkContext.broadcast(([(s, *g) for s, g, _ in chain], customers))
+def _gains(others: DataFrame, few: DataFrame, words: DataFrame, model: Model, lower: np.ndarray) -> DataFrame:
+    """`c`, `w` and `gain`: log10 of P(w | c) against what the parent alone gives w there.
+
+    `others` (`c`, `w`, `n`) have one table each; `few` (`c`, `w`, `mass`) are drawn.
+    """
+    rare_n = words.select(F.col("id").alias("w"), F.col("n").alias("n_w"))
+    none = F.lit(None).cast("long")
+    outside = others.filter("c < 0")
+    after = outside.filter("w < 0").join(rare_n, "w").select("c", "w", "n", "n_w")
+    found = [
+        others.filter("c >= 0 and w >= 0").select("c", "w", "n", none.alias("n_w"), none.alias("k")),
+        others.filter("c >= 0 and w < 0").join(rare_n, "w").select("c", "w", "n", "n_w", none.alias("k")),
+        outside.filter("w >= 0").withColumn("n_w", none).unionByName(after).join(model.follows, "c").select("c", "w", "n", "n_w", "k"),
+    ]
+    one = [x.select("c", "w", F.col("n") - model.discount, "n_w", "k").toDF("c", "w", "mass", "n_w", "k") for x in found]
+    # Masses of head contexts are whole when drawn, and over (strength + customers) otherwise.
+    drawn = few.select("c", "w", "mass", none.alias("n_w"), F.lit(-1).cast("long").alias("k"))
+    rows = one[0].unionByName(one[1]).unionByName(one[2]).unionByName(drawn)
+    sent = words.sparkSession.sparkContext.broadcast((lower, model.counts, model.parent))
+    discount, new, rare = model.discount, model.rare_new() - model.rare_discount, max(model.rare_total, 1)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        back, customers, parent = sent.value
+        for batch in batches:
+            c, w, mass = (batch.column(i).to_numpy() for i in range(3))
+            n_w, k = (batch.column(i).fill_null(0).to_numpy() for i in (3, 4))
+            at = np.maximum(c, 0)
+            left = np.where(c < 0, STRENGTH + discount * k, np.where(k < 0, 1.0, STRENGTH + customers[at]) * back[at])
+            base = np.where(w < 0, parent[-1] * (n_w + new) / rare, parent[np.maximum(w, 0)])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(np.log10(1 + mass / (left * base)))], names=["c", "w", "gain"])
+
+    return rows.mapInArrow(run, "c long, w long, gain double")
+
+
+def _masses(pairs: DataFrame, chain: list, seed: int, discount: float, customers: np.ndarray, dishes: int) -> DataFrame:
+    """`key` and averaged own `mass` (n - discount * tables) / (strength + customers)."""
+    sent = pairs.sparkSession.sparkContext.broadcast(([(s, *g) for s, g, *_ in chain], customers))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sweeps, seated = sent.value
@@ -267,9 +360,7 @@ def _masses(pairs: DataFrame, chain: list, seed: int, discount: float, customers
                 mass += (n - discount * t) / (STRENGTH + seated[context])
             yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(mass / len(sweeps))], names=["key", "mass"])
 
-    rows = pairs.mapInArrow(run, "key long, mass double").toArrow()
-    order = np.argsort(rows["key"].to_numpy())
-    return rows["key"].to_numpy()[order], rows["mass"].to_numpy()[order]
+    return pairs.mapInArrow(run, "key long, mass double")
 
 
 def score(df: DataFrame, text: str, model: Model, words: DataFrame, keep: Sequence[str]) -> DataFrame:
@@ -280,7 +371,7 @@ def score(df: DataFrame, text: str, model: Model, words: DataFrame, keep: Sequen
     Null and empty texts hold one token, the end. Repeated rows score alike; extra columns
     play no part.
     """
-    sent = df.sparkSession.sparkContext.broadcast(model)
+    sent = df.sparkSession.sparkContext.broadcast(replace(model, pairs=None, follows=None))
     norm = model.total + 0.5 * (model.types + 1)
     n_keep = len(keep)
     from pyspark.sql import types as T
@@ -291,22 +382,32 @@ def score(df: DataFrame, text: str, model: Model, words: DataFrame, keep: Sequen
         + [T.StructField(c, T.LongType()) for c in ("n_tokens", "head_known")]
         + [T.StructField(c, T.DoubleType()) for c in ("head_base", "head_score")]
         + [T.StructField("rare", T.ArrayType(T.BinaryType()))]
+        + [T.StructField(c, T.ArrayType(T.LongType())) for c in ("c", "w")]
     )
     arrow = to_arrow_schema(made)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = sent.value
-        rare = len(m.ids)
+        rare, start_id = len(m.ids), m.ids[b""]
         logs = np.r_[np.log10((m.counts + 0.5) / norm), 0.0]
         known = np.r_[m.counts > 0, False]
+        words_, share = np.log10(m.parent), np.r_[np.log10(m.share * m.back[np.minimum(np.arange(rare), m.contexts)]), 0.0]
+        words_[-1] = 0.0  # words outside the head are added by the join
         for batch in batches:
             start, held, rows = 0, 0, []
             for i, value in enumerate(batch.column(n_keep)):
-                tokens, dish = _ids(value.as_py(), m.ids, rare)
-                p = m.probability(_before(dish, m.ids[b""]), dish)
+                tokens, found = _ids(value.as_py(), m.ids, m.salt)
+                before = _before(found, start_id)
+                dish, last = np.where(found < 0, rare, found), np.where(before < 0, rare, before)
+                mass = m.own(last, dish)
+                sure = mass > 0
+                p = float((words_[dish] + share[last]).sum())
+                if sure.any():
+                    below = m.parent[dish[sure]] * 10.0 ** share[last[sure]]
+                    p += float(np.log10(1 + mass[sure] / below).sum())
                 strange = [tokens[k] for k in np.flatnonzero(dish == rare)]
-                rows.append((len(tokens), int(known[dish].sum()), float(logs[dish].sum()), float(np.log10(p).sum()), strange))
-                held += 64 + 16 * len(strange)
+                rows.append((len(tokens), int(known[dish].sum()), float(logs[dish].sum()), p, strange, before[~sure], found[~sure]))
+                held += 64 + 16 * (len(strange) + len(found))
                 if held > 8 << 20 or i == batch.num_rows - 1:
                     part = batch.slice(start, len(rows))
                     cols = [part.column(k).cast(arrow.field(k).type) for k in range(n_keep)]
@@ -318,20 +419,22 @@ def score(df: DataFrame, text: str, model: Model, words: DataFrame, keep: Sequen
     texts = settle(texts.withColumn("__row", F.monotonically_increasing_id()))
     each = texts.select("__row", F.explode("rare").alias("word"))
     c = F.coalesce("n", F.lit(0))
-    seen = max(model.rare_total, 1)
-    new = (model.rare_discount * model.rare_types if model.rare_total else 1.0) / (model.rare_types + 1)
     own = F.when(F.col("n").isNotNull(), F.col("n") - model.rare_discount).otherwise(F.lit(0.0))
+    lower = F.coalesce((STRENGTH + model.discount * F.col("k")) / (STRENGTH + F.col("n")), F.lit(1.0))
+    after = model.follows.withColumnRenamed("c", "id")
     sums = (
-        each.join(words, "word", "left")
+        each.join(words.join(after, "id", "left"), "word", "left")
         .groupBy("__row")
         .agg(
             F.count("n").alias("rare_known"),
             F.sum(F.log10((c + 0.5) / norm)).alias("rare_base"),
-            F.sum(F.log10((own + new) / seen)).alias("rare_score"),
+            F.sum(F.log10(float(model.parent[-1]) * (own + model.rare_new()) / max(model.rare_total, 1) * lower)).alias("rare_score"),
         )
     )
-    out = texts.join(sums, "__row", "left")
-    total = F.col("head_score") + F.coalesce("rare_score", F.lit(0.0))
+    held = texts.select("__row", F.explode(F.arrays_zip("c", "w")).alias("pair")).select("__row", "pair.c", "pair.w")
+    gains = held.join(model.pairs, ["c", "w"]).groupBy("__row").agg(F.sum("gain").alias("pair_score"))
+    out = texts.join(sums, "__row", "left").join(gains, "__row", "left")
+    total = F.col("head_score") + F.coalesce("rare_score", F.lit(0.0)) + F.coalesce("pair_score", F.lit(0.0))
     return out.select(
         *keep,
         "n_tokens",
