@@ -1,4 +1,5 @@
 import math
+import os
 import random
 import re
 import zlib
@@ -171,3 +172,38 @@ def test_query(spark, sf_dir):
         n, known, total, base = plain_base(train, docs[r.doc_id])
         assert (r.n_tokens, r.n_known, r.train_tokens) == (n, known, total) and abs(r.base_score - base) < 1e-6 * -base
     assert sum(r.score for r in rows if r.held_out) > sum(r.base_score for r in rows if r.held_out)
+
+
+def test_parts_and_chunks_are_a_matter_of_speed(spark, monkeypatch):
+    """Many parts, and sums and texts handed on in small chunks, score as the plain model does."""
+    for name, size in (("PART_TOKENS", 300), ("COUNT_PAIRS", 200), ("CHUNK_TOKENS", 250), ("COUNT_WORDS", 20)):
+        monkeypatch.setattr(P, name, size)
+    rows = texts(80)
+    odd = [None, "", "never seen", "R1 R2 w3", "R5 R5 R5 R5", "w1 R1 w1 R1"] + rows[:40]
+    model, words = learned(spark, rows, head=20, contexts=0)
+    assert model.parts > 5
+    df = spark.createDataFrame([(i, t, None) for i, t in enumerate(odd)], "doc_id long, text string, part string").repartition(3)
+    got = {r.doc_id: r for r in P.score(df, "text", model, words, ["doc_id", "part"]).collect()}
+    assert len(got) == len(odd)
+    for i, text in enumerate(odd):
+        n, known, _, base = plain_base(rows, text)
+        assert (got[i].n_tokens, got[i].n_known, got[i].part) == (n, known, None)
+        assert got[i].base_score == pytest.approx(base, rel=1e-9) and got[i].score == pytest.approx(plain_score(rows, model, text), rel=1e-9)
+
+
+def test_what_is_settled_stays_small(spark, monkeypatch):
+    """Pairs and tokens are written packed: few bytes for each token."""
+    settle, written = P.settle, []
+
+    def weighed(df):
+        out = settle(df)
+        written.extend(os.path.getsize(f.removeprefix("file:")) for f in out.inputFiles())
+        return out
+
+    monkeypatch.setattr(P, "settle", weighed)
+    rnd = random.Random(2)
+    rows = [" ".join(f"w{rnd.randrange(20_000)}" for _ in range(500)) for _ in range(400)]
+    df = spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string").repartition(3)
+    model, words = P.learn(df, "text")
+    assert P.score(df, "text", model, words, ["doc_id"]).count() == 400
+    assert sum(written) < 8 * 501 * 400

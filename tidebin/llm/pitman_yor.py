@@ -17,9 +17,12 @@ leaves nothing to draw.
 
 Word counts and pair counts cover all training texts and stay distributed; nothing is left
 out. Tasks are sent the head words and, with their averaged mass, the pairs seen at least so
-often that at most `pairs` remain. All other pairs are a table of what each adds to the
-logarithm of a token that its context would give by the parent alone, which the pairs of the
-texts are joined with; the words outside the head reach the texts by a join as well.
+often that at most `pairs` remain. All other pairs stay in parts, in proportion to the
+training tokens: a pair of head words by the hash of both, a pair with a word outside the head
+by the hash of that word (of the word before, if both are). A part so holds all that is known
+of its words, and texts send it only the tokens that the sent pairs do not settle; what a part
+finds is summed for each text. What tasks send each other are sorted arrays, compressed: a
+row for each chunk of texts and part, not for each token.
 """
 
 from __future__ import annotations
@@ -27,12 +30,16 @@ from __future__ import annotations
 from collections import Counter
 from collections.abc import Iterator, Sequence
 from dataclasses import dataclass, replace
+from functools import partial
 from hashlib import blake2b
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark import TaskContext
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from tidebin.llm.shared import lower_ascii, settle
 
@@ -43,8 +50,10 @@ STRENGTH = 1.0
 BURN, SAMPLES = 2, 3
 #: Customers of a pair that are seated one by one; later ones come in doubling groups.
 SINGLE = 16
-#: Different words, and pairs, that a task counts before it hands its sums on.
-COUNT_WORDS, COUNT_PAIRS = 250_000, 3_000_000
+#: Different words, and tokens, that a task counts before it hands its sums on.
+COUNT_WORDS, COUNT_PAIRS = 250_000, 2_000_000
+#: Training tokens for each part of the pairs, and tokens of a chunk of scored texts, about.
+PART_TOKENS, CHUNK_TOKENS = 2_000_000, 1_000_000
 
 
 def mixed(x: np.ndarray) -> np.ndarray:
@@ -80,11 +89,10 @@ def discount_of(once: int, twice: int) -> float:
 @dataclass
 class Model:
     """What scoring sends to tasks: ids of head words, averaged probabilities, totals; and
-    the tables it joins: `pairs` (`c`, `w`, `gain`) that are not sent and `follows` (`c`, `k`),
-    the number of different words after each word outside the head.
+    the table of all pairs in parts that it joins, `counted` (`part`, `data`).
 
     `back` is what the sent pairs leave of a context, `share` the part of it that is the
-    parent's and not the other pairs'.
+    parent's and not the other pairs', `lower` both; `least` is the smallest count that is sent.
     """
 
     ids: dict[bytes, int]
@@ -102,8 +110,86 @@ class Model:
     share: np.ndarray
     discount: float
     salt: int
-    pairs: DataFrame | None
-    follows: DataFrame | None
+    lower: np.ndarray
+    least: int
+    chain: list
+    seed: int
+    parts: int
+    counted: DataFrame | None
+    words: DataFrame | None
+
+    @property
+    def follows(self) -> DataFrame:
+        """`c`, `k`: the number of different words after each word outside the head."""
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for a, d, _, _ in _each(batches):
+                c, k = np.unique(a[(a < 0) & (d == 0)], return_counts=True)
+                yield pa.RecordBatch.from_arrays([pa.array(c), pa.array(k)], names=["c", "k"])
+
+        return self.counted.mapInArrow(run, "c long, k long")
+
+    @property
+    def pairs(self) -> DataFrame:
+        """`c`, `w` and `gain` of the pairs that are not sent: log10 of P(w | c) against what
+        the parent alone gives w there."""
+        sent = self.counted.sparkSession.sparkContext.broadcast(self.alone())
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for pairs in _each(batches):
+                a, d, b, n, gain, _ = sent.value.part(*pairs)[:6]
+                c, w = np.where(d == 1, b, a), np.where(d == 1, a, b)
+                yield pa.RecordBatch.from_arrays([pa.array(x) for x in (c, w, gain)], names=["c", "w", "gain"])
+
+        found = self.counted.mapInArrow(run, "c long, w long, gain double")
+        both = (F.col("c") < 0) & (F.col("w") < 0)
+        return found.filter(~both).unionByName(self.after(found.filter(both), F.col("gain")).select("c", "w", "gain"))
+
+    def alone(self) -> Model:
+        """Without the tables: what tasks are sent."""
+        return replace(self, counted=None, words=None)
+
+    def after(self, found: DataFrame, mass: Column) -> DataFrame:
+        """`found`, of pairs of two words outside the head, with the `gain` of a `mass` over what
+        the context leaves: the count of `w` comes from the table of words."""
+        n = self.words.select(F.col("id").alias("w"), F.col("n").alias("__n"))
+        base = float(self.parent[-1]) * (F.col("__n") + (self.rare_new() - self.rare_discount)) / max(self.rare_total, 1)
+        return found.join(n, "w").withColumn("gain", F.log10(1 + mass / base)).drop("__n")
+
+    def part(self, a: np.ndarray, d: np.ndarray, b: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, ...]:
+        """The pairs of a part that are not sent (`a`, `d`, `b`, `n`) with their gain, and its
+        words outside the head with their counts and numbers of different words after them.
+
+        Of two words outside the head it is the mass over what the context leaves, without the
+        base.
+        """
+        after = (a < 0) & (d == 0)
+        rare, at = np.unique(a[after], return_inverse=True)
+        n_a, k_a = np.bincount(at, n[after], len(rare)), np.bincount(at, minlength=len(rare)).astype(np.float64)
+        drawn = _drawn(a, d, b, n, self.contexts)
+        rest = ~drawn | (n < self.least)
+        a, d, b, n, drawn, after = (x[rest] for x in (a, d, b, n, drawn, after))
+        head = (a >= 0) | (d == 1)
+        c = np.where(d == 1, b, a)
+        left, mass, base = np.empty(len(a)), n - self.discount, np.ones(len(a))
+        left[head] = (STRENGTH + self.counts[c[head]]) * self.lower[c[head]]
+        at = np.searchsorted(rare, a[after])
+        left[after] = STRENGTH + self.discount * k_a[at]
+        if drawn.any():
+            left[drawn] = self.lower[c[drawn]]
+            mass[drawn] = averaged(a[drawn] * np.int64(len(self.parent)) + b[drawn], n[drawn], self.chain, self.seed, self.discount, self.counts, len(self.parent))
+        known = (d == 0) & (b >= 0)
+        base[known] = self.parent[b[known]]
+        base[d == 1] = self.rare_base(n_a[np.searchsorted(rare, a[d == 1])])
+        both = after & (b < 0)
+        gain = mass / (left * base)
+        gain[~both] = np.log10(1 + gain[~both])
+        return a, d, b, n, gain, rare, n_a, k_a
+
+    def rare_base(self, n: np.ndarray) -> np.ndarray:
+        """Probability that the parent gives words outside the head that were seen `n` times."""
+        own = np.where(n > 0, n - self.rare_discount, 0.0)
+        return self.parent[-1] * (own + self.rare_new()) / max(self.rare_total, 1)
 
     def own(self, before: np.ndarray, dish: np.ndarray) -> np.ndarray:
         """Mass of the sent pairs; 0 for others."""
@@ -127,19 +213,25 @@ def rare_id(word: bytes, salt: int) -> int:
     return -1 - (int.from_bytes(blake2b(word, digest_size=8, salt=salt.to_bytes(8, "little")).digest(), "little") >> 1)
 
 
-def _ids(text: str | None, ids: dict[bytes, int], salt: int) -> tuple[list[bytes], np.ndarray]:
-    """Words and their ids: from 0 in the head, negative outside it."""
-    words = lower_ascii(text).split()
-    words.append(b"")
-    found = [ids.get(w) for w in words]
-    return words, np.array([rare_id(w, salt) if i is None else i for w, i in zip(words, found)], np.int64)
+class _Ids(dict):
+    """Ids of words: from 0 in the head, negative outside it. Looks up what it has not met."""
 
+    def __init__(self, ids: dict[bytes, int], salt: int) -> None:
+        super().__init__(ids)
+        self.head, self.salt = ids, salt
 
-def _before(found: np.ndarray, start: int) -> np.ndarray:
-    """Id of the word before; `start` (the end token's id) before the first."""
-    out = np.empty_like(found)
-    out[0], out[1:] = start, found[:-1]
-    return out
+    def __missing__(self, word: bytes) -> int:
+        if len(self) > len(self.head) + COUNT_WORDS:
+            self.clear()
+            self.update(self.head)
+        self[word] = found = rare_id(word, self.salt)
+        return found
+
+    def of(self, text: str | None) -> np.ndarray:
+        """Ids of a text's words and of the end."""
+        words = lower_ascii(text).split()
+        words.append(b"")
+        return np.fromiter(map(self.__getitem__, words), np.int64, len(words))
 
 
 def word_counts(df: DataFrame, text: str, salt: int = 0) -> DataFrame:
@@ -171,23 +263,106 @@ def word_counts(df: DataFrame, text: str, salt: int = 0) -> DataFrame:
     return counted.mapInArrow(named, "word binary, n long, id long")
 
 
-def pair_counts(df: DataFrame, text: str, ids: dict[bytes, int], salt: int) -> DataFrame:
-    """`c` (id of the word before), `w` (id of the word) and `n` of all pairs."""
+def pack(*columns: np.ndarray) -> bytes:
+    """Columns of 8-byte numbers, the first one's steps, compressed byte by byte."""
+    first = np.diff(columns[0], prepend=columns[0].dtype.type(0))
+    planes = [np.ascontiguousarray(x).view(np.uint8).reshape(-1, 8).T.tobytes() for x in (first, *columns[1:])]
+    return len(first).to_bytes(8, "little") + pa.compress(b"".join(planes), codec="zstd", asbytes=True)
+
+
+def unpack(data: bytes, columns: int) -> list[np.ndarray]:
+    """The columns that were packed, as 64-bit integers; others are viewed by the caller."""
+    n = int.from_bytes(data[:8], "little")
+    if not n:
+        return [np.zeros(0, np.int64)] * columns
+    planes = np.frombuffer(pa.decompress(data[8:], decompressed_size=8 * n * columns, codec="zstd", asbytes=True), np.uint8)
+    out = [np.ascontiguousarray(x.T).view(np.int64)[:, 0] for x in planes.reshape(columns, 8, n)]
+    return [np.cumsum(out[0]), *out[1:]]
+
+
+def _each(batches: Iterator[pa.RecordBatch]) -> Iterator[list[np.ndarray]]:
+    """`a`, `d`, `b` and `n` of every part."""
+    for batch in batches:
+        for data in batch.column(batch.schema.get_field_index("data")):
+            yield unpack(data.as_py(), 4)
+
+
+def _drawn(a: np.ndarray, d: np.ndarray, b: np.ndarray, n: np.ndarray, contexts: int) -> np.ndarray:
+    """Pairs of head words whose tables are drawn."""
+    return (a >= 0) & (a < contexts) & (d == 0) & (b >= 0) & (n > 1)
+
+
+def _names(found: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
+    """All ids that occur, sorted (those from 0 to size - 1 whether or not), and where each of `found` stands."""
+    rare = found < 0
+    some, at = np.unique(found[rare], return_inverse=True)
+    out = found + len(some)
+    out[rare] = at
+    return np.r_[some, np.arange(size)], out
+
+
+def _keys(texts: list[np.ndarray], start: int, size: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Ids that occur and, of each token, a number for the pair it ends; and of each text where it starts.
+
+    Numbers sort by `a`, the word by which a pair is dealt, `d` (1 if `a` is the second word, 0 if
+    the first) and `b`, the other word. `start` stands before the first token.
+    """
+    names, found = _names(np.concatenate(texts), size)
+    rare = len(names) - size
+    first = np.cumsum([0, *map(len, texts[:-1])])
+    before = np.r_[0, found[:-1]]
+    before[first] = rare + start
+    d = (before >= rare) & (found < rare)
+    return names, (np.where(d, found, before) * 2 + d) * np.int64(len(names)) + np.where(d, before, found), first
+
+
+def _pairs(key: np.ndarray, names: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """`a`, `d` and `b` of a pair's number."""
+    a, b = np.divmod(key, len(names))
+    return names[a >> 1], a & 1, names[b]
+
+
+def _part(a: np.ndarray, b: np.ndarray, parts: int) -> np.ndarray:
+    by = np.where((a >= 0) & (b >= 0), mixed(a.astype(np.uint64)) + b.astype(np.uint64), a.astype(np.uint64))
+    return (mixed(by) % np.uint64(parts)).astype(np.uint16 if parts < 1 << 16 else np.int64)
+
+
+def _starts(key: np.ndarray) -> np.ndarray:
+    """Where each number begins among sorted ones."""
+    return np.flatnonzero(np.r_[True, key[1:] != key[:-1]])
+
+
+def _dealt(part: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
+    """Each part and where it stands, in order."""
+    order = np.argsort(part, kind="stable")
+    for at in np.split(order, np.flatnonzero(np.diff(part[order])) + 1):
+        if len(at):
+            yield int(part[at[0]]), at
+
+
+def _blobs(rows: list[tuple[int, bytes]]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int32()), pa.array([r[1] for r in rows], pa.binary())], names=["part", "data"])
+
+
+def pair_counts(df: DataFrame, text: str, ids: dict[bytes, int], salt: int, parts: int) -> DataFrame:
+    """`part` and, as `data`, its pairs: `a`, `d`, `b` and `n`, sorted."""
     sent = df.sparkSession.sparkContext.broadcast(ids)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, size = [], 0
+        ids, held, size = _Ids(sent.value, salt), [], 0
+        start = ids[b""]
 
         def summed() -> pa.RecordBatch:
-            words, at = np.unique(np.concatenate(held), return_inverse=True)
-            before = np.searchsorted(words, np.concatenate([_before(x, sent.value[b""]) for x in held]))
-            keys, n = np.unique(before * np.int64(len(words)) + at, return_counts=True)
-            c, w = np.divmod(keys, len(words))
-            return pa.RecordBatch.from_arrays([pa.array(words[c]), pa.array(words[w]), pa.array(n.astype(np.int64))], names=["c", "w", "n"])
+            names, key, _ = _keys(held, start, len(sent.value))
+            key = np.sort(key)
+            at = _starts(key)
+            n = np.diff(np.r_[at, len(key)])
+            a, d, b = _pairs(key[at], names)
+            return _blobs([(p, pack(a[i], d[i], b[i], n[i])) for p, i in _dealt(_part(a, b, parts))])
 
         for batch in batches:
             for value in batch.column(0):
-                held.append(_ids(value.as_py(), sent.value, salt)[1])
+                held.append(ids.of(value.as_py()))
                 size += len(held[-1])
                 if size > COUNT_PAIRS:
                     yield summed()
@@ -195,7 +370,17 @@ def pair_counts(df: DataFrame, text: str, ids: dict[bytes, int], salt: int) -> D
         if held:
             yield summed()
 
-    return df.select(text).mapInArrow(run, "c long, w long, n long").groupBy("c", "w").agg(F.sum("n").alias("n"))
+    def merged(rows: pa.Table) -> pa.Table:
+        a, d, b, n = (np.concatenate(x) for x in zip(*_each(rows.to_batches())))
+        names, at = _names(np.concatenate([a, b]), max(0, int(a.max()), int(b.max())) + 1)
+        key = (at[: len(a)] * 2 + d) * np.int64(len(names)) + at[len(a) :]
+        order = np.argsort(key)
+        key = key[order]
+        at = _starts(key)
+        return pa.Table.from_batches([_blobs([(rows["part"][0].as_py(), pack(*_pairs(key[at], names), np.add.reduceat(n[order], at)))])])
+
+    found = df.select(text).mapInArrow(run, "part int, data binary")
+    return found.repartition(parts, "part").groupBy("part").applyInArrow(merged, "part int, data binary")
 
 
 def _tables(pairs: DataFrame, sweep: int, seed: int, discount: float, opened: np.ndarray, parent: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -215,9 +400,7 @@ def _tables(pairs: DataFrame, sweep: int, seed: int, discount: float, opened: np
         at = np.r_[np.flatnonzero(by_context), np.flatnonzero(by_dish) + contexts]
         yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(np.r_[by_context, by_dish][at].astype(np.int64))], names=["at", "t"])
 
-    rows = pairs.mapInArrow(run, "at long, t long").groupBy("at").agg(F.sum("t").alias("t")).toArrow()
-    out = np.zeros(contexts + dishes)
-    out[rows["at"].to_numpy()] = rows["t"].to_numpy()
+    out = _added(pairs.mapInArrow(run, "at long, t long"), contexts + dishes)
     return out[:contexts], out[contexts:]
 
 
@@ -229,14 +412,43 @@ def parent_probabilities(customers: np.ndarray, discount: float, sweep: int, see
     return (customers - discount * t + (STRENGTH + discount * t.sum()) / n) / (STRENGTH + customers.sum())
 
 
-def _sums(found: DataFrame, size: int) -> np.ndarray:
-    """Counts of rows by `at`, from 0 to size - 1."""
-    rows = found.groupBy("at").count().toArrow()
+def _added(rows: DataFrame, size: int) -> np.ndarray:
+    """Sums of `t` by `at`, from 0 to size - 1."""
+    found = rows.groupBy("at").agg(F.sum("t").alias("t")).toArrow()
     out = np.zeros(size)
-    out[rows["at"].to_numpy()] = rows["count"].to_numpy()
+    out[found["at"].to_numpy()] = found["t"].to_numpy()
     return out
 
 
+def _totals(counted: DataFrame, size: int, contexts: int) -> tuple[np.ndarray, ...]:
+    """Pairs seen once and twice; pairs that are not drawn by head context and by dish; drawn pairs by context."""
+    ends = np.cumsum([2, size, size + 1, contexts])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        out = np.zeros(ends[-1], np.int64)
+        for a, d, b, n in _each(batches):
+            drawn = _drawn(a, d, b, n, contexts)
+            c, w = np.where(d == 1, b, a), np.where(d == 1, a, b)
+            own = w[~drawn]
+            for at in (n[n <= 2] - 1, c[~drawn & (c >= 0)] + ends[0], np.where(own < 0, size, own) + ends[1], a[drawn] + ends[2]):
+                out += np.bincount(at, minlength=len(out))
+        at = np.flatnonzero(out)
+        yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(out[at])], names=["at", "t"])
+
+    return tuple(np.split(_added(counted.mapInArrow(run, "at long, t long"), int(ends[-1])), ends[:-1]))
+
+
+def _sampled(counted: DataFrame, dishes: int, contexts: int) -> DataFrame:
+    """`key` (context * dishes + dish) and `n` of the pairs that are drawn."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for pairs in _each(batches):
+            a, _, b, n = (x[_drawn(*pairs, contexts)] for x in pairs)
+            yield pa.RecordBatch.from_arrays([pa.array(a * np.int64(dishes) + b), pa.array(n)], names=["key", "n"])
+
+    return counted.mapInArrow(run, "key long, n long")
+
+
 def learn(df: DataFrame, text: str, head: int = HEAD, contexts: int = CONTEXTS, pairs: int = PAIRS, seed: int = 0) -> tuple[Model, DataFrame]:
     """The model and the table of all word counts (`word`, `n`, `id`) it was learned from.
 
@@ -260,15 +472,12 @@ def learn(df: DataFrame, text: str, head: int = HEAD, contexts: int = CONTEXTS,
         counts = np.r_[counts, np.int64(ends or 0)]
     size, contexts = len(ids), min(contexts, len(ids))
     dishes = size + 1
-    counted = settle(pair_counts(df, text, ids, salt))
-    many = counted.agg(*[F.sum((F.col("n") == k).cast("long")) for k in (1, 2)]).first()
-    discount = discount_of(many[0] or 0, many[1] or 0)
-    drawn = F.col("c").between(0, contexts - 1) & (F.col("w") >= 0) & (F.col("n") > 1)
-    sampled = settle(counted.filter(drawn).select((F.col("c") * dishes + F.col("w")).alias("key"), "n"))
-    others = counted.filter(~drawn)
-    fixed = _sums(others.filter("c >= 0").select(F.col("c").alias("at")), size)
-    direct = _sums(others.select(F.when(F.col("w") >= 0, F.col("w")).otherwise(size).alias("at")), dishes)
-    opened = fixed[:contexts] + _sums(sampled.select(F.floor(F.col("key") / dishes).alias("at")), contexts)
+    parts = max(1, -(-int(total[0] or 0) // PART_TOKENS))
+    counted = settle(pair_counts(df, text, ids, salt, parts))
+    many, fixed, direct, seen = _totals(counted, size, contexts)
+    discount = discount_of(int(many[0]), int(many[1]))
+    sampled = settle(_sampled(counted, dishes, contexts))
+    opened = fixed[:contexts] + seen
     rare_total = int((total[0] or 0) - counts.sum())
     parent = np.r_[counts, rare_total] + 0.5
     parent /= parent.sum()
@@ -283,6 +492,7 @@ def learn(df: DataFrame, text: str, head: int = HEAD, contexts: int = CONTEXTS,
             chain.append((sweep, given, opened, parent))
     parent = np.mean([p for *_, p in chain], axis=0)
     tables = np.r_[np.mean([o for *_, o, _ in chain], axis=0), fixed[contexts:]]
+    chain = [(sweep, *given) for sweep, given, *_ in chain]
     lower = (STRENGTH + discount * tables) / (STRENGTH + counts)
 
     often = sampled.groupBy(F.least("n", F.lit(1 << 20)).alias("n")).count().collect()
@@ -299,147 +509,228 @@ def learn(df: DataFrame, text: str, head: int = HEAD, contexts: int = CONTEXTS,
 
     rare = words.join(F.broadcast(df.sparkSession.createDataFrame([(bytearray(w),) for w in ids], "word binary")), "word", "left_anti")
     spread = rare.agg(F.count("n"), F.sum((F.col("n") == 1).cast("long")), F.sum((F.col("n") == 2).cast("long"))).first()
-    follows = settle(counted.filter("c < 0").groupBy("c").agg(F.count("n").alias("k")))
     model = Model(
         ids, counts, int(total[0] or 0), int(total[1]), parent, contexts, keys, mass, np.r_[back, 1.0],
         rare_total, spread[0], discount_of(spread[1] or 0, spread[2] or 0),
-        np.r_[lower[:contexts] / back, lower[contexts:]], discount, salt, None, follows,
+        np.r_[lower[:contexts] / back, lower[contexts:]], discount, salt, lower, least, chain, seed, parts, counted, words,
     )
-    few = _masses(sampled.filter(F.col("n") < least), chain, seed, discount, counts, dishes)
-    few = few.select(F.floor(F.col("key") / dishes).alias("c"), (F.col("key") % dishes).alias("w"), "mass")
-    model.pairs = _gains(others, few, words, model, lower)
     return model, words
 
 
-def _gains(others: DataFrame, few: DataFrame, words: DataFrame, model: Model, lower: np.ndarray) -> DataFrame:
-    """`c`, `w` and `gain`: log10 of P(w | c) against what the parent alone gives w there.
-
-    `others` (`c`, `w`, `n`) have one table each; `few` (`c`, `w`, `mass`) are drawn.
-    """
-    rare_n = words.select(F.col("id").alias("w"), F.col("n").alias("n_w"))
-    none = F.lit(None).cast("long")
-    outside = others.filter("c < 0")
-    after = outside.filter("w < 0").join(rare_n, "w").select("c", "w", "n", "n_w")
-    found = [
-        others.filter("c >= 0 and w >= 0").select("c", "w", "n", none.alias("n_w"), none.alias("k")),
-        others.filter("c >= 0 and w < 0").join(rare_n, "w").select("c", "w", "n", "n_w", none.alias("k")),
-        outside.filter("w >= 0").withColumn("n_w", none).unionByName(after).join(model.follows, "c").select("c", "w", "n", "n_w", "k"),
-    ]
-    one = [x.select("c", "w", F.col("n") - model.discount, "n_w", "k").toDF("c", "w", "mass", "n_w", "k") for x in found]
-    # Masses of head contexts are whole when drawn, and over (strength + customers) otherwise.
-    drawn = few.select("c", "w", "mass", none.alias("n_w"), F.lit(-1).cast("long").alias("k"))
-    rows = one[0].unionByName(one[1]).unionByName(one[2]).unionByName(drawn)
-    sent = words.sparkSession.sparkContext.broadcast((lower, model.counts, model.parent))
-    discount, new, rare = model.discount, model.rare_new() - model.rare_discount, max(model.rare_total, 1)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        back, customers, parent = sent.value
-        for batch in batches:
-            c, w, mass = (batch.column(i).to_numpy() for i in range(3))
-            n_w, k = (batch.column(i).fill_null(0).to_numpy() for i in (3, 4))
-            at = np.maximum(c, 0)
-            left = np.where(c < 0, STRENGTH + discount * k, np.where(k < 0, 1.0, STRENGTH + customers[at]) * back[at])
-            base = np.where(w < 0, parent[-1] * (n_w + new) / rare, parent[np.maximum(w, 0)])
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(np.log10(1 + mass / (left * base)))], names=["c", "w", "gain"])
-
-    return rows.mapInArrow(run, "c long, w long, gain double")
+def averaged(key: np.ndarray, n: np.ndarray, chain: list, seed: int, discount: float, customers: np.ndarray, dishes: int) -> np.ndarray:
+    """Own mass (n - discount * tables) / (strength + customers) of drawn pairs, over the sweeps."""
+    context, dish = np.divmod(key, dishes)
+    mass = np.zeros(len(key))
+    for sweep, opened, probs in chain:
+        t = seat(n, (STRENGTH + discount * opened[context]) * probs[dish], discount, key + seed, sweep)
+        mass += (n - discount * t) / (STRENGTH + customers[context])
+    return mass / len(chain)
 
 
 def _masses(pairs: DataFrame, chain: list, seed: int, discount: float, customers: np.ndarray, dishes: int) -> DataFrame:
-    """`key` and averaged own `mass` (n - discount * tables) / (strength + customers)."""
-    sent = pairs.sparkSession.sparkContext.broadcast(([(s, *g) for s, g, *_ in chain], customers))
+    """`key` and averaged own `mass`."""
+    sent = pairs.sparkSession.sparkContext.broadcast((chain, customers))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sweeps, seated = sent.value
         for batch in batches:
             key, n = (batch.column(i).to_numpy() for i in range(2))
-            context, dish = np.divmod(key, dishes)
-            mass = np.zeros(len(key))
-            for sweep, opened, probs in sweeps:
-                t = seat(n, (STRENGTH + discount * opened[context]) * probs[dish], discount, key + seed, sweep)
-                mass += (n - discount * t) / (STRENGTH + seated[context])
-            yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(mass / len(sweeps))], names=["key", "mass"])
+            mass = averaged(key, n, sweeps, seed, discount, seated, dishes)
+            yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(mass)], names=["key", "mass"])
 
     return pairs.mapInArrow(run, "key long, mass double")
 
 
+def _found(keys: np.ndarray, wanted: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Where each wanted number stands among sorted `keys`, and whether it does."""
+    if not len(keys):
+        return np.zeros(len(wanted), np.int64), np.zeros(len(wanted), bool)
+    at = np.minimum(np.searchsorted(keys, wanted), len(keys) - 1)
+    return at, keys[at] == wanted
+
+
+def _place(rare: np.ndarray, wanted: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Where ids stand, those outside the head among the sorted `rare`, and whether they do."""
+    out, known = wanted + len(rare), np.ones(len(wanted), bool)
+    some = wanted < 0
+    out[some], known[some] = _found(rare, wanted[some])
+    return out, known
+
+
+def _wide(sums: np.ndarray, size: int) -> np.ndarray:
+    return sums if sums.shape[1] >= size else np.pad(sums, ((0, 0), (0, size - sums.shape[1])))
+
+
 def score(df: DataFrame, text: str, model: Model, words: DataFrame, keep: Sequence[str]) -> DataFrame:
     """`keep` columns, `n_tokens`, `n_known`, `base_score`, `score` (log10 probability) and
     `perplexity` of every row.
 
     `base_score` is the smoothed unigram: log10((c+0.5)/(N+0.5*(V+1))) summed over tokens.
     Null and empty texts hold one token, the end. Repeated rows score alike; extra columns
-    play no part.
+    play no part. Texts are numbered in chunks as tasks read them: a task that runs again must
+    read them in the same order, as it does from files.
     """
-    sent = df.sparkSession.sparkContext.broadcast(replace(model, pairs=None, follows=None))
+    sent = df.sparkSession.sparkContext.broadcast(model.alone())
     norm = model.total + 0.5 * (model.types + 1)
-    n_keep = len(keep)
-    from pyspark.sql import types as T
-    from pyspark.sql.pandas.types import to_arrow_schema
-
-    made = T.StructType(
-        [df.schema[c] for c in keep]
-        + [T.StructField(c, T.LongType()) for c in ("n_tokens", "head_known")]
-        + [T.StructField(c, T.DoubleType()) for c in ("head_base", "head_score")]
-        + [T.StructField("rare", T.ArrayType(T.BinaryType()))]
-        + [T.StructField(c, T.ArrayType(T.LongType())) for c in ("c", "w")]
-    )
+    n_keep, parts = len(keep), model.parts
+    kept = [df.schema[c] for c in keep]
+    stats = [T.StructField("n_tokens", T.LongType()), *[T.StructField(c, T.DoubleType()) for c in ("known", "base", "total")]]
+    own = [T.StructField("data", T.BinaryType()), T.StructField("chunk", T.LongType()), T.StructField("at", T.LongType())]
+    named = [T.StructField(f"__{i}", f.dataType) for i, f in enumerate(kept)]
+    made = T.StructType([T.StructField("part", T.IntegerType()), T.StructField("kind", T.IntegerType()), *own, *stats, *named])
     arrow = to_arrow_schema(made)
 
+    def filled(rows: int, **columns: pa.Array) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([columns[f.name].cast(f.type) if f.name in columns else pa.nulls(rows, f.type) for f in arrow], schema=arrow)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = sent.value
-        rare, start_id = len(m.ids), m.ids[b""]
+        ids, rare, start_id = _Ids(m.ids, m.salt), len(m.ids), m.ids[b""]
         logs = np.r_[np.log10((m.counts + 0.5) / norm), 0.0]
-        known = np.r_[m.counts > 0, False]
+        known = np.r_[m.counts > 0, False].astype(np.float64)
         words_, share = np.log10(m.parent), np.r_[np.log10(m.share * m.back[np.minimum(np.arange(rare), m.contexts)]), 0.0]
-        words_[-1] = 0.0  # words outside the head are added by the join
+        words_[-1] = 0.0  # words outside the head are added by their part
+        chunk, held, texts, size = TaskContext.get().partitionId() << 32, [], [], 0
+
+        def sums() -> Iterator[pa.RecordBatch]:
+            """The held texts by the head words and the sent pairs; and what is left, to the parts."""
+            names, key, first = _keys(held, start_id, rare)
+            row = np.repeat(np.arange(len(held)), np.diff(np.r_[first, len(key)]))
+            found = np.concatenate(held)
+            dish = np.where(found < 0, rare, found)
+            last = np.r_[0, dish[:-1]]
+            last[first] = start_id
+            total = np.add.reduceat(words_[dish] + share[last], first)
+            order = np.argsort(key)
+            key, row = key[order], row[order]
+            at = _starts(key)
+            a, d, b = _pairs(key[at], names)
+            head = np.flatnonzero((a >= 0) & (b >= 0))
+            mass = np.zeros(len(at))
+            mass[head] = m.own(a[head], b[head])
+            sure = mass > 0
+            gain = np.zeros(len(at))
+            gain[sure] = np.log10(1 + mass[sure] / (m.parent[b[sure]] * 10.0 ** share[a[sure]]))
+            pair = np.repeat(np.arange(len(at)), np.diff(np.r_[at, len(key)]))
+            total += np.bincount(row, gain[pair], len(held))
+            cols = [np.arange(len(held)), np.array([len(x) for x in held]), *(np.add.reduceat(x[dish], first) for x in (known, logs)), total]
+            cols = {k: pa.array(x) for k, x in zip(("at", "n_tokens", "known", "base", "total"), cols)}
+            n = 0
+            for batch in texts:
+                some = {k: x.slice(n, batch.num_rows) for k, x in cols.items()} | {f"__{k}": batch.column(k) for k in range(n_keep)}
+                of = {k: pa.array(np.full(batch.num_rows, x)) for k, x in (("part", -1 - (chunk + (chunk >> 32)) % (1 << 31)), ("kind", 2), ("chunk", chunk))}
+                yield filled(batch.num_rows, **of, **some)
+                n += batch.num_rows
+            for p, i in _dealt(np.where(sure, parts, _part(a, b, parts))[pair].astype(np.uint16 if parts < 65535 else np.int64)):
+                if p < parts:
+                    data = pack(a[pair[i]], d[pair[i]], b[pair[i]], row[i])
+                    yield filled(1, part=pa.array([p]), kind=pa.array([1]), chunk=pa.array([chunk]), data=pa.array([data], pa.binary()))
+
         for batch in batches:
-            start, held, rows = 0, 0, []
+            first = 0
             for i, value in enumerate(batch.column(n_keep)):
-                tokens, found = _ids(value.as_py(), m.ids, m.salt)
-                before = _before(found, start_id)
-                dish, last = np.where(found < 0, rare, found), np.where(before < 0, rare, before)
-                mass = m.own(last, dish)
-                sure = mass > 0
-                p = float((words_[dish] + share[last]).sum())
-                if sure.any():
-                    below = m.parent[dish[sure]] * 10.0 ** share[last[sure]]
-                    p += float(np.log10(1 + mass[sure] / below).sum())
-                strange = [tokens[k] for k in np.flatnonzero(dish == rare)]
-                rows.append((len(tokens), int(known[dish].sum()), float(logs[dish].sum()), p, strange, before[~sure], found[~sure]))
-                held += 64 + 16 * (len(strange) + len(found))
-                if held > 8 << 20 or i == batch.num_rows - 1:
-                    part = batch.slice(start, len(rows))
-                    cols = [part.column(k).cast(arrow.field(k).type) for k in range(n_keep)]
-                    cols += [pa.array(list(c), arrow.field(n_keep + k).type) for k, c in enumerate(zip(*rows))]
-                    yield pa.RecordBatch.from_arrays(cols, schema=arrow)
-                    start, held, rows = i + 1, 0, []
-
-    texts = df.select(*keep, F.col(text).alias("__text")).mapInArrow(run, made)
-    texts = settle(texts.withColumn("__row", F.monotonically_increasing_id()))
-    each = texts.select("__row", F.explode("rare").alias("word"))
-    c = F.coalesce("n", F.lit(0))
-    own = F.when(F.col("n").isNotNull(), F.col("n") - model.rare_discount).otherwise(F.lit(0.0))
-    lower = F.coalesce((STRENGTH + model.discount * F.col("k")) / (STRENGTH + F.col("n")), F.lit(1.0))
-    after = model.follows.withColumnRenamed("c", "id")
-    sums = (
-        each.join(words.join(after, "id", "left"), "word", "left")
-        .groupBy("__row")
-        .agg(
-            F.count("n").alias("rare_known"),
-            F.sum(F.log10((c + 0.5) / norm)).alias("rare_base"),
-            F.sum(F.log10(float(model.parent[-1]) * (own + model.rare_new()) / max(model.rare_total, 1) * lower)).alias("rare_score"),
-        )
-    )
-    held = texts.select("__row", F.explode(F.arrays_zip("c", "w")).alias("pair")).select("__row", "pair.c", "pair.w")
-    gains = held.join(model.pairs, ["c", "w"]).groupBy("__row").agg(F.sum("gain").alias("pair_score"))
-    out = texts.join(sums, "__row", "left").join(gains, "__row", "left")
-    total = F.col("head_score") + F.coalesce("rare_score", F.lit(0.0)) + F.coalesce("pair_score", F.lit(0.0))
+                held.append(ids.of(value.as_py()))
+                size += len(held[-1])
+                if size > CHUNK_TOKENS:
+                    texts.append(batch.slice(first, i + 1 - first))
+                    yield from sums()
+                    first, chunk, held, texts, size = i + 1, chunk + 1, [], [], 0
+            if first < batch.num_rows:
+                texts.append(batch.slice(first))
+        if held:
+            yield from sums()
+
+    def looked_up(batches: Iterator[pa.RecordBatch], both: bool) -> Iterator[pa.RecordBatch]:
+        """Sums of what the part's pairs and words add to each text, and the rows of texts; or,
+        if `both`, the tokens of known pairs of two words outside the head."""
+        m, part = sent.value, None
+        for batch in batches:
+            kinds, numbers = batch.column(1).to_numpy(), batch.column(0).to_numpy()
+            texts = np.flatnonzero(kinds == 2)
+            if len(texts) and not both:
+                yield batch.take(pa.array(texts))
+            for i in np.flatnonzero(kinds < 2):
+                if kinds[i] == 0 or numbers[i] != part:
+                    part = numbers[i]
+                    pairs = unpack(batch.column(2)[i].as_py(), 4) if kinds[i] == 0 else [np.zeros(0, np.int64)] * 4
+                    if both:
+                        pairs = [x[(pairs[0] < 0) & (pairs[1] == 0)] for x in pairs]
+                    a, d, b, _, gain, rare, n_rare, k_rare = m.part(*pairs)
+                    right = np.unique(b[b < 0])
+                    size = np.int64(len(right) + len(m.ids))
+                    keys = (_place(rare, a)[0] * 2 + d) * size + _place(right, b)[0]
+                if kinds[i] == 0:
+                    continue
+                a_, d_, b_, row = unpack(batch.column(2)[i].as_py(), 4)
+                if both:
+                    a_, d_, b_, row = (x[(a_ < 0) & (b_ < 0)] for x in (a_, d_, b_, row))
+                (x, is_a), (y, is_b) = _place(rare, a_), _place(right, b_)
+                at, is_pair = _found(keys, (x * 2 + d_) * size + y)
+                is_pair &= is_a & is_b
+                if both:
+                    n = int(is_pair.sum())
+                    cols = [np.full(n, batch.column(3)[i].as_py()), row[is_pair], b_[is_pair], gain[at[is_pair]]]
+                    yield pa.RecordBatch.from_arrays([pa.array(c) for c in cols], names=["chunk", "at", "w", "mass"])
+                    continue
+                is_pair &= (a_ >= 0) | (b_ >= 0)
+                total, word = np.zeros(len(row)), (a_ < 0) & (d_ == 0)
+                total[is_pair] = gain[at[is_pair]]
+                at, is_rare = _found(rare, a_[word])
+                if len(rare):
+                    n, k = np.where(is_rare, n_rare[at], 0.0), np.where(is_rare, k_rare[at], 0.0)
+                else:
+                    n = k = np.zeros(len(at))
+                total[word] += np.log10(m.rare_base(n)) + np.where(n > 0, np.log10((STRENGTH + m.discount * k) / (STRENGTH + n)), 0.0)
+                some = int(row.max()) + 1
+                sums = [np.bincount(row[word], n > 0, some), np.bincount(row[word], np.log10((n + 0.5) / norm), some), np.bincount(row, total, some)]
+                some = np.flatnonzero((sums[1] != 0) | (sums[2] != 0))
+                data = pack(some.astype(np.int64), *[x[some] for x in sums])
+                yield filled(1, kind=pa.array([1]), chunk=batch.column(3).slice(i, 1), data=pa.array([data], pa.binary()))
+
+    names = [f.name for f in arrow if f.name not in ("part", "kind", "data", "chunk", "at")]
+    final = T.StructType([f for f in made if f.name in names])
+    final_arrow = to_arrow_schema(final)
+
+    def added(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Rows of texts with the sums of all parts, which come before them."""
+        chunk, sums = None, np.zeros((3, 0))
+        for batch in batches:
+            kinds, chunks = batch.column(1).to_numpy(), batch.column(3).to_numpy()
+            for at in np.split(np.arange(batch.num_rows), np.flatnonzero(np.diff(chunks * 4 + kinds)) + 1):
+                if not len(at):
+                    continue
+                if chunks[at[0]] != chunk:
+                    chunk, sums = chunks[at[0]], np.zeros((3, 0))
+                part = batch.slice(at[0], len(at))
+                own = part.column(4).to_numpy(zero_copy_only=False) if kinds[at[0]] != 1 else None
+                if kinds[at[0]] == 0:
+                    sums = _wide(sums, int(own.max()) + 1)
+                    sums[2] += np.bincount(own.astype(np.int64), part.column(8).to_numpy(), sums.shape[1])
+                elif kinds[at[0]] == 1:
+                    for data in part.column(2):
+                        row, *found = unpack(data.as_py(), 4)
+                        if len(row):
+                            sums = _wide(sums, int(row[-1]) + 1)
+                            sums[:, row] += [x.view(np.float64) for x in found]
+                else:
+                    own = own.astype(np.int64)
+                    sums = _wide(sums, int(own.max()) + 1)
+                    cols = {n: part.column(arrow.get_field_index(n)) for n in names}
+                    cols |= {n: pa.array(cols[n].to_numpy() + x[own]) for n, x in zip(("known", "base", "total"), sums)}
+                    yield pa.RecordBatch.from_arrays([cols[n].cast(final_arrow.field(n).type) for n in names], schema=final_arrow)
+
+    rows = df.select(*keep, F.col(text).alias("__text")).mapInArrow(run, made)
+    pairs = model.counted.select("part", F.lit(0).alias("kind"), "data")
+    dealt = rows.unionByName(pairs, allowMissingColumns=True).repartition(parts, "part").sortWithinPartitions("part", "kind")
+    strange = model.after(dealt.mapInArrow(partial(looked_up, both=True), "chunk long, at long, w long, mass double"), F.col("mass"))
+    strange = strange.groupBy("chunk", "at").agg(F.sum("gain").alias("total")).withColumn("kind", F.lit(0))
+    found = dealt.mapInArrow(partial(looked_up, both=False), made).unionByName(strange, allowMissingColumns=True)
+    out = found.repartition("chunk").sortWithinPartitions("chunk", "kind").mapInArrow(added, final)
     return out.select(
-        *keep,
+        *[F.col(f"__{i}").alias(c) for i, c in enumerate(keep)],
         "n_tokens",
-        (F.col("head_known") + F.coalesce("rare_known", F.lit(0))).alias("n_known"),
-        (F.col("head_base") + F.coalesce("rare_base", F.lit(0.0))).alias("base_score"),
-        total.alias("score"),
-        F.pow(F.lit(10.0), -total / F.col("n_tokens")).alias("perplexity"),
+        F.col("known").cast("long").alias("n_known"),
+        F.col("base").alias("base_score"),
+        F.col("total").alias("score"),
+        F.pow(F.lit(10.0), -F.col("total") / F.col("n_tokens")).alias("perplexity"),
     )
