@@ -1,10 +1,15 @@
+import cProfile
 import math
 import os
+import pstats
 import random
 import re
 import zlib
+from types import SimpleNamespace
+from unittest.mock import MagicMock
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from tidebin.llm import pitman_yor as P
@@ -207,3 +212,39 @@ def test_what_is_settled_stays_small(spark, monkeypatch):
     model, words = P.learn(df, "text")
     assert P.score(df, "text", model, words, ["doc_id"]).count() == 400
     assert sum(written) < 8 * 501 * 400
+
+
+def test_tasks_make_no_call_for_each_word(spark):
+    """Words are split, counted and given ids by the batch, however many different ones there are."""
+    rows = [" ".join(f"w{i}x{j}" for j in range(400)) for i in range(50)]
+    texts_, words = pa.record_batch({"text": rows}), pa.record_batch({"word": pa.array([w.encode() for t in rows for w in t.split()]), "n": [1] * 20_000})
+    df = MagicMock()
+    df.sparkSession.sparkContext.broadcast = lambda value: SimpleNamespace(value=value)
+    P.word_counts(df, "text")
+    P.pair_counts(df, "text", {b"w1x1": 0, b"": 1}, 0, 3)
+    counted, paired = (c.args[0] for c in df.select.return_value.mapInArrow.call_args_list)
+    named = df.select.return_value.mapInArrow.return_value.groupBy.return_value.agg.return_value.mapInArrow.call_args.args[0]
+    for run, batch in ((counted, texts_), (paired, texts_), (named, words)):
+        calls = cProfile.Profile()
+        assert calls.runcall(lambda: list(run(iter([batch]))))
+        assert pstats.Stats(calls).total_calls < 5_000
+
+
+@pytest.mark.parametrize("size", [1, 10, 10**6])
+def test_words_of_a_batch_are_those_of_its_texts(monkeypatch, size):
+    monkeypatch.setattr(P, "SPLIT_BYTES", size)
+    rows = ["A b", None, "", " ", "\n X\ty ", "\xdcn\xef \xc9A b c \x1c d\x85e\xa0f", "x" * 50, "a\0b a\0c " * 3] * 7
+    batch = pa.record_batch({"i": range(len(rows)), "text": rows})
+    ids, seen, met = P._Ids({b"a": 0, b"x": 1, b"": 2}, 7), [], {"a": 0, "x": 1, "": 2}
+    for part, words, sizes in P._split(iter([batch.slice(0, 0), batch.slice(3, 20), batch.slice(23)]), 1):
+        for i, found in zip(part.column(0).to_pylist(), ids.of(words, sizes), strict=True):
+            seen.append(i)
+            assert [met.setdefault(w, n) for w, n in zip(tokens_of(rows[i]), found, strict=True)] == found.tolist()
+    assert seen == list(range(3, len(rows))) and len(set(met.values())) == len(met) and sum(n < 0 for n in met.values()) == len(met) - 3
+
+
+@pytest.mark.parametrize("first", [[], [0], [0] * 5, [-(2**63), -7, 0, 2**63 - 1]])
+def test_packed_columns_come_back(first):
+    for other in (0, 1, 255, 256, -1, 2**62):
+        columns = [np.array(first, np.int64), np.full(len(first), other), np.arange(len(first))]
+        assert all(np.array_equal(x, y) for x, y in zip(columns, P.unpack(P.pack(*columns), 3), strict=True))

@@ -27,21 +27,21 @@ row for each chunk of texts and part, not for each token.
 
 from __future__ import annotations
 
-from collections import Counter
 from collections.abc import Iterator, Sequence
 from dataclasses import dataclass, replace
 from functools import partial
-from hashlib import blake2b
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
-from tidebin.llm.shared import lower_ascii, settle
+from tidebin.llm.shared import settle
 
 HEAD = 50_000
 CONTEXTS = HEAD
@@ -50,8 +50,10 @@ STRENGTH = 1.0
 BURN, SAMPLES = 2, 3
 #: Customers of a pair that are seated one by one; later ones come in doubling groups.
 SINGLE = 16
-#: Different words, and tokens, that a task counts before it hands its sums on.
-COUNT_WORDS, COUNT_PAIRS = 250_000, 2_000_000
+#: Tokens that a task counts words, and pairs, of before it hands its sums on, about.
+COUNT_WORDS, COUNT_PAIRS = 2_000_000, 2_000_000
+#: Bytes of text that a task splits at once, about.
+SPLIT_BYTES = 4 << 20
 #: Training tokens for each part of the pairs, and tokens of a chunk of scored texts, about.
 PART_TOKENS, CHUNK_TOKENS = 2_000_000, 1_000_000
 
@@ -208,66 +210,84 @@ class Model:
         return (self.rare_discount * self.rare_types if self.rare_total else 1.0) / (self.rare_types + 1)
 
 
-def rare_id(word: bytes, salt: int) -> int:
-    """Negative id of a word outside the head."""
-    return -1 - (int.from_bytes(blake2b(word, digest_size=8, salt=salt.to_bytes(8, "little")).digest(), "little") >> 1)
+def rare_ids(words: pa.Array, salt: int) -> np.ndarray:
+    """Negative ids of words (bytes) outside the head."""
+    found = pd.util.hash_array(words.to_numpy(zero_copy_only=False), hash_key=f"{salt:016d}", categorize=False)
+    return -1 - (found >> np.uint64(1)).astype(np.int64)
 
 
-class _Ids(dict):
-    """Ids of words: from 0 in the head, negative outside it. Looks up what it has not met."""
+def _split(batches: Iterator[pa.RecordBatch], column: int) -> Iterator[tuple[pa.RecordBatch, pa.Array, np.ndarray]]:
+    """Runs of rows, the words (bytes) of their texts in a row, and how many each text has."""
+    for batch in batches:
+        weight = np.cumsum(pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False), dtype=np.int64)
+        cuts = [0, *(np.flatnonzero(np.diff(weight // SPLIT_BYTES)) + 1).tolist(), batch.num_rows]
+        for start, end in zip(cuts, cuts[1:]):
+            rows = batch.slice(start, end - start)
+            lists = pc.ascii_split_whitespace(pc.ascii_lower(pc.fill_null(rows.column(column), "")))
+            words, sizes = lists.flatten().cast(pa.binary()), pc.list_value_length(lists).to_numpy()
+            empty = pc.binary_length(words).to_numpy() == 0  # beside outer blanks, and in empty texts
+            if empty.any():
+                sizes = sizes - np.bincount(np.repeat(np.arange(len(sizes)), sizes)[empty], minlength=len(sizes))
+                words = words.filter(pa.array(~empty))
+            if len(rows):
+                yield rows, words, sizes
+
+
+class _Ids:
+    """Ids of words: from 0 in the head, given in this order, negative outside it."""
 
     def __init__(self, ids: dict[bytes, int], salt: int) -> None:
-        super().__init__(ids)
-        self.head, self.salt = ids, salt
-
-    def __missing__(self, word: bytes) -> int:
-        if len(self) > len(self.head) + COUNT_WORDS:
-            self.clear()
-            self.update(self.head)
-        self[word] = found = rare_id(word, self.salt)
-        return found
-
-    def of(self, text: str | None) -> np.ndarray:
-        """Ids of a text's words and of the end."""
-        words = lower_ascii(text).split()
-        words.append(b"")
-        return np.fromiter(map(self.__getitem__, words), np.int64, len(words))
+        self.head, self.salt, self.end = pa.array(list(ids), pa.binary()), salt, ids[b""]
+
+    def of(self, words: pa.Array, sizes: np.ndarray) -> list[np.ndarray]:
+        """For each text the ids of its words and of the end."""
+        met = words.dictionary_encode()
+        found = pc.index_in(met.dictionary, value_set=self.head)
+        rare = found.is_null()
+        ids = found.fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64)
+        ids[rare.to_numpy(zero_copy_only=False)] = rare_ids(met.dictionary.filter(rare), self.salt)
+        ends = np.cumsum(sizes + 1)
+        out = np.full(len(words) + len(sizes), self.end)
+        word = np.ones(len(out), bool)
+        word[ends - 1] = False
+        out[word] = ids[met.indices.to_numpy()]
+        return np.split(out, ends[:-1])
 
 
 def word_counts(df: DataFrame, text: str, salt: int = 0) -> DataFrame:
     """`word` (bytes; empty: the end), `n` over all texts, and the `id` it has outside the head."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts: Counter = Counter()
+        held, size, texts = [], 0, 0
 
-        def emptied() -> pa.RecordBatch:
-            out = pa.RecordBatch.from_arrays([pa.array(list(counts), pa.binary()), pa.array(list(counts.values()), pa.int64())], names=["word", "n"])
-            counts.clear()
-            return out
-
-        for batch in batches:
-            for value in batch.column(0):
-                counts.update(lower_ascii(value.as_py()).split())
-                counts[b""] += 1
-                if len(counts) > COUNT_WORDS:
-                    yield emptied()
-        if counts:
-            yield emptied()
+        def summed() -> pa.RecordBatch:
+            word, n = pa.chunked_array(held, pa.binary()).value_counts().flatten()
+            return pa.RecordBatch.from_arrays([pa.concat_arrays([word, pa.array([b""])]), pa.concat_arrays([n, pa.array([texts])])], names=["word", "n"])
+
+        for _, words, sizes in _split(batches, 0):
+            held.append(words)
+            size, texts = size + len(words), texts + len(sizes)
+            if size > COUNT_WORDS or sum(x.nbytes for x in held) > 8 * SPLIT_BYTES:
+                yield summed()
+                held, size, texts = [], 0, 0
+        if held:
+            yield summed()
 
     def named(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = pa.array([rare_id(w.as_py(), salt) for w in batch.column(0)], pa.int64())
-            yield pa.RecordBatch.from_arrays([*batch.columns, found], names=["word", "n", "id"])
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(rare_ids(batch.column(0), salt))], names=["word", "n", "id"])
 
     counted = df.select(text).mapInArrow(run, "word binary, n long").groupBy("word").agg(F.sum("n").alias("n"))
     return counted.mapInArrow(named, "word binary, n long, id long")
 
 
 def pack(*columns: np.ndarray) -> bytes:
-    """Columns of 8-byte numbers, the first one's steps, compressed byte by byte."""
-    first = np.diff(columns[0], prepend=columns[0].dtype.type(0))
-    planes = [np.ascontiguousarray(x).view(np.uint8).reshape(-1, 8).T.tobytes() for x in (first, *columns[1:])]
-    return len(first).to_bytes(8, "little") + pa.compress(b"".join(planes), codec="zstd", asbytes=True)
+    """Columns of 8-byte numbers, the first one's steps, compressed byte by byte without the high
+    bytes that are 0 throughout."""
+    found = [x.view(np.uint64) for x in (np.diff(columns[0], prepend=columns[0].dtype.type(0)), *columns[1:])]
+    widths = [-(-int(x.max(initial=0)).bit_length() // 8) for x in found]
+    planes = [(x >> np.uint64(8 * i)).astype(np.uint8).tobytes() for x, w in zip(found, widths) for i in range(w)]
+    return len(found[0]).to_bytes(8, "little") + bytes(widths) + pa.compress(b"".join(planes), codec="zstd", asbytes=True)
 
 
 def unpack(data: bytes, columns: int) -> list[np.ndarray]:
@@ -275,9 +295,14 @@ def unpack(data: bytes, columns: int) -> list[np.ndarray]:
     n = int.from_bytes(data[:8], "little")
     if not n:
         return [np.zeros(0, np.int64)] * columns
-    planes = np.frombuffer(pa.decompress(data[8:], decompressed_size=8 * n * columns, codec="zstd", asbytes=True), np.uint8)
-    out = [np.ascontiguousarray(x.T).view(np.int64)[:, 0] for x in planes.reshape(columns, 8, n)]
-    return [np.cumsum(out[0]), *out[1:]]
+    widths = data[8 : 8 + columns]
+    planes = iter(np.frombuffer(pa.decompress(data[8 + columns :], decompressed_size=n * sum(widths), codec="zstd", asbytes=True), np.uint8).reshape(-1, n))
+    out = [np.zeros((n, 8), np.uint8) for _ in range(columns)]
+    for x, w in zip(out, widths):
+        for i in range(w):
+            x[:, i] = next(planes)
+    first, *others = (x.view(np.int64)[:, 0] for x in out)
+    return [np.cumsum(first), *others]
 
 
 def _each(batches: Iterator[pa.RecordBatch]) -> Iterator[list[np.ndarray]]:
@@ -350,20 +375,19 @@ def pair_counts(df: DataFrame, text: str, ids: dict[bytes, int], salt: int, part
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ids, held, size = _Ids(sent.value, salt), [], 0
-        start = ids[b""]
 
         def summed() -> pa.RecordBatch:
-            names, key, _ = _keys(held, start, len(sent.value))
+            names, key, _ = _keys(held, ids.end, len(sent.value))
             key = np.sort(key)
             at = _starts(key)
             n = np.diff(np.r_[at, len(key)])
             a, d, b = _pairs(key[at], names)
             return _blobs([(p, pack(a[i], d[i], b[i], n[i])) for p, i in _dealt(_part(a, b, parts))])
 
-        for batch in batches:
-            for value in batch.column(0):
-                held.append(ids.of(value.as_py()))
-                size += len(held[-1])
+        for _, words, sizes in _split(batches, 0):
+            for found in ids.of(words, sizes):
+                held.append(found)
+                size += len(found)
                 if size > COUNT_PAIRS:
                     yield summed()
                     held, size = [], 0
@@ -626,11 +650,11 @@ def score(df: DataFrame, text: str, model: Model, words: DataFrame, keep: Sequen
                     data = pack(a[pair[i]], d[pair[i]], b[pair[i]], row[i])
                     yield filled(1, part=pa.array([p]), kind=pa.array([1]), chunk=pa.array([chunk]), data=pa.array([data], pa.binary()))
 
-        for batch in batches:
+        for batch, words, sizes in _split(batches, n_keep):
             first = 0
-            for i, value in enumerate(batch.column(n_keep)):
-                held.append(ids.of(value.as_py()))
-                size += len(held[-1])
+            for i, found in enumerate(ids.of(words, sizes)):
+                held.append(found)
+                size += len(found)
                 if size > CHUNK_TOKENS:
                     texts.append(batch.slice(first, i + 1 - first))
                     yield from sums()
