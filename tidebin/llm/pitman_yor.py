@@ -229,8 +229,10 @@ def _split(batches: Iterator[pa.RecordBatch], column: int) -> Iterator[tuple[pa.
             if empty.any():
                 sizes = sizes - np.bincount(np.repeat(np.arange(len(sizes)), sizes)[empty], minlength=len(sizes))
                 words = words.filter(pa.array(~empty))
+            del lists
             if len(rows):
                 yield rows, words, sizes
+    pa.default_memory_pool().release_unused()
 
 
 class _Ids:
@@ -668,6 +670,11 @@ def score(df: DataFrame, text: str, model: Model, words: DataFrame, keep: Sequen
         """Sums of what the part's pairs and words add to each text, and the rows of texts; or,
         if `both`, the tokens of known pairs of two words outside the head."""
         m, part = sent.value, None
+
+        def held(data: bytes | None) -> list[np.ndarray]:
+            pairs = unpack(data, 4) if data else [np.zeros(0, np.int64)] * 4
+            return [x[(pairs[0] < 0) & (pairs[1] == 0)] for x in pairs] if both else pairs
+
         for batch in batches:
             kinds, numbers = batch.column(1).to_numpy(), batch.column(0).to_numpy()
             texts = np.flatnonzero(kinds == 2)
@@ -676,13 +683,12 @@ def score(df: DataFrame, text: str, model: Model, words: DataFrame, keep: Sequen
             for i in np.flatnonzero(kinds < 2):
                 if kinds[i] == 0 or numbers[i] != part:
                     part = numbers[i]
-                    pairs = unpack(batch.column(2)[i].as_py(), 4) if kinds[i] == 0 else [np.zeros(0, np.int64)] * 4
-                    if both:
-                        pairs = [x[(pairs[0] < 0) & (pairs[1] == 0)] for x in pairs]
-                    a, d, b, _, gain, rare, n_rare, k_rare = m.part(*pairs)
+                    keys = right = gain = rare = n_rare = k_rare = None  # a task holds one part at a time
+                    a, d, b, _, gain, rare, n_rare, k_rare = m.part(*held(batch.column(2)[i].as_py() if kinds[i] == 0 else None))
                     right = np.unique(b[b < 0])
                     size = np.int64(len(right) + len(m.ids))
                     keys = (_place(rare, a)[0] * 2 + d) * size + _place(right, b)[0]
+                    del a, d, b, _
                 if kinds[i] == 0:
                     continue
                 a_, d_, b_, row = unpack(batch.column(2)[i].as_py(), 4)
